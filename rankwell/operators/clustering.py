@@ -5,7 +5,7 @@ Inputs have ``id`` and ``vector`` (array) columns, clusters an integer ``cluster
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SCORE_DIGITS, as_double, normalize, rounded
+from ..sources.workspace import Workspace
 from .neighbours import BLOCK_ROWS, MAX_BROADCAST_BYTES, MAX_BROADCAST_QUESTIONS, to_matrix
 
 ROWS_PER_FIT_TASK = 200_000
@@ -108,6 +109,27 @@ def route(questions: DataFrame, centroids: Centroids, n: int) -> DataFrame:
     )
 
 
+def write_by_cluster(
+    df: DataFrame, key: str, workspace: Workspace, name: str, rows_per_file: int = 1_000_000
+) -> DataFrame:
+    """Store rows partitioned by ``cluster``, so a probe reads only its clusters.
+
+    Rows are first gathered per cluster, a large cluster over several tasks: files are
+    as many as the data needs, not tasks times clusters.
+    """
+    if not workspace.has(name):
+        files = df.groupBy("cluster").agg(
+            F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files")
+        )
+        part = F.pmod(F.xxhash64(key), F.col("_files"))
+        df = (
+            df.join(F.broadcast(files), "cluster")  # one row per cluster
+            .repartition("cluster", part)
+            .drop("_files")
+        )
+    return workspace.stage(name, lambda: df, partition_by="cluster")
+
+
 def check_cluster_count(n: int, available: int) -> None:
     if n > available:
         raise ValueError(f"asked for {n} clusters, only {available} exist")
@@ -275,8 +297,17 @@ def silhouette_squared(df: DataFrame) -> float:
     return ClusteringEvaluator(metricName="silhouette").evaluate(rows)
 
 
-def sweep_k(df: DataFrame, ks: range, seed: int = 0, **options: int) -> DataFrame:
-    """Fit every k on one input and mark the best silhouette, the smaller k on ties."""
+def sweep_k(
+    df: DataFrame,
+    ks: range,
+    seed: int = 0,
+    measure: Callable[[DataFrame], float] = silhouette_score,
+) -> DataFrame:
+    """Fit every k on one input and mark the best silhouette, the smaller k on ties.
+
+    The exact silhouette compares all rows with all; ``silhouette_squared`` is the
+    measure to give for corpora where that is out of reach.
+    """
     results = []
     n_rows = df.count()
     rows = for_fit(df.select("id", "vector"), n_rows).persist()
@@ -286,7 +317,7 @@ def sweep_k(df: DataFrame, ks: range, seed: int = 0, **options: int) -> DataFram
             "id", "vector", F.col("prediction").alias("cluster")
         )
         results.append(
-            (k, float(model.summary.trainingCost), float(silhouette_score(labelled, **options)))
+            (k, float(model.summary.trainingCost), float(measure(labelled)))
         )
     rows.unpersist()
     best = min(results, key=lambda r: (-r[2], r[0]))[0]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_tokens
+from ..functions.text import content_tokens, is_stop_word, words
 from ..functions.vectors import rounded
-from ..sources.tables import stored_bytes
+from ..sources.tables import text_bytes
 from ..sources.workspace import Workspace, bucket_count
 from .ranking import pad_with_first, ranking
 
@@ -17,21 +17,33 @@ K1, B = 1.5, 0.75
 
 # Question terms up to this many rows travel to every task (about 60 bytes each).
 MAX_BROADCAST_TERMS = 500_000
-# Beyond it, a term's postings are split so that one join key holds about this many.
-POSTINGS_PER_SALT = 1_000_000
+# Beyond it, both sides of a term are split so that one join key pairs about this many
+# postings with this many questions.
+POSTINGS_PER_SALT = 200_000
+QUESTIONS_PER_SALT = 1_000
+# Rarest terms of a question that set the floor of its top-k, and the room left for
+# rounding when scores are compared with it.
+FLOOR_TERMS = 4
+FLOOR_SLACK = 2e-6
 
 
 # --- term tables ---------------------------------------------------------------------
 
 
-def token_rows(docs: DataFrame, tokens: Column) -> DataFrame:
-    return docs.select("doc_id", F.explode(tokens).alias("term"))
+def token_rows(docs: DataFrame, text: Column) -> DataFrame:
+    """One row per content token. Stop words are dropped after the split into rows,
+    where the test is compiled code over a hash set."""
+    exploded = docs.select("doc_id", F.explode(words(text)).alias("term"))
+    return exploded.where(~is_stop_word(F.col("term")))
 
 
-def postings(docs: DataFrame, tokens: Column) -> DataFrame:
-    """Term frequency per document. All tokens of a document sit in one row, so the
-    map-side combine already finishes the counting."""
-    return token_rows(docs, tokens).groupBy("doc_id", "term").agg(F.count("*").alias("f"))
+def postings(docs: DataFrame, text: Column) -> DataFrame:
+    """Term frequency per document; no shuffle when ``docs`` is partitioned by doc_id."""
+    return token_rows(docs, text).groupBy("doc_id", "term").agg(F.count("*").alias("f"))
+
+
+def term_counts(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("term").agg(F.count("*").alias("cf"))
 
 
 def vocabulary(raw: DataFrame) -> DataFrame:
@@ -47,21 +59,31 @@ def rare_postings(terms: DataFrame) -> DataFrame:
     """Postings of terms that occur once in the whole collection.
 
     Such a term has exactly one document, already known from the vocabulary, so rare
-    terms are removed by ``(doc_id, term)`` and no frequent term becomes a join key.
+    terms are found and removed by document and no frequent term becomes a join key.
     """
     return terms.where(F.col("cf") == 1).select(F.col("first_doc").alias("doc_id"), "term")
 
 
-def prune_rare_terms(docs: DataFrame, tokens: Column, terms: DataFrame) -> DataFrame:
-    """Token lists without the terms that occur once; order and repeats kept."""
+def prune_rare_terms(docs: DataFrame, text: Column) -> DataFrame:
+    """``doc_id, tokens`` without the terms that occur once; order and repeats kept.
+
+    A term that occurs once has one document and one position, and both fall out of
+    the counting. What is left is done inside each document's row, in linear time.
+    """
+    tokens = content_tokens(text)
     placed = docs.select("doc_id", F.posexplode(tokens).alias("pos", "term"))
-    kept = placed.join(rare_postings(terms), ["doc_id", "term"], "left_anti")
-    lists = kept.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("kept")
+    once = (
+        placed.groupBy("term")
+        .agg(F.count("*").alias("cf"), F.min("doc_id").alias("doc_id"), F.min("pos").alias("pos"))
+        .where(F.col("cf") == 1)
     )
-    return docs.select("doc_id").join(lists, "doc_id", "left").select(
-        "doc_id",
-        F.coalesce(F.col("kept.term"), F.array().cast("array<string>")).alias("tokens"),
+    # At most one entry per token of the document.
+    rare = once.groupBy("doc_id").agg(F.collect_list("pos").alias("rare"))
+    rows = docs.select("doc_id", tokens.alias("tokens")).join(rare, "doc_id", "left")
+    positions = F.transform("tokens", lambda _, i: i)
+    kept = F.array_except(positions, F.coalesce("rare", F.array().cast("array<int>")))
+    return rows.select(
+        "doc_id", F.transform(kept, lambda i: F.get(F.col("tokens"), i)).alias("tokens")
     )
 
 
@@ -78,63 +100,81 @@ class LexicalIndex:
 
     ``postings`` (doc_id, term, f, doc_len) is hash-bucketed by ``doc_id``: all scores
     of a document are summed where it lies, and only ranked rows are ever shuffled.
+    Postings of terms that occur once stay in it, unseen: those terms are in neither
+    the vocabulary nor the document lengths.
     """
 
     documents: DataFrame  # doc_id, doc_len; empty documents included
     postings: DataFrame
     vocabulary: DataFrame  # term, cf, df; rare terms removed
+    rare: DataFrame  # doc_id, term of the terms that occur once
     n_docs: int
     avg_doc_len: float
 
 
 def build_index(docs: DataFrame, text: Column, workspace: Workspace) -> LexicalIndex:
-    """Tokenize ``docs (doc_id, ...)`` and stage its BM25 index."""
+    """Tokenize ``docs (doc_id, ...)`` and stage its BM25 index.
+
+    The text itself is shuffled once, by document: it is far smaller than its
+    postings, which are then counted and written without another shuffle.
+    """
     spark = docs.sparkSession
-    buckets = bucket_count(spark, stored_bytes(docs))
-    # Keyed by both columns, so the removal of rare terms shuffles only those.
+    buckets = bucket_count(spark, text_bytes(docs, text))
     raw = workspace.stage_bucketed(
         "raw_postings",
-        lambda: postings(docs, content_tokens(text)),
-        ["doc_id", "term"],
+        lambda: postings(docs.repartition(buckets, "doc_id"), text),
+        ["doc_id"],
         buckets,
     )
     terms = workspace.stage("terms", lambda: vocabulary(raw))
-    kept = raw.join(rare_postings(terms), ["doc_id", "term"], "left_anti")
-
-    def with_lengths() -> DataFrame:
-        lengths = kept.groupBy("doc_id").agg(F.sum("f").alias("doc_len"))
-        return kept.join(lengths, "doc_id")
-
-    post = workspace.stage_bucketed("postings", with_lengths, ["doc_id"], buckets)
+    rare = rare_postings(terms)
 
-    def all_lengths() -> DataFrame:
-        found = post.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"))
+    def lengths() -> DataFrame:
+        found = raw.groupBy("doc_id").agg(F.sum("f").alias("n_tokens"))
+        once = rare.groupBy("doc_id").agg(F.count("*").alias("n_rare"))
+        length = F.coalesce("n_tokens", F.lit(0)) - F.coalesce("n_rare", F.lit(0))
         return (
             docs.select("doc_id")
             .join(found, "doc_id", "left")
-            .select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
+            .join(once, "doc_id", "left")
+            .select("doc_id", length.alias("doc_len"))
         )
 
-    lengths = workspace.stage("doc_lengths", all_lengths)
-    totals = lengths.agg(
+    documents = workspace.stage_bucketed("doc_lengths", lengths, ["doc_id"], buckets)
+    post = workspace.stage_bucketed(
+        "postings",
+        lambda: raw.join(documents.hint("shuffle_hash"), "doc_id"),
+        ["doc_id"],
+        buckets,
+    )
+    totals = documents.agg(
         F.count("*").alias("n"), F.avg("doc_len").alias("avg_doc_len")
     ).first()
     return LexicalIndex(
-        documents=lengths,
+        documents=documents,
         postings=post,
         vocabulary=terms.where(F.col("cf") > 1).select("term", "cf", "df"),
+        rare=rare,
         n_docs=totals["n"],
         avg_doc_len=totals["avg_doc_len"] or 0.0,
     )
 
 
+def pruned_postings(index: LexicalIndex) -> DataFrame:
+    """The postings without those of rare terms."""
+    return index.postings.join(index.rare, ["doc_id", "term"], "left_anti").select(
+        "doc_id", "term", "f"
+    )
+
+
 # --- scoring -------------------------------------------------------------------------
 
 
-def question_terms(questions: DataFrame, tokens: Column) -> DataFrame:
+def question_terms(questions: DataFrame, text: Column) -> DataFrame:
     """``(query_id, term, qf)``: a repeated question term counts each time."""
+    tokens = questions.select("query_id", F.explode(words(text)).alias("term"))
     return (
-        questions.select("query_id", F.explode(tokens).alias("term"))
+        tokens.where(~is_stop_word(F.col("term")))
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qf"))
     )
@@ -158,52 +198,155 @@ def fits(rows: DataFrame, limit: int) -> bool:
     return rows.limit(limit + 1).count() <= limit
 
 
+def _salts(rows: DataFrame, count: str, per_salt: int, name: str) -> DataFrame:
+    """Terms with more than ``per_salt`` rows and the number of salts they need.
+
+    There are at most (all rows / per_salt) such terms, which bounds the list.
+    """
+    return rows.where(F.col(count) > per_salt).select(
+        "term", F.ceil(F.col(count) / per_salt).cast("int").alias(name)
+    )
+
+
 def match_terms(
     index: LexicalIndex, weighted: DataFrame, max_broadcast: int = MAX_BROADCAST_TERMS
 ) -> DataFrame:
-    """Postings joined with the question terms.
+    """Postings joined with the question terms, the columns of both kept.
 
     Few question terms are broadcast, which leaves the postings in their buckets. Many
-    are shuffled by ``(term, salt)``: postings of a frequent term are spread over as
-    many salts as its document frequency asks for. At most ``all postings /
-    POSTINGS_PER_SALT`` terms are that frequent, which bounds the broadcast list.
+    are shuffled by term, and a frequent term is split on both sides: its postings by
+    document, its questions by question, and each part meets each part of the other
+    side exactly once.
     """
-    columns = ["query_id", "doc_id", "f", "doc_len", "weight"]
-    if fits(weighted, max_broadcast):
-        few = F.broadcast(weighted.select("query_id", "term", "weight"))
-        return index.postings.join(few, "term").select(*columns)
-    salts = F.ceil(F.col("df") / POSTINGS_PER_SALT).cast("int")
-    frequent = index.vocabulary.where(F.col("df") > POSTINGS_PER_SALT).select(
-        "term", salts.alias("salts")
+    asked = weighted.drop("df")
+    if fits(asked, max_broadcast):
+        return index.postings.join(F.broadcast(asked), "term")
+    return _match_salted(index, asked)
+
+
+def _match_salted(index: LexicalIndex, asked: DataFrame) -> DataFrame:
+    asked_counts = asked.groupBy("term").agg(F.count("*").alias("qdf"))
+    salts = _salts(index.vocabulary, "df", POSTINGS_PER_SALT, "doc_salts").join(
+        _salts(asked_counts, "qdf", QUESTIONS_PER_SALT, "query_salts"), "term", "full"
+    )
+
+    def part(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.coalesce(n, F.lit(1))).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+
+    left = (
+        index.postings.join(F.broadcast(salts), "term", "left")
+        .withColumn("doc_salt", part("doc_id", "doc_salts"))
+        .withColumn("query_salt", every("query_salts"))
+        .drop("doc_salts", "query_salts")
     )
-    spread = F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int")
-    salted = index.postings.join(F.broadcast(frequent), "term", "left").withColumn(
-        "salt", spread
+    right = (
+        asked.join(F.broadcast(salts), "term", "left")
+        .withColumn("query_salt", part("query_id", "query_salts"))
+        .withColumn("doc_salt", every("doc_salts"))
+        .drop("doc_salts", "query_salts")
     )
-    asked = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return salted.join(asked.hint("merge"), ["term", "salt"]).select(*columns)
+    keys = ["term", "doc_salt", "query_salt"]
+    return left.join(right.hint("merge"), keys).drop("doc_salt", "query_salt")
 
 
 def score_matches(
+    index: LexicalIndex, weighted: DataFrame, k1: float = K1, b: float = B
+) -> DataFrame:
+    """BM25 score of every document that shares a term with a question."""
+    part = F.col("weight") * saturation(index, k1, b)
+    return (
+        match_terms(index, weighted)
+        .groupBy("query_id", "doc_id")
+        .agg(rounded(F.sum(part)).alias("score"))
+    )
+
+
+def best_documents(
     index: LexicalIndex,
     weighted: DataFrame,
+    k: int,
     k1: float = K1,
     b: float = B,
     max_broadcast: int = MAX_BROADCAST_TERMS,
 ) -> DataFrame:
-    """BM25 score of every document that shares a term with a question."""
+    """Exact top-k ranking of the documents that share a term with a question.
+
+    Few questions: all matches are summed inside the buckets of the postings. Many
+    questions: frequent terms would pair most documents with most questions, so terms
+    that cannot decide a top-k (:func:`_split_terms`) only complete the scores of
+    documents found by the others.
+    """
+    if fits(weighted, max_broadcast):
+        return ranking(score_matches(index, weighted, k1, b), k)
     part = F.col("weight") * saturation(index, k1, b)
-    return (
-        match_terms(index, weighted, max_broadcast)
+    terms = _split_terms(index, weighted, k, k1, b)
+    found = (
+        _match_salted(index, terms.where("decisive").drop("decisive", "df"))
         .groupBy("query_id", "doc_id")
-        .agg(rounded(F.sum(part)).alias("score"))
+        .agg(F.sum(part).alias("part"), F.first("need").alias("need"))
+        .where(F.col("part") >= F.col("need"))
+        .select("query_id", "doc_id", "part")
+    )
+    completing = terms.where(~F.col("decisive")).select("query_id", "term", "weight")
+    rest = (
+        found.select("query_id", "doc_id")
+        .join(completing, "query_id")
+        .join(index.postings, ["doc_id", "term"])
+        .select("query_id", "doc_id", part.alias("part"))
+    )
+    scored = (
+        found.unionByName(rest)
+        .groupBy("query_id", "doc_id")
+        .agg(rounded(F.sum("part")).alias("score"))
+    )
+    return ranking(scored, k)
+
+
+def _split_terms(
+    index: LexicalIndex, weighted: DataFrame, k: int, k1: float, b: float
+) -> DataFrame:
+    """Mark the ``decisive`` terms of each question.
+
+    All parts of a score are positive, so the k-th best sum over a question's rarest
+    terms alone is a floor for its k-th best score. A part is below ``weight * (k1 +
+    1)``. The weakest terms whose bounds together stay below the floor cannot lift a
+    document into the top-k by themselves: every result holds a decisive term.
+    ``need`` is what the decisive terms of a result must reach at least. A question
+    without a floor has only decisive terms.
+    """
+    in_question = Window.partitionBy("query_id")
+    order = F.row_number().over(in_question.orderBy("df", "term"))
+    rarest = (
+        weighted.withColumn("_order", order)
+        .where((F.col("_order") <= FLOOR_TERMS) & (F.col("df") <= POSTINGS_PER_SALT))
+        .drop("_order", "df")
+    )
+    part = F.col("weight") * saturation(index, k1, b)
+    sums = _match_salted(index, rarest).groupBy("query_id", "doc_id").agg(
+        F.sum(part).alias("score")
+    )
+    floors = ranking(sums, k).where(F.col("rank") == k).select(
+        "query_id", (F.col("score") - FLOOR_SLACK).alias("floor")
+    )
+    bound = F.col("weight") * (k1 + 1.0)
+    up_to = in_question.orderBy(bound, "term").rowsBetween(Window.unboundedPreceding, 0)
+    decisive = F.sum(bound).over(up_to) >= F.coalesce("floor", F.lit(0.0))
+    rest = F.coalesce(F.sum(F.when(~F.col("decisive"), bound)).over(in_question), F.lit(0.0))
+    return (
+        weighted.join(floors, "query_id", "left")
+        .withColumn("decisive", decisive)
+        .withColumn("need", F.coalesce("floor", F.lit(0.0)) - rest)
+        .drop("floor")
     )
 
 
 def bm25_topk(
     index: LexicalIndex,
     questions: DataFrame,
-    tokens: Column,
+    text: Column,
     k: int,
     pad: bool = True,
     k1: float = K1,
@@ -211,8 +354,8 @@ def bm25_topk(
     max_broadcast: int = MAX_BROADCAST_TERMS,
 ) -> DataFrame:
     """Best ``k`` documents per question; ``pad`` fills short lists with zero scores."""
-    weighted = weighted_terms(index, question_terms(questions, tokens))
-    hits = ranking(score_matches(index, weighted, k1, b, max_broadcast), k)
+    weighted = weighted_terms(index, question_terms(questions, text))
+    hits = best_documents(index, weighted, k, k1, b, max_broadcast)
     return pad_with_first(hits, questions, index.documents, k) if pad else hits
 
 
@@ -253,25 +396,28 @@ def score_grid(
     )
 
 
-def covering_documents(index: LexicalIndex, weighted: DataFrame) -> DataFrame:
+def covering_documents(
+    index: LexicalIndex, weighted: DataFrame, max_broadcast: int = MAX_BROADCAST_TERMS
+) -> DataFrame:
     """``(query_id, doc_id)`` of documents that contain every indexed question term.
 
     Candidates come from each question's rarest term alone; the other terms are then
     looked up by document, so frequent terms never meet all their postings.
     """
-    # Both the term count and the rarest term come from one aggregate per question.
-    anchors = weighted.groupBy("query_id").agg(
+    # The number of terms and the rarest one come from one aggregate per question.
+    facts = weighted.groupBy("query_id").agg(
         F.count("*").alias("n_terms"), F.min(F.struct("df", "term")).alias("rarest")
     )
-    terms_of = weighted.select("query_id", "term")
-    candidates = index.postings.select("doc_id", "term").join(
-        anchors.select("query_id", "n_terms", F.col("rarest.term").alias("term")), "term"
-    ).select("query_id", "n_terms", "doc_id")
-    checks = candidates.join(terms_of, "query_id")
+    anchors = facts.select(
+        "query_id", F.col("rarest.term").alias("term"), F.lit(1.0).alias("weight")
+    )
+    candidates = match_terms(index, anchors, max_broadcast).select("query_id", "doc_id")
+    checks = candidates.join(weighted.select("query_id", "term"), "query_id")
     return (
         checks.join(index.postings.select("doc_id", "term"), ["doc_id", "term"])
-        .groupBy("query_id", "doc_id", "n_terms")
+        .groupBy("query_id", "doc_id")
         .agg(F.count("*").alias("found"))
+        .join(facts.select("query_id", "n_terms"), "query_id")
         .where(F.col("found") == F.col("n_terms"))
         .select("query_id", "doc_id")
     )

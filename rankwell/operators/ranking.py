@@ -32,28 +32,25 @@ def pad_with_first(
     """Fill short result lists with zero-score documents in table order.
 
     A question with h hits needs k - h more, all found among the first k + h
-    documents; so the first 2k ids serve every question.
+    documents; so the first 2k ids serve every question. A question's list, at most k
+    hits, is completed inside one row.
     """
     first_ids = [
         row.doc_id
         for row in documents.select("doc_id").orderBy("doc_id").limit(2 * k).collect()
     ]
-    found = hits.groupBy("query_id").agg(F.collect_list("doc_id").alias("found"))
-    short = (
-        questions.select("query_id")
-        .join(found, "query_id", "left")
-        .withColumn("found", F.coalesce("found", F.array().cast("array<bigint>")))
-        .withColumn("h", F.size("found"))
-        .where(F.col("h") < k)
-    )
     first = F.array(*[F.lit(i) for i in first_ids]).cast("array<bigint>")
-    rest = F.slice(F.array_except(first, F.col("found")), F.lit(1), F.lit(k) - F.col("h"))
-    padding = short.select("query_id", "h", F.posexplode(rest).alias("pos", "doc_id"))
-    return hits.select(*RANKING).unionByName(
-        padding.select(
-            "query_id",
-            (F.col("h") + F.col("pos") + 1).alias("rank"),
-            "doc_id",
-            F.lit(0.0).alias("score"),
-        )
+    hit = F.struct("rank", "doc_id", "score")
+    found = hits.groupBy("query_id").agg(F.collect_list(hit).alias("hits"))
+    listed = questions.select("query_id").join(found, "query_id", "left").withColumn(
+        "hits", F.coalesce("hits", F.array().cast("array<struct<rank:int,doc_id:bigint,score:double>>"))
+    )
+    h = F.size("hits")
+    rest = F.slice(F.array_except(first, F.col("hits.doc_id")), F.lit(1), F.lit(k) - h)
+    padding = F.transform(
+        rest,
+        lambda doc, i: F.struct(
+            (h + i + 1).alias("rank"), doc.alias("doc_id"), F.lit(0.0).alias("score")
+        ),
     )
+    return listed.select("query_id", F.inline(F.concat("hits", padding)))

@@ -69,30 +69,31 @@ def split_positional(df: DataFrame, position: str, train_tenths: int = 9) -> Dat
     )
 
 
-def missing_clusters(split: DataFrame) -> DataFrame:
-    """Clusters that no training row has."""
-    train = split.where(F.col("split") == TRAIN)
-    return (
-        split.select("cluster").distinct().join(train, "cluster", "left_anti")
+def _cluster_facts(split: DataFrame, position: str) -> DataFrame:
+    """Per cluster: whether training lacks it, and its first test row. One aggregate."""
+    is_test = F.col("split") == TEST
+    return split.groupBy("cluster").agg(
+        F.bool_and(is_test).alias("missing"),
+        F.min(F.when(is_test, F.col(position))).alias("first_test"),
     )
 
 
+def missing_clusters(split: DataFrame, position: str) -> DataFrame:
+    """Clusters that no training row has."""
+    return _cluster_facts(split, position).where("missing").select("cluster")
+
+
 def cover_clusters(split: DataFrame, position: str) -> DataFrame:
     """Move the first test row of every cluster missing from training to training.
 
-    One aggregate finds, per cluster, whether training has it and its first test row;
-    at most one row per cluster moves.
+    At most one row per cluster moves, so the list of moved rows is as small as the
+    list of clusters.
     """
-    is_test = F.col("split") == TEST
-    per_cluster = split.groupBy("cluster").agg(
-        F.bool_and(is_test).alias("unseen"),
-        F.min(F.when(is_test, F.col(position))).alias("first_test"),
-    )
-    moved = per_cluster.where("unseen").select(
+    moved = _cluster_facts(split, position).where("missing").select(
         F.col("first_test").alias(position), F.lit(True).alias("_moved")
     )
     return (
-        split.join(moved, position, "left")
+        split.join(F.broadcast(moved), position, "left")
         .withColumn("split", F.when(F.col("_moved"), TRAIN).otherwise(F.col("split")))
         .drop("_moved")
     )

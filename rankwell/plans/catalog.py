@@ -26,7 +26,7 @@ from ..operators import (
     neighbours,
     rows,
 )
-from ..operators.ranking import pad_with_first, ranking, top_k
+from ..operators.ranking import pad_with_first, top_k
 from ..sources import tables
 from ..sources.workspace import Workspace
 from ..streaming.questions import answer_stream, read_questions
@@ -79,14 +79,14 @@ class Inputs:
     @cached_property
     def weighted(self) -> DataFrame:
         """Weighted question terms, staged since several queries join them."""
-        terms = lexical.question_terms(self.questions, text.content_tokens(F.col("text")))
+        terms = lexical.question_terms(self.questions, F.col("text"))
         return self.workspace.stage(
             "weighted_terms", lambda: lexical.weighted_terms(self.index, terms)
         )
 
     def bm25(self, k: int) -> DataFrame:
         """Hits without zero-score documents."""
-        return ranking(lexical.score_matches(self.index, self.weighted), k)
+        return lexical.best_documents(self.index, self.weighted, k)
 
     def bm25_padded(self, k: int) -> DataFrame:
         return pad_with_first(self.bm25(k), self.questions, self.index.documents, k)
@@ -125,11 +125,8 @@ class Inputs:
     @cached_property
     def cluster_index(self) -> DataFrame:
         """Corpus stored by nearest centroid: ``doc_id, vector, cluster``."""
-        return self.workspace.stage(
-            "cluster_index",
-            lambda: clustering.assign_nearest(self.corpus, self.centroids).drop("d2"),
-            partition_by="cluster",
-        )
+        assigned = clustering.assign_nearest(self.corpus, self.centroids).drop("d2")
+        return clustering.write_by_cluster(assigned, "doc_id", self.workspace, "cluster_index")
 
     def cosine(self, k: int) -> DataFrame:
         return neighbours.exact_topk(self.corpus, self.vector_questions, k, exclude_self=True)
@@ -332,15 +329,12 @@ def tokenize_questions(i: Inputs) -> DataFrame:
 
 @query
 def term_counts(i: Inputs) -> DataFrame:
-    tokens = lexical.token_rows(i.documents, text.content_tokens(F.col("text")))
-    return tokens.groupBy("term").agg(F.count("*").alias("cf"))
+    return lexical.term_counts(lexical.token_rows(i.documents, F.col("text")))
 
 
 @query
 def prune_rare_terms(i: Inputs) -> DataFrame:
-    tokens = text.content_tokens(F.col("text"))
-    terms = lexical.vocabulary(lexical.postings(i.documents, tokens))
-    kept = lexical.prune_rare_terms(i.documents, tokens, terms)
+    kept = lexical.prune_rare_terms(i.documents, F.col("text"))
     return kept.select("doc_id", *_joined(F.col("tokens")))
 
 
@@ -380,12 +374,12 @@ def corpus_stats(i: Inputs) -> DataFrame:
 
 @query
 def postings(i: Inputs) -> DataFrame:
-    return i.index.postings.select("doc_id", "term", "f")
+    return lexical.pruned_postings(i.index)
 
 
 @query
 def doc_freq(i: Inputs) -> DataFrame:
-    return i.index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    return lexical.pruned_postings(i.index).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query
@@ -580,7 +574,7 @@ def split_positional(i: Inputs) -> DataFrame:
 
 @query
 def missing_clusters(i: Inputs) -> DataFrame:
-    return rows.missing_clusters(i.split)
+    return rows.missing_clusters(i.split, "position")
 
 
 @query
@@ -709,7 +703,7 @@ def rrf_weighted(i: Inputs) -> DataFrame:
 
 @query
 def retrieve_all_modes(i: Inputs) -> DataFrame:
-    by_text = Retriever(index=i.index, question_tokens=text.content_tokens(F.col("text")))
+    by_text = Retriever(index=i.index, question_text=F.col("text"))
     by_vector = Retriever(
         corpus=i.cluster_index, centroids=i.centroids, options={"exclude_self": True}
     )
@@ -825,7 +819,7 @@ def stream_questions(i: Inputs) -> DataFrame:
     folder, sink = i.workspace.path("arriving"), i.workspace.path("answers")
     arriving = i.workspace.stage("arriving", lambda: i.questions.repartition(4, "query_id"))
     stream = read_questions(i.spark, folder, "query_id long, text string", files_per_batch=1)
-    retriever = Retriever(index=i.index, question_tokens=text.content_tokens(F.col("text")))
+    retriever = Retriever(index=i.index, question_text=F.col("text"))
     answer_stream(
         stream.select(*arriving.columns),
         lambda batch: retriever.retrieve("bm25", batch, TOP_K),

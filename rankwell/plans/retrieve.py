@@ -21,12 +21,12 @@ class Retriever:
     """What the modes need; leave out what the modes in use do not.
 
     ``corpus``: ``doc_id, vector[, cluster]``. Questions carry ``query_id`` and, by mode,
-    a ``vector``, the text column behind ``question_tokens``, or model ``tokens``.
+    a ``vector``, the text that ``question_text`` names, or model ``tokens``.
     """
 
     corpus: DataFrame | None = None
     index: lexical.LexicalIndex | None = None
-    question_tokens: Column | None = None
+    question_text: Column | None = None
     centroids: Centroids | None = None
     classifier: PipelineModel | None = None
     options: dict = field(default_factory=dict)
@@ -42,7 +42,7 @@ class Retriever:
         depth: int | None = None,
     ) -> DataFrame:
         if mode == "bm25":
-            return lexical.bm25_topk(self.index, questions, self.question_tokens, k)
+            return lexical.bm25_topk(self.index, questions, self.question_text, k)
         if mode == "cosine":
             return exact_topk(self.corpus, questions, k, **self.options)
         if mode == "centroid":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .workspace import is_complete
@@ -97,6 +97,10 @@ def question_answer_pairs(conversations: DataFrame) -> DataFrame:
     )
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """Size of a table as its files report it; no scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text: Column) -> int:
+    """Size of a text column: as the files report it, else by summing it up."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
+    if size >= unknown:
+        size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return size

@@ -106,6 +106,6 @@ class Workspace:
         return self.spark.table(table)
 
 
-def bucket_count(spark: SparkSession, n_bytes: int, per_bucket: int = 128 << 20) -> int:
+def bucket_count(spark: SparkSession, n_bytes: int, per_bucket: int = 64 << 20) -> int:
     """Buckets for a table of ``n_bytes``: never fewer than the cluster's cores."""
     return max(spark.sparkContext.defaultParallelism, -(-n_bytes // per_bucket))
