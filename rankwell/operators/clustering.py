@@ -241,7 +241,8 @@ def distance_sums(
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.withColumn("a", block).withColumn("b", every)
-    right = rows.withColumn("b", block).withColumn("a", every)
+    fresh = rows.select(*[F.col(c).alias(c) for c in rows.columns])
+    right = fresh.withColumn("b", block).withColumn("a", every)
 
     def measure(x: pa.Table, y: pa.Table) -> pa.Table:
         if x.num_rows == 0 or y.num_rows == 0:

@@ -214,7 +214,11 @@ def _pair_blocks(
         questions.join(grid, "cluster")
         .withColumn("query_block", _block_of("query_id", "query_blocks"))
         .withColumn("doc_block", every("doc_blocks"))
-        .select("cluster", "doc_block", "query_block", "query_id", "vector")
+        # Fresh columns: the questions are often the corpus itself.
+        .select(
+            *[F.col(c).alias(c) for c in ("cluster", "doc_block", "query_block", "query_id")],
+            F.col("vector").alias("asked"),
+        )
     )
     keys = ["cluster", "doc_block", "query_block"]
 
@@ -230,7 +234,7 @@ def _pair_blocks(
         if docs.num_rows == 0 or asked.num_rows == 0:
             return schema.empty_table()
         unit, ids = _prepared(
-            to_matrix(asked.column("vector")), asked.column("query_id").to_numpy(), cosine
+            to_matrix(asked.column("asked")), asked.column("query_id").to_numpy(), cosine
         )
         best = BestRows(ids, unit, k, exclude_self)
         unit, ids = _prepared(
