@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import keep_matching
+
 INSTRUCTION = (
     "Answer from the numbered passages below and from nothing else. "
     "If they do not hold the answer, say so.\n\n%s"
 )
 
 
+def with_texts(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """Hits with the texts of their documents.
+
+    Few distinct documents are picked out by a broadcast of their ids, so the texts of
+    the rest of the corpus are never shuffled. Stage or settle ``hits`` first.
+    """
+    return hits.join(keep_matching(documents, hits, "doc_id"), "doc_id")
+
+
 def build_context(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """Numbered texts of the hits in rank order, each followed by a blank line.
 
@@ -22,8 +33,7 @@ def build_context(hits: DataFrame, documents: DataFrame) -> DataFrame:
         numbered, lambda h: F.concat(F.lit("["), h["rank"], F.lit("] "), h["text"], F.lit("\n\n"))
     )
     return (
-        hits.select("query_id", "rank", "doc_id")
-        .join(documents, "doc_id")
+        with_texts(hits.select("query_id", "rank", "doc_id"), documents)
         .groupBy("query_id")
         .agg(F.array_join(lines, "").alias("context"))
     )

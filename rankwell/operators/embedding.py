@@ -13,16 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import missing_vectors
+
 DIMENSIONS = 256
 
 BatchModel = Callable[[list[str]], np.ndarray]
 
 
 def embed(df: DataFrame, text: str, model: BatchModel, column: str = "embedding") -> DataFrame:
-    """Add the vectors of a batch model: ``model(texts)`` gives one row per text.
-
-    Give it only the rows that lack a vector (:func:`sources.tables.missing_vectors`).
-    """
+    """Add the vectors of a batch model: ``model(texts)`` gives one row per text."""
     schema = T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,6 +32,21 @@ def embed(df: DataFrame, text: str, model: BatchModel, column: str = "embedding"
     return df.mapInPandas(run, schema)
 
 
+def embed_missing(
+    store: DataFrame, docs: DataFrame, text: str, name: str, model: BatchModel
+) -> DataFrame:
+    """Store ``(original_id, model, embedding)`` completed for one model.
+
+    Only documents without a vector of this model are embedded; ``docs`` has
+    ``original_id`` and the text.
+    """
+    lacking = missing_vectors(store, docs.select("original_id", text), name)
+    new = embed(lacking, text, model).select(
+        "original_id", F.lit(name).alias("model"), "embedding"
+    )
+    return store.unionByName(new)
+
+
 def fit_hashed(df: DataFrame, tokens: Column, dimensions: int = DIMENSIONS) -> PipelineModel:
     """Hashed TF-IDF of unit length; the weights come from ``df``."""
     stages = [

@@ -11,16 +11,22 @@ from ..functions.text import content_tokens, is_stop_word, words
 from ..functions.vectors import rounded
 from ..sources.tables import text_bytes
 from ..sources.workspace import Workspace, bucket_count
+from .joins import keep_matching, settle
 from .ranking import pad_with_first, ranking
 
 K1, B = 1.5, 0.75
 
 # Question terms up to this many rows travel to every task (about 60 bytes each).
 MAX_BROADCAST_TERMS = 500_000
-# Beyond it, both sides of a term are split so that one join key pairs about this many
-# postings with this many questions.
+# Matches (postings of question terms) one task sums up at most; with more, terms that
+# cannot decide a top-k are left out of the first pass.
+MATCHES_PER_TASK = 50_000_000
+# In a shuffled match both sides of a term are split, so that one join key pairs about
+# this many postings with this many questions ...
 POSTINGS_PER_SALT = 200_000
 QUESTIONS_PER_SALT = 1_000
+# ... or more, where that would mean more split terms than this (they are broadcast).
+MAX_SPLIT_TERMS = 100_000
 # Rarest terms of a question that set the floor of its top-k, and the room left for
 # rounding when scores are compared with it.
 FLOOR_TERMS = 4
@@ -110,6 +116,8 @@ class LexicalIndex:
     rare: DataFrame  # doc_id, term of the terms that occur once
     n_docs: int
     avg_doc_len: float
+    n_postings: int
+    buckets: int
 
 
 def build_index(docs: DataFrame, text: Column, workspace: Workspace) -> LexicalIndex:
@@ -150,6 +158,7 @@ def build_index(docs: DataFrame, text: Column, workspace: Workspace) -> LexicalI
     totals = documents.agg(
         F.count("*").alias("n"), F.avg("doc_len").alias("avg_doc_len")
     ).first()
+    n_postings = terms.agg(F.sum("df")).first()[0] or 0
     return LexicalIndex(
         documents=documents,
         postings=post,
@@ -157,6 +166,8 @@ def build_index(docs: DataFrame, text: Column, workspace: Workspace) -> LexicalI
         rare=rare,
         n_docs=totals["n"],
         avg_doc_len=totals["avg_doc_len"] or 0.0,
+        n_postings=n_postings,
+        buckets=buckets,
     )
 
 
@@ -193,21 +204,6 @@ def saturation(index: LexicalIndex, k1: Column | float, b: Column | float) -> Co
     return F.col("f") * (k1 + 1.0) / (F.col("f") + k1 * (1.0 - b + b * relative))
 
 
-def fits(rows: DataFrame, limit: int) -> bool:
-    """Whether ``rows`` has at most ``limit`` rows; never counts further."""
-    return rows.limit(limit + 1).count() <= limit
-
-
-def _salts(rows: DataFrame, count: str, per_salt: int, name: str) -> DataFrame:
-    """Terms with more than ``per_salt`` rows and the number of salts they need.
-
-    There are at most (all rows / per_salt) such terms, which bounds the list.
-    """
-    return rows.where(F.col(count) > per_salt).select(
-        "term", F.ceil(F.col(count) / per_salt).cast("int").alias(name)
-    )
-
-
 def match_terms(
     index: LexicalIndex, weighted: DataFrame, max_broadcast: int = MAX_BROADCAST_TERMS
 ) -> DataFrame:
@@ -219,15 +215,16 @@ def match_terms(
     side exactly once.
     """
     asked = weighted.drop("df")
-    if fits(asked, max_broadcast):
+    n_asked = asked.count()
+    if n_asked <= max_broadcast:
         return index.postings.join(F.broadcast(asked), "term")
-    return _match_salted(index, asked)
-
-
-def _match_salted(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     asked_counts = asked.groupBy("term").agg(F.count("*").alias("qdf"))
-    salts = _salts(index.vocabulary, "df", POSTINGS_PER_SALT, "doc_salts").join(
-        _salts(asked_counts, "qdf", QUESTIONS_PER_SALT, "query_salts"), "term", "full"
+    salts = _salts(
+        index.vocabulary, "df", max(POSTINGS_PER_SALT, index.n_postings // MAX_SPLIT_TERMS), "doc_salts"
+    ).join(
+        _salts(asked_counts, "qdf", max(QUESTIONS_PER_SALT, n_asked // MAX_SPLIT_TERMS), "query_salts"),
+        "term",
+        "full",
     )
 
     def part(key: str, n: str) -> Column:
@@ -252,6 +249,16 @@ def _match_salted(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     return left.join(right.hint("merge"), keys).drop("doc_salt", "query_salt")
 
 
+def _salts(rows: DataFrame, count: str, per_salt: int, name: str) -> DataFrame:
+    """Terms with more than ``per_salt`` rows and the number of salts they need.
+
+    There are at most (all rows / per_salt) such terms, which bounds the list.
+    """
+    return rows.where(F.col(count) > per_salt).select(
+        "term", F.ceil(F.col(count) / per_salt).cast("int").alias(name)
+    )
+
+
 def score_matches(
     index: LexicalIndex, weighted: DataFrame, k1: float = K1, b: float = B
 ) -> DataFrame:
@@ -271,30 +278,35 @@ def best_documents(
     k1: float = K1,
     b: float = B,
     max_broadcast: int = MAX_BROADCAST_TERMS,
+    matches_per_task: int = MATCHES_PER_TASK,
 ) -> DataFrame:
     """Exact top-k ranking of the documents that share a term with a question.
 
-    Few questions: all matches are summed inside the buckets of the postings. Many
-    questions: frequent terms would pair most documents with most questions, so terms
-    that cannot decide a top-k (:func:`_split_terms`) only complete the scores of
-    documents found by the others.
+    The matches are counted beforehand, from the document frequencies. A number the
+    tasks can sum up goes in one pass inside the buckets of the postings. Beyond it,
+    frequent terms would pair most documents with most questions, so terms that cannot
+    decide a top-k (:func:`_split_terms`) only complete the scores of documents found
+    by the others. ``weighted`` is used several times; stage or settle it.
     """
-    if fits(weighted, max_broadcast):
+    n_terms, n_matches = weighted.agg(F.count("*"), F.sum("df")).first()
+    if n_terms <= max_broadcast and (n_matches or 0) <= matches_per_task * index.buckets:
         return ranking(score_matches(index, weighted, k1, b), k)
     part = F.col("weight") * saturation(index, k1, b)
-    terms = _split_terms(index, weighted, k, k1, b)
-    found = (
-        _match_salted(index, terms.where("decisive").drop("decisive", "df"))
+    terms = settle(_split_terms(index, weighted, k, k1, b, max_broadcast))
+    decisive = terms.where("decisive").drop("decisive", "df")
+    found = settle(
+        match_terms(index, decisive, max_broadcast)
         .groupBy("query_id", "doc_id")
         .agg(F.sum(part).alias("part"), F.first("need").alias("need"))
         .where(F.col("part") >= F.col("need"))
         .select("query_id", "doc_id", "part")
     )
     completing = terms.where(~F.col("decisive")).select("query_id", "term", "weight")
+    looked_up = keep_matching(index.postings, found, "doc_id")
     rest = (
         found.select("query_id", "doc_id")
         .join(completing, "query_id")
-        .join(index.postings, ["doc_id", "term"])
+        .join(looked_up, ["doc_id", "term"])
         .select("query_id", "doc_id", part.alias("part"))
     )
     scored = (
@@ -306,7 +318,12 @@ def best_documents(
 
 
 def _split_terms(
-    index: LexicalIndex, weighted: DataFrame, k: int, k1: float, b: float
+    index: LexicalIndex,
+    weighted: DataFrame,
+    k: int,
+    k1: float,
+    b: float,
+    max_broadcast: int = MAX_BROADCAST_TERMS,
 ) -> DataFrame:
     """Mark the ``decisive`` terms of each question.
 
@@ -325,7 +342,7 @@ def _split_terms(
         .drop("_order", "df")
     )
     part = F.col("weight") * saturation(index, k1, b)
-    sums = _match_salted(index, rarest).groupBy("query_id", "doc_id").agg(
+    sums = match_terms(index, rarest, max_broadcast).groupBy("query_id", "doc_id").agg(
         F.sum(part).alias("score")
     )
     floors = ranking(sums, k).where(F.col("rank") == k).select(
@@ -351,11 +368,11 @@ def bm25_topk(
     pad: bool = True,
     k1: float = K1,
     b: float = B,
-    max_broadcast: int = MAX_BROADCAST_TERMS,
+    **limits: int,
 ) -> DataFrame:
     """Best ``k`` documents per question; ``pad`` fills short lists with zero scores."""
-    weighted = weighted_terms(index, question_terms(questions, text))
-    hits = best_documents(index, weighted, k, k1, b, max_broadcast)
+    weighted = settle(weighted_terms(index, question_terms(questions, text)))
+    hits = best_documents(index, weighted, k, k1, b, **limits)
     return pad_with_first(hits, questions, index.documents, k) if pad else hits
 
 
@@ -370,7 +387,7 @@ def score_pairs(
     part = F.col("weight") * saturation(index, k1, b)
     asked = pairs.join(weighted, "query_id")
     scores = (
-        asked.join(index.postings, ["doc_id", "term"])
+        asked.join(keep_matching(index.postings, pairs, "doc_id"), ["doc_id", "term"])
         .groupBy("query_id", "doc_id")
         .agg(rounded(F.sum(part)).alias("score"))
     )
@@ -411,10 +428,13 @@ def covering_documents(
     anchors = facts.select(
         "query_id", F.col("rarest.term").alias("term"), F.lit(1.0).alias("weight")
     )
-    candidates = match_terms(index, anchors, max_broadcast).select("query_id", "doc_id")
+    candidates = settle(
+        match_terms(index, anchors, max_broadcast).select("query_id", "doc_id")
+    )
+    looked_up = keep_matching(index.postings, candidates, "doc_id").select("doc_id", "term")
     checks = candidates.join(weighted.select("query_id", "term"), "query_id")
     return (
-        checks.join(index.postings.select("doc_id", "term"), ["doc_id", "term"])
+        checks.join(looked_up, ["doc_id", "term"])
         .groupBy("query_id", "doc_id")
         .agg(F.count("*").alias("found"))
         .join(facts.select("query_id", "n_terms"), "query_id")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SCORE_DIGITS
+from .joins import settle
 from .ranking import ranking, top_k
 
 SCORED = "query_id long, cluster int, doc_id long, score double"
@@ -264,6 +265,7 @@ def search(
     few = questions.limit(max_broadcast + 1).toArrow()
     if few.num_rows <= max_broadcast and few.nbytes <= MAX_BROADCAST_BYTES:
         return _scan_corpus(corpus, few, k, cosine, exclude_self)
+    questions = settle(questions)  # counted, then cut into blocks
     return _pair_blocks(corpus, questions, k, cosine, exclude_self, block_rows)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from ..functions.text import content_tokens, first_chunk
 from ..operators import classify
 from ..operators.clustering import Centroids, assign_nearest, fit_kmeans
 from ..operators.embedding import DIMENSIONS, embed_hashed, fit_hashed
+from ..operators.lexical import LexicalIndex, build_index
 from ..operators.rows import (
     TEST,
     TRAIN,
@@ -31,6 +33,15 @@ class Corpus:
 
     rows: DataFrame
     model: PipelineModel
+    workspace: Workspace
+
+    @cached_property
+    def index(self) -> LexicalIndex:
+        """BM25 index of the first chunks."""
+        docs = self.rows.select(
+            F.col("id").alias("doc_id"), first_chunk(F.col("documents")).alias("text")
+        )
+        return build_index(docs, F.col("text"), self.workspace.child("lexical"))
 
     def documents(self) -> DataFrame:
         return self.rows.select(
@@ -82,7 +93,7 @@ def build_corpus(
     rows = workspace.stage(
         "split", lambda: cover_clusters(split_positional(labelled, "id"), "id")
     )
-    return Corpus(rows, model)
+    return Corpus(rows, model, workspace)
 
 
 def train_classifier(

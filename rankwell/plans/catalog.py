@@ -91,6 +91,11 @@ class Inputs:
     def bm25_padded(self, k: int) -> DataFrame:
         return pad_with_first(self.bm25(k), self.questions, self.index.documents, k)
 
+    @cached_property
+    def hits(self) -> DataFrame:
+        """Top 3 with zero-score documents, staged for the texts that follow."""
+        return self.workspace.stage("hits", lambda: self.bm25_padded(3))
+
     @cached_property
     def bm25_truth(self) -> DataFrame:
         return self.workspace.stage(
@@ -351,7 +356,8 @@ def truncate_tokens(i: Inputs) -> DataFrame:
 
 @query
 def preview(i: Inputs) -> DataFrame:
-    return i.bm25(3).join(i.documents, "doc_id").select(
+    found = context.with_texts(i.hits.drop("score"), i.documents.select("doc_id", "text"))
+    return found.select(
         "query_id", "rank", "doc_id", text.preview(F.col("text")).alias("preview")
     )
 
@@ -789,11 +795,40 @@ def eval_grid(i: Inputs) -> DataFrame:
     return by_vector.unionByName(by_text)
 
 
+def _pair_report(i: Inputs, hits: DataFrame, split: str | None = None) -> DataFrame:
+    """The true document of a question is the one of its own row."""
+    asked = i.built.rows if split is None else i.built.rows.where(F.col("split") == split)
+    own = asked.select(F.col("id").alias("query_id"))
+    truth = own.withColumn("doc_id", F.col("query_id"))
+    ranks = evaluation.truth_rank(own, evaluation.relevant_by_pairs(hits, truth))
+    return evaluation.report(ranks, K_SWEEP)
+
+
+@query
+def eval_bm25_pairs(i: Inputs) -> DataFrame:
+    """All questions of the question-document corpus."""
+    asked = i.built.rows.select(F.col("id").alias("query_id"), "question")
+    hits = lexical.bm25_topk(i.built.index, asked, F.col("question"), TOP_K)
+    return _pair_report(i, hits)
+
+
+@query
+def eval_hashed_pairs(i: Inputs) -> DataFrame:
+    retriever = Retriever(corpus=i.built.documents())
+    return _pair_report(i, retriever.retrieve("cosine", i.built.questions(), TOP_K))
+
+
+@query
+def eval_routed_classifier(i: Inputs) -> DataFrame:
+    """The test split only: the classifier has seen the rest."""
+    return _pair_report(i, routed_classifier_topk(i), rows.TEST)
+
+
 # --- context and streaming -----------------------------------------------------------
 
 
 def _contexts(i: Inputs) -> DataFrame:
-    return context.build_context(i.bm25_padded(3), i.documents.select("doc_id", "text"))
+    return context.build_context(i.hits, i.documents.select("doc_id", "text"))
 
 
 @query

@@ -52,10 +52,12 @@ def _token_rows(key: str, table: str, tokens: str) -> str:
         FROM (SELECT *, {tokens} AS tokens FROM {table})"""
 
 
-LEXICAL = f"""
+def _lexical(documents: str) -> str:
+    """Term statistics of a corpus ``(doc_id, text)``."""
+    return f"""
     raw AS (
         SELECT doc_id, term, count(*) AS f
-        FROM (SELECT doc_id, unnest({CONTENT}) AS term FROM documents)
+        FROM (SELECT doc_id, unnest({CONTENT}) AS term FROM {documents})
         GROUP BY doc_id, term),
     terms AS (
         SELECT term, CAST(sum(f) AS BIGINT) AS cf, count(*) AS df FROM raw GROUP BY term),
@@ -63,17 +65,19 @@ LEXICAL = f"""
         SELECT doc_id, term, f FROM raw JOIN terms USING (term) WHERE cf > 1),
     lens AS (
         SELECT doc_id, CAST(coalesce(sum(f), 0) AS BIGINT) AS doc_len
-        FROM documents LEFT JOIN post USING (doc_id) GROUP BY doc_id),
+        FROM {documents} LEFT JOIN post USING (doc_id) GROUP BY doc_id),
     stats AS (SELECT count(*) AS n_docs, avg(doc_len) AS avg_doc_len FROM lens),
     idfs AS (
         SELECT term, df, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf
         FROM terms, stats WHERE cf > 1)"""
 
-ASKED = f"""
+def _asked(questions: str) -> str:
+    """Weighted terms of ``(query_id, text)`` and their postings."""
+    return f"""
     weighted AS (
         SELECT query_id, term, df, qf * idf AS weight
         FROM (SELECT query_id, term, count(*) AS qf
-              FROM (SELECT item_id AS query_id, unnest({CONTENT}) AS term FROM benchmark)
+              FROM (SELECT query_id, unnest({CONTENT}) AS term FROM {questions})
               GROUP BY query_id, term)
         JOIN idfs USING (term)),
     matches AS (
@@ -81,6 +85,11 @@ ASKED = f"""
         FROM weighted JOIN post USING (term) JOIN lens USING (doc_id), stats)"""
 
 
+QUESTIONS = "(SELECT item_id AS query_id, text FROM benchmark)"
+LEXICAL = _lexical("documents")
+ASKED = _asked(QUESTIONS)
+
+
 def _part(k1: object, b: object) -> str:
     return f"weight * f * ({k1} + 1) / (f + {k1} * (1 - {b} + {b} * relative))"
 
@@ -110,13 +119,13 @@ def _ranked(source: str, k: int, by: str = "query_id") -> str:
         WHERE rank <= {k}"""
 
 
-def _padded_hits(k: int) -> str:
+def _padded_hits(k: int, questions: str = QUESTIONS, documents: str = "documents") -> str:
     """Zero-score documents fill up: here every question simply meets every document."""
     return f"""
-    pairs AS (SELECT item_id AS query_id, doc_id FROM benchmark CROSS JOIN documents),
+    every AS (SELECT query_id, doc_id FROM {questions} CROSS JOIN {documents}),
     filled AS (
         SELECT query_id, doc_id, coalesce(score, 0.0) AS score
-        FROM pairs LEFT JOIN scored USING (query_id, doc_id)),
+        FROM every LEFT JOIN scored USING (query_id, doc_id)),
     hits AS ({_ranked("filled", k)})"""
 
 
@@ -238,6 +247,14 @@ PAIRS = """
           ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
         WHERE q.role = 'user' AND a.role = 'assistant')"""
 
+# The question-document corpus: first row per question, numbered in order of its id.
+NUMBERED = f"""{PAIRS},
+    numbered AS (
+        SELECT row_number() OVER (ORDER BY id) - 1 AS doc_id, question, chunk
+        FROM pairs WHERE id IN (SELECT min(id) FROM pairs GROUP BY question)),
+    chunks AS (SELECT doc_id, chunk AS text FROM numbered),
+    own_questions AS (SELECT doc_id AS query_id, question AS text FROM numbered)"""
+
 SILHOUETTE = """
     gaps AS (
         SELECT a.vec_id, a.label AS own, b.label AS other,
@@ -355,9 +372,7 @@ def build() -> dict[str, str]:
         "drop_punct": _token_rows(
             "doc_id", "documents", f"list_filter({TOKENS}, lambda t: {NOT_PUNCT})"
         ),
-        "tokenize_questions": _token_rows(
-            "query_id", "(SELECT item_id AS query_id, text FROM benchmark)", CONTENT
-        ),
+        "tokenize_questions": _token_rows("query_id", QUESTIONS, CONTENT),
         "term_counts": f"{lex} SELECT term, cf FROM terms",
         "prune_rare_terms": f"""
             {lex},
@@ -376,7 +391,7 @@ def build() -> dict[str, str]:
             "doc_id", "documents", f"({TOKENS})[1:{MAX_MODEL_TOKENS}]"
         ),
         "preview": f"""
-            {asked}, hits AS ({_ranked('scored', 3)})
+            {asked}, {_padded_hits(3)}
             SELECT query_id, rank, doc_id, substr(text, 1, {PREVIEW_CHARS}) AS preview
             FROM hits JOIN documents USING (doc_id)""",
         # BM25
@@ -587,6 +602,13 @@ def build() -> dict[str, str]:
             FROM ({_report('vector_ranks', 'n_clusters')})
             UNION ALL
             SELECT 'bm25', 0, k, n_questions, success, mrr FROM ({_report()})""",
+        "eval_bm25_pairs": f"""
+            {_with(NUMBERED, _lexical('chunks'), _asked('own_questions'), SCORED,
+                   _padded_hits(TOP_K, 'own_questions', 'chunks'))},
+            ranks AS (
+                SELECT q.query_id, min(CASE WHEN doc_id = q.query_id THEN rank END) AS rank
+                FROM own_questions q LEFT JOIN hits USING (query_id) GROUP BY q.query_id)
+            {_report()}""",
         # context and streaming
         "build_context": f"""
             {asked}, {_padded_hits(3)}, {_context()} SELECT query_id, context FROM contexts""",

@@ -27,6 +27,7 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -107,5 +108,7 @@ class Workspace:
 
 
 def bucket_count(spark: SparkSession, n_bytes: int, per_bucket: int = 64 << 20) -> int:
-    """Buckets for a table of ``n_bytes``: never fewer than the cluster's cores."""
-    return max(spark.sparkContext.defaultParallelism, -(-n_bytes // per_bucket))
+    """Buckets for a table of ``n_bytes``: at least the cluster's cores, and no more
+    than Spark allows."""
+    wanted = max(spark.sparkContext.defaultParallelism, -(-n_bytes // per_bucket))
+    return min(wanted, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))

@@ -32,7 +32,9 @@ def answer_stream(
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # a retriever reads its questions more than once
         retrieve(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        batch.unpersist()
 
     return (
         questions.writeStream.foreachBatch(answer)

@@ -89,6 +89,17 @@ def test_embed_with_a_batch_model(spark):
     assert {r.id: r.embedding for r in got.collect()} == {1: [2.0, 1.0], 2: [4.0, 1.0]}
 
 
+def test_embed_only_missing_vectors(spark):
+    store = spark.createDataFrame(
+        [("x", "m", [9.0]), ("y", "n", [9.0])], "original_id string, model string, embedding array<float>"
+    )
+    docs = spark.createDataFrame([("x", "a"), ("y", "bb")], "original_id string, text string")
+    got = embedding.embed_missing(store, docs, "text", "m", lambda ts: np.array([[len(t)] for t in ts]))
+    assert {(r.original_id, r.model): r.embedding for r in got.collect()} == {
+        ("x", "m"): [9.0], ("y", "n"): [9.0], ("y", "m"): [2.0],
+    }
+
+
 def test_build_train_and_retrieve(spark, labelled, workspace):
     """From a raw corpus to routed answers, and a second call that builds nothing."""
     raw = labelled.select(

@@ -84,12 +84,13 @@ def test_parameters(spark, index, k1, b):
     assert got == brute_force(DOCS, QUESTIONS, 5, k1, b)
 
 
-@pytest.mark.parametrize("k", [1, 2, 5])
-def test_many_questions_give_the_same(spark, index, k, monkeypatch):
-    """The shuffled plan, with frequent terms split on both sides."""
+@pytest.mark.parametrize("k", [1, 5])
+@pytest.mark.parametrize("limits", [{"max_broadcast": 0}, {"matches_per_task": 0}])
+def test_many_questions_give_the_same(spark, index, k, limits, monkeypatch):
+    """The pruned plan, broadcast or shuffled with frequent terms split on both sides."""
     monkeypatch.setattr(lexical, "POSTINGS_PER_SALT", 2)
     monkeypatch.setattr(lexical, "QUESTIONS_PER_SALT", 1)
-    got = rows(lexical.bm25_topk(index, ask(spark), F.col("text"), k, max_broadcast=0))
+    got = rows(lexical.bm25_topk(index, ask(spark), F.col("text"), k, **limits))
     assert got == brute_force(DOCS, QUESTIONS, k)
 
 
