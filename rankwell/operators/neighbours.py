@@ -32,7 +32,8 @@ _FIELDS = ["query_id", "cluster", "doc_id", "score"]
 MAX_BROADCAST_QUESTIONS = 20_000  # rows collected for a broadcast
 MAX_BROADCAST_BYTES = 128 << 20  # and their size as a matrix
 BLOCK_ROWS = 20_000  # rows per side of a block pair
-_CELLS = 4_000_000  # scores held at once inside a task
+_CELLS = 1_000_000  # scores held at once inside a task
+_ROUNDING = 10.0**-SCORE_DIGITS
 
 
 # --- inside a task -------------------------------------------------------------------
@@ -71,7 +72,12 @@ def keep_best(
 
 
 class BestRows:
-    """Running best ``k`` documents per question of one cluster, fed block by block."""
+    """Running best ``k`` documents per question of one cluster, fed block by block.
+
+    ``floor`` is a question's k-th best score so far and ``last`` its document: only
+    what beats them is looked at again, so most scores cost one comparison, and a flood
+    of equal copies is turned away by id.
+    """
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool):
         self.ids, self.matrix, self.k, self.exclude_self = ids, matrix, k, exclude_self
@@ -79,6 +85,7 @@ class BestRows:
         self.doc = np.empty(0, np.int64)
         self.score = np.empty(0)
         self.floor = np.full(len(ids), -np.inf)
+        self.last = np.full(len(ids), np.iinfo(np.int64).max)
 
     def add(self, docs: np.ndarray, matrix: np.ndarray) -> None:
         step = max(1, _CELLS // max(1, len(self.ids)))
@@ -86,28 +93,36 @@ class BestRows:
             self._add_block(docs[start : start + step], matrix[start : start + step])
 
     def _add_block(self, docs: np.ndarray, matrix: np.ndarray) -> None:
-        scores = np.round(self.matrix @ matrix.T, SCORE_DIGITS) + 0.0
+        scores = self.matrix @ matrix.T
         if self.exclude_self:
-            scores[self.ids[:, None] == docs[None, :]] = -np.inf
-        if len(docs) > self.k:
-            # Everything equal to the k-th best stays, so ties are settled by id below.
-            edge = np.partition(scores, len(docs) - self.k, axis=1)[:, len(docs) - self.k]
-            limit = np.maximum(edge, self.floor)
-        else:
-            limit = self.floor
-        rows, cols = np.nonzero((scores >= limit[:, None]) & (scores > -np.inf))
+            _, same, itself = np.intersect1d(self.ids, docs, return_indices=True)
+            scores[same, itself] = -np.inf
+        limit = self.floor.copy()
+        unfilled = np.flatnonzero(np.isinf(limit))
+        if unfilled.size and len(docs) > self.k:
+            edge = len(docs) - self.k
+            limit[unfilled] = np.partition(scores[unfilled], edge, axis=1)[:, edge]
+        # Scores count as rounded, so compare with room for the rounding first.
+        rows, cols = np.nonzero(scores >= (limit - _ROUNDING)[:, None])
+        values = np.round(scores[rows, cols], SCORE_DIGITS) + 0.0
+        enters = values > self.floor[rows]
+        enters |= (values == self.floor[rows]) & (docs[cols] < self.last[rows])
+        enters &= values > -np.inf
+        if not enters.any():
+            return
+        rows, cols, values = rows[enters], cols[enters], values[enters]
         self.query, self.doc, self.score = keep_best(
             np.r_[self.query, rows],
             np.r_[self.doc, docs[cols]],
-            np.r_[self.score, scores[rows, cols]],
+            np.r_[self.score, values],
             self.k,
         )
         # Results are sorted by question, then best first: the k-th is the last one.
         full = np.bincount(self.query, minlength=len(self.ids)) == self.k
-        last = np.r_[self.query[1:] != self.query[:-1], True] if self.query.size else []
-        worst = np.full(len(self.ids), -np.inf)
-        worst[self.query[last]] = self.score[last]
-        self.floor = np.where(full, worst, -np.inf)
+        ends = np.flatnonzero(np.r_[self.query[1:] != self.query[:-1], True])
+        ends = ends[full[self.query[ends]]]
+        self.floor[self.query[ends]] = self.score[ends]
+        self.last[self.query[ends]] = self.doc[ends]
 
     def rows(self, cluster: int) -> pa.RecordBatch:
         n = len(self.doc)
