@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_tokens, is_stop_word, words
+from ..functions.text import drop_stop_words, is_stop_word, words
 from ..functions.vectors import rounded
 from ..sources.tables import text_bytes
 from ..sources.workspace import Workspace, bucket_count
@@ -74,23 +74,28 @@ def prune_rare_terms(docs: DataFrame, text: Column) -> DataFrame:
     """``doc_id, tokens`` without the terms that occur once; order and repeats kept.
 
     A term that occurs once has one document and one position, and both fall out of
-    the counting. What is left is done inside each document's row, in linear time.
+    the counting. What is left is done inside each document's row, in linear time; the
+    shuffle to get there moves texts, which are smaller than their tokens.
     """
-    tokens = content_tokens(text)
-    placed = docs.select("doc_id", F.posexplode(tokens).alias("pos", "term"))
+    placed = docs.select("doc_id", F.posexplode(words(text)).alias("pos", "term"))
     once = (
-        placed.groupBy("term")
+        placed.where(~is_stop_word(F.col("term")))
+        .groupBy("term")
         .agg(F.count("*").alias("cf"), F.min("doc_id").alias("doc_id"), F.min("pos").alias("pos"))
         .where(F.col("cf") == 1)
     )
-    # At most one entry per token of the document.
+    # At most one entry per word of the document.
     rare = once.groupBy("doc_id").agg(F.collect_list("pos").alias("rare"))
-    rows = docs.select("doc_id", tokens.alias("tokens")).join(rare, "doc_id", "left")
-    positions = F.transform("tokens", lambda _, i: i)
-    kept = F.array_except(positions, F.coalesce("rare", F.array().cast("array<int>")))
-    return rows.select(
-        "doc_id", F.transform(kept, lambda i: F.get(F.col("tokens"), i)).alias("tokens")
+    rows = (
+        docs.select("doc_id", text.alias("_text"))
+        .repartition("doc_id")
+        .select("doc_id", words(F.col("_text")).alias("words"))
+        .join(rare, "doc_id", "left")
     )
+    positions = F.transform("words", lambda _, i: i)
+    kept = F.array_except(positions, F.coalesce("rare", F.array().cast("array<int>")))
+    tokens = F.transform(kept, lambda i: F.get(F.col("words"), i))
+    return rows.select("doc_id", drop_stop_words(tokens).alias("tokens"))
 
 
 def idf(df: Column, n_docs: int) -> Column:

@@ -12,12 +12,25 @@ from pyspark.sql import functions as F
 RANKING = ["query_id", "rank", "doc_id", "score"]
 
 
+# Parts a group is cut into where Spark does not limit it before the shuffle.
+_PARTS = 64
+
+
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Best ``k`` rows per group, ranked from 1.
 
     Spark limits each group to ``k`` rows before the shuffle, so a group receives at
-    most ``k`` rows per task however many it has.
+    most ``k`` rows per task however many it has. Above its threshold for ``k`` that
+    limit is off; there the rows are first ranked in parts of each group.
     """
+    threshold = scored.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    if k > int(threshold):
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS))
+        scored = _best(scored.withColumn("_part", part), k, (*by, "_part")).drop("_part")
+    return _best(scored, k, by)
+
+
+def _best(scored: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("doc_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -13,7 +13,7 @@ from ..functions.text import content_tokens, first_chunk
 from ..operators import classify
 from ..operators.clustering import Centroids, assign_nearest, fit_kmeans
 from ..operators.embedding import DIMENSIONS, embed_hashed, fit_hashed
-from ..operators.lexical import LexicalIndex, build_index
+from ..operators.lexical import LexicalIndex, build_index, prune_rare_terms
 from ..operators.rows import (
     TEST,
     TRAIN,
@@ -25,6 +25,11 @@ from ..operators.rows import (
 )
 from ..sources.workspace import Workspace
 
+def _stored(*more: str) -> list[str]:
+    """Columns that every stored corpus table has, and its own."""
+    shared = ["id", "original_id", "dataset_name", "question", "documents AS chunk"]
+    return [*shared, *more]
+
 
 @dataclass(frozen=True)
 class Corpus:
@@ -43,6 +48,19 @@ class Corpus:
         )
         return build_index(docs, F.col("text"), self.workspace.child("lexical"))
 
+    def tokenized(self) -> DataFrame:
+        """Corpus with its pruned tokens, in the columns of ``TOKENIZED_SCHEMA``."""
+        docs = self.rows.select(
+            F.col("id").alias("doc_id"), first_chunk(F.col("documents")).alias("text")
+        )
+        kept = prune_rare_terms(docs, F.col("text")).withColumnRenamed("doc_id", "id")
+        return self.rows.join(kept, "id").selectExpr(*_stored("tokens AS tokenized_chunk"))
+
+    def vectors(self, model: str) -> DataFrame:
+        """Corpus with its vectors, in the columns of ``VECTOR_SCHEMA``."""
+        named = self.rows.withColumn("model", F.lit(model))
+        return named.selectExpr(*_stored("model", "embedding"))
+
     def documents(self) -> DataFrame:
         return self.rows.select(
             F.col("id").alias("doc_id"), F.col("embedding").alias("vector"), "cluster"

@@ -9,13 +9,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def read_questions(
-    spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1000
+    spark: SparkSession,
+    folder: str,
+    schema: str,
+    files_per_batch: int = 1000,
+    kind: str = "parquet",
 ) -> DataFrame:
-    """Stream of question files, JSON Lines or whatever lands in ``folder`` as Parquet."""
+    """Stream of the question files that land in ``folder`` (``parquet`` or ``json``)."""
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .format(kind)
+        .load(folder)
     )
 
 
