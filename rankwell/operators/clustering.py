@@ -69,8 +69,9 @@ class Centroids:
         @F.pandas_udf("cluster array<int>, d2 array<double>")
         def measure(vectors: pd.Series) -> pd.DataFrame:
             points = np.stack(vectors.to_numpy()).astype(np.float64)
-            d2 = np.stack([((points - c) ** 2).sum(axis=1) for c in matrix], axis=1)
-            d2 = np.round(d2, SCORE_DIGITS) + 0.0
+            squares = np.einsum("ij,ij->i", points, points)[:, None]
+            d2 = squares + np.einsum("ij,ij->i", matrix, matrix) - 2.0 * (points @ matrix.T)
+            d2 = np.round(np.maximum(d2, 0.0), SCORE_DIGITS) + 0.0
             order = np.argsort(d2, axis=1, kind="stable")[:, :n]
             return pd.DataFrame(
                 {

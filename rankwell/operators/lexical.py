@@ -132,7 +132,7 @@ def build_index(docs: DataFrame, text: Column, workspace: Workspace) -> LexicalI
     postings, which are then counted and written without another shuffle.
     """
     spark = docs.sparkSession
-    buckets = bucket_count(spark, text_bytes(docs, text))
+    buckets = workspace.buckets("postings", bucket_count(spark, text_bytes(docs, text)))
     raw = workspace.stage_bucketed(
         "raw_postings",
         lambda: postings(docs.repartition(buckets, "doc_id"), text),
@@ -159,6 +159,7 @@ def build_index(docs: DataFrame, text: Column, workspace: Workspace) -> LexicalI
         lambda: raw.join(documents.hint("shuffle_hash"), "doc_id"),
         ["doc_id"],
         buckets,
+        sort_by="term",  # equal terms side by side pack and read best
     )
     totals = documents.agg(
         F.count("*").alias("n"), F.avg("doc_len").alias("avg_doc_len")

@@ -13,6 +13,7 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = "rankwell"
 
@@ -86,26 +87,44 @@ class Workspace:
         build: Callable[[], DataFrame],
         keys: list[str],
         buckets: int,
+        sort_by: str | None = None,
     ) -> DataFrame:
         """Like :meth:`stage`, hash-bucketed by ``keys``.
 
         Later aggregations on these keys (or on a superset of them) then need no
-        shuffle. Each task writes one bucket, so there is one file per bucket.
+        shuffle. Each task writes one bucket, so there is one file per bucket. The
+        number of buckets stays what it was when the stage was first written.
         """
-        path = self.path(name)
-        digest = hashlib.md5(path.encode()).hexdigest()[:16]
-        table = f"{PACKAGE}_{re.sub(r'[^0-9a-z]', '_', name.lower())}_{digest}"
-        if not (self.has(name) and self.spark.catalog.tableExists(table)):
-            (
-                build()
-                .repartition(buckets, *keys)
-                .write.mode("overwrite")
-                .bucketBy(buckets, *keys)
-                .option("path", path)
-                .saveAsTable(table)
+        path, table = self.path(name), self._table(name)
+        buckets = self.buckets(name, buckets)
+        if not self.has(name):
+            rows = build().repartition(buckets, *keys)
+            writer = rows.write.mode("overwrite").bucketBy(buckets, *keys)
+            if sort_by:
+                writer = writer.sortBy(sort_by)
+            writer.option("path", path).saveAsTable(table)
+        elif not self.spark.catalog.tableExists(table):
+            # Written by an earlier session: only the catalog entry is missing.
+            columns = self.spark.read.parquet(path).schema.toDDL()
+            self.spark.sql(
+                f"CREATE TABLE {table} ({columns}) USING parquet "
+                f"CLUSTERED BY ({', '.join(keys)}) INTO {buckets} BUCKETS LOCATION '{path}'"
             )
         return self.spark.table(table)
 
+    def buckets(self, name: str, wanted: int) -> int:
+        """Number of buckets of a stage, noted down beside it."""
+        row = self.spark.range(1).select(F.lit(wanted).alias("buckets"))
+        return self.stage(f"{name}_buckets", lambda: row).first()["buckets"]
+
+    def forget(self, name: str) -> None:
+        """Remove a bucketed stage from the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+
+    def _table(self, name: str) -> str:
+        digest = hashlib.md5(self.path(name).encode()).hexdigest()[:16]
+        return f"{PACKAGE}_{re.sub(r'[^0-9a-z]', '_', name.lower())}_{digest}"
+
 
 def bucket_count(spark: SparkSession, n_bytes: int, per_bucket: int = 64 << 20) -> int:
     """Buckets for a table of ``n_bytes``: at least the cluster's cores, and no more

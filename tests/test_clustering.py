@@ -81,3 +81,24 @@ def test_nearest_breaks_ties_by_cluster(spark):
 def test_sizes(spark, points):
     got = clustering.cluster_sizes(frame(spark, points[:4], [0, 0, 0, 5])).collect()
     assert {(r.cluster, r.n, r.share) for r in got} == {(0, 3, 0.75), (5, 1, 0.25)}
+
+
+def test_assignment_and_cost_agree_with_the_fitted_model(spark, points):
+    df = frame(spark, points).select("id", "vector")
+    model = clustering.fit_kmeans(df, 3)
+    centroids = clustering.Centroids.of_model(model)
+    assigned = {r.id: r.cluster for r in clustering.assign_nearest(df, centroids).collect()}
+    gaps = ((points[:, None].astype(float) - centroids.matrix[None]) ** 2).sum(-1)
+    assert assigned == dict(enumerate(gaps.argmin(axis=1)))
+    cost = clustering.inertia(df, centroids).first()["inertia"]
+    assert cost == pytest.approx(model.summary.trainingCost, rel=1e-6)
+    assert cost == pytest.approx(gaps.min(axis=1).sum(), abs=1e-3)
+
+
+def test_projection_keeps_the_largest_spread(spark, points):
+    flat = points.copy()
+    flat[:, 2] = 0.0  # the rows lie in a plane: nothing is lost
+    got = clustering.project_2d(frame(spark, flat)).orderBy("id").collect()
+    plane = np.array([[r.x, r.y] for r in got])
+    distance = lambda m: np.linalg.norm(m[:, None] - m[None], axis=-1)
+    assert np.allclose(distance(plane), distance(flat.astype(float)), atol=1e-5)

@@ -118,6 +118,21 @@ def test_many_questions_with_pruned_terms(spark, tmp_path, monkeypatch):
     assert got == brute_force(docs, questions, 3)
 
 
+def test_index_is_reopened_not_rebuilt(spark, tmp_path):
+    """A later session finds the files but no catalog entries."""
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    workspace = Workspace(spark, str(tmp_path / "kept"))
+    lexical.build_index(docs, F.col("text"), workspace)
+    for name in ("raw_postings", "doc_lengths", "postings"):
+        workspace.forget(name)
+    again = lexical.build_index(docs.limit(0), F.col("text"), workspace)
+    assert rows(lexical.bm25_topk(again, ask(spark), F.col("text"), 3)) == brute_force(
+        DOCS, QUESTIONS, 3
+    )
+    plan = again.postings.groupBy("doc_id").count()._jdf.queryExecution().executedPlan()
+    assert "Exchange" not in plan.toString()
+
+
 def test_padding_skips_hits_in_front(spark):
     docs = spark.createDataFrame([(i,) for i in range(6)], "doc_id long")
     hits = spark.createDataFrame(
