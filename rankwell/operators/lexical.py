@@ -211,24 +211,35 @@ def saturation(index: LexicalIndex, k1: Column | float, b: Column | float) -> Co
 
 
 def match_terms(
-    index: LexicalIndex, weighted: DataFrame, max_broadcast: int = MAX_BROADCAST_TERMS
+    index: LexicalIndex,
+    weighted: DataFrame,
+    max_broadcast: int = MAX_BROADCAST_TERMS,
+    n_asked: int | None = None,
 ) -> DataFrame:
     """Postings joined with the question terms, the columns of both kept.
 
     Few question terms are broadcast, which leaves the postings in their buckets. Many
     are shuffled by term, and a frequent term is split on both sides: its postings by
     document, its questions by question, and each part meets each part of the other
-    side exactly once.
+    side exactly once. ``n_asked`` is the number of question terms, where it is known.
     """
     asked = weighted.drop("df")
-    n_asked = asked.count()
+    n_asked = asked.count() if n_asked is None else n_asked
     if n_asked <= max_broadcast:
         return index.postings.join(F.broadcast(asked), "term")
     asked_counts = asked.groupBy("term").agg(F.count("*").alias("qdf"))
     salts = _salts(
-        index.vocabulary, "df", max(POSTINGS_PER_SALT, index.n_postings // MAX_SPLIT_TERMS), "doc_salts"
+        index.vocabulary,
+        "df",
+        max(POSTINGS_PER_SALT, index.n_postings // MAX_SPLIT_TERMS),
+        "doc_salts",
     ).join(
-        _salts(asked_counts, "qdf", max(QUESTIONS_PER_SALT, n_asked // MAX_SPLIT_TERMS), "query_salts"),
+        _salts(
+            asked_counts,
+            "qdf",
+            max(QUESTIONS_PER_SALT, n_asked // MAX_SPLIT_TERMS),
+            "query_salts",
+        ),
         "term",
         "full",
     )
@@ -266,12 +277,16 @@ def _salts(rows: DataFrame, count: str, per_salt: int, name: str) -> DataFrame:
 
 
 def score_matches(
-    index: LexicalIndex, weighted: DataFrame, k1: float = K1, b: float = B
+    index: LexicalIndex,
+    weighted: DataFrame,
+    k1: float = K1,
+    b: float = B,
+    n_asked: int | None = None,
 ) -> DataFrame:
     """BM25 score of every document that shares a term with a question."""
     part = F.col("weight") * saturation(index, k1, b)
     return (
-        match_terms(index, weighted)
+        match_terms(index, weighted, n_asked=n_asked)
         .groupBy("query_id", "doc_id")
         .agg(rounded(F.sum(part)).alias("score"))
     )
@@ -296,7 +311,7 @@ def best_documents(
     """
     n_terms, n_matches = weighted.agg(F.count("*"), F.sum("df")).first()
     if n_terms <= max_broadcast and (n_matches or 0) <= matches_per_task * index.buckets:
-        return ranking(score_matches(index, weighted, k1, b), k)
+        return ranking(score_matches(index, weighted, k1, b, n_terms), k)
     part = F.col("weight") * saturation(index, k1, b)
     terms = settle(_split_terms(index, weighted, k, k1, b, max_broadcast))
     decisive = terms.where("decisive").drop("decisive", "df")

@@ -30,7 +30,7 @@ from ..operators.ranking import pad_with_first, top_k
 from ..sources import tables
 from ..sources.workspace import Workspace
 from ..streaming.questions import answer_stream, read_questions
-from .build import build_corpus, train_classifier
+from . import build
 from .retrieve import Retriever
 
 TOP_K = 5
@@ -186,11 +186,11 @@ class Inputs:
 
     @cached_property
     def built(self):
-        return build_corpus(self.pairs, self.workspace.child("pairs"))
+        return build.build_corpus(self.pairs, self.workspace.child("pairs"))
 
     @cached_property
     def trained(self):
-        return train_classifier(self.built, self.workspace.child("pairs"), SETTINGS)
+        return build.train_classifier(self.built, self.workspace.child("pairs"), SETTINGS)
 
     def classifier_rows(self) -> DataFrame:
         return classify.training_rows(self.built.rows.where(F.col("split") == rows.TRAIN))
@@ -199,10 +199,10 @@ class Inputs:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def query(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+def query(make: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
     """Register a query under its function's name."""
-    QUERIES[build.__name__] = lambda spark, folder: build(Inputs.of(spark, folder))
-    return build
+    QUERIES[make.__name__] = lambda spark, folder: make(Inputs.of(spark, folder))
+    return make
 
 
 def _joined(tokens) -> list:
@@ -599,7 +599,7 @@ def class_count(i: Inputs) -> DataFrame:
 
 
 @query
-def train_classifier_(i: Inputs) -> DataFrame:
+def train_classifier(i: Inputs) -> DataFrame:
     model, _ = i.trained
     test = classify.training_rows(i.built.rows.where(F.col("split") == rows.TEST))
     return classify.accuracy(classify.predict(model, test))
@@ -862,6 +862,3 @@ def stream_questions(i: Inputs) -> DataFrame:
         i.workspace.path("answers_checkpoint"),
     ).awaitTermination()
     return i.spark.read.parquet(sink).select("query_id", "rank", "doc_id", "score")
-
-
-QUERIES["train_classifier"] = QUERIES.pop("train_classifier_")

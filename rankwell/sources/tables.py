@@ -98,9 +98,16 @@ def question_answer_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def text_bytes(df: DataFrame, text: Column) -> int:
-    """Size of a text column: as the files report it, else by summing it up."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of the tables behind a text column, for choosing a number of buckets.
+
+    Taken from the files that the plan reads, without a scan; tables of unknown size
+    (rows made by the driver) are summed up.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
     unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
-    if size >= unknown:
-        size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return size
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    if total >= unknown:
+        total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return total

@@ -93,6 +93,18 @@ def test_pairs_from_conversations(spark):
     assert [(r.question, r.documents) for r in got] == [("q1", ["a1"]), ("q2", ["a2"])]
 
 
+def test_size_comes_from_the_files(spark, tmp_path):
+    """Sizes of joined tables add up, they do not multiply."""
+    path = str(tmp_path / "t")
+    spark.range(1000).select("id", F.lit("text").alias("t")).write.parquet(path)
+    df = spark.read.parquet(path)
+    single = tables.text_bytes(df, F.col("t"))
+    joined = df.join(df.select("id"), "id")
+    assert 0 < single < tables.text_bytes(joined, F.col("t")) <= 3 * single
+    made = spark.createDataFrame([("abc",), ("dé",)], "t string")
+    assert tables.text_bytes(made, F.col("t")) == 6
+
+
 def test_filters_reach_the_scan(spark):
     df = tables.read_table(spark, "/root/testdata/sf0.001", "embeddings")
     plan = df.where(F.col("label") == 3).select("vec_id")._jdf.queryExecution()
