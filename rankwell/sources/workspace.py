@@ -92,11 +92,10 @@ class Workspace:
         """Like :meth:`stage`, hash-bucketed by ``keys``.
 
         Later aggregations on these keys (or on a superset of them) then need no
-        shuffle. Each task writes one bucket, so there is one file per bucket. The
-        number of buckets stays what it was when the stage was first written.
+        shuffle. Each task writes one bucket, so there is one file per bucket. Take
+        the number of buckets from :meth:`buckets` where stages outlive the session.
         """
         path, table = self.path(name), self._table(name)
-        buckets = self.buckets(name, buckets)
         if not self.has(name):
             rows = build().repartition(buckets, *keys)
             writer = rows.write.mode("overwrite").bucketBy(buckets, *keys)
@@ -113,7 +112,8 @@ class Workspace:
         return self.spark.table(table)
 
     def buckets(self, name: str, wanted: int) -> int:
-        """Number of buckets of a stage, noted down beside it."""
+        """``wanted`` on the first call, and that same number ever after: it is noted
+        down beside the stages, since files already bucketed keep their layout."""
         row = self.spark.range(1).select(F.lit(wanted).alias("buckets"))
         return self.stage(f"{name}_buckets", lambda: row).first()["buckets"]
 
