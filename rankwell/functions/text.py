@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import zipfile
 from functools import lru_cache
-from pathlib import Path
 
-import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stopwords import BY_LANGUAGE
+
 # A token is a run of letters, digits and combining marks, or one other visible
 # character. White space of any kind never becomes a token.
 TOKEN_PATTERN = r"[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}\p{Z}\s\x0B]"
@@ -23,18 +22,8 @@ PREVIEW_CHARS = 200
 
 @lru_cache(maxsize=None)
 def stop_words(languages: tuple[str, ...] = LANGUAGES) -> tuple[str, ...]:
-    """The stop word lists that ship with Spark ML, read from its jar.
-
-    Reading the jar keeps this usable without a running session, so the same words
-    reach the SQL that checks the queries.
-    """
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    words: set[str] = set()
-    with zipfile.ZipFile(jar) as archive:
-        for language in languages:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            words.update(archive.read(name).decode("utf-8").split("\n"))
-    return tuple(sorted(w.strip().lower() for w in words if w.strip()))
+    """The lower-cased stop words of ``languages``, sorted, each once."""
+    return tuple(sorted({w.lower() for name in languages for w in BY_LANGUAGE[name].split()}))
 
 
 def tokenize(text: Column) -> Column:
