@@ -83,7 +83,7 @@ class Sketch:
                 for cell in batch.column("hashes"):
                     held.append(np.frombuffer(cell.as_buffer(), np.uint64))
                     size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield from out()
                     held, size = [], 0
             yield from out()

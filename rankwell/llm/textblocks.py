@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 U64 = np.uint64
 # Bits of an anchor key that hold the gram's place; the others hold its hash.
 PLACE_BITS = 26
@@ -186,3 +186,14 @@ def binary(values: np.ndarray, bounds: np.ndarray | None = None) -> pa.Array:
     return pa.Array.from_buffers(
         pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(values.data.cast("B"))]
     ) if len(values) else pa.array([b""] * (len(places) - 1), pa.binary())
+
+
+def text_slices(batch: pa.RecordBatch, name: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch with about ``limit`` bytes of text each, and their texts (null: "")."""
+    column = pc.fill_null(batch.column(name).cast(pa.large_string()), "")
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + limit, side="right")) - 1)
+        yield batch.slice(first, last - first), column.slice(first, last - first).to_pylist()
+        first = last
