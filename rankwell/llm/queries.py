@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, sentencepiece_codec, substring_dedup
+from . import jaccard_join, sentencepiece_codec, substring_dedup, token_files, topk_search
 from .staging import table
 
 
@@ -32,10 +33,36 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_files.write_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read_documents(shards)
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP10_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op6_jaccard_join": op6_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_token_files": op7_token_files,
+    "op10_topk_search": op10_topk_search,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_topk_search": OP10_SQL}

@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.workspace import shared_root
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application.
+
+    Tasks import it there, so that what its cached functions keep (models, tables of
+    powers) outlives a task.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_rankwell_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, str(path.relative_to(root.parent)))
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/llm/rankwell-{uuid.uuid4().hex}.zip")
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(held.getvalue()))
+    stream.close()
+    context.addPyFile(target.toString())
+    context._rankwell_shipped = True
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
 
@@ -22,4 +47,5 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
