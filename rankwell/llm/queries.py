@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, sentencepiece_codec, substring_dedup, token_files, topk_search
+from . import decontaminate, jaccard_join, language_id, sentencepiece_codec, substring_dedup, token_files, topk_search
 from .staging import table
 
 
@@ -18,6 +18,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.remainder(3) == 1
+    found = language_id.language_id(docs, docs.where(~held_out), with_spans=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +70,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op9_decontaminate": op9_decontaminate,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_jaccard_join": op6_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,

@@ -52,19 +52,24 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
-def words(block: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def white_space() -> np.ndarray:
+    """Which bytes part words: space and 0x09-0x0D."""
+    gap = np.zeros(256, bool)
+    gap[32] = True
+    gap[9:14] = True
+    return gap
+
+
+def words(block: Texts, gap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each document the number of its first word.
 
-    Words are maximal runs of bytes other than space and 0x09-0x0D.
+    Words are maximal runs of bytes that are no ``gap``, inside one document.
     """
     n = len(block.data)
     if n == 0:
         zero = np.zeros(0, np.int64)
         return zero, zero, np.zeros(block.n + 1, np.int64)
-    gap = np.zeros(256, bool)
-    gap[32] = True
-    gap[9:14] = True
-    inside = ~gap[block.data]
+    inside = ~(white_space() if gap is None else gap)[block.data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     edges = block.offsets[(block.offsets > 0) & (block.offsets < n)]
