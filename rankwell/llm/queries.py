@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, sentencepiece_codec, substring_dedup, token_files, topk_search
+from . import (
+    chat_format,
+    decontaminate,
+    jaccard_join,
+    language_id,
+    quality,
+    sentencepiece_codec,
+    substring_dedup,
+    token_files,
+    topk_search,
+)
 from .staging import table
 
 
@@ -30,6 +40,23 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language_id.remainder(4) == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    model = quality.fit(labels.join(docs, "doc_id"))
+    found = quality.score(docs, model)
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "n_passages", "top_passage")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = chat_format.transcripts(turns)
+    parsed = chat_format.format_transcripts(found, chat_format.fit(turns), ["conv_id", "segment", "true_roles"])
+    return parsed.select("conv_id", "segment", "n_turns", "roles", "rendered", (F.col("roles") == F.col("true_roles")).alias("recovered"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +98,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
+    "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_jaccard_join": op6_jaccard_join,
