@@ -15,6 +15,7 @@ from . import (
     quality,
     sentencepiece_codec,
     substring_dedup,
+    suffix_dedup,
     token_files,
     topk_search,
 )
@@ -72,6 +73,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_files.write_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return token_files.read_documents(shards)
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op6_jaccard_join": op6_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_token_files": op7_token_files,
     "op10_topk_search": op10_topk_search,
 }

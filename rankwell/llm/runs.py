@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .sketch import Sketch
+from .sketch import Marks, Sketch
 
 RUN_SCHEMA = "gram long, key1 long, key2 long, doc_id long, first int, n int"
 
@@ -60,14 +60,17 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.select("text").mapInArrow(work, "hashes binary")
 
 
-def runs(docs: DataFrame, unit: Unit, sketch: Sketch, content: str | None = None) -> DataFrame:
+def runs(
+    docs: DataFrame, unit: Unit, sketch: Sketch, content: str | None = None, wanted: Marks | None = None
+) -> DataFrame:
     """Runs whose anchor the sketch estimates to occur twice or more.
 
     ``key1, key2``: 128-bit key of the units from the first window's start to the last
     one's end. ``content``: ``windows`` adds the 64-bit hash of every window, ``bytes``
-    the text of the run.
+    the text of the run. ``wanted``: only runs that start at a marked (doc_id, first).
     """
     seen = sketch.broadcast(docs.sparkSession)
+    marked = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,6 +80,9 @@ def runs(docs: DataFrame, unit: Unit, sketch: Sketch, content: str | None = None
                 grams = one.grams(unit.gram)
                 found = tb.Runs(grams, bounds, unit.length, unit.gram)
                 keep = seen.value.repeated(grams[found.anchor])
+                if marked.value is not None:
+                    places = found.first - bounds[found.doc]
+                    keep &= marked.value.has(ids[block.first + found.doc].astype(np.int64), places)
                 first, last = found.first[keep], found.last[keep]
                 doc, at = found.doc[keep], found.anchor[keep]
                 n = last - first + 1

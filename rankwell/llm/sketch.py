@@ -28,6 +28,92 @@ def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
+class Marks:
+    """A bitmap of hashed (long, long) pairs: no pair put in is ever missing."""
+
+    def __init__(self, packed: np.ndarray, bits: int):
+        self.packed, self.bits = packed, bits
+
+    def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        cell = _pair_cells(a, b, self.bits)
+        return (self.packed[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
+def _pair_cells(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    mixed = tb.mix(tb.mix(a.astype(np.uint64)) + b.astype(np.uint64))
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def marks(rows: DataFrame, pair: list[str], bits: int = BITS) -> Marks:
+    """Bitmap of ``2**bits`` bits of the two columns of ``rows``; its size is fixed."""
+    one, two = pair
+    width = min(SLICE_BITS, bits)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in pair)
+            cell = np.unique(_pair_cells(a, b, bits))
+            yield from _sliced(cell, width, 0)
+
+    return Marks(_packed(rows.select(one, two).mapInArrow(cells, SLICE), bits, width, 1, 1)[0], bits)
+
+
+SLICE = "slice int, cells binary"
+
+
+def _sliced(cells: np.ndarray, width: int, first: int) -> Iterator[pa.RecordBatch]:
+    """Sorted cell numbers by slices of ``2**width`` cells.
+
+    A slice's cell holds how many numbers lie in each 65,536 cells, and their low halves.
+    """
+    if not len(cells):
+        return
+    low = min(width, 16)
+    number = cells >> width
+    full = np.unique(number)
+    cuts = np.searchsorted(number, np.append(full, full[-1] + 1))
+    blobs = []
+    for s, a, b in zip(full, cuts[:-1], cuts[1:]):
+        own = cells[a:b] & ((1 << width) - 1)
+        counts = np.bincount(own >> low, minlength=1 << (width - low)).astype(np.uint32)
+        blobs.append(counts.tobytes() + (own & ((1 << low) - 1)).astype(np.uint16).tobytes())
+    yield pa.record_batch(
+        [pa.array((first + full).astype(np.int32)), pa.array(blobs, pa.binary())], names=["slice", "cells"]
+    )
+
+
+def _packed(parts: DataFrame, bits: int, width: int, rows: int, above: int) -> list[np.ndarray]:
+    """For each row of cells a bitmap: set where ``above`` or more numbers fell."""
+    n_slices = 1 << (bits - width)
+    low = min(width, 16)
+    heads = 1 << (width - low)
+
+    def merged(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << width, np.uint8)
+        for batch in batches:
+            for cell in batch.column("cells"):
+                raw = cell.as_buffer()
+                held = np.frombuffer(raw, np.uint32, heads)
+                lows = np.frombuffer(raw, np.uint16, offset=4 * heads)
+                found = np.repeat(np.arange(heads) << low, held) + lows
+                found, n = np.unique(found, return_counts=True)
+                counts[found] = np.minimum(counts[found] + n, 2)
+        packed = np.packbits(counts >= above, bitorder="little")
+        yield pa.record_batch(
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([packed.tobytes()], pa.binary())],
+            names=["slice", "bits"],
+        )
+
+    out = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(rows)]
+    for found in parts.groupBy("slice").applyInArrow(merged, "slice int, bits binary").collect():
+        row, at = divmod(found["slice"], n_slices)
+        packed = np.frombuffer(found["bits"], np.uint8)
+        out[row][at * len(packed) : (at + 1) * len(packed)] = packed
+    return out
+
+
 class Cells:
     """The merged sketch: for each row, one bit a cell, set where the count is above one."""
 
@@ -63,21 +149,9 @@ class Sketch:
                 values = np.concatenate(held) if held else np.zeros(0, np.uint64)
                 for row in range(DEPTH):
                     cells = np.sort(_cells(values, row, bits))
-                    if not len(cells):
-                        continue
                     third = np.zeros(len(cells), bool)
                     third[2:] = (cells[2:] == cells[1:-1]) & (cells[1:-1] == cells[:-2])
-                    cells = cells[~third]
-                    cuts = np.searchsorted(cells, np.arange(n_slices + 1) << width)
-                    local = (cells & ((1 << width) - 1)).astype(np.uint32)
-                    full = np.flatnonzero(np.diff(cuts))
-                    yield pa.record_batch(
-                        [
-                            pa.array((row * n_slices + full).astype(np.int32)),
-                            pa.array([local[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary()),
-                        ],
-                        names=["slice", "cells"],
-                    )
+                    yield from _sliced(cells[~third], width, row * n_slices)
 
             for batch in batches:
                 for cell in batch.column("hashes"):
@@ -88,25 +162,4 @@ class Sketch:
                     held, size = [], 0
             yield from out()
 
-        def merged(
-            key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
-        ) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(1 << width, np.uint8)
-            for batch in batches:
-                for cell in batch.column("cells"):
-                    found, n = np.unique(np.frombuffer(cell.as_buffer(), np.uint32), return_counts=True)
-                    counts[found] = np.minimum(counts[found] + n, 2)
-            packed = np.packbits(counts > 1, bitorder="little")
-            yield pa.record_batch(
-                [pa.array([key[0].as_py()], pa.int32()), pa.array([packed.tobytes()], pa.binary())],
-                names=["slice", "bits"],
-            )
-
-        parts = hashes.mapInArrow(partial, "slice int, cells binary")
-        slices = parts.groupBy("slice").applyInArrow(merged, "slice int, bits binary")
-        rows = [np.zeros((1 << bits) // 8 or 1, np.uint8) for _ in range(DEPTH)]
-        for found in slices.collect():
-            row, at = divmod(found["slice"], n_slices)
-            packed = np.frombuffer(found["bits"], np.uint8)
-            rows[row][at * len(packed) : (at + 1) * len(packed)] = packed
-        return cls(Cells(rows, bits))
+        return cls(Cells(_packed(hashes.mapInArrow(partial, SLICE), bits, width, DEPTH, 2), bits))
