@@ -16,7 +16,7 @@ equal ids each get a row. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -34,6 +34,7 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 PART_BYTES = 8 << 20
 UNKNOWN = "und"
+NEW = ("lang_pred", "score", "n_spans", "spans")
 
 # First and last lead byte (with the second byte's range) of the Unicode
 # blocks of a script in UTF-8.
@@ -202,8 +203,10 @@ def _spans(label: np.ndarray, letters: np.ndarray, bounds: np.ndarray, k: int):
     return held, doc, new
 
 
-def label(docs: DataFrame, model: Model, switch: float = SWITCH, with_spans: bool = True) -> DataFrame:
-    """``doc_id, lang_pred, score, n_spans, spans`` of whole texts.
+def label(
+    docs: DataFrame, model: Model, switch: float = SWITCH, with_spans: bool = True, keep: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """Columns ``keep`` of ``docs``, and ``lang_pred, score, n_spans, spans`` of whole texts.
 
     ``score``: share of the letters in spans of ``lang_pred``. ``spans``: language, first
     and last word of each span, in order; left out without ``with_spans``.
@@ -216,10 +219,10 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH, with_spans: boo
         k = len(model.languages)
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            texts = batch.column("text")
+            texts = batch.column(len(keep))
             for block in tb.blocks(_lowered(texts), PART_BYTES):
                 n = block.n
-                ids = batch.column("doc_id").slice(block.first, n)
+                kept = [batch.column(c).slice(block.first, n) for c in range(len(keep))]
                 best, score, count = np.full(n, k), np.zeros(n), np.zeros(n, np.int32)
                 starts, labels, begins = np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(n + 1, np.int64)
                 ends = starts
@@ -241,19 +244,20 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH, with_spans: boo
                     count = np.where(known, np.diff(begins), 0).astype(np.int32)
                     shift = bounds[:-1][doc[starts]]
                     starts, ends = starts - shift, ends - shift
-                columns = [ids, pa.array(names[best], pa.string()), pa.array(score), pa.array(count)]
+                columns = [*kept, pa.array(names[best], pa.string()), pa.array(score), pa.array(count)]
                 if with_spans:
                     cells = pa.StructArray.from_arrays(
                         [pa.array(names[labels], pa.string()), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32) - 1)],
                         fields=list(span),
                     )
                     columns.append(pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), cells))
-                yield pa.record_batch(columns, names=["doc_id", "lang_pred", "score", "n_spans", "spans"][: len(columns)])
+                yield pa.record_batch(columns, names=[*keep, *NEW][: len(columns)])
 
-    schema = "doc_id long, lang_pred string, score double, n_spans int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    schema += ", lang_pred string, score double, n_spans int"
     if with_spans:
         schema += ", spans array<struct<lang: string, first: int, last: int>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(work, schema)
 
 
 def _scored_parts(block: tb.Texts, model: Model):

@@ -32,6 +32,7 @@ def tokenizer_path(name: str) -> str:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.remainder(3) == 1
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     found = language_id.language_id(docs, docs.where(~held_out), with_spans=False)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans")
 

@@ -215,5 +215,39 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """A character is gone when all its bytes are."""
+    heads = np.flatnonzero((data & 0xC0) != 0x80)
+    sizes = np.diff(np.append(heads, len(data)))
+    return np.repeat(np.logical_and.reduceat(gone, heads), sizes)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of ``text``, where they make whole characters.
+
+    Documents that had text and lose all of it go; a null or empty text stays as it is.
+    """
+    schema = docs.schema
+    spans = removed_spans(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null"), length, **options)
+    place = schema.names.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:-1]
+            texts = columns[place].to_pylist()
+            for i, found in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if found and texts[i]:
+                    data = np.frombuffer(texts[i].encode(), np.uint8)
+                    gone = _whole_characters(data, rn.covered(len(data), found))
+                    texts[i] = data[~gone].tobytes().decode() or False
+            keep = pa.array([t is not False for t in texts])
+            columns[place] = pa.array([t or "" if t is not None else None for t in texts], pa.string())
+            yield pa.record_batch(columns, names=schema.names).filter(keep)
+
+    spans = spans.select(F.col("doc_id").alias("_cut_id"), F.col("spans").alias("_cut"))
+    joined = docs.join(spans, F.col("doc_id") == F.col("_cut_id"), "left").drop("_cut_id")
+    return joined.mapInArrow(work, schema)
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
