@@ -251,13 +251,16 @@ def label(
                         fields=list(span),
                     )
                     columns.append(pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), cells))
-                yield pa.record_batch(columns, names=[*keep, *NEW][: len(columns)])
+                yield pa.record_batch(columns, names=names_out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema += ", lang_pred string, score double, n_spans int"
+    # Kept columns may be called like the new ones, so they go by number in between.
+    fields = [f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.select(*keep).schema)]
+    fields += ["lang_pred string", "score double", "n_spans int"]
     if with_spans:
-        schema += ", spans array<struct<lang: string, first: int, last: int>>"
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(work, schema)
+        fields.append("spans array<struct<lang: string, first: int, last: int>>")
+    names_out = [f.split()[0] for f in fields]
+    numbered = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col("text").alias("_text"))
+    return numbered.mapInArrow(work, ", ".join(fields)).toDF(*keep, *NEW[: len(fields) - len(keep)])
 
 
 def _scored_parts(block: tb.Texts, model: Model):
