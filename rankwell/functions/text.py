@@ -63,12 +63,20 @@ def first_chunk(chunks: Column) -> Column:
     return F.get(chunks, F.lit(0))
 
 
+def joined_chunks(chunks: Column) -> Column:
+    """All texts of a document's list, in order."""
+    return F.concat_ws(" ", chunks)
+
+
 def question_with_chunk(question: Column, chunks: Column) -> Column:
     return F.concat_ws(" ", question, first_chunk(chunks))
 
 
-def model_tokens(text: Column, limit: int = MAX_MODEL_TOKENS) -> Column:
-    """Tokens as the classifier sees them, cut to its input length."""
+def truncate_tokens(text: Column, limit: int = MAX_MODEL_TOKENS) -> Column:
+    """The first ``limit`` tokens, for models whose input has a length.
+
+    Nothing else here needs it: hashed TF-IDF and the classifier take whole texts.
+    """
     return F.slice(tokenize(text), 1, limit)
 
 

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import model_tokens, question_with_chunk
+from ..functions.text import question_with_chunk, tokenize
 from ..functions.vectors import rounded
 from .clustering import check_cluster_count
 
@@ -33,12 +33,12 @@ class Setting:
 def training_rows(df: DataFrame) -> DataFrame:
     text = question_with_chunk(F.col("question"), F.col("documents"))
     return df.select(
-        "id", model_tokens(text).alias("tokens"), F.col("cluster").cast("double").alias("label")
+        "id", tokenize(text).alias("tokens"), F.col("cluster").cast("double").alias("label")
     )
 
 
 def question_rows(df: DataFrame, text: str = "question") -> DataFrame:
-    return df.select("query_id", model_tokens(F.col(text)).alias("tokens"))
+    return df.select("query_id", tokenize(F.col(text)).alias("tokens"))
 
 
 def class_count(df: DataFrame) -> DataFrame:
@@ -46,17 +46,31 @@ def class_count(df: DataFrame) -> DataFrame:
     return df.agg((F.max("cluster") + 1).alias("n_classes"))
 
 
-def fit_classifier(rows: DataFrame, setting: Setting = Setting()) -> PipelineModel:
+def fit_features(rows: DataFrame) -> PipelineModel:
+    """Hashed TF-IDF of ``tokens``: no setting changes it, so it is fitted once."""
     stages = [
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES),
         IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(
-            family="multinomial", regParam=setting.reg_param, maxIter=setting.max_iter
-        ),
     ]
     return Pipeline(stages=stages).fit(rows)
 
 
+def fit_classifier(
+    rows: DataFrame,
+    setting: Setting = Setting(),
+    features: PipelineModel | None = None,
+) -> PipelineModel:
+    """Features and logistic regression. With ``features`` given, ``rows`` carry theirs."""
+    regression = LogisticRegression(
+        family="multinomial", regParam=setting.reg_param, maxIter=setting.max_iter
+    )
+    if features is None:
+        features = fit_features(rows)
+        rows = features.transform(rows)
+    fitted = regression.fit(rows)
+    return PipelineModel([*features.stages, fitted])
+
+
 def save_classifier(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -76,10 +90,11 @@ def select_model(
     train: DataFrame, validation: DataFrame, settings: list[Setting]
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit every setting and keep the first with the best validation accuracy."""
-    train = train.persist()
+    features = fit_features(train)
+    train = features.transform(train).select("label", "features").persist()
     best, best_accuracy, rows = None, -1.0, []
     for number, setting in enumerate(settings):
-        model = fit_classifier(train, setting)
+        model = fit_classifier(train, setting, features)
         score = accuracy(predict(model, validation)).first()["accuracy"] or 0.0
         if score > best_accuracy:
             best, best_accuracy = model, score

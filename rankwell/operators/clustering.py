@@ -35,6 +35,10 @@ def centroid_means(df: DataFrame) -> DataFrame:
     return df.groupBy("cluster").agg(vector_to_array(mean).alias("centroid"))
 
 
+# Fits stop when the centers rest; this many rounds are the common limit of such fits.
+MAX_ITER = 300
+
+
 @dataclass(frozen=True)
 class Centroids:
     """Centroids of a fitted or averaged clustering: k vectors, held by the driver."""
@@ -72,7 +76,10 @@ class Centroids:
             squares = np.einsum("ij,ij->i", points, points)[:, None]
             d2 = squares + np.einsum("ij,ij->i", matrix, matrix) - 2.0 * (points @ matrix.T)
             d2 = np.round(np.maximum(d2, 0.0), SCORE_DIGITS) + 0.0
-            order = np.argsort(d2, axis=1, kind="stable")[:, :n]
+            if n == 1:  # the first of equal minima is the smaller cluster
+                order = d2.argmin(axis=1)[:, None]
+            else:
+                order = np.argsort(d2, axis=1, kind="stable")[:, :n]
             return pd.DataFrame(
                 {
                     "cluster": list(clusters[order]),
@@ -85,10 +92,14 @@ class Centroids:
 
 
 def assign_nearest(df: DataFrame, centroids: Centroids) -> DataFrame:
-    """Nearest centroid of every row: adds ``cluster`` and ``d2``."""
+    """Nearest centroid of every row: adds ``cluster`` and ``d2``.
+
+    Rows without a vector have no cluster and are left out, as the searches do.
+    """
     nearest = centroids.nearest(F.col("vector"))
     return (
-        df.withColumn("_nearest", F.explode(nearest))
+        df.where(F.col("vector").isNotNull())
+        .withColumn("_nearest", F.explode(nearest))
         .withColumn("cluster", F.col("_nearest").getField("cluster"))
         .withColumn("d2", F.col("_nearest").getField("d2"))
         .drop("_nearest")
@@ -99,7 +110,7 @@ def route(questions: DataFrame, centroids: Centroids, n: int) -> DataFrame:
     """The ``n`` nearest clusters per question: one row per ``(query_id, cluster)``."""
     check_cluster_count(n, len(centroids.clusters))
     nearest = centroids.nearest(F.col("vector"), n)
-    return questions.select(
+    return questions.where(F.col("vector").isNotNull()).select(
         "query_id", "vector", F.posexplode(nearest).alias("pos", "found")
     ).select(
         "query_id",
@@ -171,8 +182,8 @@ def for_fit(df: DataFrame, n_rows: int) -> DataFrame:
     )
 
 
-def fit_kmeans(df: DataFrame, k: int, seed: int = 0, max_iter: int = 20) -> KMeansModel:
-    """Seeded k-means on ``id, vector``."""
+def fit_kmeans(df: DataFrame, k: int, seed: int = 0, max_iter: int = MAX_ITER) -> KMeansModel:
+    """Seeded k-means on ``id, vector``, until the centers rest or ``max_iter``."""
     rows = for_fit(df.select("id", "vector"), df.count())
     return KMeans(k=k, seed=seed, maxIter=max_iter).fit(rows)
 
@@ -303,18 +314,18 @@ def sweep_k(
     df: DataFrame,
     ks: range,
     seed: int = 0,
-    measure: Callable[[DataFrame], float] = silhouette_score,
+    measure: Callable[[DataFrame], float] = silhouette_squared,
 ) -> DataFrame:
     """Fit every k on one input and mark the best silhouette, the smaller k on ties.
 
-    The exact silhouette compares all rows with all; ``silhouette_squared`` is the
-    measure to give for corpora where that is out of reach.
+    The default measure is linear in the rows; ``silhouette_score``, the exact one,
+    compares all rows with all.
     """
     results = []
     n_rows = df.count()
     rows = for_fit(df.select("id", "vector"), n_rows).persist()
     for k in ks:
-        model = KMeans(k=k, seed=seed).fit(rows)
+        model = KMeans(k=k, seed=seed, maxIter=MAX_ITER).fit(rows)
         labelled = model.transform(rows).select(
             "id", "vector", F.col("prediction").alias("cluster")
         )

@@ -20,6 +20,15 @@ DIMENSIONS = 256
 BatchModel = Callable[[list[str]], np.ndarray]
 
 
+# Letters that :func:`letter_counts` counts.
+LETTERS = "aeinorst"
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """A batch model without learning: how often each of ``LETTERS`` occurs in a text."""
+    return np.array([[t.count(c) for c in LETTERS] for t in texts], np.float32).reshape(-1, len(LETTERS))
+
+
 def embed(df: DataFrame, text: str, model: BatchModel, column: str = "embedding") -> DataFrame:
     """Add the vectors of a batch model: ``model(texts)`` gives one row per text."""
     schema = T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.FloatType()))])

@@ -11,6 +11,8 @@ from ..functions.vectors import rounded
 from .ranking import ranking
 
 RRF_CONSTANT = 60
+# How many places of every list count, whatever number of results is asked for.
+FUSION_DEPTH = 50
 
 
 def fuse(

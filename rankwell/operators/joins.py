@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.workspace import shared_root
+from ..sources.workspace import PACKAGE, shared_root
 
 MAX_BROADCAST_KEYS = 1_000_000
+_open = threading.local()
 
 
 def fits(rows: DataFrame, limit: int) -> bool:
@@ -18,11 +24,30 @@ def fits(rows: DataFrame, limit: int) -> bool:
 def settle(df: DataFrame) -> DataFrame:
     """Compute once a result that several parts of a plan use.
 
-    A reliable checkpoint in the shared folder: later jobs, and executors that take
-    over lost work, read it back instead of running the plan again.
+    A table in the shared folder: later jobs, and executors that take over lost work,
+    read it back instead of running the plan again. Inside :func:`scratch` it goes at the
+    end; otherwise it stays as long as the folder.
     """
-    shared_root(df.sparkSession)  # names a folder where the session has none
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{PACKAGE}/{spark.sparkContext.applicationId}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is settled inside is deleted at the end; write the results before that."""
+    before = getattr(_open, "paths", None)
+    _open.paths = []
+    try:
+        yield
+    finally:
+        for path in _open.paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _open.paths = before
 
 
 def keep_matching(

@@ -18,11 +18,15 @@ def dedup_first(df: DataFrame, key: str, order: str) -> DataFrame:
 
     Only a digest of the key and the order value are grouped (a hash aggregate with
     map-side combine), so a text copied a billion times still costs one row per task
-    and long texts are not sorted. ``order`` must be unique.
+    and long texts are not sorted. Of rows equal in both, one stays; of rows that then
+    share an ``order`` value, the one with the least digest of its key.
     """
-    digest = F.sha2(F.col(key), 256)
-    first = df.groupBy(digest.alias("_digest")).agg(F.min(order).alias(order))
-    return df.join(first.select(order), order, "left_semi")
+    digest = F.sha2(F.col(key), 256).alias("_digest")
+    first = df.groupBy(digest).agg(F.min(order).alias(order))
+    chosen = first.groupBy(order).agg(F.min("_digest").alias("_digest"))
+    marked = df.withColumn("_digest", F.sha2(F.col(key), 256))
+    kept = marked.join(chosen, [order, "_digest"], "left_semi")
+    return kept.dropDuplicates([order, "_digest"]).drop("_digest")
 
 
 def dense_id(

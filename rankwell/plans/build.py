@@ -6,10 +6,10 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_tokens, first_chunk
+from ..functions.text import content_tokens, first_chunk, joined_chunks, tokenize
 from ..operators import classify
 from ..operators.clustering import Centroids, assign_nearest, fit_kmeans
 from ..operators.embedding import DIMENSIONS, embed_hashed, fit_hashed
@@ -23,7 +23,15 @@ from ..operators.rows import (
     split_hashed,
     split_positional,
 )
-from ..sources.workspace import Workspace
+from ..sources.workspace import Workspace, fingerprint
+
+def chunk_text(chunks: str) -> Column:
+    """Text of a document: ``all`` its chunks, or the ``first``."""
+    if chunks not in ("all", "first"):
+        raise ValueError(f"chunks is 'all' or 'first', not {chunks!r}")
+    documents = F.col("documents")
+    return joined_chunks(documents) if chunks == "all" else first_chunk(documents)
+
 
 def _stored(*more: str) -> list[str]:
     """Columns that every stored corpus table has, and its own."""
@@ -39,19 +47,20 @@ class Corpus:
     rows: DataFrame
     model: PipelineModel
     workspace: Workspace
+    chunks: str = "all"
 
     @cached_property
     def index(self) -> LexicalIndex:
-        """BM25 index of the first chunks."""
+        """BM25 index of the documents' texts."""
         docs = self.rows.select(
-            F.col("id").alias("doc_id"), first_chunk(F.col("documents")).alias("text")
+            F.col("id").alias("doc_id"), chunk_text(self.chunks).alias("text")
         )
         return build_index(docs, F.col("text"), self.workspace.child("lexical"))
 
     def tokenized(self) -> DataFrame:
         """Corpus with its pruned tokens, in the columns of ``TOKENIZED_SCHEMA``."""
         docs = self.rows.select(
-            F.col("id").alias("doc_id"), first_chunk(F.col("documents")).alias("text")
+            F.col("id").alias("doc_id"), chunk_text(self.chunks).alias("text")
         )
         kept = prune_rare_terms(docs, F.col("text")).withColumnRenamed("doc_id", "id")
         return self.rows.join(kept, "id").selectExpr(*_stored("tokens AS tokenized_chunk"))
@@ -73,7 +82,7 @@ class Corpus:
         embedded = embed_hashed(
             self.model, asked, content_tokens(F.col("question")), "vector"
         )
-        return embedded.withColumn("tokens", classify.model_tokens(F.col("question")))
+        return embedded.withColumn("tokens", tokenize(F.col("question")))
 
 
 def build_corpus(
@@ -82,9 +91,16 @@ def build_corpus(
     n_clusters: int = 4,
     dimensions: int = DIMENSIONS,
     seed: int = 0,
+    chunks: str = "all",
 ) -> Corpus:
     """Dedup by question, number, embed, cluster and split ``raw`` (id, question,
-    documents, dataset_name). Finished stages are not built again."""
+    documents, dataset_name). ``chunks``: embed and index ``all`` texts of a document, or
+    the ``first``.
+
+    Finished stages are not built again; they lie in a folder named after the input and
+    all parameters, so another input or setting never finds them.
+    """
+    workspace = workspace.child(fingerprint(raw, n_clusters, dimensions, seed, chunks))
     numbered = workspace.stage(
         "numbered",
         lambda: dense_id(
@@ -94,7 +110,7 @@ def build_corpus(
             "placed",
         ),
     )
-    tokens = content_tokens(first_chunk(F.col("documents")))
+    tokens = content_tokens(chunk_text(chunks))
     model_path = workspace.path("embedder")
     if not workspace.has("vectors"):
         fit_hashed(numbered, tokens, dimensions).write().overwrite().save(model_path)
@@ -111,7 +127,7 @@ def build_corpus(
     rows = workspace.stage(
         "split", lambda: cover_clusters(split_positional(labelled, "id"), "id")
     )
-    return Corpus(rows, model, workspace)
+    return Corpus(rows, model, workspace, chunks)
 
 
 def train_classifier(
@@ -119,6 +135,7 @@ def train_classifier(
 ) -> tuple[PipelineModel, DataFrame]:
     """Select a classifier on the training split, by a 90/10 validation inside it, and
     save it. Returns the saved model and the table of candidates."""
+    workspace = workspace.child(fingerprint(corpus.rows, *settings))
     path = workspace.path("classifier")
     if not workspace.has("candidates"):  # written last
         train = corpus.rows.where(F.col("split") == TRAIN).drop("split")

@@ -9,7 +9,7 @@ from the hits) and a hit is relevant when it carries the same label; user turns
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +37,6 @@ TOP_K = 5
 MAX_PROBES = 3
 K_SWEEP = (1, 3, 5)
 PROBE_SWEEP = (1, 2, 3)
-FUSION_DEPTH = 10
 FUSION_WEIGHTS = {"cosine": 1.0, "centroid_1": 0.5, "centroid_3": 0.75}
 BM25_GRID = [(1.2, 0.5), (1.5, 0.75), (2.0, 1.0)]
 SETTINGS = [classify.Setting(0.1, 10), classify.Setting(0.01, 20), classify.Setting(0.001, 20)]
@@ -98,10 +97,44 @@ class Inputs:
 
     @cached_property
     def bm25_truth(self) -> DataFrame:
+        """Documents whose text contains the passage, whatever the index holds.
+
+        Containment implies all indexed terms, so the covering documents are candidates.
+        """
+
+        def contained() -> DataFrame:
+            texts = self.documents.select("doc_id", F.col("text").alias("_text"))
+            return (
+                self.bm25_covering.join(self.questions, "query_id")
+                .join(texts, "doc_id")
+                .where(F.contains("_text", "text"))
+                .select("query_id", "doc_id")
+            )
+
+        return self.workspace.stage("bm25_truth", contained)
+
+    @cached_property
+    def bm25_covering(self) -> DataFrame:
         return self.workspace.stage(
-            "bm25_truth", lambda: lexical.covering_documents(self.index, self.weighted)
+            "bm25_covering", lambda: lexical.covering_documents(self.index, self.weighted)
         )
 
+    # letter counts as a batch embedding of documents and questions
+    def letters(self, df: DataFrame, key: str) -> DataFrame:
+        return embedding.embed(df.select(key, "text"), "text", embedding.letter_counts, "vector")
+
+    @cached_property
+    def letter_hits(self) -> DataFrame:
+        """Cosine neighbours of the benchmark questions by letter counts."""
+        corpus = self.workspace.stage("letters", lambda: self.letters(self.documents, "doc_id"))
+        asked = self.letters(self.questions, "query_id")
+        return neighbours.exact_topk(corpus.select("doc_id", "vector"), asked, fusion.FUSION_DEPTH)
+
+    def fused_bm25(self, k: int) -> DataFrame:
+        """BM25, without zero-score fillers, and cosine in one ranking."""
+        parts = {"bm25": self.bm25(fusion.FUSION_DEPTH), "cosine": self.letter_hits}
+        return fusion.fuse(parts, k)
+
     # vector corpus
     @property
     def labelled(self) -> DataFrame:
@@ -146,9 +179,9 @@ class Inputs:
 
     def fused(self, k: int, weights: dict[str, float] | None = None) -> DataFrame:
         parts = {
-            "cosine": self.cosine(FUSION_DEPTH),
-            "centroid_1": self.routed(FUSION_DEPTH, 1),
-            "centroid_3": self.routed(FUSION_DEPTH, MAX_PROBES),
+            "cosine": self.cosine(fusion.FUSION_DEPTH),
+            "centroid_1": self.routed(fusion.FUSION_DEPTH, 1),
+            "centroid_3": self.routed(fusion.FUSION_DEPTH, MAX_PROBES),
         }
         return fusion.fuse(parts, k, weights)
 
@@ -266,6 +299,30 @@ def upsert_vectors(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def upsert_written(i: Inputs) -> DataFrame:
+    """The same rows as ``upsert_vectors``, from a table replaced by two upserts."""
+    given = i.table("embeddings").select(
+        F.col("vec_id").alias("original_id"), F.lit("base").alias("model"), "embedding"
+    )
+    doubled = F.transform("embedding", lambda x: (x * 2).cast("float"))
+    known = i.table("labels").select(F.col("doc_id").alias("original_id"))
+    first = given.join(known, "original_id", "left_semi").withColumn("embedding", doubled)
+    unit = given.select(
+        "original_id", F.lit("unit").alias("model"), vectors.normalize(F.col("embedding")).alias("embedding")
+    )
+    path = i.workspace.path("upserted")
+    tables.write_upsert(i.spark, first, path)
+    merged = tables.write_upsert(i.spark, given.unionByName(unit).unionByName(unit), path)
+    total = F.aggregate(
+        vectors.as_double(F.col("embedding")), F.lit(0.0), lambda acc, x: acc + x
+    )
+    return merged.select(
+        "original_id", "model", F.size("embedding").alias("dims"),
+        vectors.rounded(total, 4).alias("total"),
+    )
+
+
 @query
 def vectors_by_model(i: Inputs) -> DataFrame:
     raw = i.table("embeddings").select("vec_id", F.lit("raw").alias("model"), "embedding")
@@ -351,7 +408,7 @@ def concat_features(i: Inputs) -> DataFrame:
 
 @query
 def truncate_tokens(i: Inputs) -> DataFrame:
-    return i.documents.select("doc_id", *_joined(text.model_tokens(F.col("text"))))
+    return i.documents.select("doc_id", *_joined(text.truncate_tokens(F.col("text"))))
 
 
 @query
@@ -396,7 +453,7 @@ def idf(i: Inputs) -> DataFrame:
 
 @query
 def bm25_scores(i: Inputs) -> DataFrame:
-    return lexical.score_pairs(i.index, i.weighted, i.bm25_truth)
+    return lexical.score_pairs(i.index, i.weighted, i.bm25_covering)
 
 
 @query
@@ -493,6 +550,12 @@ def embed_hashed(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def embed_batch(i: Inputs) -> DataFrame:
+    """The embedding hook with a batch function that SQL can repeat."""
+    return _components(i.letters(i.documents, "doc_id"), "doc_id", "vector")
+
+
 # --- clustering ----------------------------------------------------------------------
 
 
@@ -707,6 +770,25 @@ def rrf_weighted(i: Inputs) -> DataFrame:
     return i.fused(TOP_K, FUSION_WEIGHTS)
 
 
+@query
+def rrf_bm25_cosine(i: Inputs) -> DataFrame:
+    return i.fused_bm25(TOP_K)
+
+
+@query
+def routed_kmeans_topk(i: Inputs) -> DataFrame:
+    """Centroid mode on clusters fitted to the normalized vectors, not on given labels."""
+    points = clustering.unit_vectors(i.labelled.drop("cluster"))
+    centroids = clustering.Centroids.of_model(clustering.fit_kmeans(points, 4, max_iter=20))
+    units = points.select(F.col("id").alias("doc_id"), "vector")
+    stored = clustering.write_by_cluster(
+        clustering.assign_nearest(units, centroids).drop("d2"), "doc_id", i.workspace, "kmeans_index"
+    )
+    asked = units.withColumnRenamed("doc_id", "query_id")
+    routed = clustering.route(asked, centroids, MAX_PROBES)
+    return neighbours.routed_topk(stored, routed, TOP_K, exclude_self=True)
+
+
 @query
 def retrieve_all_modes(i: Inputs) -> DataFrame:
     by_text = Retriever(index=i.index, question_text=F.col("text"))
@@ -769,6 +851,13 @@ def eval_rrf(i: Inputs) -> DataFrame:
     return i.label_report(i.fused(TOP_K, FUSION_WEIGHTS))
 
 
+@query
+def eval_rrf_bm25(i: Inputs) -> DataFrame:
+    hits = i.fused_bm25(TOP_K)
+    ranks = evaluation.truth_rank(i.questions, evaluation.relevant_by_pairs(hits, i.bm25_truth))
+    return evaluation.report(ranks, K_SWEEP)
+
+
 @query
 def eval_grid(i: Inputs) -> DataFrame:
     """Mode x number of clusters x k. Each mode ranks once, for the largest k and the
@@ -824,6 +913,20 @@ def eval_routed_classifier(i: Inputs) -> DataFrame:
     return _pair_report(i, routed_classifier_topk(i), rows.TEST)
 
 
+@query
+def eval_classifier_grid(i: Inputs) -> DataFrame:
+    """Number of clusters x k, classifier-routed; the test split only."""
+    model, _ = i.trained
+    retriever = Retriever(corpus=i.built.documents(), classifier=model)
+    asked = i.built.questions(rows.TEST)
+    reports = [
+        _pair_report(i, retriever.retrieve("classifier", asked, TOP_K, n_clusters=n), rows.TEST)
+        .withColumn("n_clusters", F.lit(n))
+        for n in PROBE_SWEEP
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
 # --- context and streaming -----------------------------------------------------------
 
 

@@ -10,11 +10,11 @@ from ..functions.text import (
     stop_words,
 )
 from ..operators.context import INSTRUCTION
-from ..operators.fusion import RRF_CONSTANT
+from ..operators.embedding import LETTERS
+from ..operators.fusion import FUSION_DEPTH, RRF_CONSTANT
 from ..operators.lexical import K1, B
 from .catalog import (
     BM25_GRID,
-    FUSION_DEPTH,
     FUSION_WEIGHTS,
     K_SWEEP,
     MAX_PROBES,
@@ -108,6 +108,11 @@ COVERED = """
         USING (query_id)
         WHERE found = n_terms)"""
 
+CONTAINED = """
+    truth AS (
+        SELECT q.item_id AS query_id, d.doc_id FROM benchmark q, documents d
+        WHERE contains(d.text, q.text))"""
+
 
 def _ranked(source: str, k: int, by: str = "query_id") -> str:
     """The best k rows per group of a scored table."""
@@ -242,7 +247,7 @@ POSITIONED = """
 
 PAIRS = """
     pairs AS (
-        SELECT printf('%08d-%04d', q.conv_id, q.turn) AS id, q.text AS question, a.text AS chunk
+        SELECT printf('%019d-%019d', q.conv_id, q.turn) AS id, q.text AS question, a.text AS chunk
         FROM conversations q JOIN conversations a
           ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
         WHERE q.role = 'user' AND a.role = 'assistant')"""
@@ -320,19 +325,51 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+def _letters(name: str, key: str, source: str) -> str:
+    counts = ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE)" for c in LETTERS)
+    return f"""
+    {name} AS (SELECT {key}, [{counts}] AS v FROM {source})"""
+
+
+LETTER_COSINES = """
+    letter_cosines AS (
+        SELECT query_id, doc_id,
+               round(list_inner_product(a.v, b.v)
+                     / (sqrt(list_inner_product(a.v, a.v))
+                        * sqrt(list_inner_product(b.v, b.v))), 6) + 0.0 AS score
+        FROM letters_asked a, letters b
+        WHERE list_inner_product(a.v, a.v) > 0 AND list_inner_product(b.v, b.v) > 0)"""
+
+
+def _fused_bm25(k: int) -> str:
+    return ",".join(
+        [
+            LEXICAL,
+            ASKED,
+            SCORED,
+            f"bm25 AS ({_ranked('scored', FUSION_DEPTH)})",
+            _letters("letters", "doc_id", "documents"),
+            _letters("letters_asked", "query_id", QUESTIONS),
+            LETTER_COSINES,
+            f"letter_hits AS ({_ranked('letter_cosines', FUSION_DEPTH)})",
+            _fused({"bm25": 1.0, "letter_hits": 1.0}, k),
+        ]
+    )
+
+
 def build() -> dict[str, str]:
     lex = _with(LEXICAL)
     asked = _with(LEXICAL, ASKED, SCORED)
     vec = _with(VECTORS)
     cos = [VECTORS, COSINES]
     before, after = (_quoted(p).replace("\n", "' || chr(10) || '") for p in INSTRUCTION.split("%s"))
-    bm25_eval = [LEXICAL, ASKED, SCORED, COVERED, _padded_hits(TOP_K), BM25_RANKS]
+    bm25_eval = [LEXICAL, ASKED, SCORED, CONTAINED, _padded_hits(TOP_K), BM25_RANKS]
     grid_probes = [_probed(n, TOP_K, f"routed_{n}") for n in PROBE_SWEEP]
     all_hits = " UNION ALL ".join(
         ["SELECT 0 AS n_clusters, query_id, doc_id, rank FROM exact"]
         + [f"SELECT {n}, query_id, doc_id, rank FROM routed_{n}" for n in PROBE_SWEEP]
     )
-    return {
+    sql = {
         # sources and sinks
         "union_splits": """
             SELECT 'train' AS split, text FROM documents
@@ -565,10 +602,14 @@ def build() -> dict[str, str]:
             GROUP BY n_clusters""",
         "rrf_fusion": f"WITH {_fusion(EQUAL_WEIGHTS, TOP_K)} SELECT {RANKING} FROM fused",
         "rrf_weighted": f"WITH {_fusion(FUSION_WEIGHTS, TOP_K)} SELECT {RANKING} FROM fused",
+        "rrf_bm25_cosine": f"WITH {_fused_bm25(TOP_K)} SELECT {RANKING} FROM fused",
+        "embed_batch": f"""
+            {_with(_letters('letters', 'doc_id', 'documents'))}
+            {_components('doc_id', 'v', 'letters')}""",
         "retrieve_all_modes": f"""
             {_with(LEXICAL, ASKED, SCORED, _padded_hits(3), *cos, _exact(3), _probed(2, 3),
-                   _exact(6, 'exact_6'), _probed(2, 6, 'routed_6'),
-                   _fused({'exact_6': 1.0, 'routed_6': 1.0}, 3))}
+                   _exact(FUSION_DEPTH, 'deep'), _probed(2, FUSION_DEPTH, 'deep_routed'),
+                   _fused({'deep': 1.0, 'deep_routed': 1.0}, 3))}
             SELECT 'bm25' AS mode, {RANKING} FROM hits
             UNION ALL SELECT 'cosine', {RANKING} FROM exact
             UNION ALL SELECT 'centroid', {RANKING} FROM routed
@@ -585,6 +626,9 @@ def build() -> dict[str, str]:
         "eval_cosine": f"{_with(*cos, _exact(TOP_K), _by_label('exact'))} {_report()}",
         "eval_routed": f"{_with(*cos, _probed(2, TOP_K), _by_label('routed'))} {_report()}",
         "eval_rrf": f"WITH {_fusion(FUSION_WEIGHTS, TOP_K)}, {_by_label('fused')} {_report()}",
+        "eval_rrf_bm25": f"""
+            WITH {_fused_bm25(TOP_K)}, {CONTAINED}, hits AS (SELECT * FROM fused), {BM25_RANKS}
+            {_report()}""",
         "eval_grid": f"""
             {_with(*bm25_eval, *cos, _exact(TOP_K), *grid_probes)},
             all_hits AS ({all_hits}),
@@ -620,3 +664,5 @@ def build() -> dict[str, str]:
             FROM contexts JOIN benchmark ON item_id = query_id""",
         "stream_questions": f"{asked}, {_padded_hits(TOP_K)} SELECT {RANKING} FROM hits",
     }
+    sql["upsert_written"] = sql["upsert_vectors"]
+    return sql

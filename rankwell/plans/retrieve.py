@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from ..operators import lexical
 from ..operators.classify import classify_topn
 from ..operators.clustering import Centroids, route
-from ..operators.fusion import fuse
+from ..operators.fusion import FUSION_DEPTH, fuse
 from ..operators.neighbours import exact_topk, routed_topk
 
 MODES = ("bm25", "cosine", "centroid", "classifier", "rrf")
@@ -39,10 +39,15 @@ class Retriever:
         n_clusters: int = 3,
         fused: tuple[str, ...] = ("bm25", "cosine"),
         weights: dict[str, float] | None = None,
-        depth: int | None = None,
+        depth: int = FUSION_DEPTH,
+        pad: bool = True,
     ) -> DataFrame:
+        """``depth``: places of each fused list that count; results for a smaller ``k``
+        are the first of those for a larger one up to it. ``pad``: BM25 fills short lists
+        with zero-score documents; never inside a fusion, where a place earns credit.
+        """
         if mode == "bm25":
-            return lexical.bm25_topk(self.index, questions, self.question_text, k)
+            return lexical.bm25_topk(self.index, questions, self.question_text, k, pad)
         if mode == "cosine":
             return exact_topk(self.corpus, questions, k, **self.options)
         if mode == "centroid":
@@ -54,7 +59,8 @@ class Retriever:
             return routed_topk(self.corpus, routed, k, **self.options)
         if mode == "rrf":
             parts = {
-                m: self.retrieve(m, questions, depth or 2 * k, n_clusters) for m in fused
+                m: self.retrieve(m, questions, max(depth, k), n_clusters, pad=False)
+                for m in fused
             }
             return fuse(parts, k, weights)
         raise ValueError(f"unknown mode {mode!r}, choose one of {', '.join(MODES)}")

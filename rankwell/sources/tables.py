@@ -45,8 +45,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def append_new_rows(spark: SparkSession, rows: DataFrame, path: str, key: str) -> None:
     """Append the rows whose ``key`` the Parquet table at ``path`` does not hold yet.
 
-    A repeated run adds nothing. Only the key column of the table is read.
+    A repeated run adds nothing, and of rows that share a key one goes in. Only the key
+    column of the table is read.
     """
+    rows = rows.dropDuplicates([key])
     if is_complete(spark, path):
         present = spark.read.schema(rows.select(key).schema).parquet(path)
         rows = rows.join(present, key, "left_anti")
@@ -62,14 +64,37 @@ def missing_vectors(store: DataFrame, wanted: DataFrame, model: str) -> DataFram
 def upsert_vectors(store: DataFrame, incoming: DataFrame) -> DataFrame:
     """Store plus the incoming ``(original_id, model)`` vectors it lacks.
 
-    A vector already present is never replaced. Both keys are compared at once, so no
-    single model or id gathers in one task.
+    A vector already present is never replaced, and of incoming repeats one goes in. Both
+    keys are compared at once, so no single model or id gathers in one task.
     """
     keys = ["original_id", "model"]
-    new = incoming.join(store.select(*keys), keys, "left_anti")
+    new = incoming.dropDuplicates(keys).join(store.select(*keys), keys, "left_anti")
     return store.unionByName(new)
 
 
+def write_upsert(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
+    """:func:`upsert_vectors` into the Parquet table at ``path``, which is replaced.
+
+    The merged table is written beside the old one and takes its name once complete, so a
+    failed run leaves the old table; the old one keeps a name of its own until the end.
+    """
+    if is_complete(spark, path):
+        merged = upsert_vectors(spark.read.parquet(path), incoming)
+    else:
+        merged = incoming.dropDuplicates(["original_id", "model"])
+    merged.write.mode("overwrite").parquet(f"{path}.new")
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
+        spark._jsc.hadoopConfiguration()
+    )
+    here, new, old = (spark._jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
+    if files.exists(here):
+        files.delete(old, True)
+        files.rename(here, old)
+    files.rename(new, here)
+    files.delete(old, True)
+    return spark.read.parquet(path)
+
+
 def vectors_of(store: DataFrame, model: str) -> DataFrame:
     """Vectors of one model; a partition filter when the store is split by model."""
     return store.where(F.col("model") == model)
@@ -90,7 +115,7 @@ def question_answer_pairs(conversations: DataFrame) -> DataFrame:
         F.array("text").alias("documents"),
     )
     return asked.join(reply, ["conv_id", "turn"]).select(
-        F.format_string("%08d-%04d", "conv_id", "turn").alias("id"),
+        F.format_string("%019d-%019d", "conv_id", "turn").alias("id"),
         "question",
         "documents",
         F.lit("conversations").alias("dataset_name"),

@@ -29,7 +29,7 @@ def shared_root(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(root)  # local mode only gets here without one
     return root.rstrip("/")
 
 
@@ -44,6 +44,17 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, f"{path}/_SUCCESS")
 
 
+def fingerprint(df: DataFrame, *parameters: object) -> str:
+    """Digest of a plan, the files it reads (names, lengths, times) and parameters."""
+    spark = df.sparkSession
+    files = []
+    for name in sorted(df.inputFiles()):
+        target = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
+        files.append((name, status.getLen(), status.getModificationTime()))
+    return hashlib.md5(repr((df.semanticHash(), files, parameters)).encode()).hexdigest()[:16]
+
+
 class Workspace:
     """Named stages of one input, private to the running application."""
 

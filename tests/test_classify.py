@@ -3,9 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankwell.functions.vectors import softmax
+from rankwell.functions.text import truncate_tokens
 from rankwell.operators import classify, embedding
 from rankwell.plans.build import build_corpus, train_classifier
 from rankwell.plans.retrieve import Retriever
+from rankwell.sources.workspace import Workspace
 
 TOPICS = ["river boat water", "castle king stone", "engine wheel road"]
 
@@ -68,12 +70,13 @@ def test_classes_are_counted_from_the_largest_label(labelled):
     assert classify.class_count(labelled).first()["n_classes"] == 3
 
 
-def test_long_texts_are_cut_for_the_model(spark):
+def test_the_classifier_reads_whole_texts(spark):
     df = spark.createDataFrame(
         [(0, "q", [" ".join(["w"] * 600)], 0)],
         "id long, question string, documents array<string>, cluster int",
     )
-    assert classify.training_rows(df).select(F.size("tokens")).first()[0] == 512
+    assert classify.training_rows(df).select(F.size("tokens")).first()[0] == 601
+    assert df.select(F.size(truncate_tokens(F.col("documents")[0]))).first()[0] == 512
 
 
 def test_softmax(spark):
@@ -100,6 +103,21 @@ def test_embed_only_missing_vectors(spark):
     }
 
 
+def _counting(workspace, built):
+    """The workspace, noting every stage it has to build."""
+
+    class Counting(Workspace):
+        def child(self, name):
+            return Counting(self.spark, self.path(name))
+
+        def stage(self, name, build, **options):
+            if not self.has(name):
+                built.append(name)
+            return super().stage(name, build, **options)
+
+    return Counting(workspace.spark, workspace.root)
+
+
 def test_build_train_and_retrieve(spark, labelled, workspace):
     """From a raw corpus to routed answers, and a second call that builds nothing."""
     raw = labelled.select(
@@ -124,5 +142,10 @@ def test_build_train_and_retrieve(spark, labelled, workspace):
     assert sorted(routed.collect()) == sorted(exact.collect())
     with pytest.raises(ValueError, match="unknown mode"):
         retriever.retrieve("other", asked, 3)
-    again = build_corpus(raw.limit(0), workspace, n_clusters=3, dimensions=64)
-    assert again.rows.count() == 60
+    built = []
+    again = build_corpus(twice, _counting(workspace, built), n_clusters=3, dimensions=64)
+    assert again.rows.count() == 60 and built == []
+    # Other rows, or another setting, never find these stages.
+    fewer = build_corpus(raw.where("id < '0030'"), workspace, n_clusters=2, dimensions=32)
+    assert fewer.rows.count() == 30 and fewer.rows.select("cluster").distinct().count() == 2
+    assert len(fewer.rows.first()["embedding"]) == 32
