@@ -11,13 +11,17 @@ from ..functions.text import drop_stop_words, is_stop_word, words
 from ..functions.vectors import rounded
 from ..sources.tables import text_bytes
 from ..sources.workspace import Workspace, bucket_count
-from .joins import keep_matching, settle
+from .joins import fits, keep_matching, settle
 from .ranking import pad_with_first, ranking
 
 K1, B = 1.5, 0.75
 
 # Question terms up to this many rows travel to every task (about 60 bytes each).
 MAX_BROADCAST_TERMS = 500_000
+# Up to this many rows, the terms are also written into the scan of the postings.
+MAX_LITERAL_TERMS = 1_000
+# Parts of a question's documents where its terms are too many to broadcast.
+QUESTION_SALTS = 16
 # Matches (postings of question terms) one task sums up at most; with more, terms that
 # cannot decide a top-k are left out of the first pass.
 MATCHES_PER_TASK = 50_000_000
@@ -226,7 +230,12 @@ def match_terms(
     asked = weighted.drop("df")
     n_asked = asked.count() if n_asked is None else n_asked
     if n_asked <= max_broadcast:
-        return index.postings.join(F.broadcast(asked), "term")
+        postings = index.postings
+        if n_asked <= MAX_LITERAL_TERMS:
+            # Literals reach the scan: the postings' files are sorted by term.
+            terms = [r["term"] for r in asked.select("term").distinct().collect()]
+            postings = postings.where(F.col("term").isin(terms))
+        return postings.join(F.broadcast(asked), "term")
     asked_counts = asked.groupBy("term").agg(F.count("*").alias("qdf"))
     salts = _salts(
         index.vocabulary,
@@ -325,8 +334,7 @@ def best_documents(
     completing = terms.where(~F.col("decisive")).select("query_id", "term", "weight")
     looked_up = keep_matching(index.postings, found, "doc_id")
     rest = (
-        found.select("query_id", "doc_id")
-        .join(completing, "query_id")
+        with_terms(found.select("query_id", "doc_id"), completing, n_terms <= max_broadcast)
         .join(looked_up, ["doc_id", "term"])
         .select("query_id", "doc_id", part.alias("part"))
     )
@@ -397,6 +405,19 @@ def bm25_topk(
     return pad_with_first(hits, questions, index.documents, k) if pad else hits
 
 
+def with_terms(pairs: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
+    """``pairs (query_id, doc_id)`` with the terms of their question.
+
+    ``few`` terms are broadcast. Otherwise a question's pairs are spread by document, and
+    its terms, which are no more than the words of one question, go to each part.
+    """
+    if few:
+        return pairs.join(F.broadcast(terms), "query_id")
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(QUESTION_SALTS)).cast("int"))
+    copies = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(QUESTION_SALTS - 1))))
+    return salted.join(copies, ["query_id", "_salt"]).drop("_salt")
+
+
 def score_pairs(
     index: LexicalIndex,
     weighted: DataFrame,
@@ -406,7 +427,7 @@ def score_pairs(
 ) -> DataFrame:
     """BM25 score of given ``(query_id, doc_id)`` pairs, 0 when nothing matches."""
     part = F.col("weight") * saturation(index, k1, b)
-    asked = pairs.join(weighted, "query_id")
+    asked = with_terms(pairs, weighted, fits(weighted, MAX_BROADCAST_TERMS))
     scores = (
         asked.join(keep_matching(index.postings, pairs, "doc_id"), ["doc_id", "term"])
         .groupBy("query_id", "doc_id")
@@ -453,7 +474,9 @@ def covering_documents(
         match_terms(index, anchors, max_broadcast).select("query_id", "doc_id")
     )
     looked_up = keep_matching(index.postings, candidates, "doc_id").select("doc_id", "term")
-    checks = candidates.join(weighted.select("query_id", "term"), "query_id")
+    checks = with_terms(
+        candidates, weighted.select("query_id", "term"), fits(weighted, max_broadcast)
+    )
     return (
         checks.join(looked_up, ["doc_id", "term"])
         .groupBy("query_id", "doc_id")

@@ -1,10 +1,11 @@
 """Exact vector search, all questions at once.
 
 Scores come from block matrix products inside Arrow tasks; what leaves a task is only
-the best ``k`` rows per question and cluster. Two layouts give the same rows:
+the best ``k`` rows per question and cluster. Three layouts give the same rows:
 
 * few questions (a checked number): their matrix is broadcast and the corpus is
   scanned where it lies, without a shuffle;
+* a few such blocks of questions: one scan after the other;
 * many questions: corpus and questions are cut into bounded blocks by a hash of the
   id, and each pair of blocks is one group.
 
@@ -16,6 +17,7 @@ is the case of a single cluster.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,8 @@ SCORED = "query_id long, cluster int, doc_id long, score double"
 _FIELDS = ["query_id", "cluster", "doc_id", "score"]
 
 MAX_BROADCAST_QUESTIONS = 20_000  # rows collected for a broadcast
-MAX_BROADCAST_BYTES = 128 << 20  # and their size as a matrix
+MAX_BROADCAST_BYTES = 128 << 20  # and their size as a float64 matrix
+MAX_SCANS = 8  # scans of the corpus before shuffling it is cheaper
 BLOCK_ROWS = 20_000  # rows per side of a block pair
 _CELLS = 1_000_000  # scores held at once inside a task
 _ROUNDING = 10.0**-SCORE_DIGITS
@@ -277,11 +280,23 @@ def search(
     questions = questions.where(F.col("vector").isNotNull()).select(
         "query_id", "vector", "cluster"
     )
-    few = questions.limit(max_broadcast + 1).toArrow()
-    if few.num_rows <= max_broadcast and few.nbytes <= MAX_BROADCAST_BYTES:
-        return _scan_corpus(corpus, few, k, cosine, exclude_self)
     questions = settle(questions)  # counted, then cut into blocks
-    return _pair_blocks(corpus, questions, k, cosine, exclude_self, block_rows)
+    n, width = questions.agg(F.count("*"), F.max(F.size("vector"))).first()
+    # Bytes are known before any vector is fetched.
+    per_block = min(max_broadcast, MAX_BROADCAST_BYTES // (8 * max(1, width or 0)))
+    if n <= per_block:
+        return _scan_corpus(corpus, questions.toArrow(), k, cosine, exclude_self)
+    blocks = -(-n // max(1, per_block))
+    if per_block < 1 or blocks > MAX_SCANS:
+        return _pair_blocks(corpus, questions, k, cosine, exclude_self, block_rows)
+    # A few scans in place cost less than shuffling the corpus. Blocks are cut by a hash,
+    # so that they are about equal.
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    scans = [
+        _scan_corpus(corpus, questions.where(part == b).toArrow(), k, cosine, exclude_self)
+        for b in range(blocks)
+    ]
+    return reduce(DataFrame.unionAll, scans)
 
 
 # --- operators -----------------------------------------------------------------------

@@ -194,3 +194,24 @@ def test_tokens(spark):
     ]
     assert got["kept"] == ["Dog", "café", "étude", "3", "5", "$", "x", "\U0001f600"]
     assert {"the", "den", "los", "nous"} <= set(stop_words())
+
+
+def test_few_terms_reach_the_scan_of_the_postings(spark, tmp_path):
+    from rankwell.sources.workspace import Workspace
+
+    docs = spark.createDataFrame([(i, f"apple pear word{i % 7} stone") for i in range(60)], "doc_id long, text string")
+    index = lexical.build_index(docs, F.col("text"), Workspace(spark, str(tmp_path / "stages")))
+    asked = spark.createDataFrame([(1, "word3 apple")], "query_id long, text string")
+    hits = lexical.bm25_topk(index, asked, F.col("text"), 3, pad=False)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "FileScan" in line and "doc_len" in line)
+    assert "In(term" in scan and "lower(term" not in scan
+    assert {r.doc_id % 7 for r in hits.collect()} == {3}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_terms_of_a_question_meet_all_its_documents(spark, few):
+    pairs = spark.createDataFrame([(q, d) for q in (1, 2) for d in range(40)], "query_id long, doc_id long")
+    terms = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "query_id long, term string")
+    got = {(r.query_id, r.doc_id, r.term) for r in lexical.with_terms(pairs, terms, few).collect()}
+    assert got == {(1, d, t) for d in range(40) for t in "ab"}

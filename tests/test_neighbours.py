@@ -8,6 +8,7 @@ from rankwell.operators import clustering, neighbours
 LAYOUTS = {
     "scan": {},
     "blocks": {"max_broadcast": 0, "block_rows": 7},
+    "scans": {"max_broadcast": 6},
 }
 
 
