@@ -39,8 +39,11 @@ SHARD_TOKENS = 1_000_000
 PARTITION_BYTES = 16 << 20
 ROUNDS = 5
 MIN_COUNT = 8
+MIN_WINS = 4
+BIN_BITS = 21
 MAX_SYMBOL = 1 << 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+FIRST = "\0"  # marks a word that no space stands before
 SHARD = "shard long, doc_ids binary, bounds binary, symbols binary, rules binary, lengths binary, base int, n_tokens long"
 
 
@@ -48,7 +51,9 @@ class Words:
     """A byte-level BPE tokenizer that keeps the ids of the words it has met.
 
     Its first step cuts texts by a pattern in which a single space belongs to what
-    follows, so a text falls apart before every space that no other white space touches.
+    follows, and a line break between two words stands alone. So a text whose white space
+    is single spaces and line breaks falls apart at each of them; any other goes through
+    the library whole.
     """
 
     def __init__(self, path: str):
@@ -59,39 +64,77 @@ class Words:
         if self.base >= MAX_SYMBOL:
             raise ValueError("the vocabulary leaves no room for rules in 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A byte-level piece is written with one character for each byte.
+        self.sizes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.base)])
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint16).tobytes() for x in found]
 
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self.known.clear()
+        # A word follows a space, but for a line break and what FIRST marks.
+        spaced = [w for w in words if w[0] != FIRST and w != "\n"]
+        for a in range(0, len(spaced), 2_000):
+            part = spaced[a : a + 2_000]
+            self.known.update(zip(part, self._joined([" " + w for w in part])))
+        others = [w for w in words if w[0] == FIRST or w == "\n"]
+        self.known.update(zip(others, self._library([w.lstrip(FIRST) for w in others])))
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words that begin with a space, encoded as one text: it falls apart at
+        the spaces, and the lengths of the ids' pieces tell where each word ends."""
+        found = self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)
+        ids = np.array(found[0].ids, np.uint16)
+        ends = np.cumsum(self.sizes[ids])
+        cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in words])) + 1
+        raw = ids.tobytes()
+        bounds = [0, *(2 * cuts).tolist()]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as bytes of uint16."""
         out: list[bytes | None] = [None] * len(texts)
-        whole, cut = [], []
+        whole, cut, missing = [], [], set()
+        get = self.known.get
         for i, text in enumerate(texts):
-            parts = text.split(" ")
-            tail = "".join([p[0] for p in parts[1:] if p])
             if not text:
                 out[i] = b""
-            elif "" in parts or any(c.isspace() for c in set(tail)) or any(s in text for s in self.special):
+            elif not self._falls_apart(text):
                 whole.append(i)
             else:
-                parts[1:] = [" " + p for p in parts[1:]]
-                cut.append((i, parts))
+                words = (FIRST + text).replace("\n", " \n " + FIRST).split(" ")
+                cells = [get(w) for w in words]
+                if None in cells:
+                    gaps = [(j, words[j]) for j, cell in enumerate(cells) if cell is None]
+                    missing.update([w for _, w in gaps])
+                    cut.append((i, cells, gaps))
+                else:
+                    out[i] = b"".join(cells)
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
-        known = self.known
-        new = list({p for _, parts in cut for p in parts if p not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list({p for _, parts in cut for p in parts})
-        for a in range(0, len(new), 20_000):
-            known.update(zip(new[a : a + 20_000], self._library(new[a : a + 20_000])))
-        for i, parts in cut:
-            out[i] = b"".join([known[p] for p in parts])
+        if missing:
+            self._learn(list(missing))
+            known = self.known
+            for i, cells, gaps in cut:
+                for j, word in gaps:
+                    cells[j] = known[word]
+                out[i] = b"".join(cells)
         return out
 
+    def _falls_apart(self, text: str) -> bool:
+        """Whether all white space is single spaces and line breaks between words."""
+        words = text.split()
+        breaks = text.count(" ") + text.count("\n")
+        return (
+            len(words) == 1 + breaks
+            and len(text) - sum(map(len, words)) == breaks
+            and FIRST not in text
+            and not any(s in text for s in self.special)
+        )
+
 
 @lru_cache(maxsize=2)
 def words_of(path: str) -> Words:
@@ -99,48 +142,48 @@ def words_of(path: str) -> Words:
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, new bounds, rules (pairs) and expansion lengths of a shard's ids."""
+    """Symbols, new bounds, rules (pairs) and expansion lengths of a shard's ids.
+
+    A round counts pairs in a table of hashed bins, each of which speaks for one pair (the
+    last that came); pairs that lost their bin wait for another round.
+    """
     seq = ids.astype(np.int64)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     rules: list[np.ndarray] = []
     size = base
     lengths = np.ones(base, np.int64)
-    for _ in range(ROUNDS):
+    speaks = np.full(1 << BIN_BITS, -1, np.int64)
+    for turn in range(ROUNDS):
         if len(seq) < 2 or size >= MAX_SYMBOL:
             break
         code = seq[:-1] << 16 | seq[1:]
-        code[doc[:-1] != doc[1:]] = -1
-        # Bins of hashed pairs are upper bounds; what they leave is counted exactly.
-        bins = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
-        many = np.bincount(bins, minlength=1 << 21)[bins] >= MIN_COUNT
-        at = np.flatnonzero(many & (code >= 0))
-        if not len(at):
-            break
-        pairs, which, counts = np.unique(code[at], return_inverse=True, return_counts=True)
-        # Order by count, then by pair: a strict order, so no two neighbours both win.
-        rank = np.empty(len(pairs), np.int64)
-        rank[np.lexsort((pairs, counts))] = np.arange(1, len(pairs) + 1)
+        factor = np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
+        bins = ((code.astype(np.uint64) * factor) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+        speaks[bins] = code
+        own = (speaks[bins] == code) & (doc[:-1] == doc[1:])
+        counts = np.bincount(bins[own], minlength=1 << BIN_BITS)
+        # Order by count, then by bin: a strict order, so no two neighbours both win.
         weight = np.zeros(len(code) + 2, np.int64)
-        weight[at + 1] = np.where(counts[which] >= MIN_COUNT, rank[which], 0)
         mid = weight[1:-1]
+        mid[own] = counts[bins[own]] << BIN_BITS | bins[own]
+        mid[mid < MIN_COUNT << BIN_BITS] = 0
         wins = np.flatnonzero((mid > weight[:-2]) & (mid >= weight[2:]))
-        if not len(wins):
-            break
-        won, code_of, times = np.unique(code[wins], return_inverse=True, return_counts=True)
-        room = MAX_SYMBOL - size
-        best = np.argsort(-times, kind="stable")[:room]
-        best = np.sort(best[times[best] >= 4])
+        times = np.bincount(bins[wins], minlength=1 << BIN_BITS)
+        best = np.flatnonzero(times >= MIN_WINS)
+        if len(best) > MAX_SYMBOL - size:
+            best = np.sort(best[np.argsort(-times[best], kind="stable")[: MAX_SYMBOL - size]])
         if not len(best):
             break
-        symbol = np.full(len(won), -1, np.int64)
+        symbol = np.full(1 << BIN_BITS, -1, np.int64)
         symbol[best] = size + np.arange(len(best))
-        new = np.stack([won[best] >> 16, won[best] & 0xFFFF], axis=1)
+        pairs = speaks[best]
+        new = np.stack([pairs >> 16, pairs & 0xFFFF], axis=1)
         rules.append(new)
         lengths = np.concatenate([lengths, lengths[new].sum(axis=1)])
         size += len(best)
-        keep = symbol[code_of] >= 0
-        wins = wins[keep]
-        seq[wins] = symbol[code_of][keep]
+        given = symbol[bins[wins]]
+        wins, given = wins[given >= 0], given[given >= 0]
+        seq[wins] = given
         left = np.ones(len(seq), bool)
         left[wins + 1] = False
         seq, doc = seq[left], doc[left]
@@ -161,14 +204,10 @@ class Shard:
         sizes = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
         self.sizes = np.concatenate([np.ones(self.base, np.int64), sizes])
         # All expansions end to end; a rule only names symbols made before it.
-        cells: list[np.ndarray] = []
+        cells = [i.to_bytes(2, "little") for i in range(self.base)]
         for left, right in rules.tolist():
-            cells.append(
-                np.concatenate(
-                    [cells[x - self.base] if x >= self.base else np.array([x], np.uint16) for x in (left, right)]
-                )
-            )
-        self.table = np.concatenate([np.arange(self.base, dtype=np.uint16), *cells])
+            cells.append(cells[left] + cells[right])
+        self.table = np.frombuffer(b"".join(cells), np.uint16)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:

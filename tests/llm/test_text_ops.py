@@ -86,7 +86,7 @@ def test_token_files_round_trip(spark):
 
 def test_words_equal_the_library():
     words = token_files.Words(BYTES)
-    texts = ["a  b", " lead", "trail ", "x\n y", "x \n y", "don't  stop　x", "a  b", "a\n  b", "<|endoftext|> a", "a<|endoftext|>", "\t", ""]
+    texts = ["a  b", " lead", "trail ", "x\n y", "x \n y", "don't  stop　x", "a  b", "a\n  b", "<|endoftext|> a", "a<|endoftext|>", "\t", "", "a\tb  c", "a\t \tc d", "one\ntwo three\nfour", "a\x1cb c"]
     want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, np.uint16).tolist() for x in words.encode(texts)] == want
 
