@@ -16,8 +16,9 @@ from .ranking import pad_with_first, ranking
 
 K1, B = 1.5, 0.75
 
-# Question terms up to this many rows travel to every task (about 60 bytes each).
+# Question terms up to this many rows, with texts of so many bytes, travel to every task.
 MAX_BROADCAST_TERMS = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
 # Up to this many rows, the terms are also written into the scan of the postings.
 MAX_LITERAL_TERMS = 1_000
 # Parts of a question's documents where its terms are too many to broadcast.
@@ -214,6 +215,10 @@ def saturation(index: LexicalIndex, k1: Column | float, b: Column | float) -> Co
     return F.col("f") * (k1 + 1.0) / (F.col("f") + k1 * (1.0 - b + b * relative))
 
 
+def term_bytes(terms: DataFrame) -> int:
+    return terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+
+
 def match_terms(
     index: LexicalIndex,
     weighted: DataFrame,
@@ -229,7 +234,8 @@ def match_terms(
     """
     asked = weighted.drop("df")
     n_asked = asked.count() if n_asked is None else n_asked
-    if n_asked <= max_broadcast:
+    # A term has no length limit, so the bytes of few terms are looked at as well.
+    if n_asked <= max_broadcast and term_bytes(asked) <= MAX_BROADCAST_BYTES:
         postings = index.postings
         if n_asked <= MAX_LITERAL_TERMS:
             # Literals reach the scan: the postings' files are sorted by term.

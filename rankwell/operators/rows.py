@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import file_bytes
 from ..sources.workspace import Workspace
 
 # monotonically_increasing_id keeps the partition above this many low bits.
 _ROW_BITS = 33
 
 TRAIN, TEST = "train", "test"
+PARTITION_BYTES = 64 << 20  # of files behind one range partition of numbered rows
 
 
 def dedup_first(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -36,12 +38,14 @@ def dense_id(
 
     Rows are range-partitioned and sorted; each takes its partition's offset plus its
     place inside. The sorted rows are written first, since range bounds are sampled
-    anew whenever a plan runs. Pass only the columns the result needs.
+    anew whenever a plan runs. Partitions follow the size of the files behind the rows.
+    Pass only the columns the result needs.
     """
     spark = df.sparkSession
     parts = max(
         spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions")),
+        -(-file_bytes(df) // PARTITION_BYTES),
     )
     placed = workspace.stage(
         name,

@@ -26,7 +26,7 @@ from ..operators import (
     neighbours,
     rows,
 )
-from ..operators.ranking import pad_with_first, top_k
+from ..operators.ranking import pad_with_first, ranking, top_k
 from ..sources import tables
 from ..sources.workspace import Workspace
 from ..streaming.questions import answer_stream, read_questions
@@ -169,8 +169,15 @@ class Inputs:
     def cosine(self, k: int) -> DataFrame:
         return neighbours.exact_topk(self.corpus, self.vector_questions, k, exclude_self=True)
 
+    @cached_property
+    def _routes(self) -> DataFrame:
+        return self.workspace.stage(
+            "routes", lambda: clustering.route(self.vector_questions, self.centroids, MAX_PROBES)
+        )
+
     def routes(self, n: int) -> DataFrame:
-        return clustering.route(self.vector_questions, self.centroids, n)
+        """The ``n`` nearest clusters of every question, read off those of the most probes."""
+        return self._routes.where(F.col("route_rank") <= n)
 
     def routed(self, k: int, n: int) -> DataFrame:
         return neighbours.routed_topk(
@@ -178,10 +185,21 @@ class Inputs:
         )
 
     def fused(self, k: int, weights: dict[str, float] | None = None) -> DataFrame:
+        depth = fusion.FUSION_DEPTH
+        rank = self._routes.select("query_id", "cluster", "route_rank")
+        # One search of the probed clusters holds the lists of fewer probes too.
+        probed = self.workspace.stage(
+            "probed",
+            lambda: neighbours.topk_per_cluster(
+                self.cluster_index, self._routes, depth, exclude_self=True
+            )
+            .drop("rank")
+            .join(rank, ["query_id", "cluster"]),
+        )
         parts = {
-            "cosine": self.cosine(fusion.FUSION_DEPTH),
-            "centroid_1": self.routed(fusion.FUSION_DEPTH, 1),
-            "centroid_3": self.routed(fusion.FUSION_DEPTH, MAX_PROBES),
+            "cosine": self.cosine(depth),
+            "centroid_1": ranking(probed.where("route_rank <= 1"), depth),
+            "centroid_3": ranking(probed, depth),
         }
         return fusion.fuse(parts, k, weights)
 

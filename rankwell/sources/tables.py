@@ -122,17 +122,20 @@ def question_answer_pairs(conversations: DataFrame) -> DataFrame:
     )
 
 
-def text_bytes(df: DataFrame, text: Column) -> int:
-    """Size of the tables behind a text column, for choosing a number of buckets.
-
-    Taken from the files that the plan reads, without a scan; tables of unknown size
-    (rows made by the driver) are summed up.
-    """
+def file_bytes(df: DataFrame) -> int:
+    """Size of the tables a plan reads, without a scan; 0 where it is not known."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
     unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
     total = 0
     while leaves.hasNext():
         total += int(str(leaves.next().stats().sizeInBytes()))
-    if total >= unknown:
-        total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return total
+    return total if total < unknown else 0
+
+
+def text_bytes(df: DataFrame, text: Column) -> int:
+    """Size of the tables behind a text column, for choosing a number of buckets.
+
+    Taken from the files that the plan reads; tables of unknown size (rows made by the
+    driver) are summed up.
+    """
+    return file_bytes(df) or df.agg(F.sum(F.octet_length(text))).first()[0] or 0
