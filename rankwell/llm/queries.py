@@ -87,6 +87,56 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+OP4_SQL = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (
+    SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS d FROM windows GROUP BY h),
+hits AS (SELECT doc_id, i, 1 AS hit FROM windows JOIN firsts USING (h) WHERE d < doc_id),
+places AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+marked AS (
+    SELECT doc_id, i, word,
+           coalesce(max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING), 0) AS gone
+    FROM places LEFT JOIN hits USING (doc_id, i)),
+kept AS (
+    SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed,
+           string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS words
+    FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(words, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS ws
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(
+        CASE WHEN len(ws) >= 5
+             THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+             WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] END) AS g
+    FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+    FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common >= 75 * (x.n + y.n - common)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION SELECT b, root FROM reach JOIN ways ON a = reach.doc_id),
+roots AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM roots LEFT JOIN sizes USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
@@ -115,4 +165,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk_search": op10_topk_search,
 }
 
-SQL: dict[str, str] = {"op10_topk_search": OP10_SQL}
+SQL: dict[str, str] = {
+    "op4_substring_dedup": OP4_SQL,
+    "op6_jaccard_join": OP6_SQL,
+    "op10_topk_search": OP10_SQL,
+}
