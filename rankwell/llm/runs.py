@@ -46,18 +46,16 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
-    """One row per block of texts: the anchor hashes of its runs, as binary."""
+def anchor_sketch(docs: DataFrame, unit: Unit, bits: int) -> Sketch:
+    """Sketch of the anchor hashes of all runs."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in tb.blocks(batch.column("text")):
-                one, _, bounds = unit.values(block)
-                grams = one.grams(unit.gram)
-                found = tb.Runs(grams, bounds, unit.length, unit.gram)
-                yield pa.record_batch([tb.binary(grams[found.anchor])], names=["hashes"])
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for block in tb.blocks(batch.column("text")):
+            one, _, bounds = unit.values(block)
+            grams = one.grams(unit.gram)
+            yield grams[tb.Runs(grams, bounds, unit.length, unit.gram).anchor]
 
-    return docs.select("text").mapInArrow(work, "hashes binary")
+    return Sketch.of(docs.select("text"), anchors, bits)
 
 
 def runs(

@@ -10,7 +10,7 @@ hashes through and never loses one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,8 +136,10 @@ class Sketch:
         return spark.sparkContext.broadcast(self.cells)
 
     @classmethod
-    def of(cls, hashes: DataFrame, bits: int = BITS) -> Sketch:
-        """Sketch of all hashes in the binary column ``hashes`` (64-bit each)."""
+    def of(
+        cls, rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS
+    ) -> Sketch:
+        """Sketch of all 64-bit hashes that ``hashes`` finds in the batches of ``rows``."""
         width = min(SLICE_BITS, bits)
         n_slices = 1 << (bits - width)
 
@@ -154,12 +156,12 @@ class Sketch:
                     yield from _sliced(cells[~third], width, row * n_slices)
 
             for batch in batches:
-                for cell in batch.column("hashes"):
-                    held.append(np.frombuffer(cell.as_buffer(), np.uint64))
-                    size += len(held[-1])
-                if size > 1_000_000:
-                    yield from out()
-                    held, size = [], 0
+                for found in hashes(batch):
+                    held.append(found)
+                    size += len(found)
+                    if size > 1_000_000:
+                        yield from out()
+                        held, size = [], 0
             yield from out()
 
-        return cls(Cells(_packed(hashes.mapInArrow(partial, SLICE), bits, width, DEPTH, 2), bits))
+        return cls(Cells(_packed(rows.mapInArrow(partial, SLICE), bits, width, DEPTH, 2), bits))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runs as rn
-from .sketch import BITS, Sketch
+from .sketch import BITS
 from .staging import staged
 
 WINDOW = 50
@@ -59,7 +59,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits:
     Neither changes the result.
     """
     unit = rn.Unit("word", window, gram)
-    sketch = Sketch.of(rn.anchors(docs, unit), bits)
+    sketch = rn.anchor_sketch(docs, unit, bits)
     found = staged(rn.runs(docs, unit, sketch, "windows"), "word_runs")
     first_of = staged(
         found.groupBy(*KEY).agg(

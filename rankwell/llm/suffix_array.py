@@ -19,7 +19,7 @@ MAX_LENGTH = 3_000_000
 def _named(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     """Order of the triples at ``at``, their names from 1, and whether all differ."""
     key = s[at] << (2 * NAME_BITS) | s[at + 1] << NAME_BITS | s[at + 2]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal triples get one name, so their order does not count
     ranked = key[order]
     new = np.ones(len(at), np.int64)
     new[1:] = ranked[1:] != ranked[:-1]
@@ -37,11 +37,15 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     n = len(symbols)
     if n > MAX_LENGTH:
         raise ValueError(f"at most {MAX_LENGTH} symbols at a time")
-    s = np.concatenate([symbols.astype(np.int64), np.zeros(4, np.int64)])
-    return _ordered(s, n, depth)
+    # Symbols renamed to 1, 2, ... in their order.
+    used = np.bincount(symbols) > 0
+    small = np.cumsum(used)
+    s = np.concatenate([small[symbols], np.zeros(4, np.int64)])
+    return _ordered(s, n, depth, int(small[-1]) if n else 0)
 
 
-def _ordered(s: np.ndarray, n: int, depth: float) -> np.ndarray:
+def _ordered(s: np.ndarray, n: int, depth: float, top: int) -> np.ndarray:
+    """``top``: the largest symbol."""
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:n].tolist()), np.int64)
     # One more place where n leaves rest 1, so that every place divisible by three has a
@@ -49,11 +53,17 @@ def _ordered(s: np.ndarray, n: int, depth: float) -> np.ndarray:
     one = np.arange(1, n + (n % 3 == 1), 3)
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    order, names, distinct = _named(s, sample)
+    bits = top.bit_length()
+    if 3 * bits < NAME_BITS and depth > 3:
+        # Few symbols: a triple written as one number is its own name, already in order.
+        names = (s[sample] << (2 * bits) | s[sample + 1] << bits | s[sample + 2]) + 1
+        order, distinct = sample, False
+    else:
+        order, names, distinct = _named(s, sample)
     if not distinct and depth > 3:
         # The mod-1 names, a gap that is less than any name, then the mod-2 names.
         string = np.concatenate([names[: len(one)], [0], names[len(one) :], [0, 0, 0, 0]])
-        below = _ordered(string, len(names) + 1, depth / 3)
+        below = _ordered(string, len(names) + 1, depth / 3, int(names.max()))
         below = below[below != len(one)]
         order = below - (below > len(one))
     rank = np.zeros(n + 4, np.int64)
@@ -61,7 +71,7 @@ def _ordered(s: np.ndarray, n: int, depth: float) -> np.ndarray:
     sampled = sample[order]
     sampled = sampled[sampled < n]
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(s[rest] << 32 | rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort(s[rest] << 32 | rank[rest + 1])]
     # How many sampled suffixes are less than each of the others.
     ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     less = np.searchsorted(s[ones] << 32 | rank[ones + 1], s[rest] << 32 | rank[rest + 1])

@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from . import runs as rn
 from . import textblocks as tb
-from .sketch import BITS, Sketch, marks
+from .sketch import BITS, marks
 from .staging import staged
 from .suffix_array import suffix_array
 
 LENGTH = 100
 GRAM = 24
-TEXT_BYTES = 2_000_000
+TEXT_BYTES = 300_000
 HIT, OPEN = 0, 1
 FOUND = "kind int, doc_id long, a int, b int, gram long, key1 long, key2 long"
 
@@ -54,23 +54,20 @@ def _groups(rows: list[tuple], length: int) -> tuple[np.ndarray, ...]:
     at = np.arange(len(data)) + np.repeat(np.arange(len(rows)), sizes)
     text[at] = data.astype(np.int64) + 2
     n = np.array([r[2] for r in rows], np.int64)
-    starts = np.zeros(len(text), bool)
-    rows_of = np.repeat(np.arange(len(rows)), n)
+    owner = np.repeat(np.arange(len(rows)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    places = begins[rows_of] + offset
-    starts[places] = True
-    doc, first = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-    doc[places] = np.array([r[0] for r in rows], np.int64)[rows_of]
-    first[places] = np.array([r[1] for r in rows], np.int64)[rows_of] + offset
+    window = np.full(len(text), -1, np.int64)  # number of the window that starts here
+    window[begins[owner] + offset] = np.arange(len(owner))
+    doc = np.array([r[0] for r in rows], np.int64)[owner]
+    first = np.array([r[1] for r in rows], np.int64)[owner] + offset
     order = suffix_array(text, length)
-    order = order[starts[order]]
+    order = order[window[order] >= 0]
     # Adjacent prefixes, compared by 128-bit keys of the window.
-    values = text.astype(np.uint64)
-    one, two = (tb.Rolling(tb.mix(values), seed)(order, order + length) for seed in (5, 6))
+    one, two = (tb.Rolling.of_bytes((text - 1).astype(np.uint8), seed)(order, order + length) for seed in (5, 6))
     new = np.ones(len(order), bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     group = np.cumsum(new)
-    doc, first = doc[order], first[order]
+    doc, first = doc[window[order]], first[window[order]]
     by = np.lexsort((first, doc, group))
     doc, first, one, two, group = doc[by], first[by], one[by], two[by], group[by]
     leads = np.ones(len(by), bool)
@@ -157,7 +154,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits:
     ``gram``, ``bits`` and ``text_bytes`` (of one suffix array) don't change the result.
     """
     unit = rn.Unit("byte", length, gram)
-    sketch = Sketch.of(rn.anchors(docs, unit), bits)
+    sketch = rn.anchor_sketch(docs, unit, bits)
     key = ["gram", "key1"]
     found = rn.runs(docs, unit, sketch).select(*key, "doc_id", "first", "n")
     classes = found.groupBy(*key).agg(F.min(F.struct("doc_id", "first")).alias("low"), F.count("*").alias("copies"))

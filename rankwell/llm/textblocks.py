@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 256 << 10
 U64 = np.uint64
 # Bits of an anchor key that hold the gram's place; the others hold its hash.
 PLACE_BITS = 26
