@@ -35,7 +35,7 @@ from .staging import staged
 SHINGLE = 5
 PERCENT = 75
 SLICE_TEXT_BYTES = 48 << 20
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 SIGNATURE_BITS = 1024
 TILE = 512
 # A band of set sizes spans this factor; partners lie in the same or the next band.
