@@ -35,7 +35,10 @@ LENGTH = 100
 GRAM = 24
 TEXT_BYTES = 300_000
 HIT, OPEN = 0, 1
-FOUND = "kind int, doc_id long, a int, b int, gram long, key1 long, key2 long"
+FOUND = "kind int, doc_id long, a int, b int, slice int, cells binary"
+SLICE_BYTES = 64 << 20
+#: An open window: its key, document and start.
+WINDOW = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("a", "<i8")])
 
 
 def _groups(rows: list[tuple], length: int) -> tuple[np.ndarray, ...]:
@@ -86,11 +89,11 @@ def _merged(doc: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray
     return doc[at], place[at], place[last] + length
 
 
-def _compared(content: DataFrame, length: int, limit: int) -> DataFrame:
+def _compared(content: DataFrame, length: int, limit: int, slice_bits: int) -> DataFrame:
     """Repeated windows among the runs of each anchor.
 
-    ``HIT``: a span of windows that start earlier too. ``OPEN``: a window that is the first
-    in its text, where its anchor has more texts.
+    ``HIT``: a span of windows that start earlier too. ``OPEN``: windows that are the first
+    in their text, where the anchor has more texts; packed, one row for a slice of the keys.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +108,12 @@ def _compared(content: DataFrame, length: int, limit: int) -> DataFrame:
                     continue
                 doc, first, one, two, leads = _groups([r[:4] for r in part], length)
                 d, a, b = _merged(doc[~leads], first[~leads], length)
-                yield _found(HIT, d, a, b)
+                yield _hits(d, a, b)
                 if i:
-                    yield _found(OPEN, doc[leads], first[leads], first[leads] + length, split, one[leads], two[leads])
+                    windows = np.zeros(int(leads.sum()), WINDOW)
+                    for name, x in zip(WINDOW.names, (one, two, doc, first)):
+                        windows[name] = x[leads]
+                    yield _open(windows, slice_bits)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "first", "n", "content", "gram")]
@@ -133,25 +139,54 @@ def _compared(content: DataFrame, length: int, limit: int) -> DataFrame:
     return dealt.mapInArrow(work, FOUND)
 
 
-def _found(kind, doc, a, b, gram=None, one=None, two=None) -> pa.RecordBatch:
+def _hits(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     n = len(doc)
+    columns = [pa.array(np.full(n, HIT, np.int32)), pa.array(doc), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))]
+    return pa.record_batch(
+        [*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=[c.split()[0] for c in FOUND.split(", ")]
+    )
 
-    def key(x):
-        return pa.array(x.view(np.int64)) if x is not None else pa.nulls(n, pa.int64())
 
+def _open(windows: np.ndarray, slice_bits: int) -> pa.RecordBatch:
+    part = (windows["one"] >> np.uint64(64 - slice_bits)).astype(np.int64) if slice_bits else np.zeros(len(windows), np.int64)
+    order = np.argsort(part, kind="stable")
+    full, first = np.unique(part[order], return_index=True)
+    cuts = np.append(first, len(windows))
+    cells = [windows[order[x:y]].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
+    n = len(full)
+    columns = [pa.array(np.full(n, OPEN, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())]
     return pa.record_batch(
-        [
-            pa.array(np.full(n, kind, np.int32)), pa.array(doc), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)),
-            pa.array(np.full(n, gram, np.int64)) if gram is not None else pa.nulls(n, pa.int64()), key(one), key(two),
-        ],
+        [*columns, pa.array(full.astype(np.int32)), pa.array(cells, pa.binary())],
         names=[c.split()[0] for c in FOUND.split(", ")],
-    )
+    )
+
+
+def _late(opened: DataFrame, length: int) -> DataFrame:
+    """Spans of open windows that start earlier in another text. A window comes at most
+    once from each text, so a slice holds no group larger than the number of texts."""
+
+    def settle(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        raw = b"".join(c.as_py() for batch in batches for c in batch.column("cells"))
+        x = np.frombuffer(raw, WINDOW)
+        x = x[np.lexsort((x["a"], x["doc"], x["two"], x["one"]))]
+        again = np.zeros(len(x), bool)
+        again[1:] = (x["one"][1:] == x["one"][:-1]) & (x["two"][1:] == x["two"][:-1])
+        d, a, b = _merged(x["doc"][again], x["a"][again], length)
+        yield pa.record_batch([pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "a", "b"])
+
+    return opened.select("slice", "cells").groupBy("slice").applyInArrow(settle, "doc_id long, a int, b int")
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = BITS, text_bytes: int = TEXT_BYTES) -> DataFrame:
+def removed_spans(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = BITS, text_bytes: int = TEXT_BYTES,
+    slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
     """``doc_id, spans``: byte spans covered by strings that start earlier.
 
-    ``gram``, ``bits`` and ``text_bytes`` (of one suffix array) don't change the result.
+    ``gram``, ``bits``, ``text_bytes`` (of one suffix array) and ``slice_bytes`` don't change
+    the result.
     """
     unit = rn.Unit("byte", length, gram)
     sketch = rn.anchor_sketch(docs, unit, bits)
@@ -172,14 +207,14 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits:
     # their text. A bitmap of bounded size picks them; what it lets through besides are
     # true occurrences too and change nothing.
     picked = classes.join(several, "gram", "left_semi").select("doc_id", "first")
+    picked = staged(picked, "picked")
     wanted = marks(picked, ["doc_id", "first"], bits)
+    most = picked.count() * (length - gram + 1) * WINDOW.itemsize  # of open windows
+    slice_bits = (most // slice_bytes).bit_length()
     content = rn.runs(docs, unit, sketch, "bytes", wanted)
-    compared = staged(_compared(content.select("gram", "doc_id", "first", "n", "content"), length, text_bytes), "compared")
+    compared = staged(_compared(content.select("gram", "doc_id", "first", "n", "content"), length, text_bytes, slice_bits), "compared")
     hits = compared.where(F.col("kind") == HIT).select("doc_id", "a", "b")
-    opened = compared.where(F.col("kind") == OPEN)
-    window = ["gram", "key1", "key2"]
-    lowest = opened.groupBy(*window).agg(F.min(F.struct("doc_id", "a")).alias("low"))
-    late = opened.join(lowest, window).where(F.struct("doc_id", "a") > F.col("low")).select("doc_id", "a", "b")
+    late = _late(compared.where(F.col("kind") == OPEN), length)
     return rn.spans_of(whole.unionAll(hits).unionAll(late), "a", "b")
 
 

@@ -30,7 +30,7 @@ def test_a_saturated_sketch_loses_nothing(spark):
     assert got == corpus.window_words(DOCS, 50)
 
 
-@pytest.mark.parametrize("options", [{}, {"text_bytes": 2_000, "bits": 16}, {"length": 30, "gram": 9, "bits": 18}])
+@pytest.mark.parametrize("options", [{}, {"text_bytes": 2_000, "bits": 16, "slice_bytes": 1 << 12}, {"length": 30, "gram": 9, "bits": 18}])
 def test_suffix_dedup_equals_brute_force(spark, options):
     got = _found(suffix_dedup.digest(suffix_dedup.suffix_dedup(corpus.frame(spark), **options)))
     assert got == corpus.repeated_bytes(DOCS, options.get("length", 100))
