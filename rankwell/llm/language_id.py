@@ -32,7 +32,7 @@ BINS = 1 << 16
 PRIOR = 0.05
 SWITCH = 12.0
 SCRIPT_SHARE = 0.01
-PART_BYTES = 8 << 20
+PART_BYTES = 3 << 20
 UNKNOWN = "und"
 NEW = ("lang_pred", "score", "n_spans", "spans")
 

@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from . import textblocks as tb
 
 MARK = "▁"  # stands for a space inside pieces
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 300_000
 REPLACEMENT = "�".encode()
 
 
