@@ -1,26 +1,32 @@
 """Benchmark decontamination: find test items in training texts, also edited copies.
 
-1. Every item is cut into word n-grams; their counts over all documents tell which are
-   rare. An item keeps its rarest half as seeds (never fewer than ``MIN_SEEDS`` of them),
-   so an item that leaked a million times is still found by its own words.
-2. Places where a document holds a seed are joined with the item; places close together
-   make a passage.
+1. The words of all items are counted over all documents. A copy that reaches the score
+   holds at least ``min_score`` of an item's words, so of any choice that leaves out fewer,
+   it holds some: an item keeps as seeds its rarest words that occur at all, just so many
+   that every such copy holds ``HITS`` of them (fewer only for very short items). The
+   choice is by rank inside the item, so one that leaked a million times is still found,
+   and words that edits destroyed take no place in it.
+2. Places where a document holds a seed are joined with the item; ``HITS`` places within the
+   reach of one copy make a passage. Passages with too few words of the item are out.
 3. Smith-Waterman alignment of passage and item over words (match 2, mismatch and gap -1)
    scores the passage: the best local score by the score of the whole item. Changed,
    dropped and added words only lower it.
 
+Steps 1 and 2 lose no document and item that step 3 would score at ``min_score`` or more.
+
 Words are runs of letters and digits of the lower-cased text; every byte beyond ASCII
 counts as a letter.
 
 The items come to the tasks in blocks of bounded bytes, one scan of the documents a block.
 
 Rows: null or empty texts match nothing; items without words match nothing; an item
-shorter than an n-gram is one seed. Equal items each match. Rows without id are dropped.
+shorter than ``GRAM`` words is one seed, the whole item. Equal items each match. Rows without id are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, floor
 from typing import NamedTuple
 
 import numpy as np
@@ -32,12 +38,13 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 
 GRAM = 3
-MIN_SEEDS = 4
+HITS = 4
 MIN_SCORE = 0.5
 BLOCK_BYTES = 8 << 20
 MATCH, OTHER, GAP = 2, -1, -1
 FILTER_BITS = 22
 ALIGN_CELLS = 1 << 22
+HELD_ROWS = 1 << 20
 MATCHES = "doc_id long, item_id long, score double, first_word int, last_word int"
 
 
@@ -59,10 +66,13 @@ def _grams(words: np.ndarray, size: int) -> np.ndarray:
 
 
 class Seeds(NamedTuple):
-    """Items of a block and their n-grams.
+    """Items of a block and their seeds.
 
-    ``items``: word hashes of each item; ``grams``: sorted distinct n-gram hashes;
-    ``bounds``, ``item``, ``place``: for each gram the items that hold it and where.
+    ``items``: word hashes of each item; ``grams``: sorted distinct hashes of their words
+    (of a short item, the whole); ``bounds``, ``item``, ``place``: for each gram the items
+    that have it as a seed and where; ``held``, ``times``: sorted keys of item and gram, and
+    how often the item holds the gram; ``least``: words a copy must hold; ``need``: seeds
+    among them; ``extra``: words that a copy may have more than the item.
     """
 
     ids: np.ndarray
@@ -71,7 +81,12 @@ class Seeds(NamedTuple):
     bounds: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    held: np.ndarray
+    times: np.ndarray
+    least: np.ndarray
     need: np.ndarray
+    extra: np.ndarray
+    short: list[int]
     sieve: np.ndarray
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,41 +100,55 @@ class Seeds(NamedTuple):
         return at[ok], number[ok]
 
 
-def _seeds(ids: np.ndarray, items: list[np.ndarray], size: int, chosen: list[np.ndarray] | None = None) -> Seeds:
-    grams, item, place = [], [], []
-    for i, words in enumerate(items):
-        found = _grams(words, min(size, len(words))) if len(words) else np.zeros(0, np.uint64)
-        at = np.arange(len(found)) if chosen is None else chosen[i]
-        grams.append(found[at])
-        item.append(np.full(len(at), i))
-        place.append(at)
-    flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    unique, first = np.unique(flat[order], return_index=True)
+def _least(words: int, size: int, min_score: float) -> int:
+    """Words of an item that each copy of ``min_score`` holds; of a short item, the one seed."""
+    return max(1, ceil(min_score * words - 1e-9)) if words >= size else 1
+
+
+def _seeds(ids: np.ndarray, items: list[np.ndarray], size: int, min_score: float, counts: np.ndarray | None = None) -> Seeds:
+    """Items with their rarest words by ``counts`` of all grams as seeds; without, no seeds."""
+    found = [_grams(w, 1 if len(w) >= size else len(w)) if len(w) else np.zeros(0, np.uint64) for w in items]
+    lengths = np.array([len(f) for f in found], np.int64)
+    flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    unique, number = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(items)), lengths)
+    held, times = np.unique(owner * max(len(unique), 1) + number, return_counts=True)
+    words = np.array([len(w) for w in items], np.int64)
+    least = np.array([_least(n, size, min_score) for n in words.tolist()], np.int64)
+    need = np.minimum(HITS, least)
+    chosen = [np.zeros(0, np.int64)]
+    ends = np.cumsum(lengths)
+    for i in range(len(items) if counts is not None else 0):
+        own = counts[number[ends[i] - lengths[i] : ends[i]]]
+        there = int((own > 0).sum())
+        if there >= least[i]:
+            rare = np.argsort(own, kind="stable")[len(own) - there :][: there - least[i] + need[i]]
+            chosen.append(ends[i] - lengths[i] + np.sort(rare))
+    at = np.concatenate(chosen)
+    at = at[np.argsort(number[at], kind="stable")]
     sieve = np.zeros(1 << FILTER_BITS, bool)
     sieve[(unique >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    counts = np.array([len(np.unique(g)) for g in grams], np.int64)
     return Seeds(
         ids,
         items,
         unique,
-        np.append(first, len(flat)),
-        np.concatenate(item)[order] if item else np.zeros(0, np.int64),
-        np.concatenate(place)[order] if place else np.zeros(0, np.int64),
-        np.minimum(2, counts),
+        np.searchsorted(number[at], np.arange(len(unique) + 1)),
+        owner[at],
+        at - (ends - lengths)[owner[at]],
+        held,
+        times,
+        least,
+        need,
+        np.array([floor(2 * n * (1 - min_score) + 1e-9) if n >= size else 0 for n in words.tolist()], np.int64),
+        sorted({n for n in words.tolist() if 1 < n < size}),
         sieve,
     )
 
 
-def _short_sizes(items: list[np.ndarray], size: int) -> list[int]:
-    """Lengths of items shorter than an n-gram, whose seed is the whole item."""
-    return sorted({len(w) for w in items if 0 < len(w) < size})
-
-
-def _hits(words: np.ndarray, bounds: np.ndarray, seeds: Seeds, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (of words) and gram numbers of all seeds inside documents."""
+def _hits(words: np.ndarray, bounds: np.ndarray, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of words) and numbers of all grams of items inside documents."""
     places, numbers = [], []
-    for k in [size, *_short_sizes(seeds.items, size)]:
+    for k in [1, *seeds.short]:
         at, number = seeds.find(_grams(words, k))
         doc = np.searchsorted(bounds, at, side="right") - 1
         ok = at + k <= bounds[doc + 1]
@@ -130,7 +159,7 @@ def _hits(words: np.ndarray, bounds: np.ndarray, seeds: Seeds, size: int) -> tup
     return place[order], number[order]
 
 
-def gram_counts(docs: DataFrame, seeds: Seeds, size: int) -> np.ndarray:
+def gram_counts(docs: DataFrame, seeds: Seeds) -> np.ndarray:
     """How often each gram of ``seeds`` occurs in all documents; one short row a gram."""
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
@@ -138,7 +167,7 @@ def gram_counts(docs: DataFrame, seeds: Seeds, size: int) -> np.ndarray:
         counts = np.zeros(len(sent.value.grams), np.int64)
         for batch in batches:
             for _, words, bounds in _hashed_words(batch.column("text"), tb.BLOCK_BYTES):
-                _, number = _hits(words, bounds, sent.value, size)
+                _, number = _hits(words, bounds, sent.value)
                 counts += np.bincount(number, minlength=len(counts))
         seen = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(seen), pa.array(counts[seen])], names=["gram", "n"])
@@ -150,19 +179,10 @@ def gram_counts(docs: DataFrame, seeds: Seeds, size: int) -> np.ndarray:
     return out
 
 
-def rare_seeds(docs: DataFrame, ids: np.ndarray, items: list[np.ndarray], size: int) -> Seeds:
-    """Each item's rarest half of n-grams by their counts over all documents."""
-    every = _seeds(ids, items, size)
-    counts = gram_counts(docs, every, size)
-    chosen = []
-    for words in items:
-        if not len(words):
-            chosen.append(np.zeros(0, np.int64))
-            continue
-        own = counts[np.searchsorted(every.grams, _grams(words, min(size, len(words))))]
-        take = max(min(MIN_SEEDS, len(own)), -(-len(own) // 2))
-        chosen.append(np.sort(np.argsort(own, kind="stable")[:take]))
-    return _seeds(ids, items, size, chosen)
+def rare_seeds(docs: DataFrame, ids: np.ndarray, items: list[np.ndarray], size: int, min_score: float) -> Seeds:
+    """Each item's rarest words by their counts over all documents."""
+    counts = gram_counts(docs, _seeds(ids, items, size, min_score))
+    return _seeds(ids, items, size, min_score, counts)
 
 
 def align(passages: list[np.ndarray], item: np.ndarray) -> np.ndarray:
@@ -188,31 +208,61 @@ def align(passages: list[np.ndarray], item: np.ndarray) -> np.ndarray:
     return best
 
 
-def _passages(place, number, bounds, seeds: Seeds) -> Iterator[tuple[int, int, int, int]]:
+def _passages(place, number, bounds, seeds: Seeds) -> list[tuple[int, int, int, int]]:
     """``doc, item, first, last``: word ranges around seeds that lie close together."""
-    if not len(place):
-        return
     times = np.diff(seeds.bounds)[number]
+    if not times.sum():
+        return []
     rows = np.arange(times.sum()) + np.repeat(seeds.bounds[:-1][number] - (np.cumsum(times) - times), times)
-    item, at = seeds.item[rows], seeds.place[rows]
-    where, gram = np.repeat(place, times), np.repeat(number, times)
+    item, where = seeds.item[rows], np.repeat(place, times)
+    begin = where - seeds.place[rows]  # where the item would begin
     doc = np.searchsorted(bounds, where, side="right") - 1
-    begin = where - at  # where the item would begin
     order = np.lexsort((where, item, doc))
-    doc, item, where, gram, begin = doc[order], item[order], where[order], gram[order], begin[order]
+    doc, item, where, begin = doc[order], item[order], where[order], begin[order]
+    # A place counts once, also where the item has its word several times.
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (where[1:] != where[:-1])
+    at = np.flatnonzero(new)
+    low, high = np.minimum.reduceat(begin, at), np.maximum.reduceat(begin, at)
+    doc, item, where = doc[at], item[at], where[at]
     size = np.array([len(w) for w in seeds.items], np.int64)
+    reach = size + seeds.extra
+    end = np.arange(len(doc)) + seeds.need[item] - 1
+    to = np.minimum(end, len(doc) - 1)
+    full = (end == to) & (doc[to] == doc) & (item[to] == item) & (where[to] - where <= reach[item])
+    edge = np.bincount(np.flatnonzero(full), minlength=len(doc) + 1) - np.bincount(end[full] + 1, minlength=len(doc) + 1)
+    keep = np.cumsum(edge)[:-1] > 0
+    if not keep.any():
+        return []
+    doc, item, where, low, high = doc[keep], item[keep], where[keep], low[keep], high[keep]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (where[1:] - where[:-1] > size[item[1:]])
-    cuts = np.append(np.flatnonzero(new), len(doc))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        i = int(item[a])
-        if b - a < seeds.need[i] or len(set(gram[a:b].tolist())) < seeds.need[i]:
-            continue
-        slack = int(size[i]) // 2 + 1
-        low, high = bounds[doc[a]], bounds[doc[a] + 1]
-        first = max(int(begin[a:b].min()) - slack, int(low))
-        last = min(int(begin[a:b].max()) + int(size[i]) + slack, int(high))
-        yield int(doc[a]), i, first, last
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (where[1:] - where[:-1] > reach[item[1:]])
+    at = np.flatnonzero(new)
+    doc, item = doc[at], item[at]
+    first = np.maximum(np.minimum.reduceat(low, at) - seeds.extra[item], bounds[doc])
+    last = np.minimum(np.maximum.reduceat(high, at) + reach[item], bounds[doc + 1])
+    enough = _held(place, number, item, first, last, seeds) >= seeds.least[item]
+    return list(zip(*(x[enough].tolist() for x in (doc, item, first, last))))
+
+
+def _held(place, number, item, first, last, seeds: Seeds) -> np.ndarray:
+    """How many words of its item each passage holds, in any order."""
+    a, b = np.searchsorted(place, first), np.searchsorted(place, last)
+    sums = np.cumsum(b - a)
+    out = np.zeros(len(item), np.int64)
+    low = 0
+    while low < len(item):
+        high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + HELD_ROWS, side="right")))
+        n = (b - a)[low:high]
+        rows = np.arange(n.sum()) + np.repeat(a[low:high] - (np.cumsum(n) - n), n)
+        passage = np.repeat(np.arange(low, high), n)
+        key = item[passage] * len(seeds.grams) + number[rows]
+        at = np.minimum(np.searchsorted(seeds.held, key), len(seeds.held) - 1)
+        same = seeds.held[at] == key
+        pair, times = np.unique(passage[same] * len(seeds.held) + at[same], return_counts=True)
+        np.add.at(out, pair // len(seeds.held), np.minimum(times, seeds.times[pair % len(seeds.held)]))
+        low = high
+    return out
 
 
 def _scored(found: list[tuple[int, int, int, int]], words: np.ndarray, seeds: Seeds) -> list[tuple[int, int, float, int, int]]:
@@ -234,7 +284,7 @@ def _scored(found: list[tuple[int, int, int, int]], words: np.ndarray, seeds: Se
     return out
 
 
-def matches_of(docs: DataFrame, seeds: Seeds, size: int, min_score: float) -> DataFrame:
+def matches_of(docs: DataFrame, seeds: Seeds, min_score: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +292,9 @@ def matches_of(docs: DataFrame, seeds: Seeds, size: int, min_score: float) -> Da
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for block, words, bounds in _hashed_words(batch.column("text"), tb.BLOCK_BYTES):
-                place, number = _hits(words, bounds, seeds, size)
+                place, number = _hits(words, bounds, seeds)
                 best: dict[tuple[int, int], tuple] = {}
-                for d, i, score, first, last in _scored(list(_passages(place, number, bounds, seeds)), words, seeds):
+                for d, i, score, first, last in _scored(_passages(place, number, bounds, seeds), words, seeds):
                     row = (score, -int(first - bounds[d]), int(last - bounds[d]))
                     if score >= min_score and row > best.get((d, i), (0.0,)):
                         best[d, i] = row
@@ -291,7 +341,7 @@ def find_matches(
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     out = None
     for ids, items in _item_blocks(benchmark, block_bytes):
-        found = matches_of(docs, rare_seeds(docs, ids, items, gram), gram, min_score)
+        found = matches_of(docs, rare_seeds(docs, ids, items, gram, min_score), min_score)
         out = found if out is None else out.unionAll(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], MATCHES)

@@ -5,6 +5,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,31 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     assert decontaminate.find_matches(frame, tests.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("beside", [False, True])
+def test_copies_with_many_edits_are_found(spark, beside):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    pick = lambda n: list(rng.choice(vocabulary, n))
+    item = pick(40)
+    docs = {}
+    for n in (3, 4, 5, 6):
+        edited = [f"new{n}x{i}" if i % n == n - 1 else w for i, w in enumerate(item)]
+        docs[n] = " ".join(pick(60) + edited + pick(60))
+    docs[7] = " ".join(pick(60) + [x for i, w in enumerate(item) for x in ([w, f"add{i}"] if i % 2 else [w])] + pick(60))
+    docs[8] = " ".join(pick(60) + [w for i, w in enumerate(item) if i % 3] + pick(60))
+    docs[9] = " ".join(pick(60) + item[20:] + pick(60))
+    docs |= {20: " ".join(item[:19]), 21: " ".join(pick(300)), 22: " ".join(sorted(item)), 23: " ".join(w for i, w in enumerate(item) for _ in range(3))}
+    if beside:
+        docs |= {30 + i: " ".join(item) for i in range(5)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.find_matches(frame, bench).collect()}
+    hashes = {d: next(decontaminate._hashed_words(pa.array([t]), 1 << 20))[1] for d, t in (docs | {0: " ".join(item)}).items()}
+    scores = {d: decontaminate.align([hashes[d]], hashes[0])[0] / 80 for d in docs}
+    assert {3, 4, 5, 6, 7, 8, 9} <= set(got)
+    assert got == {d: s for d, s in scores.items() if s >= 0.5}
+
+
 def test_alignment_equals_the_plain_recurrence():
     rng = np.random.default_rng(5)
     for _ in range(20):
