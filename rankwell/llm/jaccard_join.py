@@ -43,7 +43,7 @@ BAND = PERCENT / 100
 
 REPLY, SEVERAL, DOC, MEMBER = 0, 1, 2, 3
 SENT = "slice int, kind int, k1 binary, k2 binary, a binary, b binary, n binary, hashes binary"
-TOLD = "kind int, k1 long, k2 long, a long, b long, n int, sig binary"
+TOLD = "kind int, k1 long, k2 long, a long, b long, n int, sig binary, slice int"
 
 
 def _starts(keys: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def _send_shingles(sent, doc, hashes, ones, twos, slice_bits) -> None:
         sent.add(s, REPLY, one[a:b][run], two[a:b][run], held[a:b][run].astype(np.int32), None, times, low)
 
 
-def _told(kind, k1, k2, a, b, n, sig=None) -> pa.RecordBatch:
+def _told(slice_, kind, k1, k2, a, b, n, sig=None) -> pa.RecordBatch:
     size = len(k1)
 
     def long(x):
@@ -182,6 +182,7 @@ def _told(kind, k1, k2, a, b, n, sig=None) -> pa.RecordBatch:
         long(b),
         pa.array(np.asarray(n, np.int32)) if n is not None else pa.nulls(size, pa.int32()),
         tb.binary(sig.reshape(-1), np.arange(size + 1) * sig.shape[1]) if sig is not None else pa.nulls(size, pa.binary()),
+        pa.array(np.full(size, slice_, np.int32)),
     ]
     return pa.record_batch(columns, names=[c.split()[0] for c in TOLD.split(", ")])
 
@@ -189,7 +190,7 @@ def _told(kind, k1, k2, a, b, n, sig=None) -> pa.RecordBatch:
 def _answer(sent: DataFrame) -> DataFrame:
     """Classes of the shingles of each slice, told to the sets that hold them."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(slice_: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1s, k2s, dfs, times, lows = [], [], [], [], []
         for batch in batches:
             kinds = batch.column("kind").to_pylist()
@@ -202,9 +203,9 @@ def _answer(sent: DataFrame) -> DataFrame:
                 k1, k2 = cell("k1", i, np.uint64), cell("k2", i, np.uint64)
                 if kind == DOC:
                     sig = cell("hashes", i, np.uint8).reshape(len(k1), -1)
-                    yield _told(DOC, k1, k2, cell("a", i, np.int64), None, cell("n", i, np.int32), sig)
+                    yield _told(slice_, DOC, k1, k2, cell("a", i, np.int64), None, cell("n", i, np.int32), sig)
                 elif kind == MEMBER:
-                    yield _told(MEMBER, k1, k2, cell("a", i, np.uint64), cell("b", i, np.uint64), None)
+                    yield _told(slice_, MEMBER, k1, k2, cell("a", i, np.uint64), cell("b", i, np.uint64), None)
                 else:
                     k1s.append(k1)
                     k2s.append(k2)
@@ -242,12 +243,12 @@ def _answer(sent: DataFrame) -> DataFrame:
         for a in range(0, len(w), 100_000):
             x, y = w[a : a + 100_000], c[a : a + 100_000]
             kind = np.where(df[x] > 1, SEVERAL, REPLY)
-            yield _told(kind, one[x], two[x], unique[y], total[first][y], count[a : a + 100_000])
+            yield _told(slice_, kind, one[x], two[x], unique[y], total[first][y], count[a : a + 100_000])
 
     def one_slice(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
-        yield from work(batches)
+        yield from work(key[0].as_py(), batches)
 
     return sent.groupBy("slice").applyInArrow(one_slice, TOLD)
 
@@ -400,10 +401,14 @@ def jaccard_components(
     )
     member = told.where(F.col("kind") == MEMBER).select("k1", "k2", F.col("a").alias("m1"), F.col("b").alias("m2"))
     several = told.where(F.col("kind") == SEVERAL).join(member.distinct(), ["k1", "k2"])
+    # A set of several blocks is told the count of a slice once for each of its local
+    # classes there, always the same: it counts once a slice.
     parts = (
         told.where(F.col("kind") == REPLY)
-        .select("k1", "k2", F.col("a").alias("cls"), "n")
-        .unionAll(several.select(F.col("m1").alias("k1"), F.col("m2").alias("k2"), F.col("a").alias("cls"), "n"))
+        .select("k1", "k2", F.col("a").alias("cls"), "slice", "n")
+        .unionAll(several.select(F.col("m1").alias("k1"), F.col("m2").alias("k2"), F.col("a").alias("cls"), "slice", "n"))
+        .groupBy("k1", "k2", "cls", "slice")
+        .agg(F.max("n").alias("n"))
         .groupBy("k1", "k2", "cls")
         .agg(F.sum("n").alias("cnt"))
     )

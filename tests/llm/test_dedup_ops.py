@@ -72,6 +72,16 @@ def test_jaccard_of_chains_and_hot_groups(spark):
     assert got == corpus.linked(docs)
 
 
+def test_a_set_of_several_blocks_counts_once(spark, monkeypatch):
+    # Blocks of two texts: both sets, the first alone, the second alone.
+    one = " ".join(f"w{i:03}" for i in range(104))
+    other = " ".join([f"w{i:03}" for i in range(86)] + [f"x{i:03}" for i in range(18)])  # 82 of 118 shingles: 0.69
+    monkeypatch.setattr(jaccard_join, "GROUP_BYTES", 2 * len(one))
+    docs = list(enumerate([one, other, one, one, other, other]))
+    frame = spark.createDataFrame([(d, t, None, None, 0, None, 0, None, None, None) for d, t in docs], corpus.SCHEMA).coalesce(1)
+    assert _found(jaccard_join.jaccard_components(frame)) == corpus.linked(docs)
+
+
 def test_equal_ids_keep_one_row(spark):
     rows = [r for r in corpus.rows() if r[0] in (10, 12)] * 2
     got = _found(jaccard_join.jaccard_components(corpus.frame(spark, rows)))
