@@ -12,8 +12,11 @@ from . import (
     decontaminate,
     jaccard_join,
     language_id,
+    phrases,
+    pii,
     quality,
     sentencepiece_codec,
+    spelling,
     substring_dedup,
     suffix_dedup,
     token_files,
@@ -87,6 +90,20 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = pii.fit(pii.labelled_passages(docs))
+    return pii.digest(pii.find_spans(docs, weights))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH w AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -152,6 +169,39 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP12_SQL = r"""
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+    SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(ws) >= size),
+words AS (SELECT lang, count(*) AS n FROM grams WHERE size = 1 GROUP BY lang),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+    SELECT lang, phrase, size, a, k,
+           array_to_string(string_split(phrase, ' ')[1:k], ' ') AS one, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS two
+    FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE k < size),
+scored AS (
+    SELECT c.lang, c.phrase, c.size, c.a, c.k, x.a AS l, y.a AS r,
+           CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.one JOIN f y ON y.lang = c.lang AND y.phrase = c.two),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, phrase, max(a) AS longer
+    FROM (SELECT lang, a, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase
+          FROM f, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < size AND i + m - 1 <= size)
+    GROUP BY ALL),
+kept AS (
+    SELECT w.* FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
+    WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN words ON words.lang = ranked.lang WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
@@ -163,10 +213,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_token_files": op7_token_files,
     "op10_topk_search": op10_topk_search,
+    "op11_pii": op11_pii,
+    "op12_phrases": op12_phrases,
+    "op13_spelling": op13_spelling,
 }
 
 SQL: dict[str, str] = {
     "op4_substring_dedup": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op10_topk_search": OP10_SQL,
+    "op12_phrases": OP12_SQL,
 }
