@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .staging import ship
+
 
 ROLES = ("system", "user", "assistant")
 SEGMENT = 200
@@ -168,6 +170,7 @@ def render(turns: list[tuple[str, str]]) -> str:
 
 def format_transcripts(transcripts: DataFrame, model: Hmm, key: list[str], text: str = "transcript") -> DataFrame:
     """``key``, ``n_turns``, ``roles``, ``rendered`` of each transcript."""
+    ship(transcripts.sparkSession)
     sent = transcripts.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in transcripts.select(*key).schema)
 

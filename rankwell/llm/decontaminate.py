@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .staging import ship
 
 GRAM = 3
 HITS = 4
@@ -161,6 +162,7 @@ def _hits(words: np.ndarray, bounds: np.ndarray, seeds: Seeds) -> tuple[np.ndarr
 
 def gram_counts(docs: DataFrame, seeds: Seeds) -> np.ndarray:
     """How often each gram of ``seeds`` occurs in all documents; one short row a gram."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +287,7 @@ def _scored(found: list[tuple[int, int, int, int]], words: np.ndarray, seeds: Se
 
 
 def matches_of(docs: DataFrame, seeds: Seeds, min_score: float) -> DataFrame:
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

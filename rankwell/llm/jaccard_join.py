@@ -1,18 +1,20 @@
 """N-gram Jaccard join: documents whose word shingles overlap by a given share.
 
-1. Each block of texts sends its shingles to slices of the hash space, with the sets that
-   hold them. Shingles held by just the same sets form one class, so a set becomes a short
-   sorted array of (class, number of shingles), exact for every intersection. A shingle of
-   one set only can be in no overlap; sets with too many of these are out.
+1. Each block of texts sends its shingles (64-bit hashes) to slices of the hash space, with
+   the sets that hold them. Shingles held by just the same sets form one class, so a set
+   becomes a short sorted array of (class, number of shingles), exact for every
+   intersection. A shingle of one set only can be in no overlap; sets with too many of
+   these are out.
 2. Sets that can still overlap enough share a class among their rarest ones (prefix
    filter). Groups of such sets meet in tiles: cut by bands of set size, hot groups cut
    further by a hash, each pair of cuts one task. In a tile, bitmap signatures of hashed
    shingles bound each overlap from above: every bit that differs stands for at least one
    shingle that only one of the two has.
-3. What passes is compared exactly on the sorted arrays.
+3. What passes is compared exactly on the sorted arrays, in the tile.
 
 Only links that can join two components matter, so each group is first compared with one
-of its members, and tiles are made where a group still holds several components.
+of its members, and tiles are made where a group still holds several components. A tile
+keeps track of the components it has joined and gives fewer links than it has members.
 
 Rows: null texts and texts without words have an empty set, which links with nothing.
 Equal sets are one node. Rows without ``doc_id`` are dropped; a repeated ``doc_id`` is one
@@ -30,20 +32,21 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .components import components
-from .staging import staged
+from .staging import ship, staged
 
 SHINGLE = 5
 PERCENT = 75
-SLICE_TEXT_BYTES = 48 << 20
-GROUP_BYTES = 1 << 20
+SLICE_TEXT_BYTES = 16 << 20
+GROUP_BYTES = 2 << 20
 SIGNATURE_BITS = 1024
 TILE = 512
+TILE_CLASSES = 200_000  # entries of the sorted arrays on one side of a tile
 # A band of set sizes spans this factor; partners lie in the same or the next band.
 BAND = PERCENT / 100
 
 REPLY, SEVERAL, DOC, MEMBER = 0, 1, 2, 3
-SENT = "slice int, kind int, k1 binary, k2 binary, a binary, b binary, n binary, hashes binary"
-TOLD = "kind int, k1 long, k2 long, a long, b long, n int, sig binary, slice int"
+SENT = "slice int, kind int, key binary, a binary, b binary, n binary, hashes binary"
+TOLD = "kind int, key long, a long, b long, n int, sig binary, slice int"
 
 
 def _starts(keys: np.ndarray) -> np.ndarray:
@@ -81,18 +84,21 @@ class _Sent:
     def __init__(self):
         self.rows: list[tuple] = []
 
-    def add(self, slice_, kind, k1, k2, a=None, b=None, n=None, hashes=None):
-        cells = [None if x is None else np.ascontiguousarray(x).tobytes() for x in (k1, k2, a, b, n, hashes)]
+    def add(self, slice_, kind, key, a=None, b=None, n=None, hashes=None):
+        cells = [None if x is None else np.ascontiguousarray(x).tobytes() for x in (key, a, b, n, hashes)]
         self.rows.append((int(slice_), kind, *cells))
 
     def batch(self) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 6
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
         names = [c.split()[0] for c in SENT.split(", ")]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*self.rows), kinds)], names=names)
 
 
-def _send(docs: DataFrame, slice_bits: int, size: int) -> DataFrame:
+def _send(docs: DataFrame, slice_bits: int, size: int, seed: int) -> DataFrame:
+    """Sets and their shingles, cut by slices. A set's key is a hash of its shingles."""
     n_slices = 1 << slice_bits
+    salt = np.uint64(0xA5A5A5A5A5A5A5A5)
+    turn = np.uint64(seed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,8 +113,8 @@ def _send(docs: DataFrame, slice_bits: int, size: int) -> DataFrame:
                 twos = np.zeros(block.n, np.uint64)
                 if len(at):
                     length = counts.astype(np.uint64)
-                    ones[here] = tb.mix(np.add.reduceat(tb.mix(hashes), at) + length)
-                    twos[here] = tb.mix(np.add.reduceat(tb.mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at) - length)
+                    ones[here] = tb.mix(np.add.reduceat(tb.mix(hashes + turn), at) + length)
+                    twos[here] = tb.mix(np.add.reduceat(tb.mix(hashes ^ salt), at) - length)
                 n = np.zeros(block.n, np.int32)
                 n[here] = counts
                 signs = np.zeros((block.n, SIGNATURE_BITS // 8), np.uint8)
@@ -120,15 +126,16 @@ def _send(docs: DataFrame, slice_bits: int, size: int) -> DataFrame:
                 block_ids = ids[block.first : block.first + block.n]
                 for s in np.unique(to):
                     x = to == s
-                    sent.add(s, DOC, ones[x], twos[x], block_ids[x], None, n[x], signs[x])
+                    sent.add(s, DOC, ones[x], block_ids[x], twos[x], n[x], signs[x])
                 if len(at):
-                    _send_shingles(sent, doc, hashes, ones, twos, slice_bits)
+                    _send_shingles(sent, doc, hashes, ones, slice_bits)
                 yield sent.batch()
+        tb.give_back()
 
     return docs.mapInArrow(work, SENT)
 
 
-def _send_shingles(sent, doc, hashes, ones, twos, slice_bits) -> None:
+def _send_shingles(sent, doc, hashes, ones, slice_bits) -> None:
     n_slices = 1 << slice_bits
     # Equal sets of this block are one set.
     _, first_with = np.unique(ones, return_index=True)
@@ -140,44 +147,43 @@ def _send_shingles(sent, doc, hashes, ones, twos, slice_bits) -> None:
     doc, hashes = doc[order], hashes[order]
     at = _starts(hashes)
     held = np.diff(np.append(at, len(hashes)))
-    one, two = np.add.reduceat(ones[doc], at), np.add.reduceat(twos[doc], at)
+    key = np.add.reduceat(ones[doc], at)
     # Sets that share a shingle inside this block travel as one local class.
     shared = np.flatnonzero(held > 1)
     if len(shared):
-        _, pick = np.unique(one[shared], return_index=True)
+        _, pick = np.unique(key[shared], return_index=True)
         group = shared[pick]
-        to = (one[group] % np.uint64(n_slices)).astype(np.int64)
+        to = (key[group] % np.uint64(n_slices)).astype(np.int64)
         for s in np.unique(to):
             g = group[to == s]
             sizes = held[g]
             rows = np.arange(sizes.sum()) + np.repeat(at[g] - (np.cumsum(sizes) - sizes), sizes)
-            member = doc[rows]
-            sent.add(s, MEMBER, np.repeat(one[g], sizes), np.repeat(two[g], sizes), ones[member], twos[member])
+            sent.add(s, MEMBER, np.repeat(key[g], sizes), ones[doc[rows]])
     value = hashes[at]
     slice_ = (value >> np.uint64(64 - slice_bits)).astype(np.int64) if slice_bits else np.zeros(len(at), np.int64)
-    order = np.lexsort((one, slice_))
-    value, slice_, one, two, held = value[order], slice_[order], one[order], two[order], held[order]
-    cuts = np.searchsorted(slice_, np.arange(n_slices + 1))
-    for s in range(n_slices):
+    many = held > 1
+    order = np.lexsort((key, many, slice_))
+    value, key, held = value[order], key[order], held[order]
+    cuts = np.searchsorted(slice_[order] * 2 + many[order], np.arange(2 * n_slices + 1))
+    for s in range(2 * n_slices):
         a, b = cuts[s], cuts[s + 1]
         if a == b:
             continue
-        run = _starts(one[a:b])
+        run = _starts(key[a:b])
         times = np.diff(np.append(run, b - a)).astype(np.int32)
-        low = (value[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        sent.add(s, REPLY, one[a:b][run], two[a:b][run], held[a:b][run].astype(np.int32), None, times, low)
+        sizes = held[a:b][run].astype(np.int32) if s % 2 else None
+        sent.add(s // 2, SEVERAL if s % 2 else REPLY, key[a:b][run], sizes, None, times, value[a:b])
 
 
-def _told(slice_, kind, k1, k2, a, b, n, sig=None) -> pa.RecordBatch:
-    size = len(k1)
+def _told(slice_, kind, key, a, b, n, sig=None) -> pa.RecordBatch:
+    size = len(key)
 
     def long(x):
         return pa.array(np.ascontiguousarray(x).view(np.int64)) if x is not None else pa.nulls(size, pa.int64())
 
     columns = [
         pa.array(np.broadcast_to(np.asarray(kind, np.int32), size).copy()),
-        long(k1),
-        long(k2),
+        long(key),
         long(a),
         long(b),
         pa.array(np.asarray(n, np.int32)) if n is not None else pa.nulls(size, pa.int32()),
@@ -191,59 +197,70 @@ def _answer(sent: DataFrame) -> DataFrame:
     """Classes of the shingles of each slice, told to the sets that hold them."""
 
     def work(slice_: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k1s, k2s, dfs, times, lows = [], [], [], [], []
+        keys, dfs, times, values = [], [], [], []
         for batch in batches:
             kinds = batch.column("kind").to_pylist()
-            cells = {c: batch.column(c) for c in ("k1", "k2", "a", "b", "n", "hashes")}
+            cells = {c: batch.column(c) for c in ("key", "a", "b", "n", "hashes")}
 
             def cell(name, i, dtype):
                 return np.frombuffer(cells[name][i].as_buffer(), dtype)
 
             for i, kind in enumerate(kinds):
-                k1, k2 = cell("k1", i, np.uint64), cell("k2", i, np.uint64)
+                key = cell("key", i, np.uint64)
                 if kind == DOC:
-                    sig = cell("hashes", i, np.uint8).reshape(len(k1), -1)
-                    yield _told(slice_, DOC, k1, k2, cell("a", i, np.int64), None, cell("n", i, np.int32), sig)
+                    sig = cell("hashes", i, np.uint8).reshape(len(key), -1)
+                    yield _told(slice_, DOC, key, cell("a", i, np.int64), cell("b", i, np.uint64), cell("n", i, np.int32), sig)
                 elif kind == MEMBER:
-                    yield _told(slice_, MEMBER, k1, k2, cell("a", i, np.uint64), cell("b", i, np.uint64), None)
+                    yield _told(slice_, MEMBER, key, cell("a", i, np.uint64), None, None)
                 else:
-                    k1s.append(k1)
-                    k2s.append(k2)
-                    dfs.append(cell("a", i, np.int32))
-                    times.append(cell("n", i, np.int32))
-                    lows.append(cell("hashes", i, np.uint32))
-        if not k1s:
+                    keys.append(key.copy())
+                    dfs.append(cell("a", i, np.int32).copy() if kind == SEVERAL else np.ones(len(key), np.int32))
+                    times.append(cell("n", i, np.int32).copy())
+                    values.append(cell("hashes", i, np.uint64).copy())
+        if not keys:
+            return
+        one, df = np.concatenate(keys), np.concatenate(dfs)
+        one, pick, same = np.unique(one, return_index=True, return_inverse=True)
+        df = df[pick].astype(np.int64)
+        who = np.repeat(same.astype(np.int32), np.concatenate(times))
+        value = np.concatenate(values)
+        del keys, dfs, times, values, same
+        order = np.argsort(value)
+        value = value[order]
+        at = _starts(value)
+        del value
+        many = np.diff(np.append(at, len(order)))
+        code = np.repeat(np.arange(len(at), dtype=np.int32), many)
+        who = who[order]
+        del order
+        # A shingle that one set alone holds is in no overlap.
+        keep = (many[code] > 1) | (df[who] > 1)
+        key = code[keep].astype(np.uint64) << np.uint64(32) | who[keep].astype(np.uint64)
+        del code, who, keep, at, many
+        if not len(key):
             return
-        one, two, df = np.concatenate(k1s), np.concatenate(k2s), np.concatenate(dfs)
-        _, pick, same = np.unique(one, return_index=True, return_inverse=True)
-        one, two, df = one[pick], two[pick], df[pick].astype(np.int64)
-        who = np.repeat(same, np.concatenate(times))
-        key = np.concatenate(lows).astype(np.uint64) << np.uint64(32) | who.astype(np.uint64)
-        del lows, times, k1s, k2s, who
         key.sort()
         key = key[_starts(key)]
         who = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         at = _starts(key >> np.uint64(32))
         del key
         many = np.diff(np.append(at, len(who)))
-        total = np.add.reduceat(df[who], at)
-        keep = total > 1
-        at, many, total = at[keep], many[keep], total[keep]
+        keep = np.add.reduceat(df[who], at) > 1
+        at, many = at[keep], many[keep]
         if not len(at):
             return
         rows = np.arange(many.sum()) + np.repeat(at - (np.cumsum(many) - many), many)
         who = who[rows]
         begins = np.cumsum(many) - many
-        class_key = np.add.reduceat(one[who], begins)
-        unique, first, code = np.unique(class_key, return_index=True, return_inverse=True)
+        unique, code = np.unique(np.add.reduceat(one[who], begins), return_inverse=True)
         pair = who.astype(np.uint64) * np.uint64(len(unique)) + np.repeat(code, many).astype(np.uint64)
         pair, count = np.unique(pair, return_counts=True)
         w = (pair // np.uint64(len(unique))).astype(np.int64)
         c = (pair % np.uint64(len(unique))).astype(np.int64)
         for a in range(0, len(w), 100_000):
             x, y = w[a : a + 100_000], c[a : a + 100_000]
-            kind = np.where(df[x] > 1, SEVERAL, REPLY)
-            yield _told(slice_, kind, one[x], two[x], unique[y], total[first][y], count[a : a + 100_000])
+            yield _told(slice_, np.where(df[x] > 1, SEVERAL, REPLY), one[x], unique[y], None, count[a : a + 100_000])
+        tb.give_back()
 
     def one_slice(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
@@ -259,10 +276,10 @@ def _enough(total: str, n: str, percent: int):
 
 def _listed(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, n, sig, classes``: sets whose classes of two or more can reach the share."""
-    lists = parts.groupBy("k1", "k2").agg(
+    lists = parts.groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("cls", "cnt"))).alias("classes"), F.sum("cnt").alias("total")
     )
-    return lists.join(sets, ["k1", "k2"]).where(_enough("total", "n", percent)).select("node", "n", "sig", "classes")
+    return lists.join(sets, "key").where(_enough("total", "n", percent)).select("node", "n", "sig", "classes")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -326,59 +343,88 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(work, "a long, b long")
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+def _overlaps(classes: pa.ListArray, i: int, others: np.ndarray) -> np.ndarray:
+    """Size of the intersection of set ``i`` with each of ``others``, on the sorted arrays."""
+    offsets = classes.offsets.to_numpy()
+    flat = classes.values
+    cls, cnt = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("cls", "cnt"))
+    mine = cls[offsets[i] : offsets[i + 1]]
+    sizes = offsets[others + 1] - offsets[others]
+    ends = np.cumsum(sizes)
+    rows = np.arange(ends[-1]) + np.repeat(offsets[others] - (ends - sizes), sizes)
+    theirs = cls[rows]
+    hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+    return np.add.reduceat(np.where(hit, cnt[rows], 0), ends - sizes)
 
 
-def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a tile that size, component and signatures leave possible."""
+def tile_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links of a tile that join components: fewer than it has members.
 
+    Pairs that size, component and signatures leave possible are compared exactly; once
+    two components are joined, no pair of them is looked at again.
+    """
+    table = table.combine_chunks()
+    col = {c: table.column(c).to_numpy() for c in ("node", "n", "root", "side")}
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(col["n"]), -1)
+    classes = table.column("classes").chunk(0)
+    label = np.unique(col["root"], return_inverse=True)[1]
+    left, right = np.flatnonzero(col["side"] != 2), np.flatnonzero(col["side"] != 1)
+    within = table.column("same")[0].as_py()
+    m = col["n"][right].astype(np.int64)
+    found = []
+    for i in left:
+        n = int(col["n"][i])
+        ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (label[right] != label[i])
+        if within:
+            ok &= col["node"][right] > col["node"][i]
+        j = right[ok]
+        if not len(j):
+            continue
+        differ = np.bitwise_count(sig[j] ^ sig[i]).sum(axis=1, dtype=np.int64)
+        both = (n + m[ok] - differ) // 2  # the overlap is at most this
+        j = j[100 * both >= percent * (n + m[ok] - both)]
+        if not len(j):
+            continue
+        both = _overlaps(classes, i, j)
+        for k in j[100 * both >= percent * (n + col["n"][j] - both)]:
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                found.append((min(col["node"][i], col["node"][k]), max(col["node"][i], col["node"][k])))
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
     def tile(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in ("node", "n", "root", "side")}
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(col["n"]), -1)
-        left, right = np.flatnonzero(col["side"] != 2), np.flatnonzero(col["side"] != 1)
-        found = []
-        for i in left:
-            n, m = int(col["n"][i]), col["n"][right].astype(np.int64)
-            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (col["root"][right] != col["root"][i])
-            if table.column("same")[0].as_py():
-                ok &= col["node"][right] > col["node"][i]
-            j = right[ok]
-            if not len(j):
-                continue
-            differ = _ONES[sig[j] ^ sig[i]].sum(axis=1, dtype=np.int64)
-            both = (n + m[ok] - differ) // 2  # the overlap is at most this
-            j = j[100 * both >= percent * (n + m[ok] - both)]
-            a, b = np.minimum(col["node"][i], col["node"][j]), np.maximum(col["node"][i], col["node"][j])
-            found.append(np.stack([a, b]))
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": both[0].astype(np.int64), "b": both[1].astype(np.int64)})
+        return tile_links(table, percent)
 
     return rows.groupBy("cls", "band", "one", "next", "two").applyInArrow(tile, "a long, b long")
 
 
 def _tiles(members: DataFrame, tile: int) -> DataFrame:
-    """Rows of ``members (cls, node, n, root, sig)`` once for each tile they take part in."""
+    """Rows of ``members (cls, node, n, root, sig, classes)`` once for each tile they take part in."""
     banded = members.withColumn("band", F.floor(F.log("n") / F.lit(-float(np.log(BAND)))).cast("int"))
-    sizes = banded.groupBy("cls", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("cuts"))
+    room = F.greatest(F.count("*") / tile, F.sum(F.size("classes")) / TILE_CLASSES)
+    sizes = staged(banded.groupBy("cls", "band").agg(F.ceil(room).cast("int").alias("cuts")), "cuts")
     after = sizes.select("cls", (F.col("band") - 1).alias("band"), F.col("cuts").alias("after"))
     before = sizes.select("cls", (F.col("band") + 1).alias("band"), F.col("cuts").alias("before"))
-    plan = sizes.join(after, ["cls", "band"], "left").join(before, ["cls", "band"], "left")
+    plan = staged(sizes.join(after, ["cls", "band"], "left").join(before, ["cls", "band"], "left"), "plan")
     cut = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     rows = banded.join(plan, ["cls", "band"]).withColumn("cut", cut)
     within = rows.select(
         "*", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
     ).select(
-        "cls", "node", "n", "root", "sig", "band", F.least("cut", "other").alias("one"),
+        "cls", "node", "n", "root", "sig", "classes", "band", F.least("cut", "other").alias("one"),
         F.lit(0).alias("next"), F.greatest("cut", "other").alias("two"),
         F.when(F.col("cut") == F.col("other"), 0).when(F.col("cut") < F.col("other"), 1).otherwise(2).alias("side"),
         (F.col("cut") == F.col("other")).alias("same"),
     )
     upper = rows.where("after is not null").select(
-        "cls", "node", "n", "root", "sig", "band", F.col("cut").alias("one"), F.lit(1).alias("next"),
+        "cls", "node", "n", "root", "sig", "classes", "band", F.col("cut").alias("one"), F.lit(1).alias("next"),
         F.explode(F.sequence(F.lit(0), F.col("after") - 1)).alias("two"), F.lit(1).alias("side"), F.lit(False).alias("same"),
     )
     lower = rows.where("before is not null").select(
-        "cls", "node", "n", "root", "sig", (F.col("band") - 1).alias("band"),
+        "cls", "node", "n", "root", "sig", "classes", (F.col("band") - 1).alias("band"),
         F.explode(F.sequence(F.lit(0), F.col("before") - 1)).alias("one"), F.lit(1).alias("next"),
         F.col("cut").alias("two"), F.lit(2).alias("side"), F.lit(False).alias("same"),
     )
@@ -389,34 +435,41 @@ def jaccard_components(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tile: int = TILE
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: the least ``doc_id`` reachable by links."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slice_bits = max(0, int(size // SLICE_TEXT_BYTES)).bit_length()
-    told = staged(_answer(_send(docs, slice_bits, shingle)), "told")
+    seed = 0
+    while True:
+        told = staged(_answer(_send(docs, slice_bits, shingle, seed)), "told")
+        rows = told.where(F.col("kind") == DOC)
+        sets = rows.where("n > 0").groupBy("key").agg(
+            F.min("a").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("b").alias("b1"), F.max("b").alias("b2")
+        )
+        sets = staged(sets, "sets")
+        if sets.where("b1 != b2").isEmpty():
+            break
+        seed += 1  # two sets with one key: other keys
 
-    rows = told.where(F.col("kind") == DOC)
-    sets = staged(
-        rows.where("n > 0").groupBy("k1", "k2").agg(F.min("a").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")),
-        "sets",
-    )
-    member = told.where(F.col("kind") == MEMBER).select("k1", "k2", F.col("a").alias("m1"), F.col("b").alias("m2"))
-    several = told.where(F.col("kind") == SEVERAL).join(member.distinct(), ["k1", "k2"])
     # A set of several blocks is told the count of a slice once for each of its local
     # classes there, always the same: it counts once a slice.
+    member = staged(told.where(F.col("kind") == MEMBER).select("key", F.col("a").alias("member")).distinct(), "members")
+    several = told.where(F.col("kind") == SEVERAL).join(member, "key")
     parts = (
         told.where(F.col("kind") == REPLY)
-        .select("k1", "k2", F.col("a").alias("cls"), "slice", "n")
-        .unionAll(several.select(F.col("m1").alias("k1"), F.col("m2").alias("k2"), F.col("a").alias("cls"), "slice", "n"))
-        .groupBy("k1", "k2", "cls", "slice")
+        .select("key", F.col("a").alias("cls"), "slice", "n")
+        .unionAll(several.select(F.col("member").alias("key"), F.col("a").alias("cls"), "slice", "n"))
+        .repartition("key")  # once for all that follows by set
+        .groupBy("key", "cls", "slice")
         .agg(F.max("n").alias("n"))
-        .groupBy("k1", "k2", "cls")
+        .groupBy("key", "cls")
         .agg(F.sum("n").alias("cnt"))
     )
-    listed = staged(_listed(parts, sets, percent), "listed")
+    listed = staged(_listed(parts, sets.drop("b1", "b2"), percent), "listed")
 
     # Among what is left, classes are smaller: only those of two sets or more still count.
     exploded = listed.select("node", F.explode("classes").alias("x")).select("node", "x.cls", "x.cnt")
-    left = exploded.groupBy("cls").agg(F.count("*").alias("df")).where("df > 1")
+    left = staged(exploded.groupBy("cls").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     ranked = (
         exploded.join(left, "cls")
         .groupBy("node")
@@ -426,21 +479,21 @@ def jaccard_components(
     )
     prefixes = staged(_prefixes(ranked, percent), "prefixes")
 
-    # First each group against one member, then tiles where components still meet.
-    heads = prefixes.groupBy("cls").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("n_a"))
+    # First each group against one member, then tiles where components still meet. What is
+    # joined by class is written before, so that Spark can split a hot class.
+    heads = staged(prefixes.groupBy("cls").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("n_a")), "heads")
     close = F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent
     first_pairs = prefixes.join(heads, "cls").where("node != a").where(close).select("a", F.col("node").alias("b")).distinct()
     first_links = staged(_links(first_pairs, listed, percent), "first_links")
     roots = staged(components(first_links), "first_roots")
 
-    placed = prefixes.join(roots, "node", "left").select("cls", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("cls").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("cls")
-    meeting = placed.join(mixed, "cls").join(listed.select("node", "sig"), "node")
-    pairs = _tile_pairs(_tiles(staged(meeting, "meeting"), tile), percent).distinct()
-    more = _links(pairs, listed, percent)
+    placed = staged(prefixes.join(roots, "node", "left").select("cls", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
+    mixed = staged(placed.groupBy("cls").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("cls"), "mixed")
+    meeting = placed.join(mixed, "cls").join(listed.select("node", "sig", "classes"), "node")
+    more = _tile_links(_tiles(staged(meeting, "meeting"), tile), percent)
     found = components(staged(first_links.unionAll(more), "all_links"))
 
-    named = rows.join(sets.select("k1", "k2", "node"), ["k1", "k2"], "left")
+    named = rows.join(sets.select("key", "node"), "key", "left")
     return (
         named.join(found, "node", "left")
         .groupBy(F.col("a").alias("doc_id"))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .staging import ship
 
 SAMPLE_DOCS = 20_000
 BINS = 1 << 16
@@ -95,6 +96,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     The rows are picked by a hash of their ids, evenly over the table.
     """
+    ship(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
     n = rows.count()
     if n > sample_docs:
@@ -211,6 +213,7 @@ def label(
     ``score``: share of the letters in spans of ``lang_pred``. ``spans``: language, first
     and last word of each span, in order; left out without ``with_spans``.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())])
 

@@ -39,11 +39,11 @@ TOP = 2000
 SCALE = 2_000_000
 INSIDE_PERCENT = 80
 UNKNOWN = "und"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 TILE = 512
 HEAD_TILES = 8  # tiles with both numbers below this are dense
 SLICE_WORDS = 2_000_000
-FAN = 32
+FAN = 64
 
 BLOCK = "block long, lang string, n long, words array<string>, counts array<int>, codes binary"
 ENTRY = "home long, block long, n int, left binary, right binary, times binary"

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .staging import ship
 from .char_tagger import PAD, Decoder, Weights, symbols, train
 
 KINDS = ("email", "ip", "card", "phone")
@@ -169,6 +170,7 @@ def labelled_passages(docs: DataFrame, sample: int = SAMPLE_SPANS, sample_docs:
     Taken from about ``sample_docs`` documents, picked by a hash of their texts; never more
     than ``5 * sample`` short passages reach the driver.
     """
+    ship(docs.sparkSession)
     rows = docs.where("text is not null").select("text")
     n = rows.count()
     if n > sample_docs:
@@ -296,6 +298,7 @@ def _runs(tags: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def find_spans(docs: DataFrame, weights: Weights | None, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``spans``: kind, start, end and whether it is a base span."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     names = [f"_{i}" for i in range(len(keep))] + ["spans"]
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .staging import ship
 
 PASSAGE = 64
 SAMPLE_DOCS = 6_000
@@ -190,6 +191,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_passages: in
     Rows are picked evenly by a hash of their ids; of their passages no more than
     ``sample_passages`` reach the driver, documents taken in the order of that hash.
     """
+    ship(labelled.sparkSession)
     rows = labelled.where("quality is not null").select("doc_id", "text", F.col("quality").cast("int"))
     n = rows.count()
     if n > sample_docs:
@@ -219,6 +221,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_passages: in
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, n_passages, top_passage``: the passage with the largest weight."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

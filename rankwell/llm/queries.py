@@ -65,8 +65,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = sentencepiece_codec.encode(docs, path).select("doc_id", "ids")
-    return sentencepiece_codec.digest(sentencepiece_codec.decode(ids, path))
+    return sentencepiece_codec.digest(sentencepiece_codec.encode(docs, path, decoded="decoded"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

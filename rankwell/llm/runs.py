@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .staging import ship
 from .sketch import Marks, Sketch
 
 RUN_SCHEMA = "gram long, key1 long, key2 long, doc_id long, first int, n int"
@@ -48,6 +49,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def anchor_sketch(docs: DataFrame, unit: Unit, bits: int) -> Sketch:
     """Sketch of the anchor hashes of all runs."""
+    ship(docs.sparkSession)
 
     def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for block in tb.blocks(batch.column("text")):

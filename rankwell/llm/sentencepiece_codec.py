@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textblocks as tb
+from .staging import ship
 
 MARK = "▁"  # stands for a space inside pieces
 CACHE_WORDS = 150_000
+LONGEST_KEPT = 64  # characters of a word that is remembered
 CACHE_PAIRS = 300_000
 REPLACEMENT = "�".encode()
 
@@ -52,6 +54,7 @@ class Pieces:
         self.ids = {p: i for i, p in enumerate(self.texts) if i not in special}
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
         self.sizes = [len(p) for p in self.texts]
+        self.reach = max(map(len, self.ids))
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.automaton.add_word(p, i)
@@ -119,14 +122,16 @@ class Pieces:
         """Ids of a text of known characters, trying longer pieces first."""
         sizes, shorter, compatible, longest = self.sizes, self.shorter, self.compatible, self.longest
         n = len(text)
-        failed = 0  # bit p: no encoding goes on from place p
+        failed = bytearray((n >> 3) + 1)  # bit p: no encoding goes on from place p
         chosen: list[int] = []
         at, last = 0, -1
-        i = next(longest(text, 0))[1]
+        # A matcher copies what it is given, so it gets no more than a piece can take.
+        reach = self.reach
+        i = next(longest(text[:reach]))[1]
         while True:
             while i >= 0:
                 to = at + sizes[i]
-                if not failed >> to & 1 and (last < 0 or compatible(last, i)):
+                if not failed[to >> 3] >> (to & 7) & 1 and (last < 0 or compatible(last, i)):
                     break
                 i = shorter[i]
             if i >= 0:
@@ -134,11 +139,11 @@ class Pieces:
                 if to == n:
                     return chosen
                 at, last = to, i
-                i = next(longest(text, at))[1]
+                i = next(longest(text[at : at + reach]))[1]
             elif not chosen:
                 raise ValueError("no encoding: the model's pieces are not closed under merging")
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 i = chosen.pop()
                 at -= sizes[i]
                 last = chosen[-1] if chosen else -1
@@ -161,9 +166,10 @@ class _Words(dict):
         text = word[1:] if word[:1] == MARK else MARK + word
         cells = self.pieces.cells
         ids = b"".join([cells[i] for i in self.pieces.encode_part(text)])
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -198,22 +204,32 @@ def _outside(schema: T.StructType, *names: str) -> list[T.StructField]:
     return [f for f in schema.fields if f.name not in names]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column ``ids`` (array of int); a column of that name is replaced."""
-    kept = _outside(docs.schema, ids)
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with a column ``ids`` (array of int); a column of that name is replaced.
+
+    With ``decoded`` the ids are decoded again in the same pass, into a column so named.
+    """
+    ship(docs.sparkSession)
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    new += [T.StructField(decoded, T.StringType(), False)] if decoded else []
+    kept = _outside(docs.schema, *(f.name for f in new))
+    schema = T.StructType([*kept, *new])
+    field = pa.field("element", pa.int32(), nullable=False)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in tb.text_slices(batch, text):
                 cells = [encode_text(x, path) for x in texts]
-                ends = np.cumsum([0] + [len(c) // 4 for c in cells]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(cells), np.int32))
-                field = pa.field("element", pa.int32(), nullable=False)
-                column = pa.ListArray.from_arrays(pa.array(ends), values, type=pa.list_(field))
-                yield pa.record_batch([*(rows.column(f.name) for f in kept), column], names=schema.names)
+                ends = np.cumsum([0] + [len(c) // 4 for c in cells])
+                values = np.frombuffer(b"".join(cells), np.int32)
+                columns = [rows.column(f.name) for f in kept]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values), type=pa.list_(field)))
+                if decoded:
+                    columns.append(pa.array(decode_ids(values, ends, path), pa.string()))
+                yield pa.record_batch(columns, names=schema.names)
+        tb.give_back()
 
-    return docs.select(*(f.name for f in kept)).mapInArrow(work, schema)
+    return docs.select(*(f.name for f in kept), *([text] if text not in [f.name for f in kept] else [])).mapInArrow(work, schema)
 
 
 class _Surfaces:
@@ -265,13 +281,17 @@ def decode_ids(ids: np.ndarray, bounds: np.ndarray, path: str) -> list[str]:
     data = table.data[np.arange(ends[-1]) + shift].tobytes()
     out = []
     for a, b in zip(bounds[:-1], bounds[1:]):
-        first = int(ends[a]) + (1 if b > a and table.marked[ids[a]] else 0)
+        # Ids without a surface come before the text; the first one with a surface may
+        # begin with a mark.
+        seen = int(np.searchsorted(ends, ends[a], side="right")) - 1
+        first = int(ends[a]) + (1 if seen < b and table.marked[ids[seen]] else 0)
         out.append(_valid(data[first : int(ends[b])]))
     return out
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``rows`` with the text of ``ids``; null ids give an empty text."""
+    ship(rows.sparkSession)
     kept = _outside(rows.schema, text)
     schema = T.StructType([*kept, T.StructField(text, T.StringType(), False)])
     block = 1 << 19

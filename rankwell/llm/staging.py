@@ -41,6 +41,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     what several later steps use is computed once.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,8 @@ small; only a single longer document makes a larger block.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +21,13 @@ U64 = np.uint64
 PLACE_BITS = 26
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive tasks, stages and jobs."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Texts:
     """Documents of a block: UTF-8 bytes end to end, and where each begins."""
 

@@ -2,9 +2,9 @@
 
 Documents in ascending ``doc_id`` are dealt to shards of consecutive documents. A shard's
 id sequence is compressed by Re-Pair: pairs of neighbours that occur often are replaced by
-new symbols (nonterminals), again and again, until no pair is frequent. Here each round
-replaces all pairs that are locally the most frequent, so a shard takes a few array passes
-instead of one per rule. No rule spans two documents, so a document is a stretch of the
+new symbols (nonterminals), again and again, until no pair is frequent or the 16-bit
+symbols are used up. Here each round replaces all pairs that are locally the most frequent,
+so a shard takes some array passes instead of one per rule. No rule spans two documents, so a document is a stretch of the
 compressed sequence; with the expansion length of every rule, any stretch of ids is read
 without expanding what lies before it.
 
@@ -32,17 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textblocks as tb
-from .staging import staged
+from .staging import ship, staged
 
 END_ID = 2
 SHARD_TOKENS = 1_000_000
 PARTITION_BYTES = 16 << 20
-ROUNDS = 5
 MIN_COUNT = 8
 MIN_WINS = 4
 BIN_BITS = 21
 MAX_SYMBOL = 1 << 16
+FEW = 150_000  # places that are counted by sorting
 CACHE_WORDS = 1_000_000
+CACHE_BYTES = 64 << 20
 FIRST = "\0"  # marks a word that no space stands before
 SHARD = "shard long, doc_ids binary, bounds binary, symbols binary, rules binary, lengths binary, base int, n_tokens long"
 
@@ -67,14 +68,16 @@ class Words:
         # A byte-level piece is written with one character for each byte.
         self.sizes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.base)])
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes of words and ids in there
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint16).tobytes() for x in found]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
+        if len(self.known) + len(words) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         # A word follows a space, but for a line break and what FIRST marks.
         spaced = [w for w in words if w[0] != FIRST and w != "\n"]
         for a in range(0, len(spaced), 2_000):
@@ -82,6 +85,7 @@ class Words:
             self.known.update(zip(part, self._joined([" " + w for w in part])))
         others = [w for w in words if w[0] == FIRST or w == "\n"]
         self.known.update(zip(others, self._library([w.lstrip(FIRST) for w in others])))
+        self.held += sum(len(w) + len(self.known[w]) for w in words)
 
     def _joined(self, words: list[str]) -> list[bytes]:
         """Ids of words that begin with a space, encoded as one text: it falls apart at
@@ -106,7 +110,7 @@ class Words:
                 whole.append(i)
             else:
                 words = (FIRST + text).replace("\n", " \n " + FIRST).split(" ")
-                cells = [get(w) for w in words]
+                cells = list(map(get, words))
                 if None in cells:
                     gaps = [(j, words[j]) for j, cell in enumerate(cells) if cell is None]
                     missing.update([w for _, w in gaps])
@@ -141,52 +145,95 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)
+
+
+def _counted(code: np.ndarray, turn: int, speaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bin for each pair, and its count; -1 where another pair speaks for the bin."""
+    if len(code) <= FEW:
+        _, bins, counts = np.unique(code, return_inverse=True, return_counts=True)
+        return bins, counts[bins]
+    factor = np.uint32((0x9E3779B1 + 0x3C6EF372 * turn) & 0xFFFFFFFF)
+    bins = ((code * factor) >> np.uint32(32 - BIN_BITS)).astype(np.int32)
+    speaks[bins] = code
+    own = speaks[bins] == code
+    counts = np.bincount(bins[own], minlength=1 << BIN_BITS).astype(np.int32)
+    found = counts[bins]
+    found[~own] = -1
+    return bins, found
+
+
 def compress(ids: np.ndarray, bounds: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, new bounds, rules (pairs) and expansion lengths of a shard's ids.
 
-    A round counts pairs in a table of hashed bins, each of which speaks for one pair (the
-    last that came); pairs that lost their bin wait for another round.
+    Counts are kept up to date, not made anew: a pair that was counted and is not frequent
+    can never become so, hence a round looks only at the places of frequent pairs, at
+    those next to a replacement, and at those a table bin has not spoken for yet. It ends
+    when no place is left or all symbols are used.
     """
-    seq = ids.astype(np.int64)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    seq = ids.astype(np.uint32)
+    doc = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     rules: list[np.ndarray] = []
     size = base
     lengths = np.ones(base, np.int64)
-    speaks = np.full(1 << BIN_BITS, -1, np.int64)
-    for turn in range(ROUNDS):
-        if len(seq) < 2 or size >= MAX_SYMBOL:
+    speaks = np.zeros(1 << BIN_BITS, np.uint32)
+    around = np.zeros(len(seq) + 2, np.int64)
+    alive = np.ones(len(seq), bool)
+    alive[-1:] = False
+    alive[:-1] &= doc[:-1] == doc[1:]
+    turn = 0
+    while size < MAX_SYMBOL:
+        places = np.flatnonzero(alive)
+        if not len(places):
             break
-        code = seq[:-1] << 16 | seq[1:]
-        factor = np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
-        bins = ((code.astype(np.uint64) * factor) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
-        speaks[bins] = code
-        own = (speaks[bins] == code) & (doc[:-1] == doc[1:])
-        counts = np.bincount(bins[own], minlength=1 << BIN_BITS)
-        # Order by count, then by bin: a strict order, so no two neighbours both win.
-        weight = np.zeros(len(code) + 2, np.int64)
-        mid = weight[1:-1]
-        mid[own] = counts[bins[own]] << BIN_BITS | bins[own]
-        mid[mid < MIN_COUNT << BIN_BITS] = 0
-        wins = np.flatnonzero((mid > weight[:-2]) & (mid >= weight[2:]))
-        times = np.bincount(bins[wins], minlength=1 << BIN_BITS)
-        best = np.flatnonzero(times >= MIN_WINS)
+        code = seq[places] << np.uint32(16) | seq[places + 1]
+        bins, counts = _counted(code, turn, speaks)
+        turn += 1
+        some = counts >= MIN_COUNT
+        alive[places] = some | (counts < 0)
+        places = places[some]
+        if not len(places):
+            continue
+        # A strict order of pairs: among neighbours the greater one wins, and in a run of
+        # one pair ("aaaa") every second place does.
+        weight = counts[some].astype(np.int64) << BIN_BITS | bins[some]
+        around[places + 1] = weight
+        before, after = around[places], around[places + 2]
+        around[places + 1] = 0
+        wins = (weight > before) & (weight >= after)
+        inner = np.flatnonzero(before == weight)
+        if len(inner):
+            run = _starts(inner - np.arange(len(inner)))
+            number = np.arange(len(inner)) - np.repeat(run, np.diff(np.append(run, len(inner))))
+            inner = inner[number % 2 == 1]
+            wins[inner] = weight[inner] >= after[inner]
+        places = places[wins]
+        code = seq[places] << np.uint32(16) | seq[places + 1]
+        pairs, which, times = np.unique(code.astype(np.int64), return_inverse=True, return_counts=True)
+        best = np.flatnonzero(times >= min(MIN_WINS, times.max()))
         if len(best) > MAX_SYMBOL - size:
             best = np.sort(best[np.argsort(-times[best], kind="stable")[: MAX_SYMBOL - size]])
-        if not len(best):
-            break
-        symbol = np.full(1 << BIN_BITS, -1, np.int64)
+        symbol = np.full(len(pairs), -1, np.int64)
         symbol[best] = size + np.arange(len(best))
-        pairs = speaks[best]
-        new = np.stack([pairs >> 16, pairs & 0xFFFF], axis=1)
+        new = np.stack([pairs[best] >> 16, pairs[best] & 0xFFFF], axis=1)
         rules.append(new)
         lengths = np.concatenate([lengths, lengths[new].sum(axis=1)])
         size += len(best)
-        given = symbol[bins[wins]]
-        wins, given = wins[given >= 0], given[given >= 0]
-        seq[wins] = given
+        given = symbol[which]
+        places, given = places[given >= 0], given[given >= 0]
+        seq[places] = given
         left = np.ones(len(seq), bool)
-        left[wins + 1] = False
-        seq, doc = seq[left], doc[left]
+        left[places + 1] = False
+        seq, doc, alive = seq[left], doc[left], alive[left]
+        # What a new symbol makes with its neighbours has not been counted.
+        changed = places - np.arange(len(places))
+        alive[changed] = True
+        alive[np.maximum(changed - 1, 0)] = True
+        alive[-1:] = False
+        alive[:-1] &= doc[:-1] == doc[1:]
     bounds = np.searchsorted(doc, np.arange(len(bounds)))
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return seq.astype(np.uint16), bounds.astype(np.uint32), table.astype(np.uint16), lengths[base:].astype(np.uint32)
@@ -231,6 +278,7 @@ class Shard:
 
 def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode ``docs (doc_id, text)`` and write the shards; the table read back."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))
@@ -263,6 +311,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
                         held, ids, tokens, made = [], [], 0, made + 1
         if held:
             yield shard()
+        tb.give_back()
 
     part = (F.spark_partition_id().cast("long") * F.lit(1 << 32)).alias("part")
     shards = ordered.mapInArrow(work, SHARD).select(part, "*")

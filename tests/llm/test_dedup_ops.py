@@ -99,3 +99,36 @@ def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(20)] + [(50, 51), (51, 52), (60, 60)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
     assert got == {**{i: 0 for i in range(21)}, 50: 50, 51: 50, 52: 50}
+
+
+def test_a_pair_exactly_at_the_threshold_links(spark):
+    # 100,000 shingles, 75,000 of them shared: a collision of two would lose the link.
+    words = [f"w{i}" for i in range(100_004)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:75_004])), (3, " ".join(words[:75_003]))]
+    frame = spark.createDataFrame([(d, t, None, None, 0, None, 0, None, None, None) for d, t in docs], corpus.SCHEMA)
+    assert _found(jaccard_join.jaccard_components(frame)) == {1: (100_000, 1), 2: (75_000, 1), 3: (74_999, 1)}
+    apart = spark.createDataFrame([(d, t, None, None, 0, None, 0, None, None, None) for d, t in docs if d != 2], corpus.SCHEMA)
+    assert {d: c for d, (_, c) in _found(jaccard_join.jaccard_components(apart)).items()} == {1: 1, 3: 3}
+
+
+def test_a_tile_gives_fewer_links_than_members():
+    import pyarrow as pa
+
+    n = 60
+    base = np.arange(100)
+    sets = [np.sort(np.concatenate([base[: 95 + i % 3], 1000 + i * 10 + np.arange(3)])) for i in range(n)]
+    sets += [np.sort(np.concatenate([base[:30], 5000 + i * 100 + np.arange(70)])) for i in range(20)]
+    sig = jaccard_join._signatures(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets).astype(np.uint64), len(sets))
+    cells = [[{"cls": int(c), "cnt": 1} for c in s] for s in sets]
+    ids = np.arange(len(sets))
+    rows = {
+        "node": ids, "n": np.array([len(s) for s in sets], np.int32), "root": ids, "side": np.zeros(len(ids), np.int32),
+        "sig": pa.array([x.tobytes() for x in sig], pa.binary()), "same": np.ones(len(ids), bool),
+        "classes": pa.array(cells, pa.list_(pa.struct([("cls", pa.int64()), ("cnt", pa.int64())]))),
+    }
+    got = jaccard_join.tile_links(pa.table(rows), 75).to_pydict()
+    assert len(got["a"]) == n - 1
+    reached = {0}
+    for _ in range(n):
+        reached |= {b for a, b in zip(got["a"], got["b"]) if a in reached} | {a for a, b in zip(got["a"], got["b"]) if b in reached}
+    assert reached == set(range(n))

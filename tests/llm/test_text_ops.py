@@ -1,6 +1,7 @@
 """Language ID, quality, codec, token files, decontamination and chat formatting."""
 
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -47,6 +48,23 @@ def test_decoding_any_ids_equals_the_library(library, ids):
     assert got == [library.decode(ids)]
 
 
+def test_a_long_text_without_a_space_takes_linear_time(library):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 400_000))
+    began = time.process_time()
+    ids = np.frombuffer(sentencepiece_codec.encode_text(text, PIECES), np.int32)
+    assert time.process_time() - began < 10
+    assert ids.tolist() == library.encode(text)
+
+
+def test_one_pass_encodes_and_decodes(spark):
+    docs = corpus.frame(spark)
+    both = sentencepiece_codec.encode(docs, PIECES, decoded="kept")
+    apart = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, PIECES), PIECES)
+    assert [f for f in both.columns if f != "kept"] == [f for f in apart.columns if f not in ("kept", "decoded")]
+    assert {(r["doc_id"], tuple(r["ids"]), r["kept"]) for r in both.collect()} == {(r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in apart.collect()}
+
+
 def test_codec_keeps_columns_and_edge_cases(spark, library):
     docs = corpus.frame(spark)
     encoded = sentencepiece_codec.encode(docs, PIECES)
