@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-HIDDEN = 12
+HIDDEN = 8
 PAD = 0
 # Numbers of characters: 0 fills, 1-128 are ASCII, and one each stands for the Latin
 # letters, other letters and signs beyond.

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .components import components
+from .ranks import numbered
 from .staging import ship, staged
 
 SHINGLE = 5
@@ -159,20 +160,20 @@ def _send_shingles(sent, doc, hashes, ones, slice_bits) -> None:
             sizes = held[g]
             rows = np.arange(sizes.sum()) + np.repeat(at[g] - (np.cumsum(sizes) - sizes), sizes)
             sent.add(s, MEMBER, np.repeat(key[g], sizes), ones[doc[rows]])
+    # One row for each slice: its shingles in order as differences, each with the place of
+    # its holder in a short table.
     value = hashes[at]
-    slice_ = (value >> np.uint64(64 - slice_bits)).astype(np.int64) if slice_bits else np.zeros(len(at), np.int64)
-    many = held > 1
-    order = np.lexsort((key, many, slice_))
-    value, key, held = value[order], key[order], held[order]
-    cuts = np.searchsorted(slice_[order] * 2 + many[order], np.arange(2 * n_slices + 1))
-    for s in range(2 * n_slices):
-        a, b = cuts[s], cuts[s + 1]
+    cuts = np.searchsorted(value, np.arange(n_slices, dtype=np.uint64) << np.uint64(64 - slice_bits)) if slice_bits else [0]
+    for s, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(value)])):
         if a == b:
             continue
-        run = _starts(key[a:b])
-        times = np.diff(np.append(run, b - a)).astype(np.int32)
-        sizes = held[a:b][run].astype(np.int32) if s % 2 else None
-        sent.add(s // 2, SEVERAL if s % 2 else REPLY, key[a:b][run], sizes, None, times, value[a:b])
+        holders, pick, place = np.unique(key[a:b], return_index=True, return_inverse=True)
+        steps = np.diff(value[a:b], prepend=np.uint64(0))
+        sent.add(s, REPLY, holders, held[a:b][pick].astype(np.int32), None, tb.planes(place.astype(_places(len(holders)))), tb.planes(steps))
+
+
+def _places(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
 
 
 def _told(slice_, kind, key, a, b, n, sig=None) -> pa.RecordBatch:
@@ -197,7 +198,8 @@ def _answer(sent: DataFrame) -> DataFrame:
     """Classes of the shingles of each slice, told to the sets that hold them."""
 
     def work(slice_: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, dfs, times, values = [], [], [], []
+        keys, dfs, places, values = [], [], [], []
+        n_keys = 0
         for batch in batches:
             kinds = batch.column("kind").to_pylist()
             cells = {c: batch.column(c) for c in ("key", "a", "b", "n", "hashes")}
@@ -214,17 +216,18 @@ def _answer(sent: DataFrame) -> DataFrame:
                     yield _told(slice_, MEMBER, key, cell("a", i, np.uint64), None, None)
                 else:
                     keys.append(key.copy())
-                    dfs.append(cell("a", i, np.int32).copy() if kind == SEVERAL else np.ones(len(key), np.int32))
-                    times.append(cell("n", i, np.int32).copy())
-                    values.append(cell("hashes", i, np.uint64).copy())
+                    dfs.append(cell("a", i, np.int32).copy())
+                    places.append(tb.unplanes(cell("n", i, np.uint8), _places(len(key))).astype(np.int32) + n_keys)
+                    values.append(np.cumsum(tb.unplanes(cell("hashes", i, np.uint8), np.uint64)))
+                    n_keys += len(key)
         if not keys:
             return
         one, df = np.concatenate(keys), np.concatenate(dfs)
         one, pick, same = np.unique(one, return_index=True, return_inverse=True)
         df = df[pick].astype(np.int64)
-        who = np.repeat(same.astype(np.int32), np.concatenate(times))
+        who = same.astype(np.int32)[np.concatenate(places)]
         value = np.concatenate(values)
-        del keys, dfs, times, values, same
+        del keys, dfs, places, values, same
         order = np.argsort(value)
         value = value[order]
         at = _starts(value)
@@ -276,78 +279,78 @@ def _enough(total: str, n: str, percent: int):
 
 def _listed(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, n, sig, classes``: sets whose classes of two or more can reach the share."""
-    lists = parts.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("cls", "cnt"))).alias("classes"), F.sum("cnt").alias("total")
-    )
+    lists = parts.groupBy("key").agg(F.collect_list(F.struct("cls", "cnt")).alias("classes"), F.sum("cnt").alias("total"))
     return lists.join(sets, "key").where(_enough("total", "n", percent)).select("node", "n", "sig", "classes")
 
 
+PACKED = "node long, n int, sig binary, central double, ids binary, cnts binary"
+
+
+def _packed(ranked: DataFrame) -> DataFrame:
+    """Sets with their sorted arrays as bytes: differences of class numbers, and counts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("classes")
+            offsets = lists.offsets.to_numpy()
+            ids, cnts = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("id", "cnt"))
+            parts = [(np.diff(ids[a:b], prepend=0), cnts[a:b].astype(np.int32)) for a, b in zip(offsets, offsets[1:])]
+            cells = [pa.array([tb.planes(p[i]).tobytes() for p in parts], pa.binary()) for i in (0, 1)]
+            yield pa.record_batch([*(batch.column(c) for c in ("node", "n", "sig", "central")), *cells], names=[c.split()[0] for c in PACKED.split(", ")])
+
+    return ranked.select("node", "n", "sig", "central", "classes").mapInArrow(work, PACKED)
+
+
+def _arrays(batch: pa.RecordBatch | pa.Table, i: int, side: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Class numbers and counts of a row."""
+    ids, cnts = (np.frombuffer(batch.column(c + side)[i].as_buffer(), np.uint8) for c in ("ids", "cnts"))
+    return np.cumsum(tb.unplanes(ids, np.int64)), tb.unplanes(cnts, np.int32)
+
+
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``cls, node, n``: the rarest classes of a set, up to where the rest is too small.
+    """``cls, node, n, central``: the rarest classes of a set, up to where the rest is too small.
 
-    ``ranked`` is a set's list of ``(df, cls, cnt)`` in ascending order, one order for all.
+    Classes are numbered by ascending frequency, one order for all sets.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ranked")
-            lengths = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten()
-            cls = flat.field("cls").to_numpy(zero_copy_only=False)
-            cnt = flat.field("cnt").to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(lengths)
-            sums = np.concatenate([[0], np.cumsum(cnt)])
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            rest = sums[ends][row] - sums[:-1]
-            n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = rest * 100 >= n[row] * percent
-            node = batch.column("node").to_numpy(zero_copy_only=False)
+            kept = []
+            for i, n in enumerate(batch.column("n").to_pylist()):
+                ids, cnts = _arrays(batch, i)
+                rest = np.cumsum(cnts[::-1])[::-1]
+                kept.append(ids[rest * 100 >= n * percent])
+            rows = pa.array(np.repeat(np.arange(len(kept)), [len(k) for k in kept]))
             yield pa.record_batch(
-                [pa.array(cls[keep]), pa.array(node[row][keep]), pa.array(n[row][keep].astype(np.int32))],
-                names=["cls", "node", "n"],
+                [pa.array(np.concatenate(kept)), *(batch.column(c).take(rows) for c in ("node", "n", "central"))], names=["cls", "node", "n", "central"]
             )
 
-    return sets.select("node", "n", "ranked").mapInArrow(work, "cls long, node long, n int")
+    return sets.select("node", "n", "central", "ids", "cnts").mapInArrow(work, "cls long, node long, n int, central double")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs (a, b)`` whose exact intersection reaches the share of the union."""
 
     def side(name: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("classes").alias(f"c_{name}"))
+        return sets.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "ids", "cnts")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = {}
-            for s in "ab":
-                lists = batch.column(f"c_{s}")
-                flat = lists.flatten()
-                offsets = lists.offsets.to_numpy()
-                parts[s] = (
-                    flat.field("cls").to_numpy(zero_copy_only=False),
-                    flat.field("cnt").to_numpy(zero_copy_only=False),
-                    offsets - offsets[0],
-                )
-            (ca, na, oa), (cb, _, ob) = parts["a"], parts["b"]
             both = np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
-                left, right = ca[oa[i] : oa[i + 1]], cb[ob[i] : ob[i + 1]]
-                at = np.searchsorted(right, left)
-                hit = right[np.minimum(at, len(right) - 1)] == left
-                both[i] = na[oa[i] : oa[i + 1]][hit].sum()
+                left, cnts = _arrays(batch, i, "_a")
+                right, _ = _arrays(batch, i, "_b")
+                hit = right[np.minimum(np.searchsorted(right, left), len(right) - 1)] == left
+                both[i] = cnts[hit].sum()
             sizes = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
             keep = pa.array(100 * both >= percent * (sizes - both))
             yield pa.record_batch([batch.column(s).filter(keep) for s in "ab"], names=["a", "b"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "c_a", "c_b")
-    return joined.mapInArrow(work, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a long, b long")
 
 
-def _overlaps(classes: pa.ListArray, i: int, others: np.ndarray) -> np.ndarray:
+def _overlaps(cls: np.ndarray, cnt: np.ndarray, offsets: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
     """Size of the intersection of set ``i`` with each of ``others``, on the sorted arrays."""
-    offsets = classes.offsets.to_numpy()
-    flat = classes.values
-    cls, cnt = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("cls", "cnt"))
     mine = cls[offsets[i] : offsets[i + 1]]
     sizes = offsets[others + 1] - offsets[others]
     ends = np.cumsum(sizes)
@@ -366,7 +369,9 @@ def tile_links(table: pa.Table, percent: int) -> pa.Table:
     table = table.combine_chunks()
     col = {c: table.column(c).to_numpy() for c in ("node", "n", "root", "side")}
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(col["n"]), -1)
-    classes = table.column("classes").chunk(0)
+    arrays = [_arrays(table, i) for i in range(table.num_rows)]
+    offsets = np.cumsum([0] + [len(x) for x, _ in arrays])
+    cls, cnt = (np.concatenate(x) for x in zip(*arrays))
     label = np.unique(col["root"], return_inverse=True)[1]
     left, right = np.flatnonzero(col["side"] != 2), np.flatnonzero(col["side"] != 1)
     within = table.column("same")[0].as_py()
@@ -385,7 +390,7 @@ def tile_links(table: pa.Table, percent: int) -> pa.Table:
         j = j[100 * both >= percent * (n + m[ok] - both)]
         if not len(j):
             continue
-        both = _overlaps(classes, i, j)
+        both = _overlaps(cls, cnt, offsets, i, j)
         for k in j[100 * both >= percent * (n + col["n"][j] - both)]:
             if label[k] != label[i]:
                 label[label == label[k]] = label[i]
@@ -402,9 +407,9 @@ def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _tiles(members: DataFrame, tile: int) -> DataFrame:
-    """Rows of ``members (cls, node, n, root, sig, classes)`` once for each tile they take part in."""
+    """Rows of ``members (cls, node, n, root, sig, ids, cnts)`` once for each tile they take part in."""
     banded = members.withColumn("band", F.floor(F.log("n") / F.lit(-float(np.log(BAND)))).cast("int"))
-    room = F.greatest(F.count("*") / tile, F.sum(F.size("classes")) / TILE_CLASSES)
+    room = F.greatest(F.count("*") / tile, F.sum(F.length("cnts") / 4) / TILE_CLASSES)
     sizes = staged(banded.groupBy("cls", "band").agg(F.ceil(room).cast("int").alias("cuts")), "cuts")
     after = sizes.select("cls", (F.col("band") - 1).alias("band"), F.col("cuts").alias("after"))
     before = sizes.select("cls", (F.col("band") + 1).alias("band"), F.col("cuts").alias("before"))
@@ -414,17 +419,17 @@ def _tiles(members: DataFrame, tile: int) -> DataFrame:
     within = rows.select(
         "*", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
     ).select(
-        "cls", "node", "n", "root", "sig", "classes", "band", F.least("cut", "other").alias("one"),
+        "cls", "node", "n", "root", "sig", "ids", "cnts", "band", F.least("cut", "other").alias("one"),
         F.lit(0).alias("next"), F.greatest("cut", "other").alias("two"),
         F.when(F.col("cut") == F.col("other"), 0).when(F.col("cut") < F.col("other"), 1).otherwise(2).alias("side"),
         (F.col("cut") == F.col("other")).alias("same"),
     )
     upper = rows.where("after is not null").select(
-        "cls", "node", "n", "root", "sig", "classes", "band", F.col("cut").alias("one"), F.lit(1).alias("next"),
+        "cls", "node", "n", "root", "sig", "ids", "cnts", "band", F.col("cut").alias("one"), F.lit(1).alias("next"),
         F.explode(F.sequence(F.lit(0), F.col("after") - 1)).alias("two"), F.lit(1).alias("side"), F.lit(False).alias("same"),
     )
     lower = rows.where("before is not null").select(
-        "cls", "node", "n", "root", "sig", "classes", (F.col("band") - 1).alias("band"),
+        "cls", "node", "n", "root", "sig", "ids", "cnts", (F.col("band") - 1).alias("band"),
         F.explode(F.sequence(F.lit(0), F.col("before") - 1)).alias("one"), F.lit(1).alias("next"),
         F.col("cut").alias("two"), F.lit(2).alias("side"), F.lit(False).alias("same"),
     )
@@ -468,28 +473,39 @@ def jaccard_components(
     listed = staged(_listed(parts, sets.drop("b1", "b2"), percent), "listed")
 
     # Among what is left, classes are smaller: only those of two sets or more still count.
+    # They are numbered by frequency, so sorted arrays are short differences.
     exploded = listed.select("node", F.explode("classes").alias("x")).select("node", "x.cls", "x.cnt")
     left = staged(exploded.groupBy("cls").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    classes = staged(numbered(left, [F.col("df"), F.col("cls")]), "classes")
     ranked = (
-        exploded.join(left, "cls")
+        exploded.join(classes, "cls")
         .groupBy("node")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "cls", "cnt"))).alias("ranked"), F.sum("cnt").alias("total"))
-        .join(listed.select("node", "n"), "node")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("id", "cnt"))).alias("classes"),
+            F.sum("cnt").alias("total"),
+            F.sum(F.col("cnt") * F.col("df")).alias("met"),
+        )
+        .join(listed.select("node", "n", "sig"), "node")
         .where(_enough("total", "n", percent))
+        .withColumn("central", F.col("met") / F.col("n"))
     )
-    prefixes = staged(_prefixes(ranked, percent), "prefixes")
-
-    # First each group against one member, then tiles where components still meet. What is
-    # joined by class is written before, so that Spark can split a hot class.
-    heads = staged(prefixes.groupBy("cls").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("n_a")), "heads")
+    packed = staged(_packed(ranked), "packed")
+    prefixes = staged(_prefixes(packed, percent), "prefixes")
+
+    # First each group against one member, the one whose shingles most others hold; then
+    # tiles where components still meet. What is joined by class is written before, so that
+    # Spark can split a hot class.
+    chosen = F.max(F.struct("central", (-F.col("node")).alias("node"), "n")).alias("x")
+    heads = prefixes.groupBy("cls").agg(chosen).select("cls", (-F.col("x.node")).alias("a"), F.col("x.n").alias("n_a"))
+    heads = staged(heads, "heads")
     close = F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent
     first_pairs = prefixes.join(heads, "cls").where("node != a").where(close).select("a", F.col("node").alias("b")).distinct()
-    first_links = staged(_links(first_pairs, listed, percent), "first_links")
+    first_links = staged(_links(first_pairs, packed, percent), "first_links")
     roots = staged(components(first_links), "first_roots")
 
     placed = staged(prefixes.join(roots, "node", "left").select("cls", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
     mixed = staged(placed.groupBy("cls").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("cls"), "mixed")
-    meeting = placed.join(mixed, "cls").join(listed.select("node", "sig", "classes"), "node")
+    meeting = placed.join(mixed, "cls").join(packed.select("node", "sig", "ids", "cnts"), "node")
     more = _tile_links(_tiles(staged(meeting, "meeting"), tile), percent)
     found = components(staged(first_links.unionAll(more), "all_links"))
 

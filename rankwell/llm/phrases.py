@@ -43,6 +43,7 @@ BLOCK_BYTES = 1 << 20
 TILE = 512
 HEAD_TILES = 8  # tiles with both numbers below this are dense
 SLICE_WORDS = 2_000_000
+PART_WORDS = 1_000_000  # of the blocks of one task
 FAN = 64
 
 BLOCK = "block long, lang string, n long, words array<string>, counts array<int>, codes binary"
@@ -101,6 +102,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                     kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
                     yield pa.record_batch([pa.array([c], k) for c, k in zip(cells, kinds)], names=[c.split()[0] for c in BLOCK.split(", ")])
                     made += 1
+        tb.give_back()
 
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     return rows.mapInArrow(work, BLOCK)
@@ -110,10 +112,11 @@ def _int64(column: pa.Array, i: int) -> np.ndarray:
     return np.frombuffer(column[i].as_buffer(), np.int64)
 
 
-def _sequences(held: DataFrame, words: DataFrame) -> DataFrame:
+def _sequences(held: DataFrame, words: DataFrame, parts: int) -> DataFrame:
     """``block, unit, word``: the ids of frequent words, others and cuts as -1."""
     local = held.select("block", "lang", F.posexplode("words").alias("code", "word"))
-    known = local.join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("known"))
+    known = local.join(words, ["lang", "word"]).select("block", "code", "id").repartition(parts, "block")
+    known = known.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("known"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,8 +131,9 @@ def _sequences(held: DataFrame, words: DataFrame) -> DataFrame:
                 keep[1:] |= ids[:-1] >= 0
                 ids = ids[keep]
                 yield _sequence_row(batch.column("block")[i].as_py(), ids, ids)
+        tb.give_back()
 
-    return held.select("block", "codes").join(known, "block").mapInArrow(work, "block long, unit binary, word binary")
+    return held.select("block", "codes").repartition(parts, "block").join(known, "block").mapInArrow(work, "block long, unit binary, word binary")
 
 
 def _sequence_row(block: int, unit: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
@@ -190,6 +194,7 @@ def _entries(sequences: DataFrame, size: int, slices: int) -> DataFrame:
                 block = batch.column("block")[i].as_py()
                 for part in np.split(order, cuts):
                     yield _entry(int(home[part[0]]), block, left[part], right[part], times[part])
+        tb.give_back()
 
     return sequences.mapInArrow(work, ENTRY)
 
@@ -237,7 +242,7 @@ def _frequent(entries: DataFrame, n_blocks: int, min_count: int) -> DataFrame:
     return entries.groupBy("home").applyInArrow(total, "left long, right long, a long")
 
 
-def _longer(sequences: DataFrame, entries: DataFrame, units: DataFrame, size: int) -> DataFrame:
+def _longer(sequences: DataFrame, entries: DataFrame, units: DataFrame, size: int, parts: int) -> DataFrame:
     """Sequences whose units are the frequent phrases of ``size + 1`` words.
 
     Each block looks up the pairs it holds, one row for each distinct one.
@@ -251,7 +256,7 @@ def _longer(sequences: DataFrame, entries: DataFrame, units: DataFrame, size: in
                 yield pa.record_batch([pa.array(block), pa.array(left), pa.array(_int64(batch.column("right"), i))], names=["block", "left", "right"])
 
     asked = entries.mapInArrow(pairs, "block long, left long, right long")
-    known = asked.join(units.select("left", "right", "id"), ["left", "right"])
+    known = asked.join(units.select("left", "right", "id"), ["left", "right"]).repartition(parts, "block")
     known = known.groupBy("block").agg(F.collect_list(F.struct("left", "right", "id")).alias("known"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +284,9 @@ def _longer(sequences: DataFrame, entries: DataFrame, units: DataFrame, size: in
                 for shift in range(size + 2):
                     keep[shift:] |= new[: len(new) - shift] >= 0
                 yield _sequence_row(batch.column("block")[i].as_py(), new[keep], word[keep])
+        tb.give_back()
 
-    return sequences.join(known, "block").mapInArrow(work, "block long, unit binary, word binary")
+    return sequences.repartition(parts, "block").join(known, "block").mapInArrow(work, "block long, unit binary, word binary")
 
 
 def frequent_phrases(held: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
@@ -290,10 +296,11 @@ def frequent_phrases(held: DataFrame, min_count: int = MIN_COUNT, longest: int =
     """
     n_blocks, n_words = held.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     slices = max(1, -(-n_words // SLICE_WORDS))
+    parts = max(held.sparkSession.sparkContext.defaultParallelism, -(-n_words // PART_WORDS))
     each = held.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", "x.words", "x.counts")
     counted = each.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("a")).where(F.col("a") >= min_count)
     words = staged(numbered(staged(counted, "words"), [F.desc("a"), F.col("lang"), F.col("word")]), "word_ids")
-    sequences = staged(_sequences(held, words.select("lang", "word", "id")), "sequences")
+    sequences = staged(_sequences(held, words.select("lang", "word", "id"), parts), "sequences")
 
     phrases = words.select("id", "lang", F.col("word").alias("phrase"), "a")
     found = [phrases.select("lang", "phrase", F.lit(1).alias("size"), "a")]
@@ -306,7 +313,7 @@ def frequent_phrases(held: DataFrame, min_count: int = MIN_COUNT, longest: int =
         phrases = staged(named.select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "a"), "phrases")
         found.append(phrases.select("lang", "phrase", F.lit(size + 1).alias("size"), "a"))
         if size + 1 < longest:
-            sequences = staged(_longer(sequences, entries, units, size), "sequences")
+            sequences = staged(_longer(sequences, entries, units, size, parts), "sequences")
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)

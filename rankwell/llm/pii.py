@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .staging import ship
+from .staging import ship, staged
 from .char_tagger import PAD, Decoder, Weights, symbols, train
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,10 +38,10 @@ SAMPLE_SPANS = 400
 SAMPLE_DOCS = 40_000
 AROUND = 40
 TRAIN_WINDOW = 120
-STEPS = 320
-WINDOW = 320
+STEPS = 400
+WINDOW = 640
 OVERLAP = 64
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 1 << 20
 SPAN = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -201,7 +201,7 @@ def labelled_passages(docs: DataFrame, sample: int = SAMPLE_SPANS, sample_docs:
             )
 
     schema = "kind int, passage string, spans array<struct<s: int, k: int, e: int>>"
-    found = rows.mapInArrow(work, schema).dropDuplicates(["kind", "passage"])
+    found = staged(rows.mapInArrow(work, schema), "passages").dropDuplicates(["kind", "passage"])
     first = None
     for kind in range(len(KINDS) + 1):
         part = found.where(F.col("kind") == kind).orderBy(F.xxhash64("passage"), "passage").limit(sample)

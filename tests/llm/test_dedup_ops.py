@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import corpus  # noqa: E402
 
 from rankwell.llm import components, jaccard_join, substring_dedup, suffix_dedup  # noqa: E402
+from rankwell.llm import textblocks as tb  # noqa: E402
 from rankwell.llm.suffix_array import suffix_array  # noqa: E402
 
 DOCS = list(corpus.texts().items())
@@ -119,12 +120,12 @@ def test_a_tile_gives_fewer_links_than_members():
     sets = [np.sort(np.concatenate([base[: 95 + i % 3], 1000 + i * 10 + np.arange(3)])) for i in range(n)]
     sets += [np.sort(np.concatenate([base[:30], 5000 + i * 100 + np.arange(70)])) for i in range(20)]
     sig = jaccard_join._signatures(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets).astype(np.uint64), len(sets))
-    cells = [[{"cls": int(c), "cnt": 1} for c in s] for s in sets]
     ids = np.arange(len(sets))
     rows = {
         "node": ids, "n": np.array([len(s) for s in sets], np.int32), "root": ids, "side": np.zeros(len(ids), np.int32),
         "sig": pa.array([x.tobytes() for x in sig], pa.binary()), "same": np.ones(len(ids), bool),
-        "classes": pa.array(cells, pa.list_(pa.struct([("cls", pa.int64()), ("cnt", pa.int64())]))),
+        "ids": pa.array([tb.planes(np.diff(s, prepend=0)).tobytes() for s in sets], pa.binary()),
+        "cnts": pa.array([tb.planes(np.ones(len(s), np.int32)).tobytes() for s in sets], pa.binary()),
     }
     got = jaccard_join.tile_links(pa.table(rows), 75).to_pydict()
     assert len(got["a"]) == n - 1
