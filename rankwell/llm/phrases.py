@@ -7,11 +7,12 @@ others are sparse and counted as sorted coordinate lists. The frequent pairs are
 ranked in turn and stand for one unit each, so (pair, word) is again a pair: three and four
 words are counted by the same step, over ever shorter sequences.
 
-How it spreads: texts are cut into blocks of a few MB in one language. A block knows its
-own distinct words (later: pairs) and learns their ids by a join, so no vocabulary is
-broadcast and no task holds more than its blocks. A block sends its counts summed; counts
-of one tile meet in groups of ``FAN`` blocks, the sums in groups again, so a hot tile is
-never one task's work, and what a group holds is bounded by the cells of its tiles.
+How it spreads: texts are cut into blocks of a MB in one language. A block knows its own
+distinct words and learns their ids by a join, so no vocabulary is broadcast and no task
+holds more than its blocks. A block sends its counts summed and packed; counts of one tile
+meet in groups of ``FAN`` blocks, the sums in groups again, so a hot tile is never one
+task's work, and what a group holds is bounded by the cells of its tiles. The ids of
+frequent pairs go back the same way, to groups of ``FAN`` blocks for each tile.
 
 Measures are exact: counts are whole numbers, and scores are decimal quotients.
 
@@ -47,7 +48,9 @@ PART_WORDS = 1_000_000  # of the blocks of one task
 FAN = 64
 
 BLOCK = "block long, lang string, n long, words array<string>, counts array<int>, codes binary"
-ENTRY = "home long, block long, n int, left binary, right binary, times binary"
+ENTRY = "home long, block long, left binary, right binary, times binary"
+KNOWN = "block long, left binary, right binary, id binary"
+SEQUENCE = "block long, unit binary, word binary"
 
 
 def _gaps() -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +111,14 @@ def blocks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, BLOCK)
 
 
+def _row(schema: str, *cells: object) -> pa.RecordBatch:
+    """One row: numbers as they are, arrays of int64 as bytes by planes."""
+    packed = [pa.array([tb.planes(c).tobytes()], pa.binary()) if isinstance(c, np.ndarray) else pa.array([c], pa.int64()) for c in cells]
+    return pa.record_batch(packed, names=[c.split()[0] for c in schema.split(", ")])
+
+
 def _int64(column: pa.Array, i: int) -> np.ndarray:
-    return np.frombuffer(column[i].as_buffer(), np.int64)
+    return tb.unplanes(np.frombuffer(column[i].as_buffer(), np.uint8), np.int64)
 
 
 def _sequences(held: DataFrame, words: DataFrame, parts: int) -> DataFrame:
@@ -130,16 +139,10 @@ def _sequences(held: DataFrame, words: DataFrame, parts: int) -> DataFrame:
                 keep = ids >= 0
                 keep[1:] |= ids[:-1] >= 0
                 ids = ids[keep]
-                yield _sequence_row(batch.column("block")[i].as_py(), ids, ids)
+                yield _row(SEQUENCE, batch.column("block")[i].as_py(), ids, ids)
         tb.give_back()
 
-    return held.select("block", "codes").repartition(parts, "block").join(known, "block").mapInArrow(work, "block long, unit binary, word binary")
-
-
-def _sequence_row(block: int, unit: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array([block]), pa.array([unit.tobytes()], pa.binary()), pa.array([word.tobytes()], pa.binary())], names=["block", "unit", "word"]
-    )
+    return held.select("block", "codes").repartition(parts, "block").join(known, "block").mapInArrow(work, SEQUENCE)
 
 
 def _meeting(unit: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
@@ -169,14 +172,6 @@ def _homes(left: np.ndarray, right: np.ndarray, slices: int) -> np.ndarray:
     return np.where((x < HEAD_TILES) & (y < HEAD_TILES), -1 - (x * HEAD_TILES + y), spread.astype(np.int64))
 
 
-def _entry(home: int, block: int, left: np.ndarray, right: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    cells = [pa.array([x.tobytes()], pa.binary()) for x in (left, right, times)]
-    return pa.record_batch(
-        [pa.array([home], pa.int64()), pa.array([block], pa.int64()), pa.array([len(left)], pa.int32()), *cells],
-        names=[c.split()[0] for c in ENTRY.split(", ")],
-    )
-
-
 def _entries(sequences: DataFrame, size: int, slices: int) -> DataFrame:
     """Counts of (unit, next word) of each block, by the home of their cells."""
 
@@ -193,7 +188,7 @@ def _entries(sequences: DataFrame, size: int, slices: int) -> DataFrame:
                 cuts = np.flatnonzero(np.diff(home[order])) + 1
                 block = batch.column("block")[i].as_py()
                 for part in np.split(order, cuts):
-                    yield _entry(int(home[part[0]]), block, left[part], right[part], times[part])
+                    yield _row(ENTRY, int(home[part[0]]), block, left[part], right[part], times[part])
         tb.give_back()
 
     return sequences.mapInArrow(work, ENTRY)
@@ -229,7 +224,7 @@ def _frequent(entries: DataFrame, n_blocks: int, min_count: int) -> DataFrame:
 
         def some(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             home, block = key[0].as_py(), key[1].as_py()
-            yield _entry(home, block, *_sums(home, batches))
+            yield _row(ENTRY, home, block, *_sums(home, batches))
 
         entries = staged(salted.groupBy("home", "block").applyInArrow(some, ENTRY), "sums")
         n_blocks = groups
@@ -242,51 +237,94 @@ def _frequent(entries: DataFrame, n_blocks: int, min_count: int) -> DataFrame:
     return entries.groupBy("home").applyInArrow(total, "left long, right long, a long")
 
 
-def _longer(sequences: DataFrame, entries: DataFrame, units: DataFrame, size: int, parts: int) -> DataFrame:
-    """Sequences whose units are the frequent phrases of ``size + 1`` words.
+def _answers(entries: DataFrame, units: DataFrame, slices: int, n_blocks: int) -> DataFrame:
+    """``KNOWN``: for each block the frequent ones among its pairs, with their ids.
 
-    Each block looks up the pairs it holds, one row for each distinct one.
+    The frequent cells of a home meet its entries in groups of about ``FAN`` blocks.
     """
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                left = _int64(batch.column("left"), i)
-                block = np.full(len(left), batch.column("block")[i].as_py(), np.int64)
-                yield pa.record_batch([pa.array(block), pa.array(left), pa.array(_int64(batch.column("right"), i))], names=["block", "left", "right"])
-
-    asked = entries.mapInArrow(pairs, "block long, left long, right long")
-    known = asked.join(units.select("left", "right", "id"), ["left", "right"]).repartition(parts, "block")
-    known = known.groupBy("block").agg(F.collect_list(F.struct("left", "right", "id")).alias("known"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns = [batch.column(c).to_numpy() for c in ("left", "right", "id")]
+            homes = _homes(columns[0], columns[1], slices)
+            yield pa.record_batch([pa.array(x) for x in (homes, *columns)], names=["home", "left", "right", "id"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        cells = [table.column(c).to_numpy() for c in ("left", "right", "id")]
+        return pa.Table.from_batches([_row("home long, left binary, right binary, times binary", table.column("home")[0].as_py(), *cells)])
+
+    homes = units.select("left", "right", "id").mapInArrow(at_home, "home long, left long, right long, id long")
+    held = staged(homes.groupBy("home").applyInArrow(packed, "home long, left binary, right binary, times binary"), "held")
+    groups = -(-n_blocks // FAN)
+    answers = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = entries.select("home", F.pmod(F.xxhash64("block", "home"), F.lit(groups)).cast("int").alias("salt"), "block", "left", "right", F.lit(None).cast("binary").alias("times"))
+    both = asked.unionAll(answers.select("home", "salt", F.lit(None).cast("long").alias("block"), "left", "right", "times"))
+
+    def told(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, waiting = None, []
+        for batch in batches:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                left, right = _int64(batch.column("left"), i), _int64(batch.column("right"), i)
+                if block is None:
+                    known = _Pairs(left, right, _int64(batch.column("times"), i))
+                else:
+                    waiting.append((block, left, right))
+        for block, left, right in waiting if known else ():
+            ids = known.ids(left, right)
+            hit = ids >= 0
+            if hit.any():
+                yield _row(KNOWN, block, left[hit], right[hit], ids[hit])
+
+    return both.groupBy("home", "salt").applyInArrow(told, KNOWN)
+
+
+class _Pairs:
+    """Ids of known pairs: both sides by their rank among those that occur."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, ids: np.ndarray):
+        self.lefts, self.rights = np.unique(left), np.unique(right)
+        key = np.searchsorted(self.lefts, left) * len(self.rights) + np.searchsorted(self.rights, right)
+        order = np.argsort(key)
+        self.key, self.found = key[order], ids[order]
+
+    def ids(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id of each pair, -1 for those unknown."""
+        x = np.minimum(np.searchsorted(self.lefts, left), len(self.lefts) - 1)
+        y = np.minimum(np.searchsorted(self.rights, right), len(self.rights) - 1)
+        wanted = x * len(self.rights) + y
+        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        hit = (self.lefts[x] == left) & (self.rights[y] == right) & (self.key[at] == wanted)
+        return np.where(hit, self.found[at], -1)
+
+
+def _longer(sequences: DataFrame, known: DataFrame, size: int, parts: int) -> DataFrame:
+    """Sequences whose units are the frequent phrases of ``size + 1`` words."""
+    nothing = F.lit(None).cast("binary")
+    both = sequences.select("block", "unit", "word", nothing.alias("id")).unionAll(known.select("block", "left", "right", "id"))
+
+    def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, sequence = [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                unit, word = _int64(batch.column("unit"), i), _int64(batch.column("word"), i)
-                cells = batch.column("known")[i].values
-                left, right, ids = (cells.field(c).to_numpy() for c in ("left", "right", "id"))
-                at = _meeting(unit, word, size)
-                lefts, rights = np.unique(left), np.unique(right)
-                key = np.searchsorted(lefts, left) * len(rights) + np.searchsorted(rights, right)
-                order = np.argsort(key)
-                key, ids = key[order], ids[order]
-                x, y = np.searchsorted(lefts, unit[at]), np.searchsorted(rights, word[at + size])
-                hit = (x < len(lefts)) & (y < len(rights))
-                at, x, y = at[hit], x[hit], y[hit]
-                hit = (lefts[x] == unit[at]) & (rights[y] == word[at + size])
-                at, wanted = at[hit], x[hit] * len(rights) + y[hit]
-                place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-                hit = key[place] == wanted
-                new = np.full(len(unit), -1, np.int64)
-                new[at[hit]] = ids[place[hit]]
-                # A unit needs the words up to the one after it, and no others.
-                keep = np.zeros(len(unit), bool)
-                for shift in range(size + 2):
-                    keep[shift:] |= new[: len(new) - shift] >= 0
-                yield _sequence_row(batch.column("block")[i].as_py(), new[keep], word[keep])
-        tb.give_back()
-
-    return sequences.repartition(parts, "block").join(known, "block").mapInArrow(work, "block long, unit binary, word binary")
+                pair = _int64(batch.column("unit"), i), _int64(batch.column("word"), i)
+                if batch.column("id")[i].is_valid:
+                    cells.append((*pair, _int64(batch.column("id"), i)))
+                else:
+                    sequence = pair
+        if not cells:
+            return
+        unit, word = sequence
+        pairs = _Pairs(*(np.concatenate(c) for c in zip(*cells)))
+        at = _meeting(unit, word, size)
+        new = np.full(len(unit), -1, np.int64)
+        new[at] = pairs.ids(unit[at], word[at + size])
+        # A unit needs the words up to the one after it, and no others.
+        keep = np.zeros(len(unit), bool)
+        for shift in range(size + 2):
+            keep[shift:] |= new[: len(new) - shift] >= 0
+        yield _row(SEQUENCE, key[0].as_py(), new[keep], word[keep])
+
+    return both.repartition(parts, "block").groupBy("block").applyInArrow(work, SEQUENCE)
 
 
 def frequent_phrases(held: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
@@ -313,7 +351,7 @@ def frequent_phrases(held: DataFrame, min_count: int = MIN_COUNT, longest: int =
         phrases = staged(named.select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "a"), "phrases")
         found.append(phrases.select("lang", "phrase", F.lit(size + 1).alias("size"), "a"))
         if size + 1 < longest:
-            sequences = staged(_longer(sequences, entries, units, size, parts), "sequences")
+            sequences = staged(_longer(sequences, _answers(entries, units, slices, n_blocks), size, parts), "sequences")
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)

@@ -235,7 +235,7 @@ def test_sparse_and_dense_tiles_count_alike():
     got = {}
     for home in np.unique(homes):
         at = np.flatnonzero(homes == home)
-        batches = [phrases._entry(int(home), 0, *(x[p].astype(np.int64) for x in (left, right, times))) for p in np.array_split(at, 3)]
+        batches = [phrases._row(phrases.ENTRY, int(home), 0, *(x[p].astype(np.int64) for x in (left, right, times))) for p in np.array_split(at, 3)]
         for a, b, n in zip(*(x.tolist() for x in phrases._sums(int(home), iter(batches)))):
             assert (a, b) not in got
             got[a, b] = n
