@@ -58,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     path = tokenizer_path("piece_bpe_32k.model")
     rows = docs.select("doc_id", "text", "lang", "source")
-    decoded = sentencepiece_codec.decode(sentencepiece_codec.encode(rows, path), path)
+    decoded = sentencepiece_codec.encode(rows, path, decoded="decoded")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
