@@ -29,6 +29,12 @@ def letter_counts(texts: list[str]) -> np.ndarray:
     return np.array([[t.count(c) for c in LETTERS] for t in texts], np.float32).reshape(-1, len(LETTERS))
 
 
+def text_lengths(texts: list[str]) -> np.ndarray:
+    """Another one: the number of characters, in thousands and in ones."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return np.stack([sizes // 1000 * 1000, sizes % 1000], axis=1).astype(np.float32).reshape(-1, 2)
+
+
 def embed(df: DataFrame, text: str, model: BatchModel, column: str = "embedding") -> DataFrame:
     """Add the vectors of a batch model: ``model(texts)`` gives one row per text."""
     schema = T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.FloatType()))])

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import drop_stop_words, is_stop_word, words
 from ..functions.vectors import rounded
-from ..sources.tables import text_bytes
-from ..sources.workspace import Workspace, bucket_count
+from ..sources.tables import file_bytes, text_bytes
+from ..sources.workspace import Workspace, bucket_count, fingerprint
 from .joins import fits, keep_matching, settle
 from .ranking import pad_with_first, ranking
 
@@ -134,31 +134,39 @@ def build_index(docs: DataFrame, text: Column, workspace: Workspace) -> LexicalI
     """Tokenize ``docs (doc_id, ...)`` and stage its BM25 index.
 
     The text itself is shuffled once, by document: it is far smaller than its
-    postings, which are then counted and written without another shuffle.
+    postings, which are then counted and written without another shuffle. Stages lie in a
+    folder named after the input, so another corpus in the same workspace never finds them.
     """
     spark = docs.sparkSession
-    buckets = workspace.buckets("postings", bucket_count(spark, text_bytes(docs, text)))
+    docs = docs.withColumn("_text", text)
+    workspace = workspace.child(fingerprint(docs.select("doc_id", "_text")))
+    buckets = workspace.buckets("postings", bucket_count(spark, text_bytes(docs, F.col("_text"))))
     raw = workspace.stage_bucketed(
         "raw_postings",
-        lambda: postings(docs.repartition(buckets, "doc_id"), text),
+        lambda: postings(docs.repartition(buckets, "doc_id"), F.col("_text")),
         ["doc_id"],
         buckets,
     )
-    terms = workspace.stage("terms", lambda: vocabulary(raw))
+    counted = raw.groupBy("doc_id").agg(F.sum("f").alias("n_tokens"))
+    lengths = docs.select("doc_id").join(counted, "doc_id", "left")
+    return assemble_index(raw, lengths, vocabulary(raw), workspace, buckets)
+
+
+def assemble_index(
+    raw: DataFrame, lengths: DataFrame, terms: DataFrame, workspace: Workspace, buckets: int | None = None
+) -> LexicalIndex:
+    """Stage an index from counts: ``raw (doc_id, term, f)``, ``lengths (doc_id, n_tokens)``
+    with every document, and ``terms (term, cf, df, first_doc)``."""
+    buckets = buckets or workspace.buckets("postings", bucket_count(raw.sparkSession, 4 * file_bytes(raw)))
+    terms = workspace.stage("terms", lambda: terms)
     rare = rare_postings(terms)
 
-    def lengths() -> DataFrame:
-        found = raw.groupBy("doc_id").agg(F.sum("f").alias("n_tokens"))
+    def pruned() -> DataFrame:
         once = rare.groupBy("doc_id").agg(F.count("*").alias("n_rare"))
         length = F.coalesce("n_tokens", F.lit(0)) - F.coalesce("n_rare", F.lit(0))
-        return (
-            docs.select("doc_id")
-            .join(found, "doc_id", "left")
-            .join(once, "doc_id", "left")
-            .select("doc_id", length.alias("doc_len"))
-        )
+        return lengths.join(once, "doc_id", "left").select("doc_id", length.alias("doc_len"))
 
-    documents = workspace.stage_bucketed("doc_lengths", lengths, ["doc_id"], buckets)
+    documents = workspace.stage_bucketed("doc_lengths", pruned, ["doc_id"], buckets)
     post = workspace.stage_bucketed(
         "postings",
         lambda: raw.join(documents.hint("shuffle_hash"), "doc_id"),

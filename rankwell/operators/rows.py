@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import file_bytes
+from ..sources.tables import file_bytes, first_rows
 from ..sources.workspace import Workspace
 
 # monotonically_increasing_id keeps the partition above this many low bits.
@@ -18,17 +18,17 @@ PARTITION_BYTES = 64 << 20  # of files behind one range partition of numbered ro
 def dedup_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """Keep, for each value of ``key``, the row with the smallest ``order``.
 
-    Only a digest of the key and the order value are grouped (a hash aggregate with
-    map-side combine), so a text copied a billion times still costs one row per task
-    and long texts are not sorted. Of rows equal in both, one stays; of rows that then
-    share an ``order`` value, the one with the least digest of its key.
+    A null key is a value like any other. Only a digest of the key and the order value are
+    grouped (a hash aggregate with map-side combine), so a text copied a billion times
+    still costs one row per task and long texts are not sorted. Of rows equal in both, the
+    one with the least hash of its columns stays, whatever the partitions.
     """
-    digest = F.sha2(F.col(key), 256).alias("_digest")
-    first = df.groupBy(digest).agg(F.min(order).alias(order))
-    chosen = first.groupBy(order).agg(F.min("_digest").alias("_digest"))
-    marked = df.withColumn("_digest", F.sha2(F.col(key), 256))
-    kept = marked.join(chosen, [order, "_digest"], "left_semi")
-    return kept.dropDuplicates([order, "_digest"]).drop("_digest")
+    digest = F.coalesce(F.sha2(F.col(key), 256), F.lit("")).alias("_digest")
+    first = df.groupBy(digest).agg(F.min(order).alias("_order"))
+    marked = df.select("*", digest)
+    same = (F.col("_digest") == F.col("_first")) & F.col(order).eqNullSafe(F.col("_order"))
+    kept = marked.join(first.withColumnRenamed("_digest", "_first"), same, "left_semi")
+    return first_rows(kept, ["_digest"]).select(*df.columns)
 
 
 def dense_id(

@@ -30,7 +30,7 @@ from ..operators.ranking import pad_with_first, ranking, top_k
 from ..sources import tables
 from ..sources.workspace import Workspace
 from ..streaming.questions import answer_stream, read_questions
-from . import build
+from . import build, increment
 from .retrieve import Retriever
 
 TOP_K = 5
@@ -243,6 +243,28 @@ class Inputs:
     def trained(self):
         return build.train_classifier(self.built, self.workspace.child("pairs"), SETTINGS)
 
+    @property
+    def text_rows(self) -> DataFrame:
+        """The documents as raw corpus rows, each its own question."""
+        return self.documents.select(
+            F.format_string("d%019d", "doc_id").alias("id"),
+            F.col("text").alias("question"),
+            F.array("text").alias("documents"),
+            F.lit("documents").alias("dataset_name"),
+        )
+
+    @cached_property
+    def growing(self) -> increment.GrowingCorpus:
+        """Conversations first, then the documents, with two models; each step twice."""
+        corpus = increment.GrowingCorpus(self.spark, self.workspace.path("growing"))
+        for step in (self.pairs, self.text_rows):
+            corpus.ingest(step)
+            corpus.ingest(step)
+            corpus.embed("letters", embedding.letter_counts)
+        corpus.embed("lengths", embedding.text_lengths)
+        corpus.embed("letters", embedding.letter_counts)
+        return corpus
+
     def classifier_rows(self) -> DataFrame:
         return classify.training_rows(self.built.rows.where(F.col("split") == rows.TRAIN))
 
@@ -359,6 +381,23 @@ def _components(df: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
+@query
+def build_again(i: Inputs) -> DataFrame:
+    """A corpus built in two steps: numbers, lengths and vectors as of one build."""
+    corpus = i.growing
+    lengths = corpus.index().documents.select(F.col("doc_id").alias("id"), "doc_len")
+    total = F.aggregate(vectors.as_double(F.col("embedding")), F.lit(0.0), lambda acc, x: acc + x)
+    made = corpus.vectors().groupBy("original_id").pivot("model", ["letters", "lengths"]).agg(F.sum(total.cast("long")))
+    found = corpus.rows().join(lengths, "id").join(made, "original_id", "left")
+    return found.select("id", "original_id", "dataset_name", "doc_len", "letters", F.col("lengths").alias("chars"))
+
+
+@query
+def terms_again(i: Inputs) -> DataFrame:
+    """Collection counts and document frequencies of the same corpus, from its deltas."""
+    return i.growing.index().vocabulary
+
+
 # --- projections, filters, dedup, ids ------------------------------------------------
 
 

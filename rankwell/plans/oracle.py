@@ -85,6 +85,20 @@ def _asked(questions: str) -> str:
         FROM weighted JOIN post USING (term) JOIN lens USING (doc_id), stats)"""
 
 
+def _grown() -> str:
+    """Both steps at once: the first row of a question by step and id, numbered in that order."""
+    return f"""{_with(PAIRS)},
+    steps AS (
+        SELECT 0 AS step, id AS original_id, question, chunk AS text, 'conversations' AS dataset_name FROM pairs
+        UNION ALL
+        SELECT 1, printf('d%019d', doc_id), text, coalesce(text, ''), 'documents' FROM documents),
+    docs AS (
+        SELECT row_number() OVER (ORDER BY step, original_id) - 1 AS doc_id, *
+        FROM (SELECT * FROM steps
+              QUALIFY row_number() OVER (PARTITION BY question ORDER BY step, original_id) = 1)),
+    {_lexical("docs")}"""
+
+
 QUESTIONS = "(SELECT item_id AS query_id, text FROM benchmark)"
 LEXICAL = _lexical("documents")
 ASKED = _asked(QUESTIONS)
@@ -571,6 +585,13 @@ def build() -> dict[str, str]:
                     PARTITION BY doc_id ORDER BY probability DESC, cluster) AS INTEGER) AS rank
                 FROM probabilities)
             WHERE rank <= {MAX_PROBES}""",
+        # a corpus that grows
+        "build_again": f"""{_grown()}
+            SELECT doc_id AS id, original_id, dataset_name, doc_len,
+                   CAST({' + '.join(f"length(text) - length(replace(text, '{c}', ''))" for c in LETTERS)} AS BIGINT) AS letters,
+                   length(text) AS chars
+            FROM docs JOIN lens USING (doc_id)""",
+        "terms_again": f"{_grown()} SELECT term, cf, df FROM terms WHERE cf > 1",
         # routed retrieval and fusion
         "route_centroids": f"""
             {vec} SELECT vec_id AS query_id, route_rank, cluster, d2

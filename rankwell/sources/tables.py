@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .snapshots import Snapshots
 from .workspace import is_complete
 
 # Declared types of the stored tables; JSON is never read by inference.
@@ -42,16 +43,31 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def append_new_rows(spark: SparkSession, rows: DataFrame, path: str, key: str) -> None:
+def first_rows(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row for each value of ``keys`` (nulls are equal): the first by ``order``.
+
+    Rows that agree in that too, or all of them without ``order``, are settled by a hash of
+    the whole row, so the choice does not depend on partitions.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    place = F.struct(*([F.col(order)] if order else []), F.xxhash64(*df.columns))
+    chosen = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), place).alias("_row"))
+    return chosen.select(*keys, "_row.*").select(*df.columns)
+
+
+def append_new_rows(spark: SparkSession, rows: DataFrame, path: str, key: str, order: str | None = None) -> None:
     """Append the rows whose ``key`` the Parquet table at ``path`` does not hold yet.
 
-    A repeated run adds nothing, and of rows that share a key one goes in. Only the key
-    column of the table is read.
+    A repeated run adds nothing, and of rows that share a key the first by ``order`` goes
+    in; a null key is a key. Only the key column of the table is read.
     """
-    rows = rows.dropDuplicates([key])
+    rows = first_rows(rows, [key], order)
     if is_complete(spark, path):
         present = spark.read.schema(rows.select(key).schema).parquet(path)
-        rows = rows.join(present, key, "left_anti")
+        present = present.select(F.col(key).alias("_present"))
+        rows = rows.join(present, F.col(key).eqNullSafe(F.col("_present")), "left_anti")
     rows.write.mode("append").parquet(path)
 
 
@@ -61,38 +77,32 @@ def missing_vectors(store: DataFrame, wanted: DataFrame, model: str) -> DataFram
     return wanted.join(have, "original_id", "left_anti")
 
 
-def upsert_vectors(store: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_vectors(store: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
     """Store plus the incoming ``(original_id, model)`` vectors it lacks.
 
-    A vector already present is never replaced, and of incoming repeats one goes in. Both
-    keys are compared at once, so no single model or id gathers in one task.
+    A vector already present is never replaced, and of incoming repeats the first by
+    ``order`` goes in. Both keys are compared at once, so no single model or id gathers in
+    one task.
     """
+    return store.unionByName(_lacking(store, incoming, order))
+
+
+def _lacking(store: DataFrame | None, incoming: DataFrame, order: str | None) -> DataFrame:
     keys = ["original_id", "model"]
-    new = incoming.dropDuplicates(keys).join(store.select(*keys), keys, "left_anti")
-    return store.unionByName(new)
+    new = first_rows(incoming, keys, order)
+    return new if store is None else new.join(store.select(*keys), keys, "left_anti").select(*new.columns)
 
 
-def write_upsert(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
-    """:func:`upsert_vectors` into the Parquet table at ``path``, which is replaced.
+def write_upsert(spark: SparkSession, incoming: DataFrame, path: str, order: str | None = None) -> DataFrame:
+    """:func:`upsert_vectors` into the table of snapshots at ``path``.
 
-    The merged table is written beside the old one and takes its name once complete, so a
-    failed run leaves the old table; the old one keeps a name of its own until the end.
+    Only the vectors it lacks are written, as one part more; they are seen once the
+    manifest that names the part is put. A run that fails before leaves the table as it was.
     """
-    if is_complete(spark, path):
-        merged = upsert_vectors(spark.read.parquet(path), incoming)
-    else:
-        merged = incoming.dropDuplicates(["original_id", "model"])
-    merged.write.mode("overwrite").parquet(f"{path}.new")
-    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
-        spark._jsc.hadoopConfiguration()
-    )
-    here, new, old = (spark._jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
-    if files.exists(here):
-        files.delete(old, True)
-        files.rename(here, old)
-    files.rename(new, here)
-    files.delete(old, True)
-    return spark.read.parquet(path)
+    table = Snapshots(spark, path)
+    new = _lacking(table.read("vectors"), incoming, order)
+    table.append("vectors", new)
+    return table.read("vectors")
 
 
 def vectors_of(store: DataFrame, model: str) -> DataFrame:

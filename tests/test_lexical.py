@@ -118,14 +118,18 @@ def test_many_questions_with_pruned_terms(spark, tmp_path, monkeypatch):
     assert got == brute_force(docs, questions, 3)
 
 
-def test_index_is_reopened_not_rebuilt(spark, tmp_path):
+def test_index_is_reopened_not_rebuilt(spark, tmp_path, monkeypatch):
     """A later session finds the files but no catalog entries."""
-    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     workspace = Workspace(spark, str(tmp_path / "kept"))
     lexical.build_index(docs, F.col("text"), workspace)
+    (folder,) = (p for p in (tmp_path / "kept").iterdir() if p.is_dir())
     for name in ("raw_postings", "doc_lengths", "postings"):
-        workspace.forget(name)
-    again = lexical.build_index(docs.limit(0), F.col("text"), workspace)
+        workspace.child(folder.name).forget(name)
+    with monkeypatch.context() as patch:
+        patch.setattr(lexical, "postings", None)  # no text is read again
+        again = lexical.build_index(spark.read.parquet(str(tmp_path / "docs")), F.col("text"), workspace)
     assert rows(lexical.bm25_topk(again, ask(spark), F.col("text"), 3)) == brute_force(
         DOCS, QUESTIONS, 3
     )

@@ -17,7 +17,36 @@ def test_first_row_of_repeated_keys(spark):
     given = [("b", "q1"), ("a", "q1"), ("a", "q1"), ("c", "q2"), ("c", "q3"), ("d", "q3")]
     df = spark.createDataFrame(given, "id string, question string").repartition(4)
     got = sorted(tuple(r) for r in rows.dedup_first(df, "question", "id").collect())
-    assert [r[0] for r in got] == ["a", "c"] and got[0] == ("a", "q1")
+    assert got == [("a", "q1"), ("c", "q2"), ("c", "q3")]
+
+
+def test_a_null_key_keeps_its_first_row(spark):
+    given = [(3, None, "x"), (1, None, "y"), (1, None, "w"), (2, "", "z"), (None, "q", "n"), (5, "q", "m"), (None, "r", "only")]
+    wanted = None
+    for parts in (1, 5):
+        df = spark.createDataFrame(given, "id long, question string, other string").repartition(parts)
+        got = {tuple(r) for r in rows.dedup_first(df, "question", "id").collect()}
+        assert {r[:2] for r in got} == {(1, None), (2, ""), (5, "q"), (None, "r")}
+        assert wanted in (None, got)
+        wanted = got
+
+
+def test_append_and_upsert_take_the_first_of_repeats_and_know_null_keys(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x", 9), (1, "y", 2), (None, "n", 4), (None, "m", 3)], "id long, text string, place int")
+    path = str(tmp_path / "t")
+    for _ in range(3):
+        tables.append_new_rows(spark, df.repartition(4), path, "id", order="place")
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "y", 2), (None, "m", 3)}
+    vectors = spark.createDataFrame([(1, "m", [1.0], 2), (1, "m", [2.0], 1)], "original_id long, model string, embedding array<float>, place int")
+    assert [r.embedding for r in tables.upsert_vectors(vectors.limit(0), vectors, "place").collect()] == [[2.0]]
+
+
+def test_an_index_belongs_to_its_corpus(spark, workspace):
+    one = spark.createDataFrame([(1, "apple pie"), (2, "apple")], "doc_id long, text string")
+    two = spark.createDataFrame([(7, "pear"), (8, "pear tree"), (9, "tree")], "doc_id long, text string")
+    first, second = (lexical.build_index(d, F.col("text"), workspace) for d in (one, two))
+    assert (first.n_docs, second.n_docs) == (2, 3)
+    assert {r.doc_id for r in second.documents.collect()} == {7, 8, 9}
 
 
 def test_append_takes_one_of_repeated_rows(spark, tmp_path):
