@@ -11,6 +11,7 @@ from ..functions.text import drop_stop_words, is_stop_word, words
 from ..functions.vectors import rounded
 from ..sources.tables import file_bytes, text_bytes
 from ..sources.workspace import Workspace, bucket_count, fingerprint
+from . import blockmax
 from .joins import fits, keep_matching, settle
 from .ranking import pad_with_first, ranking
 
@@ -21,6 +22,8 @@ MAX_BROADCAST_TERMS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 # Up to this many rows, the terms are also written into the scan of the postings.
 MAX_LITERAL_TERMS = 1_000
+# Up to this many question terms, tasks score packed blocks question by question.
+BLOCK_TERMS = 200_000
 # Parts of a question's documents where its terms are too many to broadcast.
 QUESTION_SALTS = 16
 # Matches (postings of question terms) one task sums up at most; with more, terms that
@@ -128,6 +131,7 @@ class LexicalIndex:
     avg_doc_len: float
     n_postings: int
     buckets: int
+    blocks: DataFrame  # packed postings with block bounds, see ``blockmax``
 
 
 def build_index(docs: DataFrame, text: Column, workspace: Workspace) -> LexicalIndex:
@@ -178,6 +182,14 @@ def assemble_index(
         F.count("*").alias("n"), F.avg("doc_len").alias("avg_doc_len")
     ).first()
     n_postings = terms.agg(F.sum("df")).first()[0] or 0
+    setting = blockmax.Setting(K1, B, totals["avg_doc_len"] or 0.0)
+    blocks = workspace.stage_bucketed(
+        "blocks",
+        lambda: blockmax.pack(_without_rare(post, rare), buckets, setting),
+        ["bucket"],
+        buckets,
+        sort_by="term",
+    )
     return LexicalIndex(
         documents=documents,
         postings=post,
@@ -187,14 +199,17 @@ def assemble_index(
         avg_doc_len=totals["avg_doc_len"] or 0.0,
         n_postings=n_postings,
         buckets=buckets,
+        blocks=blocks,
     )
 
 
+def _without_rare(post: DataFrame, rare: DataFrame) -> DataFrame:
+    return post.join(rare, ["doc_id", "term"], "left_anti")
+
+
 def pruned_postings(index: LexicalIndex) -> DataFrame:
     """The postings without those of rare terms."""
-    return index.postings.join(index.rare, ["doc_id", "term"], "left_anti").select(
-        "doc_id", "term", "f"
-    )
+    return _without_rare(index.postings, index.rare).select("doc_id", "term", "f")
 
 
 # --- scoring -------------------------------------------------------------------------
@@ -326,13 +341,23 @@ def best_documents(
 ) -> DataFrame:
     """Exact top-k ranking of the documents that share a term with a question.
 
-    The matches are counted beforehand, from the document frequencies. A number the
-    tasks can sum up goes in one pass inside the buckets of the postings. Beyond it,
+    Question terms that fit into every task are scored over packed blocks, skipping those
+    that cannot decide (:mod:`blockmax`). For more, the matches are counted beforehand,
+    from the document frequencies. A number the tasks can sum up goes in one pass inside the buckets of the postings. Beyond it,
     frequent terms would pair most documents with most questions, so terms that cannot
     decide a top-k (:func:`_split_terms`) only complete the scores of documents found
     by the others. ``weighted`` is used several times; stage or settle it.
     """
-    n_terms, n_matches = weighted.agg(F.count("*"), F.sum("df")).first()
+    n_terms, n_matches, n_bytes = weighted.agg(
+        F.count("*"), F.sum("df"), F.sum(F.octet_length("term"))
+    ).first()
+    if not n_terms:
+        return ranking(weighted.select("query_id", F.lit(0).cast("long").alias("doc_id"), F.col("weight").alias("score")), k)
+    if n_terms <= min(max_broadcast, BLOCK_TERMS) and n_bytes <= MAX_BROADCAST_BYTES:
+        setting = blockmax.Setting(k1, b, index.avg_doc_len)
+        asked = blockmax.asked_of(weighted)
+        scored = blockmax.best(index.blocks, asked, k, setting, (k1, b) == (K1, B), MAX_LITERAL_TERMS)
+        return ranking(scored.select("query_id", "doc_id", rounded(F.col("score")).alias("score")), k)
     if n_terms <= max_broadcast and (n_matches or 0) <= matches_per_task * index.buckets:
         return ranking(score_matches(index, weighted, k1, b, n_terms), k)
     part = F.col("weight") * saturation(index, k1, b)
