@@ -7,7 +7,7 @@ others are sparse and counted as sorted coordinate lists. The frequent pairs are
 ranked in turn and stand for one unit each, so (pair, word) is again a pair: three and four
 words are counted by the same step, over ever shorter sequences.
 
-How it spreads: texts are cut into blocks of a MB in one language. A block knows its own
+How it spreads: texts are cut into blocks of 2 MB in one language. A block knows its own
 distinct words and learns their ids by a join, so no vocabulary is broadcast and no task
 holds more than its blocks. A block sends its counts summed and packed; counts of one tile
 meet in groups of ``FAN`` blocks, the sums in groups again, so a hot tile is never one
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .ranks import numbered
-from .staging import staged
+from .staging import discard, staged
 
 LONGEST = 4
 MIN_COUNT = 30
@@ -40,7 +40,7 @@ TOP = 2000
 SCALE = 2_000_000
 INSIDE_PERCENT = 80
 UNKNOWN = "und"
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 TILE = 512
 HEAD_TILES = 8  # tiles with both numbers below this are dense
 SLICE_WORDS = 2_000_000
@@ -64,7 +64,7 @@ def _gaps() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_codes(block: tb.Texts) -> tuple[list[int] | np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the block's words with -1 between pieces; start, end and count of each code's word."""
+    """Codes of the block's words from 1, 0 between pieces; start, end and count of each code's word."""
     gap, cut = _gaps()
     start, end, bounds = tb.words(block, gap)
     if not len(start):
@@ -76,12 +76,17 @@ def _block_codes(block: tb.Texts) -> tuple[list[int] | np.ndarray, np.ndarray, n
         both = np.stack([one, two], axis=1)
         _, first, code, counts = np.unique(both, axis=0, return_index=True, return_inverse=True, return_counts=True)
         code = code.reshape(-1)
+    # The most frequent words get the least codes, whose high bytes are zero.
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code, first, counts = rank[code], first[order], counts[order]
     cuts = np.concatenate([[0], np.cumsum(cut[block.data])])
     parted = np.ones(len(start), bool)
     parted[1:] = cuts[start[1:]] > cuts[end[:-1]]
     parted[bounds[:-1][np.diff(bounds) > 0]] = True
-    codes = np.full(len(start) + int(parted.sum()), -1, np.int64)
-    codes[np.arange(len(start)) + np.cumsum(parted)] = code
+    codes = np.zeros(len(start) + int(parted.sum()), np.int64)
+    codes[np.arange(len(start)) + np.cumsum(parted)] = code + 1
     return codes, start[first], end[first], counts
 
 
@@ -101,7 +106,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                         continue
                     data = block.data.tobytes()
                     words = [data[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
-                    cells = [made, lang, int(counts.sum()), words, counts.astype(np.int32), codes.astype(np.int32).tobytes()]
+                    cells = [made, lang, int(counts.sum()), words, counts.astype(np.int32), tb.planes(codes.astype(np.int32)).tobytes()]
                     kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
                     yield pa.record_batch([pa.array([c], k) for c, k in zip(cells, kinds)], names=[c.split()[0] for c in BLOCK.split(", ")])
                     made += 1
@@ -123,28 +128,39 @@ def _int64(column: pa.Array, i: int) -> np.ndarray:
 
 def _sequences(held: DataFrame, words: DataFrame, parts: int) -> DataFrame:
     """``block, unit, word``: the ids of frequent words, others and cuts as -1."""
-    local = held.select("block", "lang", F.posexplode("words").alias("code", "word"))
+    local = held.select("block", "lang", F.posexplode("words").alias("place", "word")).withColumn("code", F.col("place") + 1)
     known = local.join(words, ["lang", "word"]).select("block", "code", "id").repartition(parts, "block")
     known = known.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("known"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32)
+                codes = tb.unplanes(np.frombuffer(batch.column("codes")[i].as_buffer(), np.uint8), np.int32)
                 pairs = batch.column("known")[i].values
-                table = np.full(int(codes.max()) + 2, -1, np.int64)  # the last cell serves code -1
+                table = np.full(int(codes.max()) + 1, -1, np.int64)
                 table[pairs.field("code").to_numpy()] = pairs.field("id").to_numpy()
                 ids = table[codes]
                 # Only where two frequent words meet there is a phrase.
                 keep = ids >= 0
                 keep[1:] |= ids[:-1] >= 0
                 ids = ids[keep]
-                yield _row(SEQUENCE, batch.column("block")[i].as_py(), ids, ids)
+                yield _row(SEQUENCE, batch.column("block")[i].as_py(), _shifted(ids[:0]), _shifted(ids))
         tb.give_back()
 
     return held.select("block", "codes").repartition(parts, "block").join(known, "block").mapInArrow(work, SEQUENCE)
 
 
+def _shifted(ids: np.ndarray) -> np.ndarray:
+    """Ids from 1 and 0 for none, which pack better than -1."""
+    return ids + 1
+
+
+def _sequence(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Units and words of a sequence; single words are units themselves and kept once."""
+    unit, word = (_int64(batch.column(c), i) - 1 for c in ("unit", "word"))
+    return (unit if len(unit) else word), word
+
+
 def _meeting(unit: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
     """Places where a unit of ``size`` words and the word after it can be one longer phrase."""
     if len(unit) <= size:
@@ -178,7 +194,7 @@ def _entries(sequences: DataFrame, size: int, slices: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                unit, word = _int64(batch.column("unit"), i), _int64(batch.column("word"), i)
+                unit, word = _sequence(batch, i)
                 at = _meeting(unit, word, size)
                 if not len(at):
                     continue
@@ -218,6 +234,7 @@ def _sums(home: int, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.
 
 def _frequent(entries: DataFrame, n_blocks: int, min_count: int) -> DataFrame:
     """``left, right, a``: the cells that occur at least ``min_count`` times in all blocks."""
+    held: list[DataFrame] = []
     while n_blocks > FAN:
         groups = -(-n_blocks // FAN)
         salted = entries.withColumn("block", F.pmod(F.xxhash64("block", "home"), F.lit(groups)))
@@ -226,15 +243,18 @@ def _frequent(entries: DataFrame, n_blocks: int, min_count: int) -> DataFrame:
             home, block = key[0].as_py(), key[1].as_py()
             yield _row(ENTRY, home, block, *_sums(home, batches))
 
-        entries = staged(salted.groupBy("home", "block").applyInArrow(some, ENTRY), "sums")
-        n_blocks = groups
+        sums = staged(salted.groupBy("home", "block").applyInArrow(some, ENTRY), "sums")
+        discard(*held)
+        entries, held, n_blocks = sums, [sums], groups
 
     def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, times = _sums(key[0].as_py(), batches)
         keep = times >= min_count
         yield pa.record_batch([pa.array(x[keep]) for x in (left, right, times)], names=["left", "right", "a"])
 
-    return entries.groupBy("home").applyInArrow(total, "left long, right long, a long")
+    found = staged(entries.groupBy("home").applyInArrow(total, "left long, right long, a long"), "frequent")
+    discard(*held)
+    return found
 
 
 def _answers(entries: DataFrame, units: DataFrame, slices: int, n_blocks: int) -> DataFrame:
@@ -306,11 +326,10 @@ def _longer(sequences: DataFrame, known: DataFrame, size: int, parts: int) -> Da
         cells, sequence = [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                pair = _int64(batch.column("unit"), i), _int64(batch.column("word"), i)
                 if batch.column("id")[i].is_valid:
-                    cells.append((*pair, _int64(batch.column("id"), i)))
+                    cells.append(tuple(_int64(batch.column(c), i) for c in ("unit", "word", "id")))
                 else:
-                    sequence = pair
+                    sequence = _sequence(batch, i)
         if not cells:
             return
         unit, word = sequence
@@ -322,7 +341,7 @@ def _longer(sequences: DataFrame, known: DataFrame, size: int, parts: int) -> Da
         keep = np.zeros(len(unit), bool)
         for shift in range(size + 2):
             keep[shift:] |= new[: len(new) - shift] >= 0
-        yield _row(SEQUENCE, key[0].as_py(), new[keep], word[keep])
+        yield _row(SEQUENCE, key[0].as_py(), _shifted(new[keep]), _shifted(word[keep]))
 
     return both.repartition(parts, "block").groupBy("block").applyInArrow(work, SEQUENCE)
 
@@ -345,13 +364,16 @@ def frequent_phrases(held: DataFrame, min_count: int = MIN_COUNT, longest: int =
     next_word = words.select(F.col("id").alias("right"), "word")
     for size in range(1, longest):
         entries = staged(_entries(sequences, size, slices), "entries")
-        frequent = staged(_frequent(entries, n_blocks, min_count), "frequent")
+        frequent = _frequent(entries, n_blocks, min_count)
         units = staged(numbered(frequent, [F.desc("a"), F.col("left"), F.col("right")]), "units")
         named = units.join(phrases.select(F.col("id").alias("left"), "lang", "phrase"), "left").join(next_word, "right")
         phrases = staged(named.select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "a"), "phrases")
         found.append(phrases.select("lang", "phrase", F.lit(size + 1).alias("size"), "a"))
         if size + 1 < longest:
+            before = sequences
             sequences = staged(_longer(sequences, _answers(entries, units, slices, n_blocks), size, parts), "sequences")
+            discard(before)
+        discard(entries, frequent)
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
@@ -375,7 +397,9 @@ def collocations(
     inside a longer candidate are left out.
     """
     held = staged(blocks(docs), "blocks")
+    words = staged(held.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     units = staged(frequent_phrases(held, min_count, longest), "all_phrases")
+    discard(held)
     candidates = units.where("size > 1")
 
     cut = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
@@ -394,7 +418,6 @@ def collocations(
         F.col("longer").isNull() | (_wide(F.col("longer")) * 100 < _wide(F.col("a")) * inside_percent)
     )
 
-    words = held.groupBy("lang").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     rows = kept.select("lang", "phrase", "a", "x.l", "x.r", F.col("x.score").cast("long").alias("score"))
     best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

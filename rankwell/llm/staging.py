@@ -44,7 +44,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     ship(spark)
     path = f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._staged_at = path
+    return held
+
+
+def discard(*held: DataFrame) -> None:
+    """Remove staged tables once all that came from them is written itself."""
+    for df in held:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

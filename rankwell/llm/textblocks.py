@@ -205,12 +205,12 @@ def binary(values: np.ndarray, bounds: np.ndarray | None = None) -> pa.Array:
 def planes(values: np.ndarray) -> np.ndarray:
     """Numbers as bytes: all lowest ones, then all second ones, ... Where numbers are small
     the high ones are runs of zeros, which any compression takes away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
 
 
 def unplanes(raw: np.ndarray, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).reshape(-1)
 
 
 def text_slices(batch: pa.RecordBatch, name: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
