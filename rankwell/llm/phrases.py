@@ -7,7 +7,7 @@ others are sparse and counted as sorted coordinate lists. The frequent pairs are
 ranked in turn and stand for one unit each, so (pair, word) is again a pair: three and four
 words are counted by the same step, over ever shorter sequences.
 
-How it spreads: texts are cut into blocks of 2 MB in one language. A block knows its own
+How it spreads: texts are cut into blocks of a MB in one language. A block knows its own
 distinct words and learns their ids by a join, so no vocabulary is broadcast and no task
 holds more than its blocks. A block sends its counts summed and packed; counts of one tile
 meet in groups of ``FAN`` blocks, the sums in groups again, so a hot tile is never one
@@ -40,11 +40,11 @@ TOP = 2000
 SCALE = 2_000_000
 INSIDE_PERCENT = 80
 UNKNOWN = "und"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 TILE = 512
 HEAD_TILES = 8  # tiles with both numbers below this are dense
 SLICE_WORDS = 2_000_000
-PART_WORDS = 1_000_000  # of the blocks of one task
+PART_WORDS = 500_000  # of the blocks of one task
 FAN = 64
 
 BLOCK = "block long, lang string, n long, words array<string>, counts array<int>, codes binary"
