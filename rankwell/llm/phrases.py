@@ -171,9 +171,17 @@ def _meeting(unit: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def _reduced(left: np.ndarray, right: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A sorted coordinate list with equal cells added up."""
-    order = np.lexsort((right, left))
+def _reduced(left: np.ndarray, right: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A sorted coordinate list with equal cells added up; without ``times`` each counts once."""
+    if len(left) and max(int(left.max()), int(right.max())) < 1 << 31:
+        key = left << 32 | right  # one number to sort by
+        if times is None:
+            key, times = np.unique(key, return_counts=True)
+            return key >> 32, key & 0xFFFFFFFF, times
+        order = np.argsort(key)
+    else:
+        order = np.lexsort((right, left))
+    times = np.ones(len(left), np.int64) if times is None else times
     left, right, times = left[order], right[order], times[order]
     new = np.ones(len(left), bool)
     new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
@@ -198,8 +206,10 @@ def _entries(sequences: DataFrame, size: int, slices: int) -> DataFrame:
                 at = _meeting(unit, word, size)
                 if not len(at):
                     continue
-                left, right, times = _reduced(unit[at], word[at + size], np.ones(len(at), np.int64))
+                left, right, times = _reduced(unit[at], word[at + size])
                 home = _homes(left, right, slices)
+                if slices < 1 << 15:  # short numbers sort in linear time
+                    home = home.astype(np.int16)
                 order = np.argsort(home, kind="stable")
                 cuts = np.flatnonzero(np.diff(home[order])) + 1
                 block = batch.column("block")[i].as_py()
