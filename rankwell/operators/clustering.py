@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.vectors import SCORE_DIGITS, as_double, normalize, rounded
 from ..sources.workspace import Workspace
@@ -139,7 +140,8 @@ def write_by_cluster(
             .repartition("cluster", part)
             .drop("_files")
         )
-    return workspace.stage(name, lambda: df, partition_by="cluster")
+    columns = sorted(df.schema, key=lambda field: field.name == "cluster")
+    return workspace.stage(name, lambda: df, partition_by="cluster", schema=StructType(columns))
 
 
 def check_cluster_count(n: int, available: int) -> None:

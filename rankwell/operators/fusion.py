@@ -1,18 +1,61 @@
-"""Weighted reciprocal rank fusion (Cormack, Clarke, Buettcher, SIGIR 2009)."""
+"""Weighted reciprocal rank fusion (Cormack, Clarke, Buettcher, SIGIR 2009).
+
+:func:`fuse` adds up rankings as they are. :func:`fuse_complete` gives the best of the
+fusion of *complete* lists and reads only their tops, as the threshold algorithm of Fagin,
+Lotem and Naor does: a document that no list has among its first ``depth`` earns less than
+the k-th best surely has, and the few that are left get their exact places counted.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import rounded
+from . import lexical, neighbours
+from .joins import settle
 from .ranking import ranking
 
 RRF_CONSTANT = 60
-# How many places of every list count, whatever number of results is asked for.
-FUSION_DEPTH = 50
+DIGITS = 9
+# Scores this near may be equal once rounded; a tie goes to the smaller id.
+_TIE = 2.0 * 10.0**-DIGITS
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """A complete list for every question, read only as far as it is needed."""
+
+    top: Callable[[int], DataFrame]
+    """The first n places of every list, as a ranking."""
+    places: Callable[[DataFrame], DataFrame]
+    """``query_id, doc_id, rank`` of given pairs; pairs outside the list have no row."""
+
+
+def cosine_list(corpus: DataFrame, questions: DataFrame, **options: object) -> Ranked:
+    one = F.lit(0)
+    return routed_list(corpus.withColumn("cluster", one), questions.withColumn("cluster", one), **options)
+
+
+def routed_list(corpus: DataFrame, routed: DataFrame, **options: object) -> Ranked:
+    """Documents of each question's clusters."""
+    return Ranked(
+        lambda n: neighbours.routed_topk(corpus, routed, n, **options),
+        lambda wanted: neighbours.places(corpus, routed, wanted, **options),
+    )
+
+
+def bm25_list(index: lexical.LexicalIndex, weighted: DataFrame) -> Ranked:
+    """Documents that share a term with the question, never zero-score fillers."""
+    return Ranked(
+        lambda n: lexical.best_documents(index, weighted, n),
+        lambda wanted: lexical.places(index, weighted, wanted),
+    )
 
 
 def fuse(
@@ -28,9 +71,79 @@ def fuse(
         )
         for name, df in rankings.items()
     ]
-    fused = (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("query_id", "doc_id")
-        .agg(rounded(F.sum("part"), 9).alias("score"))
+    return ranking(_summed(reduce(DataFrame.unionByName, parts)), k)
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("query_id", "doc_id").agg(rounded(F.sum("part"), DIGITS).alias("score"))
+
+
+def sufficient_depth(weights: list[float], k: int) -> int:
+    """Places of every list among which the whole top ``k`` of the fusion is found.
+
+    Take the lists longer than ``depth``, the heaviest of them with weight w. Its first
+    k documents have at least ``w / (60 + k)``. A document seen nowhere has less than
+    the sum of these weights over ``61 + depth``. Whichever lists are the longer ones,
+    that is less once ``depth`` follows the worst share of a sum in its largest weight.
+    """
+    depth, total = k, 0.0
+    for weight in sorted(weights):
+        total += weight
+        sure = weight / (RRF_CONSTANT + k) - _TIE
+        if sure <= 0:
+            raise ValueError(f"a weight of {weight} is lost in the rounding of scores at k = {k}")
+        depth = max(depth, math.floor(total / sure) - RRF_CONSTANT)
+    return depth
+
+
+def fuse_complete(
+    lists: dict[str, Ranked], k: int, weights: dict[str, float] | None = None
+) -> DataFrame:
+    """Exact top ``k`` of the fusion of complete lists: as :func:`fuse` over all places.
+
+    Weights are at least 0, and default to 1. A list with weight 0 earns nothing.
+    """
+    weight = {name: float((weights or {}).get(name, 1.0)) for name in lists}
+    if min(weight.values()) < 0:
+        raise ValueError("weights must not be negative")
+    weight = {name: w for name, w in weight.items() if w > 0} or dict.fromkeys(lists, 1.0)
+    depth = sufficient_depth(list(weight.values()), k)
+
+    def part(name: str, ranks: DataFrame) -> DataFrame:
+        earned = F.lit(weight[name]) / (F.col("rank") + RRF_CONSTANT)
+        return ranks.select("query_id", "doc_id", F.lit(name).alias("list"), earned.alias("part"))
+
+    seen = settle(
+        reduce(DataFrame.unionByName, [part(name, lists[name].top(depth)) for name in weight])
+    )
+    # A list with fewer places has been read to its end and owes nothing more.
+    longer = (
+        seen.groupBy("query_id", "list")
+        .count()
+        .where(F.col("count") == depth)
+        .groupBy("query_id")
+        .agg(F.collect_set("list").alias("longer"))
+    )
+    known = seen.groupBy("query_id", "doc_id").agg(
+        F.sum("part").alias("score"), F.collect_set("list").alias("lists")
+    )
+    floors = ranking(known, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    owed = F.array_except(F.coalesce("longer", F.array().cast("array<string>")), "lists")
+    at_most = reduce(
+        lambda total, name: total
+        + F.when(F.array_contains("owed", name), weight[name] / (RRF_CONSTANT + 1 + depth)).otherwise(0.0),
+        weight,
+        F.col("score"),
+    )
+    open_ = settle(
+        known.join(longer, "query_id", "left")
+        .join(floors, "query_id", "left")
+        .withColumn("owed", owed)
+        .where(at_most >= F.coalesce("floor", F.lit(0.0)) - _TIE)
+        .select("query_id", "doc_id", F.col("score").alias("part"), "owed")
     )
-    return ranking(fused, k)
+    parts = [open_.select("query_id", "doc_id", "part")]
+    for name in weight:
+        wanted = open_.where(F.array_contains("owed", name)).select("query_id", "doc_id")
+        parts.append(part(name, lists[name].places(wanted)).drop("list"))
+    return ranking(_summed(reduce(DataFrame.unionByName, parts)), k)

@@ -465,15 +465,68 @@ def score_pairs(
     b: float = B,
 ) -> DataFrame:
     """BM25 score of given ``(query_id, doc_id)`` pairs, 0 when nothing matches."""
+    scores = matching_pairs(index, weighted, pairs, k1, b)
+    return pairs.join(scores, ["query_id", "doc_id"], "left").select(
+        "query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score")
+    )
+
+
+def matching_pairs(
+    index: LexicalIndex, weighted: DataFrame, pairs: DataFrame, k1: float = K1, b: float = B
+) -> DataFrame:
+    """BM25 score of those ``(query_id, doc_id)`` pairs that share a term."""
     part = F.col("weight") * saturation(index, k1, b)
     asked = with_terms(pairs, weighted, fits(weighted, MAX_BROADCAST_TERMS))
-    scores = (
+    return (
         asked.join(keep_matching(index.postings, pairs, "doc_id"), ["doc_id", "term"])
         .groupBy("query_id", "doc_id")
         .agg(rounded(F.sum(part)).alias("score"))
     )
-    return pairs.join(scores, ["query_id", "doc_id"], "left").select(
-        "query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score")
+
+
+def places(
+    index: LexicalIndex,
+    weighted: DataFrame,
+    wanted: DataFrame,
+    k1: float = K1,
+    b: float = B,
+    max_broadcast: int = MAX_BROADCAST_TERMS,
+) -> DataFrame:
+    """Rank of each ``wanted (query_id, doc_id)`` in the complete list of its question.
+
+    All documents that share a term are scored, and only counted: for each place between
+    the wanted documents, how many fall there. A wanted document without a shared term
+    has no row. ``weighted`` is used several times; stage or settle it.
+    """
+    order = F.struct((-F.col("score")).alias("score"), "doc_id")
+    own = settle(matching_pairs(index, weighted, wanted.select("query_id", "doc_id"), k1, b))
+    # As many per question as the caller wants, best first.
+    lists = own.groupBy("query_id").agg(F.sort_array(F.collect_list(order)).alias("own"))
+    asked = weighted.join(own.select("query_id").distinct(), "query_id", "left_semi")
+    scored = score_matches(index, asked, k1, b)
+    if fits(own, max_broadcast):
+        met = scored.join(F.broadcast(lists), "query_id")
+    else:  # one question may match most documents
+        salted = scored.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(QUESTION_SALTS)))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(QUESTION_SALTS - 1)))
+        met = salted.join(lists.withColumn("_salt", salts), ["query_id", "_salt"])
+    place = F.size(F.filter("own", lambda x: x <= order))
+    fallen = (
+        met.withColumn("place", place)
+        .where(F.col("place") < F.size("own"))
+        .groupBy("query_id", "place")
+        .agg(F.count("*").alias("n"))
+    )
+    upwards = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        lists.select("query_id", F.posexplode("own").alias("place", "pair"))
+        .join(fallen, ["query_id", "place"], "left")
+        .select(
+            "query_id",
+            F.col("pair.doc_id").alias("doc_id"),
+            # Those at the places up to it, and the wanted ones before it, once each.
+            (F.sum(F.coalesce("n", F.lit(0))).over(upwards) + 1).cast("int").alias("rank"),
+        )
     )
 
 

@@ -12,31 +12,42 @@ the best ``k`` rows per question and cluster. Three layouts give the same rows:
 The corpus has ``doc_id, vector, cluster`` and the questions ``query_id, vector,
 cluster``: a question is compared only with documents of its clusters. Unrouted search
 is the case of a single cluster.
+
+A question may bring a ``floor``, a score its k-th best is known to reach: less is never
+emitted. :func:`places` runs over the same layouts and counts, for given documents, how
+many are better.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..functions.vectors import SCORE_DIGITS
-from .joins import settle
+from ..sources.tables import file_bytes
+from .joins import keep_matching, settle
 from .ranking import ranking, top_k
 
 SCORED = "query_id long, cluster int, doc_id long, score double"
 _FIELDS = ["query_id", "cluster", "doc_id", "score"]
+COUNTED = "query_id long, cluster int, doc_id long, better long"
 
 MAX_BROADCAST_QUESTIONS = 20_000  # rows collected for a broadcast
 MAX_BROADCAST_BYTES = 128 << 20  # and their size as a float64 matrix
 MAX_SCANS = 8  # scans of the corpus before shuffling it is cheaper
+SCAN_BYTES = 256 << 20  # stored bytes a scanning task reads, if there are many
 BLOCK_ROWS = 20_000  # rows per side of a block pair
 _CELLS = 1_000_000  # scores held at once inside a task
 _ROUNDING = 10.0**-SCORE_DIGITS
+# Columns questions may bring along: see Asked.
+_EXTRAS = ("floor", "wanted_docs", "wanted_scores")
 
 
 # --- inside a task -------------------------------------------------------------------
@@ -82,12 +93,15 @@ class BestRows:
     of equal copies is turned away by id.
     """
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool):
+    FIELDS = SCORED
+
+    def __init__(self, asked: Asked, k: int, exclude_self: bool):
+        ids, matrix = asked.ids, asked.matrix
         self.ids, self.matrix, self.k, self.exclude_self = ids, matrix, k, exclude_self
         self.query = np.empty(0, np.int64)
         self.doc = np.empty(0, np.int64)
         self.score = np.empty(0)
-        self.floor = np.full(len(ids), -np.inf)
+        self.floor = np.full(len(ids), -np.inf) if asked.floor is None else asked.floor.copy()
         self.last = np.full(len(ids), np.iinfo(np.int64).max)
 
     def add(self, docs: np.ndarray, matrix: np.ndarray) -> None:
@@ -140,6 +154,95 @@ class BestRows:
         )
 
 
+class Places:
+    """How many documents are better than each wanted one, fed block by block.
+
+    Wanted documents and the scores of a block are sorted together, best first; what
+    stands before a wanted one is better. Scores below all wanted ones of a question
+    never enter the sort.
+    """
+
+    FIELDS = COUNTED
+
+    def __init__(self, asked: Asked, k: int, exclude_self: bool):
+        self.ids, self.matrix, self.exclude_self = asked.ids, asked.matrix, exclude_self
+        self.doc = np.concatenate([np.asarray(d, np.int64) for d in asked.docs] or [[]]).astype(np.int64)
+        self.score = np.concatenate([np.asarray(s, float) for s in asked.scores] or [[]])
+        self.query = np.repeat(np.arange(len(asked.ids)), [len(d) for d in asked.docs])
+        self.lowest = np.full(len(asked.ids), np.inf)
+        np.minimum.at(self.lowest, self.query, self.score)
+        self.better = np.zeros(len(self.doc), np.int64)
+
+    def add(self, docs: np.ndarray, matrix: np.ndarray) -> None:
+        step = max(1, _CELLS // max(1, len(self.ids)))
+        for start in range(0, len(docs), step):
+            self._add_block(docs[start : start + step], matrix[start : start + step])
+
+    def _add_block(self, docs: np.ndarray, matrix: np.ndarray) -> None:
+        scores = np.round(self.matrix @ matrix.T, SCORE_DIGITS) + 0.0
+        if self.exclude_self:
+            _, same, itself = np.intersect1d(self.ids, docs, return_indices=True)
+            scores[same, itself] = -np.inf
+        rows, cols = np.nonzero(scores >= self.lowest[:, None])
+        n = len(self.doc)
+        query = np.r_[self.query, rows]
+        # A wanted document stands before itself, so it is not counted.
+        order = np.lexsort(
+            (
+                np.arange(n + len(rows)) >= n,
+                np.r_[self.doc, docs[cols]],
+                -np.r_[self.score, scores[rows, cols]],
+                query,
+            )
+        )
+        scanned = np.cumsum(order >= n)
+        wanted = np.flatnonzero(order < n)
+        # What earlier questions brought is taken off again.
+        before = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(self.ids)))]
+        self.better[order[wanted]] += scanned[wanted] - before[query[order[wanted]]]
+
+    def rows(self, cluster: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(self.ids[self.query], pa.int64()),
+                pa.array(np.full(len(self.doc), cluster), pa.int32()),
+                pa.array(self.doc, pa.int64()),
+                pa.array(self.better, pa.int64()),
+            ],
+            names=["query_id", "cluster", "doc_id", "better"],
+        )
+
+
+class Asked(NamedTuple):
+    """Questions of one cluster, and what they bring beside their vectors."""
+
+    ids: np.ndarray
+    matrix: np.ndarray
+    floor: np.ndarray | None = None
+    docs: list | None = None
+    scores: list | None = None
+
+    @classmethod
+    def of(cls, rows: pa.Table, cosine: bool) -> Asked:
+        ids, matrix = rows.column("query_id").to_numpy(), to_matrix(rows.column("vector"))
+        alive = np.ones(len(ids), bool)
+        if cosine and len(ids):
+            matrix, alive = unit_rows(matrix)
+
+        def extra(name: str, read: Callable[[pa.ChunkedArray], object]) -> object:
+            if name not in rows.column_names:
+                return None
+            return read(rows.column(name).filter(pa.array(alive)))
+
+        return cls(
+            ids[alive],
+            matrix[alive],
+            extra("floor", lambda column: column.to_numpy()),
+            extra("wanted_docs", lambda column: column.to_pylist()),
+            extra("wanted_scores", lambda column: column.to_pylist()),
+        )
+
+
 def _prepared(matrix: np.ndarray, ids: np.ndarray, cosine: bool):
     if not cosine or len(ids) == 0:
         return matrix, ids
@@ -151,20 +254,22 @@ def _prepared(matrix: np.ndarray, ids: np.ndarray, cosine: bool):
 
 
 def _scan_corpus(
-    corpus: DataFrame, questions: pa.Table, k: int, cosine: bool, exclude_self: bool
+    corpus: DataFrame,
+    questions: pa.Table,
+    k: int,
+    cosine: bool,
+    exclude_self: bool,
+    collector: type[BestRows] | type[Places],
 ) -> DataFrame:
     clusters = questions.column("cluster").to_numpy()
-    ids = questions.column("query_id").to_numpy()
-    matrix = to_matrix(questions.column("vector"))
-    by_cluster = {}
-    for cluster in np.unique(clusters):
-        rows = clusters == cluster
-        unit, alive = _prepared(matrix[rows], ids[rows], cosine)
-        by_cluster[int(cluster)] = (alive, unit)
+    by_cluster = {
+        int(cluster): Asked.of(questions.filter(pa.array(clusters == cluster)), cosine)
+        for cluster in np.unique(clusters)
+    }
     shared = corpus.sparkSession.sparkContext.broadcast(by_cluster)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, BestRows] = {}
+        best: dict[int, BestRows | Places] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -176,7 +281,7 @@ def _scan_corpus(
                 if label not in shared.value:
                     continue
                 if label not in best:
-                    best[label] = BestRows(*shared.value[label], k, exclude_self)
+                    best[label] = collector(shared.value[label], k, exclude_self)
                 rows = labels == cluster
                 unit, alive = _prepared(vectors[rows], docs[rows], cosine)
                 best[label].add(alive, unit)
@@ -185,15 +290,18 @@ def _scan_corpus(
 
     # The probed clusters are known here, so a corpus stored by cluster is pruned.
     probed = corpus.where(F.col("cluster").isin(list(by_cluster)))
-    # A task emits up to k rows per question, so a few long tasks beat many short ones.
-    spark = corpus.sparkSession
-    tasks = max(
-        8 * spark.sparkContext.defaultParallelism,
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-    )
-    return (
-        probed.select("doc_id", "vector", "cluster").coalesce(tasks).mapInArrow(scan, SCORED)
-    )
+    probed = probed.select("doc_id", "vector", "cluster")
+    # A task emits up to k rows per question, so small files are read together; a floor
+    # leaves little to emit, and files then stay as Spark cuts them.
+    if "floor" not in questions.column_names:
+        spark = corpus.sparkSession
+        tasks = max(
+            8 * spark.sparkContext.defaultParallelism,
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            file_bytes(probed) // SCAN_BYTES,
+        )
+        probed = probed.coalesce(tasks)
+    return probed.mapInArrow(scan, collector.FIELDS)
 
 
 def _block_counts(df: DataFrame, block_rows: int, name: str) -> DataFrame:
@@ -213,8 +321,10 @@ def _pair_blocks(
     k: int,
     cosine: bool,
     exclude_self: bool,
+    collector: type[BestRows] | type[Places],
     block_rows: int,
 ) -> DataFrame:
+    extras = [c for c in _EXTRAS if c in questions.columns]
     doc_blocks = _block_counts(corpus, block_rows, "doc_blocks")
     query_blocks = _block_counts(questions, block_rows, "query_blocks")
     # One row per cluster: the number of clusters is a parameter of the model.
@@ -235,34 +345,33 @@ def _pair_blocks(
         .withColumn("doc_block", every("doc_blocks"))
         # Fresh columns: the questions are often the corpus itself.
         .select(
-            *[F.col(c).alias(c) for c in ("cluster", "doc_block", "query_block", "query_id")],
-            F.col("vector").alias("asked"),
+            *[F.col(c).alias(c) for c in ("cluster", "doc_block", "query_block", "query_id", "vector", *extras)],
         )
     )
     keys = ["cluster", "doc_block", "query_block"]
 
+    last = ("better", pa.int64()) if collector is Places else ("score", pa.float64())
+
     def score(docs: pa.Table, asked: pa.Table) -> pa.Table:
         schema = pa.schema(
             [
                 ("query_id", pa.int64()),
                 ("cluster", pa.int32()),
                 ("doc_id", pa.int64()),
-                ("score", pa.float64()),
+                last,
             ]
         )
         if docs.num_rows == 0 or asked.num_rows == 0:
             return schema.empty_table()
-        unit, ids = _prepared(
-            to_matrix(asked.column("asked")), asked.column("query_id").to_numpy(), cosine
-        )
-        best = BestRows(ids, unit, k, exclude_self)
+        best = collector(Asked.of(asked, cosine), k, exclude_self)
         unit, ids = _prepared(
             to_matrix(docs.column("vector")), docs.column("doc_id").to_numpy(), cosine
         )
         best.add(ids, unit)
         return pa.Table.from_batches([best.rows(docs.column("cluster")[0].as_py())])
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, SCORED)
+    cogroups = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    return cogroups.applyInArrow(score, collector.FIELDS)
 
 
 def search(
@@ -275,25 +384,44 @@ def search(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Candidates ``(query_id, cluster, doc_id, score)`` that contain the best ``k``
-    per question and cluster. Zero vectors have no cosine and are dropped."""
+    per question and cluster. Zero vectors have no cosine and are dropped. Where the
+    questions have a ``floor``, only scores that reach it count."""
+    return _run(corpus, questions, k, cosine, exclude_self, BestRows, max_broadcast, block_rows)
+
+
+def _run(
+    corpus: DataFrame,
+    questions: DataFrame,
+    k: int,
+    cosine: bool,
+    exclude_self: bool,
+    collector: type[BestRows] | type[Places],
+    max_broadcast: int,
+    block_rows: int,
+) -> DataFrame:
     corpus = corpus.where(F.col("vector").isNotNull())
     questions = questions.where(F.col("vector").isNotNull()).select(
-        "query_id", "vector", "cluster"
+        "query_id", "vector", "cluster", *[c for c in _EXTRAS if c in questions.columns]
     )
     questions = settle(questions)  # counted, then cut into blocks
-    n, width = questions.agg(F.count("*"), F.max(F.size("vector"))).first()
+    width = F.max(F.size("vector"))
+    if collector is Places:
+        width += 2 * F.max(F.size("wanted_docs"))
+    n, width = questions.agg(F.count("*"), width).first()
     # Bytes are known before any vector is fetched.
     per_block = min(max_broadcast, MAX_BROADCAST_BYTES // (8 * max(1, width or 0)))
     if n <= per_block:
-        return _scan_corpus(corpus, questions.toArrow(), k, cosine, exclude_self)
+        return _scan_corpus(corpus, questions.toArrow(), k, cosine, exclude_self, collector)
     blocks = -(-n // max(1, per_block))
     if per_block < 1 or blocks > MAX_SCANS:
-        return _pair_blocks(corpus, questions, k, cosine, exclude_self, block_rows)
+        return _pair_blocks(corpus, questions, k, cosine, exclude_self, collector, block_rows)
     # A few scans in place cost less than shuffling the corpus. Blocks are cut by a hash,
     # so that they are about equal.
     part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     scans = [
-        _scan_corpus(corpus, questions.where(part == b).toArrow(), k, cosine, exclude_self)
+        _scan_corpus(
+            corpus, questions.where(part == b).toArrow(), k, cosine, exclude_self, collector
+        )
         for b in range(blocks)
     ]
     return reduce(DataFrame.unionAll, scans)
@@ -329,6 +457,47 @@ def routed_topk(
     return ranking(search(corpus, routed, k, **options), k)
 
 
+def places(
+    corpus: DataFrame,
+    routed: DataFrame,
+    wanted: DataFrame,
+    cosine: bool = True,
+    exclude_self: bool = False,
+    max_broadcast: int = MAX_BROADCAST_QUESTIONS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Rank of each ``wanted (query_id, doc_id)`` in the complete list of its question.
+
+    The list holds all documents of the question's clusters in ``routed``; a wanted
+    document outside it has no row. One scan counts the better ones; no list is written.
+    """
+    measure = vectors.cosine if cosine else vectors.dot
+    docs = (
+        keep_matching(corpus, wanted, "doc_id")
+        .join(wanted.select("query_id", "doc_id"), "doc_id")
+        .withColumnRenamed("vector", "doc_vector")
+    )
+    own = docs.join(routed.select("query_id", "vector", "cluster"), ["query_id", "cluster"]).select(
+        "query_id",
+        "doc_id",
+        (vectors.rounded(measure(F.col("vector"), F.col("doc_vector"))) + 0.0).alias("score"),
+    )
+    own = own.where(F.col("score").isNotNull())
+    if exclude_self:
+        own = own.where(F.col("query_id") != F.col("doc_id"))
+    # As many per question as the caller wants.
+    lists = own.groupBy("query_id").agg(F.collect_list(F.struct("doc_id", "score")).alias("own"))
+    asked = routed.join(lists, "query_id").select(
+        *[F.col(c).alias(c) for c in ("query_id", "vector", "cluster")],
+        F.col("own.doc_id").alias("wanted_docs"),
+        F.col("own.score").alias("wanted_scores"),
+    )
+    counted = _run(corpus, asked, 0, cosine, exclude_self, Places, max_broadcast, block_rows)
+    return counted.groupBy("query_id", "doc_id").agg(
+        (F.sum("better") + 1).cast("int").alias("rank")
+    )
+
+
 def topk_for_one(
     corpus: DataFrame, score: Column, k: int
 ) -> DataFrame:

@@ -24,9 +24,10 @@ from ..operators import (
     fusion,
     lexical,
     neighbours,
+    rings,
     rows,
 )
-from ..operators.ranking import pad_with_first, ranking, top_k
+from ..operators.ranking import pad_with_first, top_k
 from ..sources import tables
 from ..sources.workspace import Workspace
 from ..streaming.questions import answer_stream, read_questions
@@ -123,17 +124,15 @@ class Inputs:
     def letters(self, df: DataFrame, key: str) -> DataFrame:
         return embedding.embed(df.select(key, "text"), "text", embedding.letter_counts, "vector")
 
-    @cached_property
-    def letter_hits(self) -> DataFrame:
-        """Cosine neighbours of the benchmark questions by letter counts."""
+    def fused_bm25(self, k: int) -> DataFrame:
+        """BM25, without zero-score fillers, and cosine of letter counts in one ranking."""
         corpus = self.workspace.stage("letters", lambda: self.letters(self.documents, "doc_id"))
         asked = self.letters(self.questions, "query_id")
-        return neighbours.exact_topk(corpus.select("doc_id", "vector"), asked, fusion.FUSION_DEPTH)
-
-    def fused_bm25(self, k: int) -> DataFrame:
-        """BM25, without zero-score fillers, and cosine in one ranking."""
-        parts = {"bm25": self.bm25(fusion.FUSION_DEPTH), "cosine": self.letter_hits}
-        return fusion.fuse(parts, k)
+        lists = {
+            "bm25": fusion.bm25_list(self.index, self.weighted),
+            "cosine": fusion.cosine_list(corpus.select("doc_id", "vector"), asked),
+        }
+        return fusion.fuse_complete(lists, k)
 
     # vector corpus
     @property
@@ -166,6 +165,16 @@ class Inputs:
         assigned = clustering.assign_nearest(self.corpus, self.centroids).drop("d2")
         return clustering.write_by_cluster(assigned, "doc_id", self.workspace, "cluster_index")
 
+    def rings(self, cosine: bool) -> rings.RingIndex:
+        """The vector corpus by rings around the centroids of its labels."""
+        points = clustering.unit_vectors(self.labelled) if cosine else self.labelled
+        name = "rings_cosine" if cosine else "rings_product"
+        means = self.workspace.stage(f"{name}_centers", lambda: clustering.centroid_means(points))
+        corpus = self.corpus if cosine else clustering.unit_vectors(self.corpus)
+        return rings.build_rings(
+            corpus, clustering.Centroids.of(means), self.workspace, name, cosine
+        )
+
     def cosine(self, k: int) -> DataFrame:
         return neighbours.exact_topk(self.corpus, self.vector_questions, k, exclude_self=True)
 
@@ -185,23 +194,12 @@ class Inputs:
         )
 
     def fused(self, k: int, weights: dict[str, float] | None = None) -> DataFrame:
-        depth = fusion.FUSION_DEPTH
-        rank = self._routes.select("query_id", "cluster", "route_rank")
-        # One search of the probed clusters holds the lists of fewer probes too.
-        probed = self.workspace.stage(
-            "probed",
-            lambda: neighbours.topk_per_cluster(
-                self.cluster_index, self._routes, depth, exclude_self=True
-            )
-            .drop("rank")
-            .join(rank, ["query_id", "cluster"]),
-        )
-        parts = {
-            "cosine": self.cosine(depth),
-            "centroid_1": ranking(probed.where("route_rank <= 1"), depth),
-            "centroid_3": ranking(probed, depth),
+        routed = {
+            f"centroid_{n}": fusion.routed_list(self.cluster_index, self.routes(n), exclude_self=True)
+            for n in (1, MAX_PROBES)
         }
-        return fusion.fuse(parts, k, weights)
+        cosine = fusion.cosine_list(self.corpus, self.vector_questions, exclude_self=True)
+        return fusion.fuse_complete({"cosine": cosine} | routed, k, weights)
 
     def by_label(self, hits: DataFrame) -> DataFrame:
         labels = self.table("embeddings").select("vec_id", "label")
@@ -595,6 +593,29 @@ def cosine_topk_batch(i: Inputs) -> DataFrame:
     return i.cosine(TOP_K)
 
 
+@query
+def cosine_topk_rings(i: Inputs) -> DataFrame:
+    return rings.ring_topk(i.rings(True), i.vector_questions, TOP_K, exclude_self=True).hits
+
+
+@query
+def ip_topk_rings(i: Inputs) -> DataFrame:
+    asked = clustering.unit_vectors(i.corpus).withColumnRenamed("doc_id", "query_id")
+    return rings.ring_topk(i.rings(False), asked, TOP_K, exclude_self=True).hits
+
+
+@query
+def rings_compared(i: Inputs) -> DataFrame:
+    """Mean number of rings a question reads, and mean share of the corpus in them."""
+    index = i.rings(True)
+    found = rings.ring_topk(index, i.vector_questions, TOP_K, exclude_self=True)
+    return found.compared.agg(
+        F.count("*").alias("questions"),
+        vectors.rounded(F.avg("n_rings")).alias("mean_rings"),
+        vectors.rounded(F.avg("compared") / float(max(1, index.sizes.sum()))).alias("share"),
+    )
+
+
 @query
 def embed_hashed(i: Inputs) -> DataFrame:
     tokens = text.content_tokens(F.col("text"))

@@ -11,7 +11,7 @@ from ..functions.text import (
 )
 from ..operators.context import INSTRUCTION
 from ..operators.embedding import LETTERS
-from ..operators.fusion import FUSION_DEPTH, RRF_CONSTANT
+from ..operators.fusion import RRF_CONSTANT
 from ..operators.lexical import K1, B
 from .catalog import (
     BM25_GRID,
@@ -128,6 +128,9 @@ CONTAINED = """
         WHERE contains(d.text, q.text))"""
 
 
+COMPLETE = 2**62  # places of a list: all of them
+
+
 def _ranked(source: str, k: int, by: str = "query_id") -> str:
     """The best k rows per group of a scored table."""
     return f"""
@@ -209,9 +212,9 @@ def _fusion(weights: dict[str, float], k: int) -> str:
         [
             VECTORS,
             COSINES,
-            _exact(FUSION_DEPTH, "cosine"),
-            _probed(1, FUSION_DEPTH, "centroid_1"),
-            _probed(MAX_PROBES, FUSION_DEPTH, "centroid_3"),
+            _exact(COMPLETE, "cosine"),
+            _probed(1, COMPLETE, "centroid_1"),
+            _probed(MAX_PROBES, COMPLETE, "centroid_3"),
             _fused(weights, k),
         ]
     )
@@ -361,11 +364,11 @@ def _fused_bm25(k: int) -> str:
             LEXICAL,
             ASKED,
             SCORED,
-            f"bm25 AS ({_ranked('scored', FUSION_DEPTH)})",
+            f"bm25 AS ({_ranked('scored', COMPLETE)})",
             _letters("letters", "doc_id", "documents"),
             _letters("letters_asked", "query_id", QUESTIONS),
             LETTER_COSINES,
-            f"letter_hits AS ({_ranked('letter_cosines', FUSION_DEPTH)})",
+            f"letter_hits AS ({_ranked('letter_cosines', COMPLETE)})",
             _fused({"bm25": 1.0, "letter_hits": 1.0}, k),
         ]
     )
@@ -503,6 +506,16 @@ def build() -> dict[str, str]:
             FROM e, q ORDER BY score DESC, doc_id LIMIT {TOP_K}""",
         "cosine_topk_batch": f"""
             {_with(*cos)} SELECT {RANKING} FROM ({_ranked('cosines', TOP_K)})""",
+        "cosine_topk_rings": f"""
+            {_with(*cos)} SELECT {RANKING} FROM ({_ranked('cosines', TOP_K)})""",
+        "ip_topk_rings": f"""
+            {_with(VECTORS, UNIT)},
+            products AS (
+                SELECT a.vec_id AS query_id, b.vec_id AS doc_id,
+                       round(list_inner_product(CAST(a.u AS DOUBLE[]), CAST(b.u AS DOUBLE[])), 6)
+                           + 0.0 AS score
+                FROM unit a JOIN unit b ON a.vec_id <> b.vec_id)
+            SELECT {RANKING} FROM ({_ranked('products', TOP_K)})""",
         # clustering
         "assign_nearest": f"{vec} SELECT vec_id AS id, cluster, d2 FROM assigned",
         "centroid_means": f"{vec} {_components('cluster', 'c', 'centroids')}",
@@ -629,7 +642,7 @@ def build() -> dict[str, str]:
             {_components('doc_id', 'v', 'letters')}""",
         "retrieve_all_modes": f"""
             {_with(LEXICAL, ASKED, SCORED, _padded_hits(3), *cos, _exact(3), _probed(2, 3),
-                   _exact(FUSION_DEPTH, 'deep'), _probed(2, FUSION_DEPTH, 'deep_routed'),
+                   _exact(COMPLETE, 'deep'), _probed(2, COMPLETE, 'deep_routed'),
                    _fused({'deep': 1.0, 'deep_routed': 1.0}, 3))}
             SELECT 'bm25' AS mode, {RANKING} FROM hits
             UNION ALL SELECT 'cosine', {RANKING} FROM exact

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from ..operators import lexical
 from ..operators.classify import classify_topn
 from ..operators.clustering import Centroids, route
-from ..operators.fusion import FUSION_DEPTH, fuse
-from ..operators.neighbours import exact_topk, routed_topk
+from ..operators.fusion import Ranked, bm25_list, cosine_list, fuse_complete, routed_list
+from ..operators.joins import settle
 
 MODES = ("bm25", "cosine", "centroid", "classifier", "rrf")
 
@@ -39,28 +39,30 @@ class Retriever:
         n_clusters: int = 3,
         fused: tuple[str, ...] = ("bm25", "cosine"),
         weights: dict[str, float] | None = None,
-        depth: int = FUSION_DEPTH,
         pad: bool = True,
     ) -> DataFrame:
-        """``depth``: places of each fused list that count; results for a smaller ``k``
-        are the first of those for a larger one up to it. ``pad``: BM25 fills short lists
-        with zero-score documents; never inside a fusion, where a place earns credit.
+        """``pad``: BM25 fills short lists with zero-score documents; never inside a
+        fusion, which is that of the complete lists, where a place earns credit.
         """
+        if mode == "rrf":
+            lists = {m: self.ranked(m, questions, n_clusters) for m in fused}
+            return fuse_complete(lists, k, weights)
         if mode == "bm25":
             return lexical.bm25_topk(self.index, questions, self.question_text, k, pad)
+        return self.ranked(mode, questions, n_clusters).top(k)
+
+    def ranked(self, mode: str, questions: DataFrame, n_clusters: int = 3) -> Ranked:
+        """The complete lists of one mode, read as far as asked for."""
+        if mode == "bm25":
+            terms = lexical.question_terms(questions, self.question_text)
+            return bm25_list(self.index, settle(lexical.weighted_terms(self.index, terms)))
         if mode == "cosine":
-            return exact_topk(self.corpus, questions, k, **self.options)
+            return cosine_list(self.corpus, questions, **self.options)
         if mode == "centroid":
             routed = route(questions, self.centroids, n_clusters)
-            return routed_topk(self.corpus, routed, k, **self.options)
+            return routed_list(self.corpus, routed, **self.options)
         if mode == "classifier":
             routes = classify_topn(self.classifier, questions, n_clusters)
             routed = routes.join(questions.select("query_id", "vector"), "query_id")
-            return routed_topk(self.corpus, routed, k, **self.options)
-        if mode == "rrf":
-            parts = {
-                m: self.retrieve(m, questions, max(depth, k), n_clusters, pad=False)
-                for m in fused
-            }
-            return fuse(parts, k, weights)
+            return routed_list(self.corpus, routed, **self.options)
         raise ValueError(f"unknown mode {mode!r}, choose one of {', '.join(MODES)}")

@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PACKAGE = "rankwell"
 
@@ -82,15 +83,20 @@ class Workspace:
         name: str,
         build: Callable[[], DataFrame],
         partition_by: str | None = None,
+        schema: StructType | None = None,
     ) -> DataFrame:
-        """Write ``build()`` once under ``name`` and read it from there."""
+        """Write ``build()`` once under ``name`` and read it from there.
+
+        A partitioned table without rows has no file; it is read by its ``schema``.
+        """
         path = self.path(name)
         if not self.has(name):
             writer = build().write.mode("overwrite")
             if partition_by:
                 writer = writer.partitionBy(partition_by)
             writer.parquet(path)
-        return self.spark.read.parquet(path)
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(path)
 
     def stage_bucketed(
         self,
