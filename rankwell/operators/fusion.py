@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import rounded
@@ -106,44 +106,49 @@ def fuse_complete(
     weight = {name: float((weights or {}).get(name, 1.0)) for name in lists}
     if min(weight.values()) < 0:
         raise ValueError("weights must not be negative")
+    # Up to 31 lists: each has a bit of an integer.
     weight = {name: w for name, w in weight.items() if w > 0} or dict.fromkeys(lists, 1.0)
     depth = sufficient_depth(list(weight.values()), k)
 
+    bit = {name: 1 << at for at, name in enumerate(weight)}
+
     def part(name: str, ranks: DataFrame) -> DataFrame:
         earned = F.lit(weight[name]) / (F.col("rank") + RRF_CONSTANT)
-        return ranks.select("query_id", "doc_id", F.lit(name).alias("list"), earned.alias("part"))
+        return ranks.select("query_id", "doc_id", F.lit(bit[name]).alias("lists"), earned.alias("part"))
 
     seen = settle(
         reduce(DataFrame.unionByName, [part(name, lists[name].top(depth)) for name in weight])
     )
     # A list with fewer places has been read to its end and owes nothing more.
-    longer = (
-        seen.groupBy("query_id", "list")
-        .count()
-        .where(F.col("count") == depth)
-        .groupBy("query_id")
-        .agg(F.collect_set("list").alias("longer"))
+    longer = seen.groupBy("query_id").agg(
+        reduce(
+            lambda total, b: total + F.when(F.count(F.when(F.col("lists") == b, 1)) == depth, b).otherwise(0),
+            bit.values(),
+            F.lit(0),
+        ).alias("longer")
     )
     known = seen.groupBy("query_id", "doc_id").agg(
-        F.sum("part").alias("score"), F.collect_set("list").alias("lists")
+        F.sum("part").alias("score"), F.bit_or("lists").alias("lists")
     )
     floors = ranking(known, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    owed = F.array_except(F.coalesce("longer", F.array().cast("array<string>")), "lists")
+
+    def owes(name: str) -> Column:
+        return F.col("owed").bitwiseAND(bit[name]) > 0
+
     at_most = reduce(
         lambda total, name: total
-        + F.when(F.array_contains("owed", name), weight[name] / (RRF_CONSTANT + 1 + depth)).otherwise(0.0),
+        + F.when(owes(name), weight[name] / (RRF_CONSTANT + 1 + depth)).otherwise(0.0),
         weight,
         F.col("score"),
     )
     open_ = settle(
-        known.join(longer, "query_id", "left")
-        .join(floors, "query_id", "left")
-        .withColumn("owed", owed)
+        known.join(longer.join(floors, "query_id", "left"), "query_id")
+        .withColumn("owed", F.col("longer").bitwiseAND(F.bitwise_not("lists")))
         .where(at_most >= F.coalesce("floor", F.lit(0.0)) - _TIE)
         .select("query_id", "doc_id", F.col("score").alias("part"), "owed")
     )
     parts = [open_.select("query_id", "doc_id", "part")]
     for name in weight:
-        wanted = open_.where(F.array_contains("owed", name)).select("query_id", "doc_id")
-        parts.append(part(name, lists[name].places(wanted)).drop("list"))
+        wanted = open_.where(owes(name)).select("query_id", "doc_id")
+        parts.append(part(name, lists[name].places(wanted)).drop("lists"))
     return ranking(_summed(reduce(DataFrame.unionByName, parts)), k)

@@ -36,6 +36,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` only picks columns and rows of one stored table.
+
+    Reading it again costs a scan, so there is nothing to settle.
+    """
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.nodeName().startswith("Relation") or node.nodeName() == "LogicalRelation"
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is settled inside is deleted at the end; write the results before that."""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..functions.vectors import SCORE_DIGITS
 from ..sources.tables import file_bytes
-from .joins import keep_matching, settle
+from .joins import is_stored, keep_matching, settle
 from .ranking import ranking, top_k
 
 SCORED = "query_id long, cluster int, doc_id long, score double"
@@ -403,7 +403,8 @@ def _run(
     questions = questions.where(F.col("vector").isNotNull()).select(
         "query_id", "vector", "cluster", *[c for c in _EXTRAS if c in questions.columns]
     )
-    questions = settle(questions)  # counted, then cut into blocks
+    if not is_stored(questions):
+        questions = settle(questions)  # counted, then cut into blocks
     width = F.max(F.size("vector"))
     if collector is Places:
         width += 2 * F.max(F.size("wanted_docs"))
