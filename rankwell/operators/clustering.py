@@ -5,12 +5,11 @@ Inputs have ``id`` and ``vector`` (array) columns, clusters an integer ``cluster
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -22,7 +21,8 @@ from pyspark.sql.types import StructType
 
 from ..functions.vectors import SCORE_DIGITS, as_double, normalize, rounded
 from ..sources.workspace import Workspace
-from .neighbours import BLOCK_ROWS, MAX_BROADCAST_BYTES, MAX_BROADCAST_QUESTIONS, to_matrix
+from .neighbours import BLOCK_ROWS, MAX_BROADCAST_QUESTIONS, to_matrix
+from .silhouette import PARTS, mean_distances, moments
 
 ROWS_PER_FIT_TASK = 200_000
 
@@ -199,103 +199,33 @@ def unit_vectors(df: DataFrame) -> DataFrame:
 
 # --- quality -------------------------------------------------------------------------
 
-_SUMS = "id long, own int, cluster int, total double"
-
-
-def _distance_sums(points, labels, ids, right, right_labels) -> pa.RecordBatch:
-    """Sum of distances from each point to the rows of each cluster on the right."""
-    clusters, index = np.unique(right_labels, return_inverse=True)
-    member = np.zeros((len(right), len(clusters)))
-    member[np.arange(len(right)), index] = 1.0
-    square = np.einsum("ij,ij->i", right, right)
-    sums = np.empty((len(points), len(clusters)))
-    step = max(1, 4_000_000 // max(1, len(right)))
-    for start in range(0, len(points), step):
-        x = points[start : start + step]
-        d2 = np.einsum("ij,ij->i", x, x)[:, None] + square - 2.0 * (x @ right.T)
-        sums[start : start + step] = np.sqrt(np.maximum(d2, 0.0)) @ member
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.repeat(ids, len(clusters)), pa.int64()),
-            pa.array(np.repeat(labels, len(clusters)), pa.int32()),
-            pa.array(np.tile(clusters, len(points)), pa.int32()),
-            pa.array(sums.ravel(), pa.float64()),
-        ],
-        names=["id", "own", "cluster", "total"],
-    )
-
-
-def distance_sums(
+def silhouette_parts(
     df: DataFrame,
     max_broadcast: int = MAX_BROADCAST_QUESTIONS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``(id, own, cluster, total)``: sum of Euclidean distances from each row to each
-    cluster. Pairs exist only inside block products, never as rows."""
-    rows = df.select("id", "vector", F.col("cluster").cast("int").alias("cluster"))
-    few = rows.limit(max_broadcast + 1).toArrow()
-    if few.num_rows <= max_broadcast and few.nbytes <= MAX_BROADCAST_BYTES:
-        shared = df.sparkSession.sparkContext.broadcast(
-            (to_matrix(few.column("vector")), few.column("cluster").to_numpy())
-        )
+    """``id, cluster, a, b, compared``: mean distance of every row to its own cluster and
+    to the nearest other one, and the number of rows it was compared with.
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    yield _distance_sums(
-                        to_matrix(batch.column("vector")),
-                        batch.column("cluster").to_numpy(),
-                        batch.column("id").to_numpy(),
-                        *shared.value,
-                    )
-
-        return rows.mapInArrow(scan, _SUMS)
-
-    blocks = -(-rows.count() // block_rows)
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.withColumn("a", block).withColumn("b", every)
-    fresh = rows.select(*[F.col(c).alias(c) for c in rows.columns])
-    right = fresh.withColumn("b", block).withColumn("a", every)
-
-    def measure(x: pa.Table, y: pa.Table) -> pa.Table:
-        if x.num_rows == 0 or y.num_rows == 0:
-            empty = _distance_sums(np.empty((0, 1)), [], [], np.empty((0, 1)), [])
-            return pa.Table.from_batches([empty])
-        sums = _distance_sums(
-            to_matrix(x.column("vector")),
-            x.column("cluster").to_numpy(),
-            x.column("id").to_numpy(),
-            to_matrix(y.column("vector")),
-            y.column("cluster").to_numpy(),
-        )
-        return pa.Table.from_batches([sums])
-
-    partial = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(
-        measure, _SUMS
+    Clusters that bounds rule out are not compared: see :mod:`.silhouette`. Rows without
+    a vector or a cluster take no part; ids are distinct.
+    """
+    rows = df.select("id", "vector", F.col("cluster").cast("int").alias("cluster")).where(
+        "vector is not null and cluster is not null"
     )
-    return partial.groupBy("id", "own", "cluster").agg(F.sum("total").alias("total"))
+    means = Centroids.of(centroid_means(rows)) if not rows.isEmpty() else None
+    if means is None:
+        return df.sparkSession.createDataFrame([], PARTS)
+    known = moments(rows, means.clusters, means.matrix)
+    return mean_distances(rows, known, max_broadcast, block_rows)
 
 
 def silhouette_rows(df: DataFrame, **options: int) -> DataFrame:
     """Exact silhouette of every row: ``id, cluster, silhouette``; 0 for a row alone in
     its cluster."""
-    sizes = df.groupBy("cluster").agg(F.count("*").alias("n"))
-    own = F.col("own") == F.col("cluster")
-    others = F.col("n") - F.when(own, 1).otherwise(0)
-    mean = F.when(others > 0, F.col("total") / F.nullif(others, F.lit(0)))
-    per_row = (
-        distance_sums(df, **options)
-        .join(F.broadcast(sizes), "cluster")  # one row per cluster
-        .groupBy("id", "own")
-        .agg(
-            F.max(F.when(own, mean)).alias("a"),
-            F.min(F.when(~own, mean)).alias("b"),
-        )
-    )
     value = (F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))
-    return per_row.select(
-        "id", F.col("own").alias("cluster"), F.coalesce(value, F.lit(0.0)).alias("silhouette")
+    return silhouette_parts(df, **options).select(
+        "id", "cluster", F.coalesce(value, F.lit(0.0)).alias("silhouette")
     )
 
 
@@ -321,7 +251,7 @@ def sweep_k(
     """Fit every k on one input and mark the best silhouette, the smaller k on ties.
 
     The default measure is linear in the rows; ``silhouette_score``, the exact one,
-    compares all rows with all.
+    compares rows with the clusters that bounds leave.
     """
     results = []
     n_rows = df.count()

@@ -688,6 +688,18 @@ def silhouette_exact(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def silhouette_compared(i: Inputs) -> DataFrame:
+    """Mean number of rows that the exact silhouette compares a row with, and the share."""
+    parts = clustering.silhouette_parts(i.labelled)
+    rows_compared = F.avg("compared")
+    return parts.agg(
+        F.count("*").alias("n"),
+        vectors.rounded(rows_compared).alias("rows_compared"),
+        vectors.rounded(rows_compared / F.count("*")).alias("share"),
+    )
+
+
 @query
 def silhouette_ml(i: Inputs) -> DataFrame:
     score = clustering.silhouette_squared(i.labelled)

@@ -294,6 +294,36 @@ SILHOUETTE = """
                coalesce((b - a) / nullif(greatest(a, b), 0), 0) AS s
         FROM ab)"""
 
+# Which clusters the exact silhouette compares a row with. The bounds of a mean distance
+# come from the mean and the variance of the squared distances, here over all pairs.
+COMPARED = """
+    squares AS (
+        SELECT a.vec_id, a.label AS own, b.label AS other,
+               {squared} AS d2
+        FROM e a, e b),
+    sums AS (
+        SELECT vec_id, own, other, count(*) AS n, avg(d2) AS m, var_pop(d2) AS v,
+               avg(sqrt(d2)) AS mean
+        FROM squares GROUP BY vec_id, own, other),
+    reach AS (
+        SELECT a.vec_id, a.label AS own, b.cluster AS other, sqrt({to_center}) AS z
+        FROM e a, centroids b),
+    ends AS (SELECT other, min(z) AS near, max(z) AS far FROM reach WHERE own = other GROUP BY other),
+    gapped AS (
+        SELECT *, greatest(0, z - far, near - z) AS gap
+        FROM sums JOIN reach USING (vec_id, own, other) JOIN ends USING (other)),
+    bounds AS (
+        SELECT *, sqrt(m) AS upper,
+               greatest(z, gap, sqrt(m) * (1 - v / (2 * pow(1 + gap / sqrt(m), 2) * m * m)))
+                   * (1 - 1e-7) AS lower,
+               row_number() OVER (PARTITION BY vec_id ORDER BY own = other, m, other) = 1 AS home
+        FROM gapped),
+    homes AS (SELECT vec_id, mean AS best FROM bounds WHERE home),
+    compared AS (
+        SELECT vec_id, sum(n) AS compared
+        FROM bounds JOIN homes USING (vec_id)
+        WHERE home OR own = other OR lower <= best GROUP BY vec_id)"""
+
 SQUARED = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 CONFUSION = """
@@ -534,6 +564,10 @@ def build() -> dict[str, str]:
             SELECT cluster, count(*) AS n, round(avg(s), 6) + 0.0 AS silhouette
             FROM (SELECT cluster, s FROM silhouettes UNION ALL SELECT -1, s FROM silhouettes)
             GROUP BY cluster""",
+        "silhouette_compared": f"""
+            {_with(VECTORS, COMPARED.format(squared=SQUARED, to_center=SQUARED.replace('b.v', 'b.c')))}
+            SELECT count(*) AS n, round(avg(compared), 6) AS rows_compared,
+                   round(avg(compared) / count(*), 6) AS share FROM compared""",
         "silhouette_ml": f"""
             {_with(VECTORS, SILHOUETTE.format(distance=SQUARED))}
             SELECT count(*) AS n, round(avg(s), 6) + 0.0 AS silhouette FROM silhouettes""",
