@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.vectors import SCORE_DIGITS, as_double, normalize, rounded
 from ..sources.workspace import Workspace
+from . import kmeans
 from .neighbours import BLOCK_ROWS, MAX_BROADCAST_QUESTIONS, to_matrix
 from .silhouette import PARTS, mean_distances, moments
 
@@ -59,6 +60,10 @@ class Centroids:
         centers = np.array(model.clusterCenters(), dtype=np.float64)
         return cls(np.arange(len(centers), dtype=np.int32), centers)
 
+    @classmethod
+    def of_fit(cls, fit: kmeans.Fit) -> Centroids:
+        return cls(np.arange(len(fit.centers), dtype=np.int32), fit.centers)
+
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(int(c), [float(x) for x in v]) for c, v in zip(self.clusters, self.matrix)]
         return spark.createDataFrame(rows, "cluster int, centroid array<double>")
@@ -245,26 +250,22 @@ def silhouette_squared(df: DataFrame) -> float:
 def sweep_k(
     df: DataFrame,
     ks: range,
-    seed: int = 0,
     measure: Callable[[DataFrame], float] = silhouette_squared,
 ) -> DataFrame:
     """Fit every k on one input and mark the best silhouette, the smaller k on ties.
 
+    Fits are those of :mod:`.kmeans`; the seeds of a smaller k begin those of a larger.
+
     The default measure is linear in the rows; ``silhouette_score``, the exact one,
     compares rows with the clusters that bounds leave.
     """
     results = []
-    n_rows = df.count()
-    rows = for_fit(df.select("id", "vector"), n_rows).persist()
+    seeds = kmeans.farthest_first(df, max(ks))
     for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=MAX_ITER).fit(rows)
-        labelled = model.transform(rows).select(
-            "id", "vector", F.col("prediction").alias("cluster")
-        )
-        results.append(
-            (k, float(model.summary.trainingCost), float(measure(labelled)))
-        )
-    rows.unpersist()
+        centroids = Centroids.of_fit(kmeans.lloyd(df, seeds[:k], MAX_ITER))
+        labelled = assign_nearest(df.select("id", "vector"), centroids)
+        cost = labelled.agg(F.sum("d2")).first()[0]
+        results.append((k, cost, float(measure(labelled))))
     best = min(results, key=lambda r: (-r[2], r[0]))[0]
     return df.sparkSession.createDataFrame(
         [(*r, r[0] == best) for r in results],

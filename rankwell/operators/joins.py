@@ -21,17 +21,20 @@ def fits(rows: DataFrame, limit: int) -> bool:
     return rows.limit(limit + 1).count() <= limit
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, only: bool = False) -> DataFrame:
     """Compute once a result that several parts of a plan use.
 
     A table in the shared folder: later jobs, and executors that take over lost work,
     read it back instead of running the plan again. Inside :func:`scratch` it goes at the
-    end; otherwise it stays as long as the folder.
+    end; otherwise it stays as long as the folder. With ``only``, what the same scratch
+    has settled before goes as soon as this is written.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{PACKAGE}/{spark.sparkContext.applicationId}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if getattr(_open, "paths", None) is not None:
+        while only and _open.paths:
+            _delete(spark, _open.paths.pop())
         _open.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,11 +59,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _open.paths:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         _open.paths = before
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def keep_matching(
     big: DataFrame, keys: DataFrame, key: str, max_broadcast: int = MAX_BROADCAST_KEYS
 ) -> DataFrame:

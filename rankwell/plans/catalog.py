@@ -22,6 +22,7 @@ from ..operators import (
     embedding,
     evaluation,
     fusion,
+    kmeans,
     lexical,
     neighbours,
     rings,
@@ -644,15 +645,20 @@ def _assigned(df: DataFrame, centroids: clustering.Centroids) -> DataFrame:
 @query
 def kmeans_assign(i: Inputs) -> DataFrame:
     points = i.labelled.drop("cluster")
-    model = clustering.fit_kmeans(points, 4)
-    return _assigned(points, clustering.Centroids.of_model(model))
+    return _assigned(points, clustering.Centroids.of_fit(kmeans.fit(points, 4)))
 
 
 @query
 def kmeans_norm_assign(i: Inputs) -> DataFrame:
     points = clustering.unit_vectors(i.labelled.drop("cluster"))
-    model = clustering.fit_kmeans(points, 4, max_iter=20)
-    return _assigned(points, clustering.Centroids.of_model(model))
+    return _assigned(points, clustering.Centroids.of_fit(kmeans.fit(points, 4, max_iter=20)))
+
+
+@query
+def kmeans_rounds(i: Inputs) -> DataFrame:
+    """Inertia of every round of a fit, from the seeds to the end."""
+    history = kmeans.fit(i.labelled.drop("cluster"), 4).history(i.spark)
+    return history.select("round", vectors.rounded(F.col("inertia"), 4).alias("inertia"))
 
 
 @query
@@ -710,7 +716,13 @@ def silhouette_ml(i: Inputs) -> DataFrame:
 
 @query
 def sweep_k(i: Inputs) -> DataFrame:
-    return clustering.sweep_k(i.labelled.drop("cluster"), range(2, 6))
+    swept = clustering.sweep_k(i.labelled.drop("cluster"), range(2, 6))
+    return swept.select(
+        "k",
+        vectors.rounded(F.col("inertia"), 4).alias("inertia"),
+        vectors.rounded(F.col("silhouette")).alias("silhouette"),
+        "best",
+    )
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.text import (
     MAX_MODEL_TOKENS,
     PREVIEW_CHARS,
@@ -294,6 +296,59 @@ SILHOUETTE = """
                coalesce((b - a) / nullif(greatest(a, b), 0), 0) AS s
         FROM ab)"""
 
+# K-means over ``source`` (vec_id, v): farthest-first seeds, then rounds until no center
+# moves. The last round's centers are those of the fit.
+KMEANS = """
+    seeds{k} AS (
+        SELECT 1 AS n, [arg_min(v, vec_id)] AS c FROM {source}
+        UNION ALL
+        SELECT n + 1, list_append(any_value(c), arg_max(v, (d2, -vec_id)))
+        FROM (SELECT s.n, s.c, p.v, p.vec_id, round(list_min(list_transform(s.c, lambda y:
+                     list_sum(list_transform(list_zip(p.v, y),
+                              lambda q: (q[1] - q[2]) * (q[1] - q[2]))))), 6) AS d2
+              FROM seeds{k} s, {source} p WHERE s.n < {k})
+        GROUP BY n),
+    rounds{k} AS (
+        SELECT 0 AS round, c AS centers, CAST(NULL AS DOUBLE[][]) AS old,
+               CAST(NULL AS DOUBLE) AS inertia
+        FROM seeds{k} WHERE n = {k}
+        UNION ALL
+        SELECT round + 1, list(c ORDER BY pick), any_value(centers), sum(d2)
+        FROM (
+            SELECT round, pick, list(m ORDER BY pos) AS c, any_value(centers) AS centers,
+                   any_value(d2) AS d2
+            FROM (
+                SELECT round, pick, pos, round(avg(x), 9) + 0.0 AS m, sum(d) AS d2,
+                       any_value(centers) AS centers
+                FROM (
+                    SELECT round, centers, ds[pick] AS d, pick, unnest(v) AS x,
+                           generate_subscripts(v, 1) AS pos
+                    FROM (
+                        SELECT *, list_position(rs, list_min(rs)) AS pick
+                        FROM (
+                            SELECT *, list_transform(ds, lambda d: round(d, 6)) AS rs
+                            FROM (
+                                SELECT l.round, l.centers, p.v,
+                                       list_transform(l.centers, lambda y:
+                                           list_sum(list_transform(list_zip(p.v, y),
+                                           lambda q: (q[1] - q[2]) * (q[1] - q[2])))) AS ds
+                                FROM rounds{k} l, {source} p
+                                WHERE l.round < {max_iter}
+                                  AND (l.old IS NULL OR l.old <> l.centers)))))
+                GROUP BY round, pick, pos)
+            GROUP BY round, pick)
+        GROUP BY round),
+    fitted{k} AS (
+        SELECT vec_id, CAST(pick - 1 AS INTEGER) AS cluster, rs[pick] AS d2, v
+        FROM (
+            SELECT *, list_position(rs, list_min(rs)) AS pick
+            FROM (
+                SELECT p.vec_id, p.v, list_transform(l.centers, lambda y:
+                           round(list_sum(list_transform(list_zip(p.v, y),
+                           lambda q: (q[1] - q[2]) * (q[1] - q[2]))), 6)) AS rs
+                FROM (SELECT centers FROM rounds{k} ORDER BY round DESC LIMIT 1) l,
+                     {source} p)))"""
+
 # Which clusters the exact silhouette compares a row with. The bounds of a mean distance
 # come from the mean and the variance of the squared distances, here over all pairs.
 COMPARED = """
@@ -372,6 +427,32 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+def _kmeans(source: str, k: int, max_iter: int = 300) -> str:
+    return KMEANS.format(source=source, k=k, max_iter=max_iter)
+
+
+def _sweep(ks: range) -> str:
+    """Inertia and silhouette on squared distances of the fits for several k."""
+    fits, measured = [], []
+    for k in ks:
+        fits.append(_kmeans("points", k))
+        renamed = SILHOUETTE.format(distance=SQUARED)
+        for name in ("gaps", "sums", "sizes", "ab", "silhouettes"):
+            renamed = re.sub(rf"\b{name}\b", f"{name}{k}", renamed)
+        renamed = re.sub(r"\be ([ab])\b", rf"labelled{k} \1", renamed)
+        renamed = renamed.replace("FROM e GROUP", f"FROM labelled{k} GROUP")
+        fits.append(f"""
+    labelled{k} AS (SELECT vec_id, cluster AS label, v FROM fitted{k}),{renamed}""")
+        measured.append(f"""
+            SELECT {k} AS k, (SELECT round(sum(d2), 4) FROM fitted{k}) AS inertia,
+                   (SELECT round(avg(s), 6) + 0.0 FROM silhouettes{k}) AS silhouette""")
+    return f"""
+        WITH RECURSIVE {VECTORS}, points AS (SELECT vec_id, v FROM e),{",".join(fits)},
+        swept AS ({" UNION ALL ".join(measured)})
+        SELECT k, inertia, silhouette,
+               row_number() OVER (ORDER BY silhouette DESC, k) = 1 AS best FROM swept"""
+
+
 def _letters(name: str, key: str, source: str) -> str:
     counts = ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE)" for c in LETTERS)
     return f"""
@@ -564,6 +645,17 @@ def build() -> dict[str, str]:
             SELECT cluster, count(*) AS n, round(avg(s), 6) + 0.0 AS silhouette
             FROM (SELECT cluster, s FROM silhouettes UNION ALL SELECT -1, s FROM silhouettes)
             GROUP BY cluster""",
+        "kmeans_assign": f"""
+            WITH RECURSIVE {VECTORS},{_kmeans("e", 4)}
+            SELECT vec_id AS id, cluster, d2 FROM fitted4""",
+        "kmeans_norm_assign": f"""
+            WITH RECURSIVE {VECTORS},{UNIT},
+            units AS (SELECT vec_id, CAST(u AS DOUBLE[]) AS v FROM unit),{_kmeans("units", 4, 20)}
+            SELECT vec_id AS id, cluster, d2 FROM fitted4""",
+        "kmeans_rounds": f"""
+            WITH RECURSIVE {VECTORS},{_kmeans("e", 4)}
+            SELECT round, round(inertia, 4) + 0.0 AS inertia FROM rounds4 WHERE round > 0""",
+        "sweep_k": _sweep(range(2, 6)),
         "silhouette_compared": f"""
             {_with(VECTORS, COMPARED.format(squared=SQUARED, to_center=SQUARED.replace('b.v', 'b.c')))}
             SELECT count(*) AS n, round(avg(compared), 6) AS rows_compared,

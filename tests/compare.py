@@ -32,7 +32,10 @@ def _rows(columns, rows):
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+SPARK_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
 
 
 def compare(db, df, sql: str) -> list[str]:
