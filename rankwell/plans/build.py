@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, first_chunk, joined_chunks, tokenize
-from ..operators import classify
+from ..operators import classify, epochs
 from ..operators.clustering import Centroids, assign_nearest, fit_kmeans
 from ..operators.embedding import DIMENSIONS, embed_hashed, fit_hashed
 from ..operators.lexical import LexicalIndex, build_index, prune_rare_terms
@@ -149,3 +149,25 @@ def train_classifier(
         table.write.mode("overwrite").parquet(workspace.path("candidates"))
     candidates = workspace.spark.read.parquet(workspace.path("candidates"))
     return classify.load_classifier(path), candidates
+
+
+def train_epochs(
+    corpus: Corpus, workspace: Workspace, schedule: epochs.Schedule = epochs.Schedule()
+) -> epochs.Trained:
+    """Train on the training split by epochs, with the same validation inside it."""
+    workspace = workspace.child(fingerprint(corpus.rows, schedule))
+    train = corpus.rows.where(F.col("split") == TRAIN).drop("split")
+    parts = split_hashed(train, "id")
+    tokens = classify.training_rows(parts.where(F.col("split") == TRAIN))
+    features = classify.fit_features(tokens)
+    asked = classify.training_rows(parts.where(F.col("split") == TEST))
+    classes = classify.class_count(corpus.rows).first()["n_classes"]
+    return epochs.train(
+        epochs.sparse_rows(features.transform(tokens)),
+        workspace.stage("validation", lambda: epochs.sparse_rows(features.transform(asked))),
+        classify.FEATURES,
+        classes,
+        workspace,
+        "batches",
+        schedule,
+    )

@@ -781,6 +781,12 @@ def loss_history(i: Inputs) -> DataFrame:
     return classify.loss_history(classify.fit_classifier(train), train)
 
 
+@query
+def train_epochs(i: Inputs) -> DataFrame:
+    """Loss and validation accuracy of every epoch, and where the weights were kept."""
+    return build.train_epochs(i.built, i.workspace.child("pairs")).history(i.spark)
+
+
 def _label_predictions(i: Inputs) -> DataFrame:
     points = i.labelled.withColumnRenamed("cluster", "label")
     return clustering.assign_nearest(points, i.centroids).select(
