@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.vectors import SCORE_DIGITS, as_double, normalize, rounded
+from ..functions.vectors import SCORE_DIGITS, as_double, dot, normalize, rounded
 from ..sources.workspace import Workspace
 from . import kmeans
 from .neighbours import BLOCK_ROWS, MAX_BROADCAST_QUESTIONS, to_matrix
@@ -273,11 +273,24 @@ def sweep_k(
     )
 
 
+def principal_axes(df: DataFrame, n: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` principal axes (columns) and the share of variance along each.
+
+    The sign of an axis is free; here its largest component, the first of equal ones, is
+    positive.
+    """
+    rows = df.select(array_to_vector(as_double(F.col("vector"))).alias("features"))
+    model = PCA(k=n, inputCol="features", outputCol="plane").fit(rows)
+    axes = model.pc.toArray()
+    largest = np.abs(np.round(axes, SCORE_DIGITS)).argmax(axis=0)
+    signs = np.where(axes[largest, np.arange(n)] < 0, -1.0, 1.0)
+    return axes * signs, model.explainedVariance.toArray()
+
+
 def project_2d(df: DataFrame) -> DataFrame:
-    """Two principal components of every row, for a map of the clusters."""
-    rows = df.withColumn("features", array_to_vector(as_double(F.col("vector"))))
-    model = PCA(k=2, inputCol="features", outputCol="plane").fit(rows)
-    plane = vector_to_array("plane")
-    return model.transform(rows).select(
-        "id", plane[0].alias("x"), plane[1].alias("y"), "cluster"
+    """Every row along the two principal axes, for a map of the clusters."""
+    axes, _ = principal_axes(df)
+    along = [F.array(*[F.lit(float(x)) for x in axis]) for axis in axes.T]
+    return df.select(
+        "id", dot(F.col("vector"), along[0]).alias("x"), dot(F.col("vector"), along[1]).alias("y"), "cluster"
     )

@@ -102,3 +102,17 @@ def test_projection_keeps_the_largest_spread(spark, points):
     plane = np.array([[r.x, r.y] for r in got])
     distance = lambda m: np.linalg.norm(m[:, None] - m[None], axis=-1)
     assert np.allclose(distance(plane), distance(flat.astype(float)), atol=1e-5)
+
+
+def test_axes_are_those_of_the_eigen_decomposition(spark, points):
+    matrix = points.astype(np.float64)
+    axes, shares = clustering.principal_axes(frame(spark, points))
+    values, vectors = np.linalg.eigh(np.cov(matrix.T))
+    expected = vectors[:, ::-1][:, :2]
+    expected = expected * np.sign(expected[np.abs(expected).argmax(axis=0), [0, 1]])
+    assert np.allclose(axes, expected, atol=1e-6)
+    assert np.allclose(shares, values[::-1][:2] / values.sum(), atol=1e-9)
+    got = clustering.project_2d(frame(spark, points)).orderBy("id").collect()
+    assert np.allclose([[r.x, r.y] for r in got], matrix @ expected, atol=1e-5)
+    mirrored = clustering.principal_axes(frame(spark, -points))[0]
+    assert np.allclose(mirrored, axes, atol=1e-6)
