@@ -129,3 +129,40 @@ def test_cluster_index_is_pruned(spark, points, workspace):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cluster" in plan and "cluster#" in plan
     assert {r.cluster for r in found.select("cluster").distinct().collect()} == {2}
+
+
+def test_a_batch_of_documents_sorts_each_question_once(monkeypatch):
+    """Many questions and a deep list: the rows held are not sorted for every few documents."""
+    rng = np.random.default_rng(2)
+    matrix = rng.normal(size=(3000, 4))
+    asked = neighbours.Asked(np.arange(3000), matrix)
+    entries = []
+    keep_best = neighbours.keep_best
+    monkeypatch.setattr(
+        neighbours, "keep_best", lambda q, d, s, k: entries.append(len(q)) or keep_best(q, d, s, k)
+    )
+    best = neighbours.BestRows(asked, 40, exclude_self=True)
+    best.add(np.arange(3000), matrix)
+    assert sum(entries) < 1.5 * 3000 * 40
+    assert best.rows(0).num_rows == 3000 * 40
+
+
+def test_places_count_ties_by_id_in_any_tiles(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs, asked = np.round(rng.normal(size=(50, 2))), np.round(rng.normal(size=(7, 2)))
+    ids = rng.permutation(50)
+    scores = np.round(asked @ docs.T, 6) + 0.0
+    wanted = [list(rng.permutation(50)[: 3 * q]) for q in range(7)]
+    expected = sorted(
+        (100 + q, int(ids[j]), sum((-scores[q, x], ids[x]) < (-scores[q, j], ids[j]) for x in range(50)))
+        for q, some in enumerate(wanted)
+        for j in some
+    )
+    for cells in (1, 60, 1_000_000):
+        monkeypatch.setattr(neighbours, "_CELLS", cells)
+        lists = [[int(ids[j]) for j in some] for some in wanted], [[scores[q, j] for j in some] for q, some in enumerate(wanted)]
+        found = neighbours.Places(neighbours.Asked(100 + np.arange(7), asked, None, *lists), 0, False)
+        found.add(ids[:20], docs[:20])
+        found.add(ids[20:], docs[20:])
+        got = found.rows(0).to_pydict()
+        assert sorted(zip(got["query_id"], got["doc_id"], got["better"])) == expected
