@@ -68,3 +68,12 @@ def test_packed_rows_hold_all_postings(index):
             assert (d, r["term"]) not in held
             held[d, r["term"]] = n
     assert held == {(r["doc_id"], r["term"]): r["f"] for r in lexical.pruned_postings(index).collect()}
+
+
+def test_rare_terms_are_left_out_of_the_blocks(spark, workspace):
+    docs = spark.createDataFrame([(1, "lamp lamp once"), (2, "lamp garden"), (3, "garden twice twice")], "doc_id long, text string")
+    index = lexical.build_index(docs, F.col("text"), workspace)
+    assert {r["term"] for r in index.blocks.collect()} == {"lamp", "garden", "twice"}
+    exchanges = blockmax.pack(index.postings, index.rare, index.buckets, blockmax.Setting(1.5, 0.75, 2.0))
+    plan = exchanges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
