@@ -70,6 +70,14 @@ def test_packed_rows_hold_all_postings(index):
     assert held == {(r["doc_id"], r["term"]): r["f"] for r in lexical.pruned_postings(index).collect()}
 
 
+def test_many_question_terms_go_in_passes_without_shuffled_matches(index, corpus, monkeypatch):
+    weighted = lexical.weighted_terms(index, lexical.question_terms(corpus[1], F.col("text")))
+    plain = rows(lexical.ranking(lexical.score_matches(index, weighted), 5))
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", weighted.count() // 3)
+    monkeypatch.setattr(lexical, "match_terms", None)
+    assert rows(lexical.best_documents(index, weighted, 5, matches_per_task=0)) == plain
+
+
 def test_rare_terms_are_left_out_of_the_blocks(spark, workspace):
     docs = spark.createDataFrame([(1, "lamp lamp once"), (2, "lamp garden"), (3, "garden twice twice")], "doc_id long, text string")
     index = lexical.build_index(docs, F.col("text"), workspace)
