@@ -118,6 +118,21 @@ def test_bm25_places_equal_the_whole_ranking(spark, texts, workspace, limit):
     assert sorted(map(key, got.collect())) == sorted(map(key, expected.collect()))
 
 
+def test_bm25_places_are_counted_over_blocks_without_listing_matches(spark, texts, workspace, monkeypatch):
+    index = lexical.build_index(texts, F.col("text"), workspace)
+    asked = texts.where("doc_id % 9 = 0").withColumnRenamed("doc_id", "query_id")
+    weighted = lexical.weighted_terms(index, lexical.question_terms(asked, F.col("text"))).cache()
+    full = lexical.ranking(lexical.score_matches(index, weighted), 1000).cache()
+    wanted = asked.select("query_id", F.explode(F.array(*[F.lit(i) for i in range(1, 90, 3)])).alias("doc_id"))
+    wanted = wanted.withColumn("doc_id", F.col("doc_id").cast("long"))
+    expected = full.join(wanted, ["query_id", "doc_id"]).select("query_id", "doc_id", "rank")
+    expected = sorted(map(tuple, expected.collect()))
+    monkeypatch.setattr(lexical, "score_matches", None)
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 10)  # several passes
+    assert sorted(map(tuple, lexical.places(index, weighted, wanted).collect())) == expected
+    assert lexical.places(index, weighted, wanted.limit(0)).count() == 0
+
+
 def test_retriever_fuses_complete_lists(spark, texts, workspace):
     index = lexical.build_index(texts, F.col("text"), workspace)
     vector = F.array((F.col("doc_id") % 7 + 1).cast("float"), (F.col("doc_id") % 5).cast("float"))
