@@ -95,3 +95,21 @@ def test_assignment_follows_the_fit(spark):
     assert cost == pytest.approx(fit.rounds[-1].inertia, abs=1e-3)
     seen = fit.history(spark)
     assert seen.count() == len(fit.rounds) and seen.agg(F.min("round")).first()[0] == 1
+
+
+def test_fits_made_in_the_same_scans_equal_those_made_alone(spark, monkeypatch):
+    matrix, _ = groups(500, 5, 0.7)
+    df = frame(spark, matrix).select("id", "vector").repartition(3, "id")
+    monkeypatch.setattr(kmeans, "BLOCK_ROWS", 37)
+    seeds = kmeans.farthest_first(df, 5)
+    alone = [kmeans.lloyd(df, seeds[:k]) for k in (2, 3, 5)]
+    scans = []
+    plain = kmeans._sums
+    monkeypatch.setattr(kmeans, "_sums", lambda *given: scans.append(1) or plain(*given))
+    together = kmeans.lloyd_all(df, [seeds[:k] for k in (2, 3, 5)])
+    assert len(scans) == max(len(f.rounds) for f in alone)
+    for one, other in zip(alone, together):
+        assert np.allclose(one.centers, other.centers, atol=2e-9)
+        assert [r.measured for r in one.rounds] == [r.measured for r in other.rounds]
+        assert [r.inertia for r in one.rounds] == pytest.approx([r.inertia for r in other.rounds], rel=1e-9)
+    assert kmeans.lloyd_all(df, [seeds], max_iter=0)[0].rounds == []
