@@ -78,3 +78,21 @@ def test_floor_and_files(spark, workspace, groups):
     assert sorted(r.score for r in found.collect()) == [s for s in scores if s >= floor]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cluster" in plan and "Coalesce" not in plan
+
+
+def test_questions_that_go_to_every_ring_leave_in_small_batches(spark, workspace, monkeypatch):
+    """Nothing is ruled out here: each vector leaves once a ring, some at a time."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    corpus = spark.createDataFrame(rows, "doc_id long, vector array<float>")
+    centers = clustering.Centroids(np.array([0], np.int32), np.zeros((1, 8)))
+    index = rings.build_rings(corpus, centers, workspace, "many", False, 10)
+    monkeypatch.setattr(rings, "SENT_BYTES", 1024)  # 16 vectors of 8 numbers
+    parts = list(rings._sent(np.ones((20, 5), bool), 8))
+    assert max(len(at) for at, _ in parts) == 16 and sum(len(at) for at, _ in parts) == 100
+    asked = corpus.withColumnRenamed("doc_id", "query_id").withColumn("floor", F.lit(float("-inf")))
+    sent = rings._routes(index, asked, 1, rest=True)
+    assert sent.count() == 300 * (len(index.rings) - 1)
+    found = rings.ring_topk(index, asked.drop("floor"), 3, exclude_self=True).hits
+    want = neighbours.exact_topk(corpus, asked.drop("floor"), 3, cosine=False, exclude_self=True)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
