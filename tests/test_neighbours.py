@@ -166,3 +166,30 @@ def test_places_count_ties_by_id_in_any_tiles(monkeypatch):
         found.add(ids[20:], docs[20:])
         got = found.rows(0).to_pydict()
         assert sorted(zip(got["query_id"], got["doc_id"], got["better"])) == expected
+
+
+def test_products_in_single_precision_lose_nothing():
+    """Copies, near ties below single precision, huge and broken vectors: as in double."""
+    rng = np.random.default_rng(8)
+    docs = rng.normal(size=(900, 24))
+    docs[100:500] = docs[7]  # a flood of copies
+    docs[500:560] = docs[7] + rng.normal(size=(60, 24)) * 1e-7
+    asked = np.concatenate([rng.normal(size=(20, 24)), docs[[7, 100, 510]]])
+    single = []
+    for scale, broken in ((1.0, False), (1e-3, False), (1e25, False), (1.0, True)):
+        matrix = docs * scale
+        if broken:
+            matrix[3, 2] = np.nan
+        best = neighbours.BestRows(neighbours.Asked(np.arange(len(asked)), asked), 6, True)
+        for at in range(0, 900, 300):
+            part = matrix[at : at + 300]
+            single.append((best._room(part) < neighbours._MAX_ROOM).all())
+            best.add(np.arange(at, at + 300), part)
+        scores = np.round(asked @ matrix.T, 6) + 0.0
+        for q in range(len(asked)):
+            order = [d for d in np.lexsort((np.arange(900), -scores[q])) if d != q and not np.isnan(scores[q, d])][:6]
+            if not broken:
+                assert np.allclose(best.score[q], scores[q, order], rtol=1e-12, atol=2e-6)
+            if scale == 1.0 and not broken:
+                assert best.doc[q].tolist() == order
+    assert single == [True] * 6 + [False] * 4 + [True] * 2
