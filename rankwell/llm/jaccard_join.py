@@ -37,7 +37,7 @@ from .staging import ship, staged
 
 SHINGLE = 5
 PERCENT = 75
-SLICE_TEXT_BYTES = 16 << 20
+SLICE_TEXT_BYTES = 8 << 20
 GROUP_BYTES = 2 << 20
 SIGNATURE_BITS = 1024
 TILE = 512
@@ -131,9 +131,8 @@ def _send(docs: DataFrame, slice_bits: int, size: int, seed: int) -> DataFrame:
                 if len(at):
                     _send_shingles(sent, doc, hashes, ones, slice_bits)
                 yield sent.batch()
-        tb.give_back()
 
-    return docs.mapInArrow(work, SENT)
+    return docs.mapInArrow(tb.given_back(work), SENT)
 
 
 def _send_shingles(sent, doc, hashes, ones, slice_bits) -> None:
@@ -263,12 +262,12 @@ def _answer(sent: DataFrame) -> DataFrame:
         for a in range(0, len(w), 100_000):
             x, y = w[a : a + 100_000], c[a : a + 100_000]
             yield _told(slice_, np.where(df[x] > 1, SEVERAL, REPLY), one[x], unique[y], None, count[a : a + 100_000])
-        tb.give_back()
 
     def one_slice(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
         yield from work(key[0].as_py(), batches)
+        tb.give_back()  # what the slice held is gone by now
 
     return sent.groupBy("slice").applyInArrow(one_slice, TOLD)
 
@@ -298,7 +297,7 @@ def _packed(ranked: DataFrame) -> DataFrame:
             cells = [pa.array([tb.planes(p[i]).tobytes() for p in parts], pa.binary()) for i in (0, 1)]
             yield pa.record_batch([*(batch.column(c) for c in ("node", "n", "sig", "central")), *cells], names=[c.split()[0] for c in PACKED.split(", ")])
 
-    return ranked.select("node", "n", "sig", "central", "classes").mapInArrow(work, PACKED)
+    return ranked.select("node", "n", "sig", "central", "classes").mapInArrow(tb.given_back(work), PACKED)
 
 
 def _arrays(batch: pa.RecordBatch | pa.Table, i: int, side: str = "") -> tuple[np.ndarray, np.ndarray]:
@@ -325,7 +324,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 [pa.array(np.concatenate(kept)), *(batch.column(c).take(rows) for c in ("node", "n", "central"))], names=["cls", "node", "n", "central"]
             )
 
-    return sets.select("node", "n", "central", "ids", "cnts").mapInArrow(work, "cls long, node long, n int, central double")
+    return sets.select("node", "n", "central", "ids", "cnts").mapInArrow(tb.given_back(work), "cls long, node long, n int, central double")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -346,7 +345,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(100 * both >= percent * (sizes - both))
             yield pa.record_batch([batch.column(s).filter(keep) for s in "ab"], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tb.given_back(work), "a long, b long")
 
 
 def _overlaps(cls: np.ndarray, cnt: np.ndarray, offsets: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:

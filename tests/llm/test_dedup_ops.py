@@ -133,3 +133,13 @@ def test_a_tile_gives_fewer_links_than_members():
     for _ in range(n):
         reached |= {b for a, b in zip(got["a"], got["b"]) if a in reached} | {a for a, b in zip(got["a"], got["b"]) if b in reached}
     assert reached == set(range(n))
+
+
+def test_a_worker_keeps_one_table_of_powers_a_seed():
+    tb._POWERS.clear()
+    values = np.arange(1, 300_001, dtype=np.uint64)
+    whole = tb.Rolling(values)(np.arange(100), np.arange(100) + 50)
+    for n in (10, 70_000, 200_000):
+        assert (tb.Rolling(values[:n])(np.zeros(1, int), np.array([10])) == tb.Rolling(values)(np.zeros(1, int), np.array([10]))).all()
+    assert (tb.Rolling(values)(np.arange(100), np.arange(100) + 50) == whole).all()
+    assert list(tb._POWERS) == [0] and len(tb._POWERS[0][0]) == 1 << 19
