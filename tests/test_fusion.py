@@ -133,6 +133,18 @@ def test_bm25_places_are_counted_over_blocks_without_listing_matches(spark, text
     assert lexical.places(index, weighted, wanted.limit(0)).count() == 0
 
 
+def test_bm25_places_with_repeated_documents(spark, texts, workspace):
+    """A repeated document earns twice its parts, beyond the bounds of its block."""
+    twice = texts.unionAll(texts.where("doc_id % 5 = 0"))
+    index = lexical.build_index(twice, F.col("text"), workspace)
+    asked = texts.where("doc_id % 9 = 0").withColumnRenamed("doc_id", "query_id")
+    weighted = lexical.weighted_terms(index, lexical.question_terms(asked, F.col("text"))).cache()
+    full = lexical.ranking(lexical.score_matches(index, weighted), 1000)
+    wanted = full.where("rank % 4 = 1 and rank < 20").select("query_id", "doc_id", "rank").cache()
+    got = lexical.places(index, weighted, wanted.select("query_id", "doc_id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
 def test_retriever_fuses_complete_lists(spark, texts, workspace):
     index = lexical.build_index(texts, F.col("text"), workspace)
     vector = F.array((F.col("doc_id") % 7 + 1).cast("float"), (F.col("doc_id") % 5).cast("float"))
