@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -219,3 +220,24 @@ def test_terms_of_a_question_meet_all_its_documents(spark, few):
     terms = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "query_id long, term string")
     got = {(r.query_id, r.doc_id, r.term) for r in lexical.with_terms(pairs, terms, few).collect()}
     assert got == {(1, d, t) for d in range(40) for t in "ab"}
+
+
+def test_scoring_pairs_shuffles_no_postings_and_packs_no_blocks(spark, tmp_path):
+    docs = spark.createDataFrame([(d, t) for d, t in DOCS for _ in range(1 + (d == 3))], "doc_id long, text string")
+    index = lexical.build_index(docs, F.col("text"), Workspace(spark, str(tmp_path)))
+    weighted = lexical.weighted_terms(index, lexical.question_terms(ask(spark), F.col("text")))
+    asked = [(q, d) for q, _ in QUESTIONS for d, _ in DOCS]
+    pairs = spark.createDataFrame([*asked, (None, 1), (10, None)], "query_id long, doc_id long")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (lexical.matching_pairs(index, weighted, pairs), lexical.covering_documents(index, weighted)):
+            found.collect()
+            shuffles = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+            assert not [s for s in shuffles if "term#" in s and "doc_id#" in s]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert not list(tmp_path.rglob("blocks"))
+    # More terms than may be broadcast: both sides are shuffled, with the same rows.
+    few, many = (sorted(r[:3] for r in lexical._matches_of(index, weighted, pairs, n).select("query_id", "doc_id", "term").collect()) for n in (1000, 0))
+    assert few == many and len(few) > 5
