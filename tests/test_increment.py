@@ -149,3 +149,18 @@ def test_a_failed_step_is_not_seen_and_can_be_repeated(spark, grown, monkeypatch
 def test_manifest_is_plain_json(grown, tmp_path):
     names = sorted((tmp_path / "grown" / "_manifests").glob("*.json"))
     assert json.loads(names[-1].read_text())["facts"]["n_rows"] == 5
+
+
+def test_texts_are_written_once_and_first_rows_stay(spark, tmp_path):
+    raw = [("b", "same", ["late"], "x"), ("a", "same", ["first"], "x"), ("a", "same", ["first"], "x"), ("c", None, ["none"], "x"), (None, None, ["other"], "x"), ("d", "", ["empty"], "x"), (None, "lone", ["no id"], "x")]
+    corpus = GrowingCorpus(spark, str(tmp_path / "grow"))
+    corpus.ingest(spark.createDataFrame(raw, CORPUS_SCHEMA))
+    corpus.ingest(spark.createDataFrame([("z", None, ["again"], "x"), ("y", "new", ["word word"], "x")], CORPUS_SCHEMA))
+    got = {(r.id, r.original_id, r.question, r.documents[0]) for r in corpus.rows().collect()}
+    assert got == {(0, None, "lone", "no id"), (1, "a", "same", "first"), (2, "c", None, "none"), (3, "d", "", "empty"), (4, "y", "new", "word word")}
+    assert corpus.embed("letters", embedding.letter_counts) == 5 and corpus.embed("letters", embedding.letter_counts) <= 1
+    index = corpus.index()
+    assert {r.term: r.cf for r in index.vocabulary.collect()} == {"word": 2} and index.documents.count() == 5
+    # Texts lie in the snapshot's parts alone, and no postings are put together for lengths and terms.
+    assert not [p for name in ("rows", "postings", "blocks") for p in (tmp_path / "grow" / "work").rglob(name)]
+    assert {r.term for r in lexical.pruned_postings(index).collect()} == {"word"}
