@@ -21,12 +21,16 @@ Rows: a null text counts as empty and holds the end id alone. Documents with a r
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,54 +46,80 @@ MIN_WINS = 4
 BIN_BITS = 21
 MAX_SYMBOL = 1 << 16
 FEW = 150_000  # places that are counted by sorting
-CACHE_WORDS = 1_000_000
-CACHE_BYTES = 64 << 20
+SLICE_BYTES = 4 << 20  # of text, encoded at a time
+JOINED = 20_000  # characters of words that go through the library as one text
+CACHE_WORDS = 600_000  # of each generation
+CACHE_BYTES = 32 << 20
 FIRST = "\0"  # marks a word that no space stands before
+LAST_LATIN = "\u024f"
+# Latin letters before a sign that is no letter, digit or white space.
+SIDES = re.compile(r"(\0?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~].*)", re.DOTALL).fullmatch
 SHARD = "shard long, doc_ids binary, bounds binary, symbols binary, rules binary, lengths binary, base int, n_tokens long"
 
 
+def _quoted(char: str) -> str:
+    return f"\\x{{{ord(char):x}}}"
+
+
+# Texts that do not fall apart: white space side by side, at an end or other than space and
+# line break, all that Python takes for such (none stands above U+3000); or FIRST.
+_OTHERS = "".join(_quoted(c) for c in map(chr, range(0x3001)) if c == FIRST or c.isspace() and c not in " \n")
+WHOLE = rf"\A[ \n]|[ \n]\z|[ \n][ \n]|[{_OTHERS}]"
+
+
+def _portions(texts: list[str], limit: int) -> Iterator[list[str]]:
+    """``texts`` in portions of ``limit`` characters, or of one longer text."""
+    ends = np.cumsum([0, *map(len, texts)])
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, side="right")) - 1)
+        yield texts[first:last]
+        first = last
+
+
 class Words:
     """A byte-level BPE tokenizer that keeps the ids of the words it has met.
 
     Its first step cuts texts by a pattern in which a single space belongs to what
     follows, and a line break between two words stands alone. So a text whose white space
     is single spaces and line breaks falls apart at each of them; any other goes through
-    the library whole.
+    the library whole. Arrow numbers the words of some texts, so each is looked up once.
+
+    The memory has two generations: a full young one becomes the old one, and what is met
+    again is young again, so only what is not met for a whole generation is forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import ByteLevel
 
+        # Threads of the library would be as many as the machine has cores, for each task.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.base = self.tokenizer.get_vocab_size()
         if self.base >= MAX_SYMBOL:
             raise ValueError("the vocabulary leaves no room for rules in 16 bits")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([WHOLE, *("".join(map(_quoted, s)) for s in special)])
         # A byte-level piece is written with one character for each byte.
         self.sizes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.base)])
+        written = ByteLevel().normalize_str
+        self.written = {ord(c): written(c) for c in map(chr, range(ord(LAST_LATIN) + 1)) if c != "\n"}
         self.known: dict[str, bytes] = {}
-        self.held = 0  # bytes of words and ids in there
+        self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of words and ids in ``known``
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.uint16).tobytes() for x in found]
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self.known.clear()
-            self.held = 0
-        # A word follows a space, but for a line break and what FIRST marks.
-        spaced = [w for w in words if w[0] != FIRST and w != "\n"]
-        for a in range(0, len(spaced), 2_000):
-            part = spaced[a : a + 2_000]
-            self.known.update(zip(part, self._joined([" " + w for w in part])))
-        others = [w for w in words if w[0] == FIRST or w == "\n"]
-        self.known.update(zip(others, self._library([w.lstrip(FIRST) for w in others])))
-        self.held += sum(len(w) + len(self.known[w]) for w in words)
+        # What the library makes of a text takes many times its bytes.
+        out = []
+        for part in _portions(texts, tb.BLOCK_BYTES):
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            out += [np.array(x.ids, np.uint16).tobytes() for x in found]
+        return out
 
     def _joined(self, words: list[str]) -> list[bytes]:
-        """Ids of words that begin with a space, encoded as one text: it falls apart at
-        the spaces, and the lengths of the ids' pieces tell where each word ends."""
+        """Ids of words that begin with a space or line break, encoded as one text: it falls
+        apart there, and the lengths of the ids' pieces tell where each word ends."""
         found = self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)
         ids = np.array(found[0].ids, np.uint16)
         ends = np.cumsum(self.sizes[ids])
@@ -98,47 +128,86 @@ class Words:
         bounds = [0, *(2 * cuts).tolist()]
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
+    def _lettered(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters after a space: each is one piece, so only the last
+        step of the library is left, which takes a character for each byte."""
+        tokenize = self.tokenizer.model.tokenize
+        pieces = "\n".join([" " + w for w in words]).translate(self.written).split("\n")
+        return [array("H", [t.id for t in tokenize(x)]).tobytes() for x in pieces if x]
+
+    def _keep(self, words: list[str], cells: list[bytes]) -> None:
+        self.known.update(zip(words, cells))
+        self.held += sum(map(len, words)) + sum(map(len, cells))
+
+    def _recall(self, words: list[str]) -> list[str]:
+        """Make ``words`` young that the old generation knows; the others."""
+        cells = list(map(self.old.get, words))
+        met = [(word, cell) for word, cell in zip(words, cells) if cell is not None]
+        self._keep([word for word, _ in met], [cell for _, cell in met])
+        return [word for word, cell in zip(words, cells) if cell is None]
+
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of different words that are not known.
+
+        The pattern also cuts where a sign follows letters. Such a word is put together
+        from its sides, which the library sees once for all words they stand in.
+        """
+        whole, cut = [], []
+        for word in words:
+            sides = None if word.isalpha() else SIDES(word)
+            if sides:
+                cut.append((word, sides[1], FIRST + sides[2]))
+            else:
+                whole.append(word)
+        sides = {side for _, *pair in cut for side in pair}
+        whole += self._recall([w for w in sides.difference(whole) if w not in self.known])
+        # A word follows a space, but for a line break and what FIRST marks.
+        lettered = [w for w in whole if w.isalpha() and (w.isascii() or max(w) <= LAST_LATIN)]
+        self._keep(lettered, self._lettered(lettered))
+        spaced = [w for w in set(whole).difference(lettered) if w[0] != FIRST and w != "\n"]
+        for part in _portions(spaced, JOINED):
+            self._keep(part, self._joined([" " + w for w in part]))
+        first = [w for w in whole if w[0] == FIRST and w != FIRST]
+        for part in _portions(first, JOINED):
+            # The line break before a word is an id of its own.
+            self._keep(part, [x[2:] for x in self._joined(["\n" + w[1:] for w in part])])
+        others = [w for w in whole if w in (FIRST, "\n")]
+        self._keep(others, self._library([w.lstrip(FIRST) for w in others]))
+        known = self.known
+        self._keep([word for word, _, _ in cut], [known[a] + known[b] for _, a, b in cut])
+
+    def _cells(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.known, self.old, self.held = {}, self.known, 0
+        cells = list(map(self.known.get, words))
+        gaps = [j for j, cell in enumerate(cells) if cell is None]
+        if gaps:
+            self._learn(self._recall([words[j] for j in gaps]))
+            for j in gaps:
+                cells[j] = self.known[words[j]]
+        return cells
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as bytes of uint16."""
-        out: list[bytes | None] = [None] * len(texts)
-        whole, cut, missing = [], [], set()
-        get = self.known.get
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif not self._falls_apart(text):
-                whole.append(i)
-            else:
-                words = (FIRST + text).replace("\n", " \n " + FIRST).split(" ")
-                cells = list(map(get, words))
-                if None in cells:
-                    gaps = [(j, words[j]) for j, cell in enumerate(cells) if cell is None]
-                    missing.update([w for _, w in gaps])
-                    cut.append((i, cells, gaps))
-                else:
-                    out[i] = b"".join(cells)
+        if not texts:
+            return []
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(column, self.whole)
+        none = pa.scalar("", pa.large_string())
+        marked = pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), pc.if_else(whole, none, column), none)
+        parts = pc.split_pattern(pc.replace_substring(marked, "\n", " \n " + FIRST), " ")
+        words = parts.flatten().dictionary_encode()
+        cells = pa.array(self._cells(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        ids = cells.take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[parts.offsets.to_numpy()].tolist()
+        raw = ids.buffers()[2].to_pybytes() if ends[-1] else b""
+        out = [raw[a:b] for a, b in zip(ends, ends[1:])]
+        whole = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
-        if missing:
-            self._learn(list(missing))
-            known = self.known
-            for i, cells, gaps in cut:
-                for j, word in gaps:
-                    cells[j] = known[word]
-                out[i] = b"".join(cells)
         return out
 
-    def _falls_apart(self, text: str) -> bool:
-        """Whether all white space is single spaces and line breaks between words."""
-        words = text.split()
-        breaks = text.count(" ") + text.count("\n")
-        return (
-            len(words) == 1 + breaks
-            and len(text) - sum(map(len, words)) == breaks
-            and FIRST not in text
-            and not any(s in text for s in self.special)
-        )
-
 
 @lru_cache(maxsize=2)
 def words_of(path: str) -> Words:
@@ -263,6 +332,11 @@ class Shard:
         shift = np.repeat(self.starts[symbols] - (ends - sizes), sizes)
         return self.table[np.arange(len(shift)) + shift]
 
+    def ends(self) -> np.ndarray:
+        """Where documents end among the shard's ids, with a 0 before."""
+        ends = np.concatenate([[0], np.cumsum(self.sizes[self.symbols])])
+        return ends[self.bounds]
+
     def document(self, i: int) -> np.ndarray:
         """Ids of the shard's document ``i``."""
         return self.expand(self.symbols[self.bounds[i] : self.bounds[i + 1]])
@@ -301,7 +375,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
             )
 
         for batch in batches:
-            for rows, texts in tb.text_slices(batch, "text"):
+            for rows, texts in tb.text_slices(batch, "text", SLICE_BYTES):
                 for doc_id, cell in zip(rows.column("doc_id").to_pylist(), words.encode(texts)):
                     held.append(cell + end)
                     ids.append(doc_id)
@@ -332,15 +406,12 @@ def read_documents(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row)
-                n = len(shard.doc_ids)
-                sizes, sums = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                for i in range(n):
-                    ids = shard.document(i)
-                    sizes[i] = len(ids)
-                    sums[i] = zlib.crc32(ids.astype("<u4").tobytes())
-                start = row["offset"] + np.cumsum(sizes) - sizes
+                ends = shard.ends()
+                ids = memoryview(shard.expand(shard.symbols).astype("<u4")).cast("B")
+                cuts = (4 * ends).tolist()
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
                 yield pa.record_batch(
-                    [pa.array(shard.doc_ids), pa.array(start), pa.array(sizes), pa.array(sums)],
+                    [pa.array(shard.doc_ids), pa.array(row["offset"] + ends[:-1]), pa.array(np.diff(ends)), pa.array(sums, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -110,6 +110,45 @@ def test_words_equal_the_library():
     assert [np.frombuffer(x, np.uint16).tolist() for x in words.encode(texts)] == want
 
 
+def test_words_put_together_equal_the_library(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 40)
+    words = token_files.Words(BYTES)
+    rng = np.random.default_rng(3)
+    stems = ["house", "Straße", "été", "don", "it", "a", "ªµ", "über", "дом", "数据", "e\u0301t", "x²", "Ǆ", "ɐb", "42nd", ""]
+    tails = ["", ",", "'s", "'ll!", "'", "...", "-house", "_a", "###", "(s)", ".5", "’s", "é", "\U0001f600", "'sa", "/été/"]
+    texts = []
+    for _ in range(60):
+        some = [stems[i] + tails[j] for i, j in zip(rng.integers(0, 16, 30), rng.integers(0, 16, 30))]
+        gaps = rng.choice([" ", " ", " ", "\n"], 30).tolist()
+        texts.append("".join(x for pair in zip([w for w in some if w], gaps) for x in pair)[:-1])
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [x for a in range(0, 60, 7) for x in words.encode(texts[a : a + 7])]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in got] == want
+    assert words.encode([]) == []
+
+
+def test_words_met_again_are_learnt_once(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 50)
+    words = token_files.Words(BYTES)
+    learnt = []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda new: (learnt.extend(new), learn(new)))
+    for i in range(40):
+        words.encode([f"the house, the hill {' '.join(f'w{i}x{j}' for j in range(20))}"])
+        assert len(words.known) + len(getattr(words, "old", ())) < 200
+    assert learnt.count("house,") == learnt.count("hill") == 1 and len(learnt) == 804
+
+
+def test_the_library_sees_letters_once():
+    words = token_files.Words(BYTES)
+    pieces = []
+    lettered = words._lettered
+    words._lettered = lambda new: (pieces.extend(new), lettered(new))[1]
+    words.encode(["a garden garden, garden; garden's (garden) garden-hose"])
+    words.encode(["a garden!"])
+    assert pieces.count("garden") == 1
+
+
 def test_repair_random_access():
     ids = (np.random.default_rng(0).zipf(1.4, 30_000) % 3000).astype(np.uint16)
     bounds = np.array([0, 10, 10, 9000, 30_000])
