@@ -46,9 +46,9 @@ MIN_WINS = 4
 BIN_BITS = 21
 MAX_SYMBOL = 1 << 16
 FEW = 150_000  # places that are counted by sorting
-SLICE_BYTES = 4 << 20  # of text, encoded at a time
+SLICE_BYTES = 8 << 20  # of text, encoded at a time
 JOINED = 20_000  # characters of words that go through the library as one text
-CACHE_WORDS = 600_000  # of each generation
+CACHE_WORDS = 900_000  # of each generation
 CACHE_BYTES = 32 << 20
 FIRST = "\0"  # marks a word that no space stands before
 LAST_LATIN = "\u024f"
@@ -142,8 +142,8 @@ class Words:
     def _recall(self, words: list[str]) -> list[str]:
         """Make ``words`` young that the old generation knows; the others."""
         cells = list(map(self.old.get, words))
-        met = [(word, cell) for word, cell in zip(words, cells) if cell is not None]
-        self._keep([word for word, _ in met], [cell for _, cell in met])
+        met = {word: cell for word, cell in zip(words, cells) if cell is not None}
+        self._keep(list(met), list(met.values()))
         return [word for word, cell in zip(words, cells) if cell is None]
 
     def _learn(self, words: list[str]) -> None:
@@ -220,19 +220,21 @@ def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _counted(code: np.ndarray, turn: int, speaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A bin for each pair, and its count; -1 where another pair speaks for the bin."""
+def _counted(code: np.ndarray, turn: int, speaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bin for each pair, its count (-1 where another pair speaks for the bin), and the
+    pair that speaks for each bin."""
     if len(code) <= FEW:
-        _, bins, counts = np.unique(code, return_inverse=True, return_counts=True)
-        return bins, counts[bins]
+        pairs, bins, counts = np.unique(code, return_inverse=True, return_counts=True)
+        return bins, counts[bins], pairs
     factor = np.uint32((0x9E3779B1 + 0x3C6EF372 * turn) & 0xFFFFFFFF)
-    bins = ((code * factor) >> np.uint32(32 - BIN_BITS)).astype(np.int32)
+    bins = ((code * factor) >> np.uint32(32 - BIN_BITS)).astype(np.intp)
     speaks[bins] = code
-    own = speaks[bins] == code
-    counts = np.bincount(bins[own], minlength=1 << BIN_BITS).astype(np.int32)
-    found = counts[bins]
-    found[~own] = -1
-    return bins, found
+    other = np.flatnonzero(speaks.take(bins) != code)
+    counts = np.bincount(bins, minlength=1 << BIN_BITS)
+    np.subtract.at(counts, bins.take(other), 1)
+    found = counts.take(bins)
+    found[other] = -1
+    return bins, found, speaks
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -258,19 +260,20 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int) -> tuple[np.ndarray
         places = np.flatnonzero(alive)
         if not len(places):
             break
-        code = seq[places] << np.uint32(16) | seq[places + 1]
-        bins, counts = _counted(code, turn, speaks)
+        code = (seq[:-1] << np.uint32(16) | seq[1:]).take(places)
+        bins, counts, spoken = _counted(code, turn, speaks)
         turn += 1
         some = counts >= MIN_COUNT
         alive[places] = some | (counts < 0)
-        places = places[some]
+        some = np.flatnonzero(some)
+        places, bins, counts = places.take(some), bins.take(some), counts.take(some)
         if not len(places):
             continue
         # A strict order of pairs: among neighbours the greater one wins, and in a run of
         # one pair ("aaaa") every second place does.
-        weight = counts[some].astype(np.int64) << BIN_BITS | bins[some]
+        weight = counts << BIN_BITS | bins
         around[places + 1] = weight
-        before, after = around[places], around[places + 2]
+        before, after = around.take(places), around.take(places + 2)
         around[places + 1] = 0
         wins = (weight > before) & (weight >= after)
         inner = np.flatnonzero(before == weight)
@@ -279,24 +282,29 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int) -> tuple[np.ndarray
             number = np.arange(len(inner)) - np.repeat(run, np.diff(np.append(run, len(inner))))
             inner = inner[number % 2 == 1]
             wins[inner] = weight[inner] >= after[inner]
-        places = places[wins]
-        code = seq[places] << np.uint32(16) | seq[places + 1]
-        pairs, which, times = np.unique(code.astype(np.int64), return_inverse=True, return_counts=True)
+        # A bin stands for the pair that speaks for it: the others were not counted.
+        wins = np.flatnonzero(wins)
+        places, which = places.take(wins), bins.take(wins)
+        times = np.bincount(which)
         best = np.flatnonzero(times >= min(MIN_WINS, times.max()))
+        best = best[np.argsort(spoken[best])]
         if len(best) > MAX_SYMBOL - size:
-            best = np.sort(best[np.argsort(-times[best], kind="stable")[: MAX_SYMBOL - size]])
-        symbol = np.full(len(pairs), -1, np.int64)
+            best = best[np.sort(np.argsort(-times[best], kind="stable")[: MAX_SYMBOL - size])]
+        symbol = np.full(len(times), -1, np.int32)
         symbol[best] = size + np.arange(len(best))
-        new = np.stack([pairs[best] >> 16, pairs[best] & 0xFFFF], axis=1)
+        pairs = spoken[best].astype(np.int64)
+        new = np.stack([pairs >> 16, pairs & 0xFFFF], axis=1)
         rules.append(new)
         lengths = np.concatenate([lengths, lengths[new].sum(axis=1)])
         size += len(best)
-        given = symbol[which]
-        places, given = places[given >= 0], given[given >= 0]
+        given = symbol.take(which)
+        some = np.flatnonzero(given >= 0)
+        places, given = places.take(some), given.take(some)
         seq[places] = given
         left = np.ones(len(seq), bool)
         left[places + 1] = False
-        seq, doc, alive = seq[left], doc[left], alive[left]
+        left = np.flatnonzero(left)
+        seq, doc, alive = seq.take(left), doc.take(left), alive.take(left)
         # What a new symbol makes with its neighbours has not been counted.
         changed = places - np.arange(len(places))
         alive[changed] = True
