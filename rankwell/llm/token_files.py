@@ -46,9 +46,9 @@ MIN_WINS = 4
 BIN_BITS = 21
 MAX_SYMBOL = 1 << 16
 FEW = 150_000  # places that are counted by sorting
-SLICE_BYTES = 8 << 20  # of text, encoded at a time
+SLICE_BYTES = 4 << 20  # of text, encoded at a time
 JOINED = 20_000  # characters of words that go through the library as one text
-CACHE_WORDS = 900_000  # of each generation
+CACHE_WORDS = 700_000  # of each generation
 CACHE_BYTES = 32 << 20
 FIRST = "\0"  # marks a word that no space stands before
 LAST_LATIN = "\u024f"
