@@ -30,17 +30,22 @@ class Unit:
     def __init__(self, kind: str, length: int, gram: int):
         self.kind, self.length, self.gram = kind, length, gram
 
-    def values(self, block: tb.Texts) -> tuple[tb.Rolling, tb.Rolling, np.ndarray]:
-        """Two independent rolling hashes over the units, and each document's bounds."""
+    def values(self, block: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """A hash for each unit, and each document's bounds."""
         if self.kind == "byte":
-            return (
-                tb.Rolling.of_bytes(block.data, 0),
-                tb.Rolling.of_bytes(block.data, 1),
-                block.offsets,
-            )
+            return tb.byte_values(block.data), block.offsets
         start, end, bounds = tb.words(block)
-        hashes = tb.word_hashes(block, start, end)
-        return tb.Rolling(hashes, 2), tb.Rolling(hashes, 3), bounds
+        return tb.word_hashes(block, start, end), bounds
+
+    def grams(self, values: np.ndarray) -> tuple[tb.Rolling, np.ndarray]:
+        """Rolling hash over the units, and its grams as :class:`textblocks.Runs` takes them."""
+        one = tb.Rolling(values, 2)
+        return one, one.raw_grams(self.gram)
+
+    def found(self, grams: np.ndarray, bounds: np.ndarray) -> tuple[tb.Runs, np.ndarray]:
+        """Runs and the hashes of their anchors."""
+        runs = tb.Runs(grams, bounds, self.length, self.gram)
+        return runs, tb.mix(grams[runs.anchor])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -53,9 +58,8 @@ def anchor_sketch(docs: DataFrame, unit: Unit, bits: int) -> Sketch:
 
     def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for block in tb.blocks(batch.column("text")):
-            one, _, bounds = unit.values(block)
-            grams = one.grams(unit.gram)
-            yield grams[tb.Runs(grams, bounds, unit.length, unit.gram).anchor]
+            values, bounds = unit.values(block)
+            yield unit.found(unit.grams(values)[1], bounds)[1]
 
     return Sketch.of(docs.select("text"), anchors, bits)
 
@@ -67,45 +71,48 @@ def runs(
 
     ``key1, key2``: 128-bit key of the units from the first window's start to the last
     one's end. ``content``: ``windows`` adds the 64-bit hash of every window, ``bytes``
-    the text of the run. ``wanted``: only runs that start at a marked (doc_id, first).
+    the text of the run in place of the key. ``wanted``: only runs that start at a marked
+    (doc_id, first).
     """
     seen = sketch.broadcast(docs.sparkSession)
     marked = docs.sparkSession.sparkContext.broadcast(wanted)
+    schema = [c for c in RUN_SCHEMA.split(", ") if content != "bytes" or not c.startswith("key")]
+    schema += ["content binary"] if content else []
+    names = [c.split()[0] for c in schema]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for block in tb.blocks(batch.column("text")):
-                one, two, bounds = unit.values(block)
-                grams = one.grams(unit.gram)
-                found = tb.Runs(grams, bounds, unit.length, unit.gram)
-                keep = seen.value.repeated(grams[found.anchor])
+                values, bounds = unit.values(block)
+                one, grams = unit.grams(values)
+                found, anchors = unit.found(grams, bounds)
+                keep = seen.value.repeated(anchors)
                 if marked.value is not None:
-                    places = found.first - bounds[found.doc]
-                    keep &= marked.value.has(ids[block.first + found.doc].astype(np.int64), places)
-                first, last = found.first[keep], found.last[keep]
-                doc, at = found.doc[keep], found.anchor[keep]
+                    at = np.flatnonzero(keep)
+                    places = found.first[at] - bounds[found.doc[at]]
+                    keep[at] = marked.value.has(ids[block.first + found.doc[at]].astype(np.int64), places)
+                first, last, doc = found.first[keep], found.last[keep], found.doc[keep]
                 n = last - first + 1
                 end = last + unit.length
-                columns = [
-                    _signed(grams[at]),
-                    _signed(one(first, end)),
-                    _signed(two(first, end)),
-                    pa.array(ids[block.first + doc].astype(np.int64)),
-                    pa.array((first - bounds[doc]).astype(np.int32)),
-                    pa.array(n.astype(np.int32)),
-                ]
+                columns = {
+                    "gram": _signed(anchors[keep]),
+                    "doc_id": pa.array(ids[block.first + doc].astype(np.int64)),
+                    "first": pa.array((first - bounds[doc]).astype(np.int32)),
+                    "n": pa.array(n.astype(np.int32)),
+                }
+                if content != "bytes":
+                    two = tb.Rolling(values, 3)
+                    columns |= {"key1": _signed(one(first, end)), "key2": _signed(two(first, end))}
                 if content:
                     sizes = n if content == "windows" else end - first
                     edges = np.concatenate([[0], np.cumsum(sizes)])
                     each = np.arange(edges[-1]) + np.repeat(first - edges[:-1], sizes)
-                    values = two(each, each + unit.length) if content == "windows" else block.data[each]
-                    columns.append(tb.binary(values, edges))
-                names = ["gram", "key1", "key2", "doc_id", "first", "n", "content"]
-                yield pa.record_batch(columns, names=names[: len(columns)])
+                    held = two(each, each + unit.length) if content == "windows" else block.data[each]
+                    columns["content"] = tb.binary(held, edges)
+                yield pa.record_batch([columns[c] for c in names], names=names)
 
-    schema = RUN_SCHEMA + (", content binary" if content else "")
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(work, ", ".join(schema))
 
 
 def spans_of(rows: DataFrame, first: str, last: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import runs as rn
 from . import textblocks as tb
-from .sketch import BITS, marks
+from .sketch import BITS, BITS_EACH, bits_for, marks
 from .staging import staged
 from .suffix_array import suffix_array
 
@@ -191,7 +191,7 @@ def removed_spans(
     unit = rn.Unit("byte", length, gram)
     sketch = rn.anchor_sketch(docs, unit, bits)
     key = ["gram", "key1"]
-    found = rn.runs(docs, unit, sketch).select(*key, "doc_id", "first", "n")
+    found = staged(rn.runs(docs, unit, sketch).select(*key, "doc_id", "first", "n"), "byte_runs")
     classes = found.groupBy(*key).agg(F.min(F.struct("doc_id", "first")).alias("low"), F.count("*").alias("copies"))
     classes = staged(classes.select(*key, "low.doc_id", "low.first", "copies"), "byte_classes")
     several = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1").select("gram")
@@ -208,8 +208,9 @@ def removed_spans(
     # true occurrences too and change nothing.
     picked = classes.join(several, "gram", "left_semi").select("doc_id", "first")
     picked = staged(picked, "picked")
-    wanted = marks(picked, ["doc_id", "first"], bits)
-    most = picked.count() * (length - gram + 1) * WINDOW.itemsize  # of open windows
+    n_picked = picked.count()
+    wanted = marks(picked, ["doc_id", "first"], bits_for(n_picked, BITS_EACH, bits))
+    most = n_picked * (length - gram + 1) * WINDOW.itemsize  # of open windows
     slice_bits = (most // slice_bytes).bit_length()
     content = rn.runs(docs, unit, sketch, "bytes", wanted)
     compared = staged(_compared(content.select("gram", "doc_id", "first", "n", "content"), length, text_bytes, slice_bits), "compared")

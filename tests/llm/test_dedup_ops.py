@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus  # noqa: E402
 
-from rankwell.llm import components, jaccard_join, substring_dedup, suffix_dedup  # noqa: E402
+from rankwell.llm import components, jaccard_join, sketch, substring_dedup, suffix_dedup  # noqa: E402
 from rankwell.llm import textblocks as tb  # noqa: E402
 from rankwell.llm.suffix_array import suffix_array  # noqa: E402
 
@@ -31,6 +31,36 @@ def test_a_saturated_sketch_loses_nothing(spark):
     assert got == corpus.window_words(DOCS, 50)
 
 
+def test_a_sketch_is_filled_by_repeats_alone(spark):
+    # Fifty thousand hashes on as many bits; two hundred of them come twice, ten three times.
+    def hashes(batch):
+        yield tb.mix(batch.column("id").to_numpy().astype(np.uint64))
+
+    ids = spark.range(50_000).union(spark.range(200)).union(spark.range(10)).repartition(3)
+    cells = sketch.Sketch.of(ids, hashes, bits=15).cells
+    assert cells.repeated(tb.mix(np.arange(200, dtype=np.uint64))).all()
+    assert cells.repeated(tb.mix(np.arange(200, 50_000, dtype=np.uint64))).mean() < 0.01
+
+
+@pytest.mark.parametrize("length, k, letters", [(12, 5, 200), (12, 5, 2), (9, 9, 3), (30, 3, 1)])
+def test_runs_have_the_leftmost_least_gram(length, k, letters):
+    rng = np.random.default_rng(length + letters)
+    sizes = [0, length - 1, 70, length, 0, 300, 3, length + 1, 1]
+    bounds = np.cumsum([0] + sizes)
+    values = tb.mix(rng.integers(0, letters, bounds[-1]).astype(np.uint64) + np.uint64(1))
+    grams = tb.Rolling(values, 2).raw_grams(k)
+    found = tb.Runs(grams, bounds, length, k)
+    want = []
+    for doc, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        for start in range(a, b - length + 1):
+            at = start + int(np.argmin(grams[start : start + length - k + 1] >> np.uint64(32)))
+            if want and want[-1][2:] == [at, doc]:
+                want[-1][1] = start
+            else:
+                want.append([start, start, at, doc])
+    assert np.stack([found.first, found.last, found.anchor, found.doc], axis=1).tolist() == want
+
+
 @pytest.mark.parametrize("options", [{}, {"text_bytes": 2_000, "bits": 16, "slice_bytes": 1 << 12}, {"length": 30, "gram": 9, "bits": 18}])
 def test_suffix_dedup_equals_brute_force(spark, options):
     got = _found(suffix_dedup.digest(suffix_dedup.suffix_dedup(corpus.frame(spark), **options)))
