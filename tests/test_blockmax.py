@@ -78,6 +78,18 @@ def test_many_question_terms_go_in_passes_without_shuffled_matches(index, corpus
     assert rows(lexical.best_documents(index, weighted, 5, matches_per_task=0)) == plain
 
 
+def test_more_terms_than_passes_held_are_not_shuffled_either(index, corpus, monkeypatch):
+    weighted = lexical.weighted_terms(index, lexical.question_terms(corpus[1], F.col("text")))
+    plain = rows(lexical.ranking(lexical.score_matches(index, weighted), 5))
+    n_terms = weighted.count()
+    monkeypatch.setattr(lexical, "MAX_PASSES", 2)
+    monkeypatch.setattr(lexical, "match_terms", None)
+    got = lexical.best_documents(index, weighted, 5, max_broadcast=-(-n_terms // 10), matches_per_task=0)
+    assert rows(got) == plain
+    # Ten passes in rounds, each written: what is left to run shuffles nothing.
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rare_terms_are_left_out_of_the_blocks(spark, workspace):
     docs = spark.createDataFrame([(1, "lamp lamp once"), (2, "lamp garden"), (3, "garden twice twice")], "doc_id long, text string")
     index = lexical.build_index(docs, F.col("text"), workspace)
