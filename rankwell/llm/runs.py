@@ -37,15 +37,9 @@ class Unit:
         start, end, bounds = tb.words(block)
         return tb.word_hashes(block, start, end), bounds
 
-    def grams(self, values: np.ndarray) -> tuple[tb.Rolling, np.ndarray]:
-        """Rolling hash over the units, and its grams as :class:`textblocks.Runs` takes them."""
-        one = tb.Rolling(values, 2)
-        return one, one.raw_grams(self.gram)
-
-    def found(self, grams: np.ndarray, bounds: np.ndarray) -> tuple[tb.Runs, np.ndarray]:
-        """Runs and the hashes of their anchors."""
-        runs = tb.Runs(grams, bounds, self.length, self.gram)
-        return runs, tb.mix(grams[runs.anchor])
+    def rolling(self, values: np.ndarray, other: bool = False) -> tb.Rolling:
+        """Rolling hash over the units, and an independent ``other``."""
+        return tb.Rolling(values, (0 if self.kind == "byte" else 2) + other)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -59,7 +53,8 @@ def anchor_sketch(docs: DataFrame, unit: Unit, bits: int) -> Sketch:
     def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for block in tb.blocks(batch.column("text")):
             values, bounds = unit.values(block)
-            yield unit.found(unit.grams(values)[1], bounds)[1]
+            grams = unit.rolling(values).grams(unit.gram)
+            yield grams[tb.Runs(grams, bounds, unit.length, unit.gram).anchor]
 
     return Sketch.of(docs.select("text"), anchors, bits)
 
@@ -85,8 +80,10 @@ def runs(
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for block in tb.blocks(batch.column("text")):
                 values, bounds = unit.values(block)
-                one, grams = unit.grams(values)
-                found, anchors = unit.found(grams, bounds)
+                one = unit.rolling(values)
+                grams = one.grams(unit.gram)
+                found = tb.Runs(grams, bounds, unit.length, unit.gram)
+                anchors = grams[found.anchor]
                 keep = seen.value.repeated(anchors)
                 if marked.value is not None:
                     at = np.flatnonzero(keep)
@@ -102,7 +99,7 @@ def runs(
                     "n": pa.array(n.astype(np.int32)),
                 }
                 if content != "bytes":
-                    two = tb.Rolling(values, 3)
+                    two = unit.rolling(values, other=True)
                     columns |= {"key1": _signed(one(first, end)), "key2": _signed(two(first, end))}
                 if content:
                     sizes = n if content == "windows" else end - first

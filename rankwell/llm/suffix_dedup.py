@@ -19,6 +19,7 @@ dropped. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +103,10 @@ def _compared(content: DataFrame, length: int, limit: int, slice_bits: int) -> D
         open_gram: int | None = None  # an anchor that goes on from the text before
 
         def compare(rows: list[tuple], split: int | None) -> Iterator[pa.RecordBatch]:
-            parts = [[r for r in rows if r[4] != split], [r for r in rows if r[4] == split]] if split is not None else [rows]
-            for i, part in enumerate(parts):
+            whole = (list(same) for gram, same in groupby(rows, key=lambda r: r[4]) if gram != split)
+            # Runs of one content, which the bitmap let through, are settled by their key.
+            several = [r for same in whole if any(r[3] != same[0][3] for r in same) for r in same]
+            for i, part in enumerate([several, [r for r in rows if r[4] == split]]):
                 if not part:
                     continue
                 doc, first, one, two, leads = _groups([r[:4] for r in part], length)
@@ -205,7 +208,7 @@ def removed_spans(
 
     # The first occurrences, wherever an anchor has several contents, come once more with
     # their text. A bitmap of bounded size picks them; what it lets through besides are
-    # true occurrences too and change nothing.
+    # later occurrences, or the only content of their anchor, and change nothing.
     picked = classes.join(several, "gram", "left_semi").select("doc_id", "first")
     picked = staged(picked, "picked")
     n_picked = picked.count()

@@ -48,7 +48,7 @@ def test_runs_have_the_leftmost_least_gram(length, k, letters):
     sizes = [0, length - 1, 70, length, 0, 300, 3, length + 1, 1]
     bounds = np.cumsum([0] + sizes)
     values = tb.mix(rng.integers(0, letters, bounds[-1]).astype(np.uint64) + np.uint64(1))
-    grams = tb.Rolling(values, 2).raw_grams(k)
+    grams = tb.Rolling(values, 2).grams(k)
     found = tb.Runs(grams, bounds, length, k)
     want = []
     for doc, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
@@ -67,6 +67,15 @@ def test_suffix_dedup_equals_brute_force(spark, options):
     assert got == corpus.repeated_bytes(DOCS, options.get("length", 100))
 
 
+@pytest.mark.parametrize("bits", [6, 29])
+def test_equal_rows_of_one_id_lose_nothing_to_a_full_bitmap(spark, bits):
+    # No anchor has two contents, whatever a full bitmap lets through.
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(d, t, None, None, 0, None, 0, None, None, None) for d, t in ((7, text), (7, text), (9, "short"))]
+    got = suffix_dedup.suffix_dedup(corpus.frame(spark, rows), bits=bits).collect()
+    assert [r["n_removed"] for r in got] == [0, 0, 0]
+
+
 def test_cut_texts_are_whole_characters(spark):
     docs = corpus.frame(spark)
     got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs).collect()}
